@@ -19,20 +19,22 @@ from attestra.llm.text_arrays import Chunk, chunks, covered, members
 RULES = (
     ("symbols_per_word", True, 0.30, 0.05),
     ("repeat_share", True, 0.30, 0.05),
-    ("dup_line_share", True, 0.30, 0.10),
+    ("dup_line_share", True, 0.50, 0.25),
     ("caps_share", True, 0.40, 0.10),
     ("distinct_share", False, 0.30, 0.45),
-    ("word_length", True, 14.0, 10.0),
+    ("short_share", False, 0.08, 0.15),
+    ("sentence_share", False, 0.01, 0.03),
     ("exclaim_per_word", True, 0.40, 0.10),
     ("digit_share", True, 0.40, 0.10),
 )
 #: Below so many words the shares say little: the rules abstain, except the first.
 FEW_WORDS = 8
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_distinct", "n_exclaim", "n_digits")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_distinct", "n_short", "n_sentence", "n_exclaim", "n_digits")
 
 _SYMBOL, _EXCLAIM, _DIGIT = members(b"#*$%&|<>"), members(b"!"), members(b"0123456789")
 _CONTINUED = np.zeros(256, bool)
 _CONTINUED[0x80:0xC0] = True
+_STOP, _LETTER = members(b".,;:?!"), members(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 _UPPER, _LOWER = members(bytes(range(0x41, 0x5B))), members(bytes(range(0x61, 0x7B)))
 
 
@@ -56,8 +58,8 @@ def counted(chunk: Chunk) -> dict[str, np.ndarray]:
     order = np.lexsort((h, docs))
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[order][1:] != h[order][:-1]) | (docs[order][1:] != docs[order][:-1])
-    upper, lower = (np.concatenate([[0], np.cumsum(x[data], dtype=np.int64)]) for x in (_UPPER, _LOWER))
-    n_upper, n_lower = (x[words.ends] - x[words.starts] for x in (upper, lower))
+    n_upper, n_lower, n_letters = (x[words.ends] - x[words.starts] for x in (np.concatenate([[0], np.cumsum(x[data], dtype=np.int64)]) for x in (_UPPER, _LOWER, _LETTER)))
+    length, last = words.ends - words.starts, words.ends - 1
     lines = np.array([_dup_lines(chunk.text(i)) for i in range(chunk.n)], np.int64).reshape(-1, 2)
     return {
         "n_words": words.counts,
@@ -68,6 +70,8 @@ def counted(chunk: Chunk) -> dict[str, np.ndarray]:
         "n_lines": lines[:, 1],
         "n_caps": words.sums((n_upper >= 2) & (n_lower == 0)),
         "n_distinct": words.sums(fresh),
+        "n_short": words.sums((length <= 4) & (n_letters == length)),
+        "n_sentence": words.sums(_STOP[data[last]] & (length > 1) & _LETTER[data[np.maximum(last - 1, 0)]]),
         "n_exclaim": chunk.sums(_EXCLAIM[data]),
         "n_digits": chunk.sums(_DIGIT[data]),
     }
@@ -96,7 +100,8 @@ def with_votes(counts: DataFrame) -> DataFrame:
         "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "caps_share": F.col("n_caps") / n,
         "distinct_share": F.col("n_distinct") / n,
-        "word_length": F.col("word_chars") / n,
+        "short_share": F.col("n_short") / n,
+        "sentence_share": F.col("n_sentence") / n,
         "exclaim_per_word": F.col("n_exclaim") / n,
         "digit_share": F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1)),
     }
