@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import decontaminate, personal_data, quality_classifier, quality_rules, secrets
+from attestra.llm import decontaminate, personal_data, quality_classifier, quality_rules, secrets, source_mixing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+#: Where the public vocabulary lies.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Target weights of the sources; those not named have 1.
+WEIGHTS = {"src0": 4.0, "src1": 2.5, "src2": 1.5, "src3": 0.5}
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), token_counts.vocabulary(VOCABULARY))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.with_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
@@ -36,7 +50,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op6_personal_data, op8_secrets, op9_decontaminate, op10_quality_classifier)
+    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_source_mixing, op6_personal_data, op8_secrets, op9_decontaminate, op10_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {
