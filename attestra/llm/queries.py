@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import decontaminate, personal_data, quality_classifier, quality_rules, secrets, source_mixing, token_counts
+from attestra.llm import decontaminate, near_duplicates, personal_data, quality_classifier, quality_rules, secrets, source_mixing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_shingles")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.with_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
@@ -50,7 +54,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_source_mixing, op6_personal_data, op8_secrets, op9_decontaminate, op10_quality_classifier)
+    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_source_mixing, op5_near_duplicates, op6_personal_data, op8_secrets, op9_decontaminate, op10_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {
