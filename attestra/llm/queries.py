@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import decontaminate, near_duplicates, personal_data, quality_classifier, quality_rules, repeated_spans, secrets, source_mixing, token_counts
+from attestra.llm import decontaminate, language_model, near_duplicates, personal_data, quality_classifier, quality_rules, repeated_spans, secrets, source_mixing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.with_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(_table(spark, sf_dir, "documents")))
 
@@ -58,7 +62,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_repeated_spans, op4_source_mixing, op5_near_duplicates, op6_personal_data, op8_secrets, op9_decontaminate, op10_quality_classifier)
+    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_repeated_spans, op4_source_mixing, op5_near_duplicates, op6_personal_data, op7_language_model, op8_secrets, op9_decontaminate, op10_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -239,7 +239,7 @@ def without_repeated_spans(documents: DataFrame) -> DataFrame:
     A byte goes if a string of WIDTH bytes that covers it starts in a document of smaller doc_id too, in the texts as given. documents: doc_id (a whole number) and text; other columns are ignored. A null text is empty; texts of fewer than WIDTH bytes stay whole; rows of equal doc_id don't count as earlier than each other; a row without doc_id stays whole and takes nothing from others; an empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = written(docs.mapInArrow(_chunk_rows, "chunk long, ids array<long>, offsets binary, data binary"))
+    table = written(docs.mapInArrow(_chunk_rows, "chunk long, ids array<long>, offsets binary, data binary"), "zstd")
     total = table.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     parts = max(12, -(-total // PART))
     offers = table.select("chunk", "ids", "offsets", "data").mapInArrow(lambda b: _offer(b, parts), "part long, chunk long, keys binary, several binary")

@@ -17,9 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a cut in the lineage that lost executors don't undo."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/attestra/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
