@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +24,28 @@ CHUNK, PART = 2 << 20, 16 << 20
 _LATER = np.iinfo(np.int64).max
 
 
+def packed(x: np.ndarray | bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x if isinstance(x, bytes) else x.tobytes())
+
+
+def unpacked(x: bytes, kind: str | type = np.uint8) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in chunks(batch.column("text"), CHUNK):
             data = chunk.data.tobytes()
             ids = batch.column("doc_id").slice(chunk.first, chunk.n)
             name = int.from_bytes(hashlib.blake2b(data + repr(ids.to_pylist()).encode(), digest_size=8).digest(), "little", signed=True)
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([chunk.offsets.astype("<i8").tobytes()], pa.binary()), pa.array([data], pa.binary())], names=["chunk", "ids", "offsets", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([len(data)], pa.int64()), pa.array([packed(chunk.offsets.astype("<i8"))], pa.binary()), pa.array([packed(data, 6)], pa.binary())], names=["chunk", "ids", "n_bytes", "offsets", "data"])
 
 
 class Runs:
     """The runs of a chunk row: hash, document (its place in the chunk), first byte, and number of strings."""
 
     def __init__(self, data: bytes, offsets: bytes):
-        self.data, self.offsets = np.frombuffer(data, np.uint8), np.frombuffer(offsets, "<i8")
+        self.data, self.offsets = unpacked(data), unpacked(offsets, "<i8")
         n = len(self.data)
         if n < WIDTH:
             self.hash, self.doc, self.first, self.count = np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
@@ -116,7 +125,7 @@ def _spread(runs: Runs, picked: np.ndarray) -> np.ndarray:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Of each chunk and part: its shared runs (hash, number, document, strings, text), each text once for its least document, and the numbers of the others."""
+    """Of each chunk and part: its shared runs (key, number, document, strings, text), each text once for its least document, and the numbers of the others."""
     for batch in batches:
         for r in batch.to_pylist():
             runs, ids = Runs(r["data"], r["offsets"]), _numbers(r["ids"])
@@ -141,17 +150,18 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             for p in np.unique(part[picked]).tolist():
                 kept, local = (x[np.searchsorted(part[picked[x]], p) : np.searchsorted(part[picked[x]], p, "right")] for x in split)
                 k = picked[kept]
-                rows.append((p, r["chunk"], runs.hash[k].tobytes(), k.astype("<u4").tobytes(), doc[kept].tobytes(), runs.count[k].astype("<u4").tobytes(), runs.data[_spread(runs, k)].tobytes(), picked[local].astype("<u4").tobytes()))
+                rows.append((p, r["chunk"], key[k].tobytes(), packed(np.diff(k, prepend=0).astype("<u4")), packed(doc[kept]), packed(runs.count[k].astype("<u4")), packed(runs.data[_spread(runs, k)]), packed(np.diff(picked[local], prepend=0).astype("<u4"))))
             kinds = (pa.int64(), pa.int64(), *(pa.binary(),) * 6)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "chunk", "hashes", "runs", "docs", "counts", "data", "local"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "chunk", "keys", "runs", "docs", "counts", "data", "local"])
 
 
 def _decide(group: pa.Table) -> pa.Table:
     """Of each chunk: the strings of its runs that an earlier document has, as (run, first string, string after the last)."""
-    column = lambda c, kind: [np.frombuffer(x, kind) for x in group.column(c).to_pylist()]
-    runs, local = column("runs", "<u4"), column("local", "<u4")
+    column = lambda c, kind: [unpacked(x, kind) for x in group.column(c).to_pylist()]
+    runs, local = ([np.cumsum(x, dtype=np.int64) for x in column(c, "<u4")] for c in ("runs", "local"))
     row = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
-    run, doc, hashes = np.concatenate(runs), np.concatenate(column("docs", np.int64)), np.concatenate(column("hashes", np.uint64))
+    run, doc = np.concatenate(runs), np.concatenate(column("docs", np.int64))
+    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("keys").to_pylist()])
     count, data = np.concatenate(column("counts", "<u4")).astype(np.int64), np.concatenate(column("data", np.uint8))
     size = count + WIDTH - 1
     begin = np.cumsum(size) - size
@@ -166,8 +176,8 @@ def _decide(group: pa.Table) -> pa.Table:
         whole = doc > doc[leader]
         found.append(np.column_stack([row[whole], run[whole], np.zeros(whole.sum(), np.int64), count[whole]]))
         leaders = order[head]
-        leaders = leaders[np.argsort(hashes[leaders], kind="stable")]
-        h = hashes[leaders]
+        leaders = leaders[np.argsort(keys[leaders], kind="stable")]
+        h = keys[leaders]
         apart = np.zeros(len(h), bool)  # hashes of several different runs
         same = h[1:] == h[:-1]
         apart[1:] |= same
@@ -202,17 +212,17 @@ def _decide(group: pa.Table) -> pa.Table:
     out = np.concatenate(found)
     out = out[np.argsort(out[:, 0], kind="stable")]
     cut = np.searchsorted(out[:, 0], np.arange(len(runs) + 1))
-    spans = [out[cut[k] : cut[k + 1], 1:].astype("<i4").tobytes() for k in range(len(runs))]
-    return pa.table({"chunk": group.column("chunk"), "spans": pa.array(spans, pa.binary()), "local": group.column("local")}).filter(pa.array([bool(len(s) or len(x)) for s, x in zip(spans, local, strict=True)], pa.bool_()))
+    spans = [packed(out[cut[k] : cut[k + 1], 1:].astype("<i4")) for k in range(len(runs))]
+    some = pa.array([bool(cut[k + 1] > cut[k] or len(local[k])) for k in range(len(runs))], pa.bool_())
+    return pa.table({"chunk": group.column("chunk"), "spans": pa.array(spans, pa.binary()), "local": group.column("local")}).filter(some)
 
 
-def _removed(r: dict) -> np.ndarray:
+def _removed(runs: Runs, found: list[dict] | None) -> np.ndarray:
     """Flags of the bytes of a chunk that go."""
-    runs = Runs(r["data"], r["offsets"])
     step = np.zeros(len(runs.data) + 1, np.int32)
-    for x in r["found"] or ():
-        local = np.frombuffer(x["local"], "<u4").astype(np.int64)
-        spans = np.frombuffer(x["spans"], "<i4").reshape(-1, 3).astype(np.int64)
+    for x in found or ():
+        local = np.cumsum(unpacked(x["local"], "<u4"), dtype=np.int64)
+        spans = unpacked(x["spans"], "<i4").reshape(-1, 3).astype(np.int64)
         for begin, end in ((runs.first[local], runs.first[local] + runs.count[local]), (runs.first[spans[:, 0]] + spans[:, 1], runs.first[spans[:, 0]] + spans[:, 2])):
             np.add.at(step, begin, 1)
             np.add.at(step, end - 1 + WIDTH, -1)
@@ -222,7 +232,8 @@ def _removed(r: dict) -> np.ndarray:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            gone, offsets, data = _removed(r), np.frombuffer(r["offsets"], "<i8"), np.frombuffer(r["data"], np.uint8)
+            runs = Runs(r["data"], r["offsets"])
+            gone, offsets, data = _removed(runs, r["found"]), runs.offsets, runs.data
             out = []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 own = gone[a:b]
@@ -239,13 +250,13 @@ def without_repeated_spans(documents: DataFrame) -> DataFrame:
     A byte goes if a string of WIDTH bytes that covers it starts in a document of smaller doc_id too, in the texts as given. documents: doc_id (a whole number) and text; other columns are ignored. A null text is empty; texts of fewer than WIDTH bytes stay whole; rows of equal doc_id don't count as earlier than each other; a row without doc_id stays whole and takes nothing from others; an empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = written(docs.mapInArrow(_chunk_rows, "chunk long, ids array<long>, offsets binary, data binary"), "zstd")
-    total = table.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    table = written(docs.mapInArrow(_chunk_rows, "chunk long, ids array<long>, n_bytes long, offsets binary, data binary"))
+    total = table.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(12, -(-total // PART))
     offers = table.select("chunk", "ids", "offsets", "data").mapInArrow(lambda b: _offer(b, parts), "part long, chunk long, keys binary, several binary")
     shared = offers.groupBy("part").applyInArrow(_shared, "chunk long, part long, keys binary")
     shared = shared.groupBy("chunk").agg(F.collect_list(F.struct("part", "keys")).alias("shared"))  # of one chunk's bounded size
-    dealt = table.join(shared.hint("shuffle_hash"), "chunk").mapInArrow(lambda b: _deal(b, parts), "part long, chunk long, hashes binary, runs binary, docs binary, counts binary, data binary, local binary")
+    dealt = table.join(shared.hint("shuffle_hash"), "chunk").mapInArrow(lambda b: _deal(b, parts), "part long, chunk long, keys binary, runs binary, docs binary, counts binary, data binary, local binary")
     found = dealt.groupBy("part").applyInArrow(_decide, "chunk long, spans binary, local binary")
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("spans", "local")).alias("found"))
     return table.join(found.hint("shuffle_hash"), "chunk", "left").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
