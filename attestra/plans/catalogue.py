@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from attestra.plans import queue_queries, region_queries, scoring_queries, set_queries, text_queries
+
+_ALL = (text_queries, queue_queries, region_queries, scoring_queries, set_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _ALL for k, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for m in _ALL for k, s in m.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Rates of extraction errors by run and field."""
+    return scoring_queries.score_rates_by_run(spark, sf_dir)
