@@ -49,8 +49,8 @@ def padded(regions: DataFrame, pad: int, lengths: DataFrame) -> DataFrame:
     before, after = F.lag("end").over(w), F.lead("start").over(w)
     start, end = F.greatest(F.lit(0), F.col("start") - pad), F.least(F.col("length"), F.col("end") + pad)
     joined = regions.join(lengths, "stream")
-    left = F.when(F.least(F.col("length"), before + pad) > start, F.floor((before + F.col("start")) / 2)).otherwise(start)
-    right = F.when(end > F.greatest(F.lit(0), after - pad), F.floor((F.col("end") + after) / 2)).otherwise(end)
+    left = F.when(before.isNotNull() & (F.least(F.col("length"), before + pad) > start), F.floor((before + F.col("start")) / 2)).otherwise(start)
+    right = F.when(after.isNotNull() & (end > F.greatest(F.lit(0), after - pad)), F.floor((F.col("end") + after) / 2)).otherwise(end)
     return joined.select("stream", left.cast("long").alias("start"), right.cast("long").alias("end"))
 
 

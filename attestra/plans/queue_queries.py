@@ -196,7 +196,7 @@ def stm_hedged_race(spark, sf_dir):
     return E.raced(attempts, F.col("predicted"), 12000).select("request", "hedged", "winner", "took_ms", "error")
 
 
-@query("""WITH e AS (SELECT user_id AS engine, CAST(epoch_ms(ts) AS BIGINT) * 100000 + event_id AS at, event_type, event_id FROM events), a AS (SELECT * FROM e WHERE event_type IN ('view', 'click')), l AS (SELECT * FROM e WHERE event_type = 'purchase')
+@query("""WITH e AS (SELECT user_id AS engine, (epoch_us(ts) // 1000) * 100000 + event_id AS at, event_type, event_id FROM events), a AS (SELECT * FROM e WHERE event_type IN ('view', 'click')), l AS (SELECT * FROM e WHERE event_type = 'purchase')
 SELECT l.engine, l.at AS at_ms, CASE WHEN a.event_type = 'click' AND a.event_id % 50 = 0 OR l.at - a.at < 8640000000000 THEN CASE a.event_type WHEN 'view' THEN 'ready' ELSE 'unavailable' END END AS status FROM l ASOF LEFT JOIN a ON l.engine = a.engine AND l.at >= a.at""")
 def stm_cached_capability(spark, sf_dir):
     """STM-25: the last answer before a question, while it holds."""

@@ -48,7 +48,7 @@ def _padded(spark, sf_dir):
 
 @query(f"""WITH {KEPT}, n AS (SELECT stream, max(frame) + 1 AS length FROM f GROUP BY stream),
 w AS (SELECT k.*, length, lag("end") OVER v AS before, lead(start) OVER v AS after FROM k JOIN n USING (stream) WINDOW v AS (PARTITION BY stream ORDER BY start))
-SELECT stream, CAST(CASE WHEN least(length, before + 2) > greatest(0, start - 2) THEN (before + start) // 2 ELSE greatest(0, start - 2) END AS BIGINT) AS start, CAST(CASE WHEN least(length, "end" + 2) > greatest(0, after - 2) THEN ("end" + after) // 2 ELSE least(length, "end" + 2) END AS BIGINT) AS "end" FROM w""")
+SELECT stream, CAST(CASE WHEN before IS NOT NULL AND least(length, before + 2) > greatest(0, start - 2) THEN (before + start) // 2 ELSE greatest(0, start - 2) END AS BIGINT) AS start, CAST(CASE WHEN after IS NOT NULL AND least(length, "end" + 2) > greatest(0, after - 2) THEN ("end" + after) // 2 ELSE least(length, "end" + 2) END AS BIGINT) AS "end" FROM w""")
 def win_padded(spark, sf_dir):
     """WIN-04."""
     return _padded(spark, sf_dir)

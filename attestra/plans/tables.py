@@ -43,7 +43,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document a quote: verbatim, in capitals, without marks, from another place, blank or none."""
     k, t = F.col("doc_id") % QUOTE_KINDS, F.col("text")
     cut = F.substring(t, 5, 60)
-    span = F.when(k == 0, cut).when(k == 1, F.upper(cut)).when(k == 2, F.regexp_replace(cut, "[.,]", "")).when(k == 3, F.concat(cut, F.lit(" and nothing of the kind"))).when(k == 4, "  ")
+    span = F.when(k == 0, cut).when(k == 1, F.translate(cut, "aeinrst", "AEINRST")).when(k == 2, F.regexp_replace(cut, "[.,]", "")).when(k == 3, F.concat(cut, F.lit(" and nothing of the kind"))).when(k == 4, "  ")
     return table(spark, sf_dir, "documents").select("doc_id", "text", span.alias("span"))
 
 

@@ -106,18 +106,18 @@ _AGES = "CASE " + " ".join(f"WHEN p_size <= {t} THEN '{n}'" for t, n in N.AGE_BA
 
 
 @query(f"""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (p_retailprice - 950) / 50)) END AS clamped, {_BANDS} AS depth_band, {_AGES} AS age_band,
-  least(60000.0, 1000.0 * pow(2, least(p_size, 32))) AS wait_window, CAST(floor(least(60000.0, 1000.0 * pow(2, least(p_size, 32))) * 0.25) AS BIGINT) AS wait, CASE WHEN p_size % 3 = 0 THEN 15000.0 ELSE least(30000.0, greatest(2000.0, p_size * 1000 * 1.5)) END AS hedge_delay,
+  least(60000.0, 1000.0 * pow(2, least(p_size, 32))) AS wait_window, CAST(floor(least(60000.0, 1000.0 * pow(2, least(p_size, 32))) * 0.25) AS BIGINT) AS wait, CAST(CASE WHEN p_size % 3 = 0 THEN 15000.0 ELSE least(30000.0, greatest(2000.0, p_size * 1000 * 1.5)) END AS DOUBLE) AS hedge_delay,
   abs(p_retailprice - p_retailprice * (1 + p_size * 5e-8)) <= greatest(1e-9, 1e-6 * greatest(p_retailprice, p_retailprice * (1 + p_size * 5e-8))) AS near_equal,
   greatest(1, CAST(floor(p_size * 10 / 1000 * 16000 / 270 + 0.5) AS BIGINT)) AS frames, CAST(p_size * 270 + 721 AS BIGINT) AS sample, 'sha256:' || sha256(p_name) AS fingerprint, CASE WHEN p_size % 5 = 0 THEN 'n/a' ELSE printf('%.1f', round(100.0 * p_size / (p_size % 5 * 20), 1)) || '%' END AS percent,
   (p_size * 61234) // 60000 || ':' || lpad(CAST((p_size * 61234) // 1000 % 60 AS VARCHAR), 2, '0') || '.' || (p_size * 61234) % 1000 // 100 AS elapsed,
-  CASE WHEN p_size < 10 THEN p_size * 100 || ' B' ELSE printf('%.1f', p_size * 100 / 1024.0) || ' kB' END AS bytes,
+  CASE WHEN p_size <= 10 THEN p_size * 100 || ' B' ELSE printf('%.1f', p_size * 100 / 1024.0) || ' kB' END AS bytes,
   list_sum(list_transform(range(p_size % 8), lambda k: least(8000.0, 500.0 * pow(2, k)))) IS NULL AS no_waits, coalesce(list_sum(list_transform(range(p_size % 8), lambda k: least(8000.0, 500.0 * pow(2, k)))), 0.0) AS total_wait FROM part""")
 def mth_bounds_and_waits(spark, sf_dir):
     """MTH-01, 02, 03, 04, 05, 07, 09, 10, AGG-09, AGG-33, STR-26."""
     size, price = F.col("p_size"), F.col("p_retailprice")
     odd = F.when(size % 7 == 0, F.when(size % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise((price - 950) / 50)
     ms = size * 61234
-    n_bytes = F.when(size < 10, size * 100).otherwise(size * 100)
+    n_bytes = size * 100
     return table(spark, sf_dir, "part").select(
         "p_partkey", N.clamped(odd).alias("clamped"), N.band(size.cast("double"), N.DEPTH_BANDS).alias("depth_band"), N.band(size.cast("double"), N.AGE_BANDS).alias("age_band"),
         N.jitter_window(size, 1000, 60000).alias("wait_window"), N.jitter_delay(size, 1000, 60000, F.lit(0.25)).alias("wait"), N.hedge_delay(F.when(size % 3 != 0, size * 1000), 15000).alias("hedge_delay"),
