@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared_tables import written
+from attestra.llm.shared_tables import bounded_batches, written
 from attestra.llm.text_arrays import Chunk, chunks, covered, joined, members
 
 WINDOW = 10
@@ -179,6 +179,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_words: int =
 
     documents: doc_id and text, benchmark: item_id and text; other columns are ignored. Null texts have no words. Items without words are never found; equal items are found together. Repeated documents are searched each for itself. The items are read block by block of a bounded number of words; a block's automaton goes to every task, and with several blocks their findings are merged by row.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     return _found(docs, list(_blocks(benchmark, block_words)) or [[]]).drop("row")
 
@@ -188,6 +189,7 @@ def without_contamination(documents: DataFrame, benchmark: DataFrame, max_share:
 
     All columns of documents are kept; n_chars, where it is there, is counted anew for texts that were cut.
     """
+    bounded_batches(documents.sparkSession)
     blocks = list(_blocks(benchmark, block_words))
     if not blocks:
         return documents

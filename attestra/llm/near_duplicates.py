@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.components import components
-from attestra.llm.shared_tables import written
+from attestra.llm.shared_tables import bounded_batches, written
 from attestra.llm.text_arrays import Chunk, chunks, joined, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -189,6 +189,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     A class is what links of Jaccard similarity SIMILARITY or more, over sets of five-word shingles, connect. documents: doc_id and text; other columns are ignored. A text of fewer than five words has one shingle of all of them; one without words, or null, is in a class of its own. A null doc_id has the null class and links nothing. Repeated rows share their class; an empty table gives an empty result.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     signed = written(docs.mapInArrow(_sign, f"doc_id {kind}, text_hash long, node binary, n_shingles long, bands array<long>"))

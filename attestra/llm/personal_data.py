@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared_tables import written
+from attestra.llm.shared_tables import bounded_batches, written
 from attestra.llm.spans import SPAN, SPAN_SQL, code_points, document_of, joined_spans, of_kind
 from attestra.llm.text_arrays import Chunk, chunks, members
 
@@ -192,6 +192,7 @@ def with_personal_data(documents: DataFrame, rounds: int = ROUNDS, trust: float
 
     documents: doc_id and text; other columns are kept, and one named spans is replaced. A null or empty text has no spans. Repeated rows are searched each for itself, but count once for the patterns; a null doc_id is carried through; an empty table gives an empty result. What the contexts add overlaps no match of the fixed patterns.
     """
+    bounded_batches(documents.sparkSession)
     own = documents.drop("spans", "candidates", "row_")
     kept = [c for c in own.columns if keep_text or c != "text"]
     kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in kept)

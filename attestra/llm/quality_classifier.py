@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.llm.shared_tables import bounded_batches
 from attestra.llm.text_arrays import Chunk, chunks, members
 
 PASSAGE = 64
@@ -153,6 +154,7 @@ def with_quality(documents: DataFrame, labels: DataFrame, threshold: float = THR
 
     documents: doc_id and text, labels: doc_id and quality (0 or 1; null: unknown). A null or empty text is scored as one passage without words. Repeated rows get equal scores; a null doc_id counts as held out and is carried through. Columns of documents that clash with the new ones are replaced. Without labels of both kinds every score is the share of good ones, 0.5 if there are none.
     """
+    bounded_batches(documents.sparkSession)
     own = [c for c in documents.columns if c not in ("held_out", "score", "predicted")]
     sent = documents.sparkSession.sparkContext.broadcast(trained(documents, labels, sample))
 

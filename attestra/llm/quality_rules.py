@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared_tables import written
+from attestra.llm.shared_tables import bounded_batches, written
 from attestra.llm.text_arrays import Chunk, chunks, covered, members
 
 #: name, whether a high value is bad, votes bad beyond the first bound, votes good within the second.
@@ -87,6 +87,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def document_counts(documents: DataFrame) -> DataFrame:
     """doc_id and COUNTS of every whole text; a null text has no words."""
+    bounded_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_count_batches, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in COUNTS))
 

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared_tables import written
+from attestra.llm.shared_tables import bounded_batches, written
 from attestra.llm.suffix_order import ranks
 from attestra.llm.text_arrays import chunks, covered, joined, mix
 
@@ -249,6 +249,7 @@ def without_repeated_spans(documents: DataFrame) -> DataFrame:
 
     A byte goes if a string of WIDTH bytes that covers it starts in a document of smaller doc_id too, in the texts as given. documents: doc_id (a whole number) and text; other columns are ignored. A null text is empty; texts of fewer than WIDTH bytes stay whole; rows of equal doc_id don't count as earlier than each other; a row without doc_id stays whole and takes nothing from others; an empty table gives an empty result.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(docs.mapInArrow(_chunk_rows, "chunk long, ids array<long>, n_bytes long, offsets binary, data binary"))
     total = table.agg(F.sum("n_bytes")).first()[0] or 0

@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.llm.shared_tables import bounded_batches
 from attestra.llm.spans import SPAN, SPAN_SQL, code_points, document_of, joined_spans, of_kind, runs
 from attestra.llm.text_arrays import Chunk, chunks, members
 
@@ -120,6 +121,7 @@ def secrets(documents: DataFrame) -> DataFrame:
 
     Of documents, doc_id and text count. A null or empty text has no spans; repeated rows are searched each for itself; a null doc_id is carried through; an empty table gives an empty result. Matches of one kind never overlap; novel strings never overlap with matches of the fixed patterns.
     """
+    bounded_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_search, f"doc_id {kind}, spans {SPAN_SQL}")
 

@@ -23,3 +23,12 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     path = f"{shared_folder(spark)}/attestra/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Batches of documents that go to Python hold at most about `size` bytes, unless the session has a bound of its own: rows alone bound no memory, as texts may be long."""
+    if spark.conf.get(_BATCH, None) in (None, "64MB", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, str(size))

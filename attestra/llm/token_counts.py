@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.llm.shared_tables import bounded_batches
 from attestra.llm.text_arrays import Chunk, chunks, joined, members, mix
 
 SIGN = "▁"
@@ -118,6 +119,7 @@ def token_counts(documents: DataFrame, pieces: list[tuple[str, float]]) -> DataF
 
     documents: doc_id and text; other columns are ignored. A null or empty text has no tokens; repeated rows are counted each for itself; a null doc_id is carried through; an empty table gives an empty result. pieces: a vocabulary of fixed size, which goes to every task. Characters without a piece count as their bytes.
     """
+    bounded_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(pieces)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
