@@ -156,12 +156,12 @@ def _links(documents: DataFrame, signed: DataFrame) -> DataFrame:
     """Links of similarity SIMILARITY or more between distinct sets of shingles (a, b: their fingerprints), enough to connect whatever such links connect within the buckets."""
     nodes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "bands")).alias("m")).select("node", "m.*")
     nodes = written(nodes)
+    # tables that are joined by bucket are written before they are counted, so that Spark may split a hot bucket's join
     entries = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     buckets = written(entries.join(sizes, "key"))
-    degrees = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
-    hubs = buckets.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
-    hubs = written(hubs)
+    degrees = written(buckets.groupBy("node").agg(F.sum("size").alias("degree")))
+    hubs = written(buckets.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")))
     chosen = nodes.join(degrees, "node").select("doc_id", "text_hash")
     texts = documents.join(chosen, ["doc_id", "text_hash"], "left_semi").select("text")
     sets = written(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
@@ -171,10 +171,10 @@ def _links(documents: DataFrame, signed: DataFrame) -> DataFrame:
     found = components(links)
     # what a hub leaves apart may belong to others of its bucket
     labelled = written(buckets.where("size > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-    home = labelled.join(hubs, (labelled["key"] == hubs["key"]) & (F.col("node") == F.col("hub"))).select(hubs["key"], F.col("hub"), F.col("component").alias("home"))
-    members = labelled.join(home, "key").where("node != hub").withColumn("apart", F.col("component") != F.col("home"))
+    home = written(labelled.join(hubs.withColumnRenamed("hub", "node"), ["key", "node"]).select("key", F.col("node").alias("hub"), F.col("component").alias("home")))
+    members = written(labelled.join(home, "key").where("node != hub").withColumn("apart", F.col("component") != F.col("home")))
     counts = members.groupBy("key").agg(F.count_if("apart").alias("n_apart"), F.count("*").alias("n")).where("n_apart > 0 AND n > 1")
-    counts = counts.select("key", F.ceil(F.col("n_apart") / APART).alias("rows_"), F.ceil(F.col("n") / OTHERS).alias("columns_"))
+    counts = written(counts.select("key", F.ceil(F.col("n_apart") / APART).alias("rows_"), F.ceil(F.col("n") / OTHERS).alias("columns_")))
     members = members.join(counts, "key").join(sets, "node").join(nodes.select("node", "bands"), "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
