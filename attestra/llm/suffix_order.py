@@ -96,6 +96,8 @@ def ranks(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, shallow: in
         trie = BlindTrie(text[begins[a] : ends[a]], members[a])
         for k in range(a + 1, b):
             trie.add(text[begins[k] : ends[k]], members[k])
+        if type(trie.root) is tuple:  # all of the group are equal, and have their rank
+            continue
         before = int(rank[members[a]])
         for leaf in trie.leaves():
             rank[leaf] = before
