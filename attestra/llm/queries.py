@@ -65,7 +65,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_repeated_spans, op4_source_mixing, op5_near_duplicates, op6_personal_data, op7_language_model, op8_secrets, op9_decontaminate, op10_quality_classifier)
 }
 
+_WEIGHT = "CASE source " + " ".join(f"WHEN '{name}' THEN {w}" for name, w in WEIGHTS.items()) + " ELSE 1.0 END"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('=' || source, '-') AS key, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS nr FROM documents
+), t AS (SELECT key, CAST({_WEIGHT} AS DOUBLE) AS weight, ceil(count(*) / {source_mixing.BLOCK}.0) AS blocks FROM d GROUP BY key, source
+), s AS (SELECT key, greatest(1, CAST(round(weight / (SELECT sum(weight) FROM t) * {source_mixing.RESOLUTION}) AS BIGINT)) AS a, blocks FROM t
+), q AS (SELECT key, a, CAST(ceil(blocks / a) AS BIGINT) AS periods FROM s
+), ends AS (SELECT DISTINCT periods AS until FROM q
+), phase AS (SELECT until, coalesce(lag(until) OVER (ORDER BY until), 0) AS since FROM ends
+), part AS (SELECT until, since, list(key ORDER BY key) AS keys, list(a ORDER BY key) AS a, CAST(sum(a) AS BIGINT) AS size FROM phase JOIN q ON q.periods >= phase.until GROUP BY until, since
+), placed AS (SELECT *, CAST(coalesce(sum((until - since) * size) OVER (ORDER BY until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM part
+), sim AS (
+  SELECT until, a, size, CAST(-1 AS BIGINT) AS t, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS nth FROM placed
+  UNION ALL
+  SELECT until, a, size, t + 1, list_transform(range(1, len(a) + 1), lambda j: done[j] + CAST(j = best.i AS BIGINT)), best.i, done[best.i] FROM (
+    SELECT *, list_min(list_filter(list_transform(range(1, len(a) + 1), lambda j: CASE WHEN done[j] < a[j] AND (done[j] * size) // a[j] <= t + 1 THEN {{'deadline': ((done[j] + 1) * size + a[j] - 1) // a[j], 'i': j}} END), lambda x: x IS NOT NULL)) AS best FROM sim WHERE t + 1 < size)
+), slots AS (SELECT keys[sim.i] AS key, placed.a[sim.i] AS a, since, placed.until, first, placed.size, nth, t FROM sim JOIN placed USING (until) WHERE sim.t >= 0)
+SELECT doc_id, source, nr // {source_mixing.BLOCK} AS block, first + (nr // {source_mixing.BLOCK} // a - since) * size + t AS slot, nr % {source_mixing.BLOCK} AS place
+FROM d JOIN slots ON slots.key = d.key AND nr // {source_mixing.BLOCK} // a >= since AND nr // {source_mixing.BLOCK} // a < until AND nth = nr // {source_mixing.BLOCK} % a
+""",
+    "op5_near_duplicates": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + least(len(w), 5) - 1], ' ') AS s FROM d, range(1, greatest(len(w) - 4, 1) + 1) r(k) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), e AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 10 * c >= 8 * (i.n + j.n - c)
+), both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), reached AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT b.y, r.root FROM reached r JOIN both_ways b ON b.x = r.doc_id)
+SELECT doc_id, min(root) AS class_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id
+""",
     "op9_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from attestra.llm.shared_tables import written
 
-#: Documents in a block, slots of a period that the weights are rounded to, and parts that each source's documents are counted in.
-BLOCK, RESOLUTION, BUCKETS = 64, 400, 1024
+#: Documents in a block, slots of a period that the weights are rounded to, and hexadecimal digits of the parts that each source's documents are counted in.
+BLOCK, RESOLUTION, DIGITS = 64, 400, 3
 #: Sources up to which the schedule, at most this many periods of RESOLUTION slots and one for each source, goes to every task.
 FEW_SOURCES = 128
 
@@ -69,14 +69,14 @@ def schedule(totals: DataFrame, block: int, resolution: int) -> DataFrame:
     return mine.groupBy("key", "a").agg(F.array_sort(F.collect_list(phase)).alias("phases"))
 
 
-def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, resolution: int = RESOLUTION, buckets: int = BUCKETS) -> DataFrame:
+def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, resolution: int = RESOLUTION, digits: int = DIGITS) -> DataFrame:
     """documents with three more columns: block (of the source, from 0), slot (of all; the order in which blocks are read) and place (within the block).
 
-    documents: doc_id and source; other columns are kept, and ones named block, slot or place are replaced. weights: target weights by source, 1 for those not named; each is rounded to a whole number of slots of a period, at least one. Every row is placed: sources that run out leave the others their slots, so that slots near such an end may stay empty. The order within a source is that of a hash of doc_id; rows of equal doc_id stand next to each other in any order; rows without a source form a source of their own; an empty table gives an empty result. Only sources, not documents, are ever gathered in one place.
+    documents: doc_id and source; other columns are kept, and ones named block, slot or place are replaced. weights: target weights by source, 1 for those not named; each is rounded to a whole number of slots of a period, at least one. Every row is placed: sources that run out leave the others their slots, so that slots near such an end may stay empty. The order within a source is that of the md5 of doc_id's digits; rows of equal doc_id stand next to each other in any order; rows without a source form a source of their own; an empty table gives an empty result. Only sources, not documents, are ever gathered in one place.
     """
     own = documents.drop("block", "slot", "place")
     name = F.col("source").cast("string")
-    docs = own.withColumn("key_", F.coalesce(F.concat(F.lit("="), name), F.lit("-"))).withColumn("hash_", F.xxhash64("doc_id")).withColumn("bucket_", F.pmod("hash_", F.lit(buckets)))
+    docs = own.withColumn("key_", F.coalesce(F.concat(F.lit("="), name), F.lit("-"))).withColumn("hash_", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket_", F.left("hash_", F.lit(digits)))
     counts = docs.groupBy("key_", "bucket_").agg(F.count("*").alias("n_"))
     counts = written(counts)
     before = F.coalesce(F.sum("n_").over(Window.partitionBy("key_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -35,7 +35,7 @@ def brute(blocks, shares):
 @pytest.mark.parametrize("weights", [{}, {"a": 5.0, "b": 2.5}, {"c": 0.3}])
 def test_schedule_matches_brute_force(spark, weights):
     sizes = {"a": 701, "b": 300, "c": 45, None: 20, "d": 1}
-    got = mixed(documents(spark, sizes), weights, block=4, resolution=20, buckets=8).collect()
+    got = mixed(documents(spark, sizes), weights, block=4, resolution=20, digits=1).collect()
     assert len(got) == sum(sizes.values())
     key = lambda s: "-" if s is None else "=" + s
     total = sum(weights.get(s, 1.0) for s in sizes)
@@ -51,7 +51,7 @@ def test_schedule_matches_brute_force(spark, weights):
 def test_less_than_one_block_off(spark):
     sizes = {"a": 900, "b": 400, "c": 250, "d": 170}
     weights = {"a": 0.52, "b": 0.27, "c": 0.13, "d": 0.08}
-    got = mixed(documents(spark, sizes), weights, block=1, resolution=100, buckets=4).collect()
+    got = mixed(documents(spark, sizes), weights, block=1, resolution=100, digits=1).collect()
     order = [r.source for r in sorted(got, key=lambda r: r.slot)]
     seen = Counter()
     for t, s in enumerate(order[:1400], 1):
