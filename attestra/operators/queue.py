@@ -76,8 +76,8 @@ def due(items: DataFrame, now: Column) -> DataFrame:
 
 def with_seq(items: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """new with seq: onwards from the highest in items, in the given order. New items are a bounded batch."""
-    top = items.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top"))
-    return new.join(F.broadcast(top)).withColumn("seq", F.col("top") + F.row_number().over(Window.orderBy(order))).drop("top")
+    top = items.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top")).scalar()
+    return new.withColumn("seq", top + F.row_number().over(Window.orderBy(order)))
 
 
 def with_audio(items: DataFrame, audio: DataFrame, chunks: DataFrame) -> DataFrame:

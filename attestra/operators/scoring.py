@@ -20,10 +20,14 @@ BUCKETS = {
 HAZARDS = ("hallucination", "health-hallucinated-pass", "health-hallucinated-problem", "health-wrong-state", "wrong", "retracted", "unscorable")
 
 
-def grid(slugs: DataFrame, leaves: DataFrame, truth: DataFrame, model: DataFrame) -> DataFrame:
-    """Every slug with every leaf, and what truth and model (slug, path, ...) say of it; leaves are a fixed inventory, small enough to go to every task."""
-    spine = slugs.select("slug").join(F.broadcast(leaves))
-    return spine.join(truth, ["slug", "path"], "left").join(model, ["slug", "path"], "left")
+def spine(slugs: DataFrame, paths: list) -> DataFrame:
+    """Every slug with every path of a fixed inventory."""
+    return slugs.select("slug", F.explode(F.array(*map(F.lit, paths))).alias("path"))
+
+
+def grid(slugs: DataFrame, paths: list[str], truth: DataFrame, model: DataFrame) -> DataFrame:
+    """Every slug with every path, and what truth and model (slug, path, ...) say of it; without a model's row all is null."""
+    return spine(slugs, paths).join(truth, ["slug", "path"], "left").join(model, ["slug", "path"], "left")
 
 
 def resolved_members(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -34,10 +38,10 @@ def resolved_members(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return joined.withColumn("member", F.coalesce("by_literal", "by_name")).drop("by_literal", "by_name")
 
 
-def overlaid(spine: DataFrame, disclaimers: DataFrame, explicit: DataFrame) -> DataFrame:
-    """The status of every cell of the spine (slug, path): what is said of it, else that it was declared absent, else unmentioned."""
+def overlaid(cells: DataFrame, disclaimers: DataFrame, explicit: DataFrame) -> DataFrame:
+    """The status of every one of the cells (slug, path): what is said of it, else that it was declared absent, else unmentioned."""
     said, absent = explicit.select("slug", "path", F.col("status").alias("said")), disclaimers.select("slug", "path", F.lit("declared_absent").alias("absent")).distinct()
-    return spine.join(absent, ["slug", "path"], "left").join(said, ["slug", "path"], "left").select(*spine.columns, F.coalesce("said", "absent", F.lit("unmentioned")).alias("status"))
+    return cells.join(absent, ["slug", "path"], "left").join(said, ["slug", "path"], "left").select(*cells.columns, F.coalesce("said", "absent", F.lit("unmentioned")).alias("status"))
 
 
 def equal_values(kind: Column, a: Column, b: Column) -> Column:
@@ -122,8 +126,8 @@ def problems(judged: DataFrame, limit: int | None = None) -> DataFrame:
 def flags_by_slug(judged: DataFrame, hot: int = 4) -> DataFrame:
     """Faults of each slug; hot marks the one with most, if those are `hot` at least (the first by name on a tie)."""
     counts = judged.groupBy("slug").agg(F.count_if(F.col("bucket") == "fault").alias("n_flags"))
-    top = counts.groupBy().agg(F.min_by("slug", F.struct(-F.col("n_flags"), F.col("slug"))).alias("top"), F.max("n_flags").alias("most"))
-    return counts.join(F.broadcast(top)).select("slug", "n_flags", ((F.col("slug") == F.col("top")) & (F.col("most") >= hot)).alias("hot"))
+    top = counts.groupBy().agg(F.min_by("slug", F.struct(-F.col("n_flags"), F.col("slug"))).alias("top")).scalar()
+    return counts.select("slug", "n_flags", ((F.col("slug") == top) & (F.col("n_flags") >= hot)).alias("hot"))
 
 
 def confidence_gap(judged: DataFrame, by: list[str] | None = None) -> DataFrame:

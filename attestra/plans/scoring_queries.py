@@ -156,12 +156,10 @@ def jon_members(spark, sf_dir):
 SELECT slug, path, coalesce(e.status, CASE WHEN d.slug IS NOT NULL THEN 'declared_absent' END, 'unmentioned') AS status FROM s LEFT JOIN e USING (slug, path) LEFT JOIN d USING (slug, path)""")
 def jon_overlay(spark, sf_dir):
     """JON-01, JON-06, PRJ-15: a dense grid, and layers over it."""
-    leaves = spark.range(1, 8).select(F.col("id").cast("int").alias("path"))
     slugs = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("slug"))
     n = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("slug"), F.col("l_linenumber").alias("path"), "l_returnflag")
     explicit = n.groupBy("slug", "path").agg(F.min(F.when(F.col("l_returnflag") == "A", "asserted").otherwise("unmentioned")).alias("status"))
-    spine = slugs.join(F.broadcast(leaves))
-    return C.overlaid(spine, n.select("slug", (F.col("path") % 4 + 1).alias("path")), explicit)
+    return C.overlaid(C.spine(slugs, list(range(1, 8))), n.select("slug", (F.col("path") % 4 + 1).alias("path")), explicit)
 
 
 SCHEMA = T.StructType([
