@@ -20,7 +20,7 @@ from attestra.llm.text_arrays import chunks, covered, joined, mix
 
 WIDTH, GRAM = 50, 16
 #: Bytes of documents in a chunk, and of all documents for each part that the hashes are dealt into.
-CHUNK, PART = 2 << 20, 16 << 20
+CHUNK, PART = 2 << 20, 8 << 20
 _LATER = np.iinfo(np.int64).max
 
 

@@ -7,15 +7,15 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes that multikey quicksort looks at.
-SHALLOW = 24
+#: Bytes that multikey quicksort looks at, and groups that are held as lists at a time.
+SHALLOW, GROUPS = 40, 1 << 14
 
 
 class BlindTrie:
     """Inner nodes: [depth, {byte: child}], with -1 for a string that ends there; leaves: (string, its members)."""
 
-    def __init__(self, text: bytes, member: int):
-        self.root: list | tuple = (text, [member])
+    def __init__(self, text: bytes, members: list[int]):
+        self.root: list | tuple = (text, members)
 
     @staticmethod
     def _at(text: bytes, depth: int) -> int:
@@ -90,16 +90,27 @@ def ranks(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, shallow: in
     if not len(active):
         return rank
     text = data.tobytes()
-    bounds = [*np.flatnonzero(np.concatenate([[True], np.diff(rank[active]) != 0])).tolist(), len(active)]
-    begins, ends, members = (starts[active] + shallow).tolist(), (starts[active] + lengths[active]).tolist(), active.tolist()
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        trie = BlindTrie(text[begins[a] : ends[a]], members[a])
-        for k in range(a + 1, b):
-            trie.add(text[begins[k] : ends[k]], members[k])
-        if type(trie.root) is tuple:  # all of the group are equal, and have their rank
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], np.diff(rank[active]) != 0])), len(active))
+    for g in range(0, len(bounds) - 1, GROUPS):  # so many at a time as lists
+        _deep(text, starts, lengths, shallow, rank, active, bounds[g : g + GROUPS + 1])
+    return rank
+
+
+def _deep(text: bytes, starts: np.ndarray, lengths: np.ndarray, shallow: int, rank: np.ndarray, active: np.ndarray, bounds: np.ndarray) -> None:
+    """Order groups that share their beginnings, one after the other."""
+    here = active[bounds[0] : bounds[-1]]
+    begins, ends, members = (starts[here] + shallow).tolist(), (starts[here] + lengths[here]).tolist(), here.tolist()
+    cuts = (bounds - bounds[0]).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        first, k = text[begins[a] : ends[a]], a + 1
+        while k < b and text[begins[k] : ends[k]] == first:
+            k += 1
+        if k == b:  # all are equal, and have their rank
             continue
+        trie = BlindTrie(first, members[a:k])
+        for j in range(k, b):
+            trie.add(text[begins[j] : ends[j]], members[j])
         before = int(rank[members[a]])
         for leaf in trie.leaves():
             rank[leaf] = before
             before += len(leaf)
-    return rank
