@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.components import components
-from attestra.llm.shared_tables import bounded_batches, written
+from attestra.llm.shared_tables import bounded_batches, packed, unpacked, written
 from attestra.llm.text_arrays import Chunk, chunks, joined, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -206,6 +206,6 @@ def without_near_duplicates(documents: DataFrame) -> DataFrame:
     """documents, of each class the one of least doc_id; of rows equal in doc_id and text one. Rows with a null doc_id stay."""
     found = near_duplicates(documents)
     kept = found.where("doc_id = class_id").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
-    docs = documents.withColumn("text_hash_", F.xxhash64(F.col("text").cast("string")))
-    one = docs.where("doc_id IS NOT NULL").join(kept, (F.col("doc_id") == F.col("id_")) & (F.col("text_hash_") == F.col("hash_")), "left_semi").dropDuplicates(["doc_id", "text_hash_"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*documents.columns)
+    docs = packed(documents).withColumn("text_hash", F.xxhash64("text"))
+    one = docs.where("doc_id IS NOT NULL").join(kept, (F.col("doc_id") == F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return unpacked(one.unionByName(docs.where("doc_id IS NULL")), documents.columns)

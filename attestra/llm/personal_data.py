@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared_tables import bounded_batches, written
+from attestra.llm.shared_tables import bounded_batches, packed, unpacked, written
 from attestra.llm.spans import SPAN, SPAN_SQL, code_points, document_of, joined_spans, of_kind
 from attestra.llm.text_arrays import Chunk, chunks, members
 
@@ -168,7 +168,7 @@ def _search(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.R
                 near[i].append({"start": a, "end": b, "pattern": pattern, "instance": instance, "seed": seed})
             spans = [[{"start": a if p is None else int(p[a]), "rank": k, "kind": KINDS[k], "end": b if p is None else int(p[b])} for a, k, b in sorted(found)] for found, p in zip(base, places, strict=True)]
             own = batch.slice(chunk.first, chunk.n).select(kept)
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(spans, pa.list_(SPAN)), pa.array(near, pa.list_(_CANDIDATE))], names=[*own.schema.names, "spans", "candidates"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(spans, pa.list_(SPAN)), pa.array(near, pa.list_(_CANDIDATE))], names=[*own.schema.names, "spans", "near__"])
 
 
 def trusted_patterns(candidates: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, seeds: int = SEEDS) -> DataFrame:
@@ -190,19 +190,19 @@ def trusted_patterns(candidates: DataFrame, rounds: int = ROUNDS, trust: float =
 def with_personal_data(documents: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, seeds: int = SEEDS, keep_text: bool = True) -> DataFrame:
     """documents with one more column, spans: (start, rank and kind, end) in code points; without text, if that is not to be kept.
 
-    documents: doc_id and text; other columns are kept, and one named spans is replaced. A null or empty text has no spans. Repeated rows are searched each for itself, but count once for the patterns; a null doc_id is carried through; an empty table gives an empty result. What the contexts add overlaps no match of the fixed patterns.
+    documents: doc_id and text; other columns are kept, and ones named spans, near__, row__ or added__ are replaced. A null or empty text has no spans. Repeated rows are searched each for itself, but count once for the patterns; a null doc_id is carried through; an empty table gives an empty result. What the contexts add overlaps no match of the fixed patterns.
     """
     bounded_batches(documents.sparkSession)
-    own = documents.drop("spans", "candidates", "row_")
+    own = documents.drop("spans", "near__", "row__", "added__")
     kept = [c for c in own.columns if keep_text or c != "text"]
     kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in kept)
-    found = own.mapInArrow(lambda batches: _search(batches, kept), f"{kinds}, spans {SPAN_SQL}, candidates {_CANDIDATE_SQL}")
-    found = written(found.withColumn("row_", F.monotonically_increasing_id()))
-    near = found.where(F.size("candidates") > 0).select("row_", F.explode("candidates").alias("c")).select("row_", "c.*")
+    found = own.mapInArrow(lambda batches: _search(batches, kept), f"{kinds}, spans {SPAN_SQL}, near__ {_CANDIDATE_SQL}")
+    found = written(found.withColumn("row__", F.monotonically_increasing_id()))
+    near = found.where(F.size("near__") > 0).select("row__", F.explode("near__").alias("c")).select("row__", "c.*")
     patterns = trusted_patterns(near.select("pattern", "instance", "seed"), rounds, trust, seeds)
-    added = near.where("NOT seed").join(patterns, "pattern", "left_semi").groupBy("row_").agg(F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("rank"), F.lit(KINDS[-1]).alias("kind"), "end")).alias("added"))
-    both = found.join(added, "row_", "left")
-    return both.select(*kept, F.array_sort(F.when(F.col("added").isNull(), F.col("spans")).otherwise(F.concat("spans", "added"))).alias("spans"))
+    added = near.where("NOT seed").join(patterns, "pattern", "left_semi").groupBy("row__").agg(F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("rank"), F.lit(KINDS[-1]).alias("kind"), "end")).alias("added__"))
+    both = found.join(added, "row__", "left")
+    return both.select(*(f"`{c}`" for c in kept), F.array_sort(F.when(F.col("added__").isNull(), F.col("spans")).otherwise(F.concat("spans", "added__"))).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def masked(documents: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced together, by the first one's kind.
     """
-    found = with_personal_data(documents.withColumn("text", F.col("text").cast("string")))
+    found = with_personal_data(packed(documents))
 
     def step(acc, x):
         fresh = x["start"] >= acc["at"]
@@ -229,6 +229,8 @@ def masked(documents: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     text = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
     text = F.when(F.size("spans") > 0, text).otherwise(F.col("text"))
-    changed = found.withColumn("masked_", text)
-    out = [F.col("masked_").alias(c) if c == "text" else F.when(F.size("spans") > 0, F.char_length("masked_")).otherwise(F.col(c)).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    return changed.select(*out)
+    changed = found.withColumn("masked", text)
+    replaced = {"text": F.col("masked")}
+    if "n_chars" in documents.columns:
+        replaced["n_chars"] = F.when(F.size("spans") > 0, F.char_length("masked")).otherwise(F.col("rest__.n_chars")).cast(documents.schema["n_chars"].dataType)
+    return unpacked(changed, documents.columns, **replaced)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +26,18 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(documents: DataFrame) -> DataFrame:
+    """doc_id, text (as a string) and rest__, all other columns as one: their names then clash with none of an operator's own."""
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    return documents.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(F.lit(True).alias("__"), *others).alias("rest__"))
+
+
+def unpacked(packed_documents: DataFrame, columns: list[str], **replaced) -> DataFrame:
+    """The columns as they were before packed(), but for those that are replaced."""
+    at = lambda c: F.col(c) if c in ("doc_id", "text") else F.col("rest__")[c]
+    return packed_documents.select(*(replaced.get(c, at(c)).alias(c) for c in columns))
+
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -75,8 +75,8 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block:
     documents: doc_id and source; other columns are kept, and ones named block, slot or place are replaced. weights: target weights by source, 1 for those not named; each is rounded to a whole number of slots of a period, at least one. Every row is placed: sources that run out leave the others their slots, so that slots near such an end may stay empty. The order within a source is that of the md5 of doc_id's digits; rows of equal doc_id stand next to each other in any order; rows without a source form a source of their own; an empty table gives an empty result. Only sources, not documents, are ever gathered in one place.
     """
     own = documents.drop("block", "slot", "place")
-    name = F.col("source").cast("string")
-    docs = own.withColumn("key_", F.coalesce(F.concat(F.lit("="), name), F.lit("-"))).withColumn("hash_", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket_", F.left("hash_", F.lit(digits)))
+    key, number = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    docs = own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("own_"), "doc_id", key.alias("key_"), F.md5(number).alias("hash_")).withColumn("bucket_", F.left("hash_", F.lit(digits)))
     counts = docs.groupBy("key_", "bucket_").agg(F.count("*").alias("n_"))
     counts = written(counts)
     before = F.coalesce(F.sum("n_").over(Window.partitionBy("key_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -91,4 +91,4 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block:
     period = F.expr("block div a")
     phase = F.filter("phases", lambda p: p["until"] > period)[0]
     slot = phase["first"] + (period - phase["since"]) * phase["size"] + F.get(phase["slots"], (F.col("block") % F.col("a")).cast("int"))
-    return at.withColumn("slot", slot).select(*own.columns, "block", "slot", "place")
+    return at.withColumn("slot", slot).select("own_.*", "block", "slot", "place")

@@ -31,3 +31,19 @@ def test_columns_are_kept(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).schema.names == docs.schema.names
+
+
+def test_odd_tables_pass_every_stage(spark, sf_dir):
+    text = "one two three four five six seven eight nine ten, and a@b.co " + "x" * 30
+    rows = [(1, text), (1, text), (2, None), (None, text), (3, ""), (4, "w " * 40_000), (None, None)]
+    clash = ["spans", "row", "rest", "key", "a", "phases", "score", "predicted", "held_out", "hits", "n_words", "slot", "near__", "id_", "__x", "n_chars", "source"]
+    docs = spark.createDataFrame([(*r, *("c" for _ in clash[:-2]), None, None) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash[:-2]) + ", n_chars long, source string")
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            got = stage(spark, table, sf_dir)
+            assert set(docs.columns) <= set(got.columns), name
+            found = got.collect()
+            assert all(r["key"] == "c" and (r["spans"] == "c") for r in found), name
+            assert len(found) <= len(rows)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, text), (2, None), (None, text), (3, ""), (4, "w " * 40_000), (None, None)], key=repr)
