@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm import decontaminate, near_duplicates, personal_data, quality_classifier, source_mixing
 from attestra.llm.queries import WEIGHTS
-from attestra.llm.shared_tables import written
+from attestra.llm.shared_tables import packed, unpacked, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = quality_classifier.with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality_classifier.with_quality(packed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return unpacked(scored.where("predicted = 1"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
