@@ -251,3 +251,35 @@ def agg_history_line(spark, sf_dir):
     """AGG-22, SRC-26, SRC-27."""
     runs = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("label"), "o_totalprice", F.struct("o_orderdate", "o_orderkey").alias("captured_at"))
     return C.history_line(runs, "o_totalprice")
+
+
+@query("""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS item_id, CAST(l_quantity AS VARCHAR) AS quantity, CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_discount AS VARCHAR) END AS discount, CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS flag, l_linestatus AS status FROM lineitem""")
+def lst_nested_fields(spark, sf_dir):
+    """LST-06, LST-13: leaves back as nested records, as a write step takes them."""
+    found = V.nested(_leaves(spark, sf_dir), V.enveloped(SCHEMA))
+    return found.select("item_id", "fields.price.quantity", "fields.price.discount", "fields.state.flag", "fields.state.status")
+
+
+@query(f"WITH {_LEAVES}, b AS (SELECT item_id FROM lv ANTI JOIN de USING (item_id, path) UNION SELECT item_id FROM de ANTI JOIN lv USING (item_id, path)) SELECT count(DISTINCT item_id) - (SELECT count(*) FROM b) AS n_conformant, count(DISTINCT item_id) AS n FROM lv")
+def agg_conformant(spark, sf_dir):
+    """AGG-14."""
+    leaves = _leaves(spark, sf_dir)
+    bad = V.completeness(leaves, _decisions(leaves)).select("item_id").distinct().withColumn("bad", F.lit(True))
+    items = leaves.select("item_id").distinct().join(bad, "item_id", "left")
+    return items.agg(F.count_if(F.col("bad").isNull()).alias("n_conformant"), F.count("*").alias("n"))
+
+
+@query(f"WITH {CELLS} SELECT is_health, kind, truth IS NULL AS absent, CASE WHEN truth IS NULL THEN CASE WHEN is_health THEN 'health-correct-null' ELSE 'correct-null' END WHEN kind = 'number' AND try_cast(truth AS DOUBLE) IS NULL THEN 'unscorable' WHEN is_health THEN 'health-correct' ELSE 'correct' END AS verdict, count(*) AS n FROM c5 GROUP BY ALL")
+def score_perfect_model(spark, sf_dir):
+    """LST-13: a model that says what is true is right everywhere."""
+    perfect = cells(spark, sf_dir).withColumn("value", F.col("truth")).withColumn("alternatives", F.array().cast("array<string>")).withColumn("retracted", F.col("alternatives"))
+    return C.verdict(perfect).groupBy("is_health", "kind", F.col("truth").isNull().alias("absent"), "verdict").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_size, p_name FROM part ORDER BY p_partkey")
+def prj_declared_columns(spark, sf_dir):
+    """PRJ-03, SRT-11."""
+    from attestra.operators.checks import declared
+
+    schema = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("gone", T.StringType()), T.StructField("p_size", T.IntegerType()), T.StructField("p_name", T.StringType())])
+    return declared(table(spark, sf_dir, "part"), schema).orderBy("p_partkey")
