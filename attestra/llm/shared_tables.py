@@ -41,7 +41,7 @@ def unpacked(packed_documents: DataFrame, columns: list[str], **replaced) -> Dat
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Batches of documents that go to Python hold at most about `size` bytes, unless the session has a bound of its own: rows alone bound no memory, as texts may be long."""
     if spark.conf.get(_BATCH, None) in (None, "64MB", "67108864", "67108864b"):
         spark.conf.set(_BATCH, str(size))

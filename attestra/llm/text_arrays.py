@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -152,3 +152,4 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield Chunk(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], at)
         at = end
+    pa.default_memory_pool().release_unused()
