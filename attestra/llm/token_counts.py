@@ -123,7 +123,7 @@ def token_counts(documents: DataFrame, pieces: list[tuple[str, float]]) -> DataF
     sent = documents.sparkSession.sparkContext.broadcast(pieces)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(sent.value[-50:])) ^ len(sent.value)
+        key = hash(tuple(sent.value))
         counter = _COUNTERS.get(key)
         if counter is None:
             counter = _COUNTERS[key] = Counter(sent.value)
