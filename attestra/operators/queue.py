@@ -75,9 +75,14 @@ def due(items: DataFrame, now: Column) -> DataFrame:
 
 
 def with_seq(items: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """new with seq: onwards from the highest in items, in the given order. New items are a bounded batch."""
+    """new with seq: onwards from the highest in items, in the given order. Rows are numbered within ranges of the order; only a count for each range is gathered in one task."""
     top = items.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top")).scalar()
-    return new.withColumn("seq", top + F.row_number().over(Window.orderBy(order)))
+    ranged = new.repartitionByRange(order).withColumn("range__", F.spark_partition_id()).persist()  # counted and numbered in the same ranges
+    counts = ranged.groupBy("range__").agg(F.count("*").alias("n__"))
+    before = F.sum("n__").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    starts = counts.select("range__", F.coalesce(before, F.lit(0)).alias("before__"))
+    numbered = ranged.withColumn("nth__", F.row_number().over(Window.partitionBy("range__").orderBy(order)))
+    return numbered.join(F.broadcast(starts), "range__").withColumn("seq", top + F.col("before__") + F.col("nth__")).drop("range__", "before__", "nth__")
 
 
 def with_audio(items: DataFrame, audio: DataFrame, chunks: DataFrame) -> DataFrame:

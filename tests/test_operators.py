@@ -123,3 +123,17 @@ def test_review(spark):
     assert [(r.item_id, r.path, r.issue) for r in V.completeness(leaves, decisions).collect()] == [("j", "z", "extra")]
     wide = V.nested(leaves.where("item_id = 'i'"), V.enveloped(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])))
     assert wide.first().fields.asDict() == {"a": "1", "b": None}
+
+
+def test_new_numbers_need_no_single_task(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ids = random.Random(4).sample(range(100_000), 3000)
+        got = Q.with_seq(spark.createDataFrame([(7,), (41,)], "seq long"), spark.createDataFrame([(i,) for i in ids], "id long"), "id")
+        assert got.columns == ["id", "seq"]
+        found = got.withColumn("task", F.spark_partition_id()).collect()
+        assert {r.id: r.seq for r in found} == {i: 42 + k for k, i in enumerate(sorted(ids))}
+        assert len({r.task for r in found}) > 1
+        assert Q.with_seq(spark.createDataFrame([], "seq long"), spark.createDataFrame([(5,), (3,)], "id long"), "id").orderBy("id").collect() == [(3, 0), (5, 1)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
