@@ -33,7 +33,7 @@ def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
+    return source_mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS, resolution=source_mixing.RESOLUTION)  # as its SQL rounds
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,45 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of each source are dealt into blocks; the j-th block of a source of weight w may not start before slot floor((j - 1) / w) and must be placed by slot ceil(j / w). Earliest deadline first among the released blocks keeps every source within less than one block of its share at any time. With whole-number weights the schedule repeats after as many slots as they sum to, so that one period for each set of sources still at hand says where every block goes.
+The documents of each source are dealt into blocks; the j-th block of a source of weight w may not start before slot floor((j - 1) / w) and must be placed by slot ceil(j / w). Earliest deadline first among the released blocks keeps every source within less than one block of its share at any time. With whole-number weights the schedule repeats after as many slots as they sum to, so that one period for each set of sources still at hand says where every block goes. Rational weights are made whole by their common denominator, so that no weight is rounded.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestra.llm.shared_tables import written
 
-#: Documents in a block, slots of a period that the weights are rounded to, and hexadecimal digits of the parts that each source's documents are counted in.
+#: Documents in a block, slots of a period that weights are rounded to if they are to be, and hexadecimal digits of the parts that each source's documents are counted in.
 BLOCK, RESOLUTION, DIGITS = 64, 400, 3
-#: Sources up to which the schedule, at most this many periods of RESOLUTION slots and one for each source, goes to every task.
+#: Sources up to which the schedule, at most this many periods and one for each source, goes to every task.
 FEW_SOURCES = 128
+#: The largest whole weight: finer ones are refused, as their period has too many slots.
+MOST_SLOTS = 1 << 13
+
+
+def _whole(weights: dict[str, float | Fraction]) -> tuple[dict[str, int], int]:
+    """The weights as whole numbers in the same proportions, and that of sources not named."""
+    exact = {name: Fraction(str(w)) for name, w in weights.items()}  # floats are what they are written as
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    shares = {name: int(w * unit) for name, w in exact.items()}
+    common = math.gcd(unit, *shares.values())
+    if max(unit, *shares.values(), 0) // common > MOST_SLOTS:
+        raise ValueError(f"target weights must be multiples of a unit of which none has over {MOST_SLOTS}; give fractions such as Fraction(1, 3), or a resolution to round to")
+    return {name: a // common for name, a in shares.items()}, unit // common
 
 
-def _weight(source: Column, weights: dict[str, float]) -> Column:
+def _weight(source: Column, weights: dict[str, float | Fraction], exact: bool) -> Column:
     if any(not w > 0 for w in weights.values()):
         raise ValueError("target weights must be over 0")
-    out = F.lit(1.0)
-    for name, w in sorted(weights.items()):
-        out = F.when(source == name, float(w)).otherwise(out)
+    named, other = _whole(weights) if exact else ({name: float(w) for name, w in weights.items()}, 1.0)
+    out = F.lit(other)
+    for name, w in sorted(named.items()):
+        out = F.when(source == name, w).otherwise(out)
     return out
 
 
@@ -36,23 +53,28 @@ def _period(sources: Column, size: Column) -> Column:
             return F.when(ready, F.struct(F.ceil((done + 1) * size / s["a"]).alias("deadline"), i.alias("i"), done.alias("nth")))
 
         best = F.array_min(F.filter(F.transform(sources, job), lambda x: x.isNotNull()))
-        return F.struct(
-            F.transform(acc["done"], lambda n, i: n + F.when(i == best["i"], 1).otherwise(0)).alias("done"),
-            F.concat(acc["order"], F.array(F.struct(best["i"].alias("i"), best["nth"].alias("nth")))).alias("order"),
+        after = lambda b: F.struct(
+            F.transform(acc["done"], lambda n, i: n + F.when(i == b["i"], 1).otherwise(0)).alias("done"),
+            F.concat(acc["order"], F.array(F.struct(b["i"].alias("i"), b["nth"].alias("nth")))).alias("order"),
         )
+        return F.transform(F.array(best), after)[0]  # found once, not for each source
 
     start = F.struct(F.transform(sources, lambda s: F.lit(0)).alias("done"), F.expr("CAST(array() AS array<struct<i:int,nth:int>>)").alias("order"))
     return F.aggregate(F.sequence(F.lit(0), size - 1), start, step, lambda acc: acc["order"])
 
 
-def schedule(totals: DataFrame, block: int, resolution: int) -> DataFrame:
+def schedule(totals: DataFrame, block: int, resolution: int | None) -> DataFrame:
     """By source (key): its share a of a period's slots, and phases: (first period, period after the last, first slot, slots of a period, slots of its blocks).
 
-    totals: key, weight, n. A source takes part in as many periods as its blocks fill; when one runs out, the others go on with the same weights relative to each other.
+    totals: key, weight, n; without a resolution, weights are whole numbers. A source takes part in as many periods as its blocks fill; when one runs out, the others go on with the same weights relative to each other.
     """
-    share = F.greatest(F.lit(1), F.round(F.col("weight") / F.col("weights") * resolution).cast("int"))
     blocks = F.ceil(F.col("n") / block)
-    one = totals.agg(F.collect_list(F.struct("key", "weight", "n")).alias("s"), F.sum("weight").alias("weights"))
+    one = totals.agg(F.collect_list(F.struct("key", "weight", "n")).alias("s"), F.sum("weight").alias("weights"), F.collect_set("weight").alias("distinct"), F.min("weight").alias("least"))
+    if resolution is None:
+        divisors = F.filter(F.sequence(F.lit(1), F.col("least").cast("int")), lambda d: F.forall("distinct", lambda w: w % d == 0))
+        one, share = one.withColumn("weights", F.array_max(divisors)), (F.col("weight") / F.col("weights")).cast("int")
+    else:
+        share = F.greatest(F.lit(1), F.round(F.col("weight") / F.col("weights") * resolution).cast("int"))
     sources = one.select("weights", F.explode("s").alias("s")).select("s.*", "weights").select("key", share.alias("a"), F.ceil(blocks / share).alias("periods"))
     one = sources.agg(F.array_sort(F.collect_list(F.struct("key", "a", "periods"))).alias("all"), F.array_sort(F.collect_set("periods")).alias("ends"))
     phases = one.select("all", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0)))).alias("since"), F.col("ends").alias("until"))).alias("phase", "p"))
@@ -69,10 +91,10 @@ def schedule(totals: DataFrame, block: int, resolution: int) -> DataFrame:
     return mine.groupBy("key", "a").agg(F.array_sort(F.collect_list(phase)).alias("phases"))
 
 
-def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, resolution: int = RESOLUTION, digits: int = DIGITS) -> DataFrame:
+def mixed(documents: DataFrame, weights: dict[str, float | Fraction] | None = None, block: int = BLOCK, resolution: int | None = None, digits: int = DIGITS) -> DataFrame:
     """documents with three more columns: block (of the source, from 0), slot (of all; the order in which blocks are read) and place (within the block).
 
-    documents: doc_id and source; other columns are kept, and ones named block, slot or place are replaced. weights: target weights by source, 1 for those not named; each is rounded to a whole number of slots of a period, at least one. Every row is placed: sources that run out leave the others their slots, so that slots near such an end may stay empty. The order within a source is that of the md5 of doc_id's digits; rows of equal doc_id stand next to each other in any order; rows without a source form a source of their own; an empty table gives an empty result. Only sources, not documents, are ever gathered in one place.
+    documents: doc_id and source; other columns are kept, and ones named block, slot or place are replaced. weights: target weights by source, 1 for those not named. They are kept exactly, unless there is a resolution: then each is rounded to a whole number of slots of a period of about that size, at least one. Every row is placed: sources that run out leave the others their slots, so that slots near such an end may stay empty. The order within a source is that of the md5 of doc_id's digits; rows of equal doc_id stand next to each other in any order; rows without a source form a source of their own; an empty table gives an empty result. Only sources, not documents, are ever gathered in one place.
     """
     own = documents.drop("block", "slot", "place")
     key, number = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -81,7 +103,7 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, block:
     counts = written(counts)
     before = F.coalesce(F.sum("n_").over(Window.partitionBy("key_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col("key_").alias("k_"), F.col("bucket_").alias("b_"), before.alias("before_"))
-    totals = counts.groupBy(F.col("key_").alias("key")).agg(F.sum("n_").alias("n")).withColumn("weight", _weight(F.expr("substring(key, 2)"), weights or {}))
+    totals = counts.groupBy(F.col("key_").alias("key")).agg(F.sum("n_").alias("n")).withColumn("weight", _weight(F.expr("substring(key, 2)"), weights or {}, resolution is None))
     plan = written(schedule(totals, block, resolution))
     ranked = docs.withColumn("rank_", F.row_number().over(Window.partitionBy("key_", "bucket_").orderBy("hash_", "doc_id")) - 1)
     at = ranked.join(starts, (F.col("key_") == F.col("k_")) & (F.col("bucket_") == F.col("b_"))).withColumn("at_", F.col("before_") + F.col("rank_"))

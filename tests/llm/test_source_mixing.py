@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 from fractions import Fraction
 
@@ -66,3 +67,39 @@ def test_odd_tables(spark):
     assert mixed(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixed(docs, {"a": 0.0})
+
+
+def off_by_a_block(rows, weights, sources):
+    """The first place at which a source is a block or more off its unrounded weight, if any."""
+    exact = {s: Fraction(str(weights.get(s, 1))) for s in sources}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * unit) for s, w in exact.items()}
+    total, seen = sum(whole.values()), Counter()
+    for t, r in enumerate(sorted(rows, key=lambda r: r.slot), 1):
+        seen[r.source] += 1
+        if any(abs(seen[s] * total - w * t) >= total for s, w in whole.items()):
+            return t
+    return None
+
+
+def test_exact_weights_over_many_periods(spark):
+    weights = {"src0": 4.0, "src1": 2.5, "src2": 1.5, "src3": 0.5}
+    sizes = {f"src{k}": int(2 * weights.get(f"src{k}", 1) * 30) for k in range(20)}  # 30 periods of 49 slots
+    got = mixed(documents(spark, sizes), weights, block=1, digits=1).collect()
+    assert len(got) == len({r.slot for r in got}) == 1470 and max(r.slot for r in got) == 1469
+    assert off_by_a_block(got, weights, sizes) is None
+    thirds = {"a": Fraction(1, 3), "b": 0.7}
+    sizes = {"a": 10 * 20, "b": 21 * 20, "c": 30 * 20}
+    assert off_by_a_block(mixed(documents(spark, sizes), thirds, block=1, digits=1).collect(), {"a": Fraction(1, 3), "b": Fraction(7, 10)}, sizes) is None
+
+
+def test_exact_weights_of_many_sources(spark):
+    weights = {"s0": 4.0, "s1": 2.5}
+    sizes = {f"s{k}": int(2 * weights.get(f"s{k}", 1) * 2) for k in range(450)}
+    got = mixed(documents(spark, sizes), weights, block=1, digits=1).collect()
+    assert len(got) == sum(sizes.values()) and off_by_a_block(got, weights, sizes) is None
+
+
+def test_too_fine_weights_are_refused(spark):
+    with pytest.raises(ValueError):
+        mixed(documents(spark, {"a": 1}), {"a": 1 / 3})
