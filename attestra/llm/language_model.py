@@ -19,8 +19,8 @@ from attestra.llm.text_arrays import Chunk, chunks, joined, mix
 
 #: Classes, outcomes of each, and how many of the last outcomes are buckets of rare words.
 CLASSES, WIDTH, BUCKETS = 32, 32, 64
-#: Rows of each hashed weight table (a power of two), rounds of averaging, and of how many neighbouring tokens one gives a gradient in a round.
-ROWS, ROUNDS, STRIDE = 1 << 13, 3, 8
+#: Rows of each hashed weight table (a power of two), and rounds of averaging: of as many neighbouring tokens each gives its gradient in another round.
+ROWS, ROUNDS = 1 << 13, 3
 BATCH, RATE = 2048, 0.4
 CHUNK, PART = 4 << 20, 16 << 20
 FEATURES = 4
@@ -195,14 +195,19 @@ class Model:
                     self.weights[which][row] -= (RATE / np.sqrt(1 + sums[which][row]))[:, None] * g
 
 
-def _train(batches: Iterator[pa.RecordBatch], model: Model, turn: int) -> Iterator[pa.RecordBatch]:
+def places(chunk: int, turn: int, rounds: int, n: int) -> np.ndarray:
+    """Which of a chunk's n tokens a round learns; all rounds together learn each once."""
+    return np.arange((chunk + turn) % rounds, n, rounds)
+
+
+def _train(batches: Iterator[pa.RecordBatch], model: Model, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
     """Learn on all rows of the task; then the weights times their examples, and the examples, in blocks of rows."""
     model.weights = [w.copy() for w in model.weights]
     sums, touched = ([np.zeros(ROWS, np.float32) for _ in range(2)] for _ in range(2))
     for batch in batches:
         for r in batch.to_pylist():
             tokens = Tokens(r)
-            at = np.arange((r["chunk"] + 3 * turn) % STRIDE, len(tokens.tokens), STRIDE)
+            at = places(r["chunk"], turn, rounds, len(tokens.tokens))
             learns = ~np.repeat(np.array(r["out"], bool), np.diff(tokens.bounds))
             model.learn(tokens, at[learns[at]], sums, touched)
     block = ROWS // 32
@@ -241,7 +246,7 @@ def _trained(table: DataFrame, model: Model, rounds: int) -> Model:
     context = table.sparkSession.sparkContext
     for turn in range(rounds):
         sent = context.broadcast(model)  # of fixed size
-        learnt = table.select("chunk", "out", "bounds", "vocabulary", "tokens").mapInArrow(lambda b, sent=sent, turn=turn: _train(b, sent.value, turn), "block int, weights binary, touched binary")
+        learnt = table.select("chunk", "out", "bounds", "vocabulary", "tokens").mapInArrow(lambda b, sent=sent, turn=turn: _train(b, sent.value, turn, rounds), "block int, weights binary, touched binary")
         merged = learnt.groupBy("block").applyInArrow(_average, "block int, weights binary, touched binary").collect()
         block = ROWS // 32
         for r in merged:

@@ -4,8 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from attestra.llm.language_model import BUCKETS, CLASSES, WIDTH, Model, Tokens, language_model_scores
+from attestra.llm.language_model import BUCKETS, CLASSES, ROUNDS, WIDTH, Model, Tokens, _tokenize, _train, held_out, language_model_scores, places
 from attestra.llm.language_model import ROWS as TABLE_ROWS
 
 
@@ -63,3 +64,29 @@ def test_probabilities_sum_to_one():
         classes = np.array([c])
         total += top[c] * np.exp(model.log_softmax(1, model.inner_rows(rows, classes), classes))[0].sum()
     assert abs(total - 1) < 1e-5
+
+
+def test_every_token_is_learnt_once():
+    for rounds in (1, 3, 5):
+        for chunk, n in ((-7, 5), (0, 1), (12, 100)):
+            at = np.concatenate([places(chunk, turn, rounds, n) for turn in range(rounds)])
+            assert sorted(at.tolist()) == list(range(n))
+
+
+def test_rounds_learn_every_token(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"a{i} b c") for i in range(40)], "doc_id long, text string")
+    learnt = []
+    learn = Model.learn
+
+    def counted(self, tokens, at, *more):
+        learnt.append(len(at))
+        return learn(self, tokens, at, *more)
+
+    monkeypatch.setattr(Model, "learn", counted)
+    train = frame.where(~held_out()).select("doc_id", "text", held_out().alias("held_out"))
+    rows = pa.RecordBatch.from_pandas(train.toPandas())
+    table = [pa.RecordBatch.from_pylist(x.to_pylist(), x.schema) for x in _tokenize([rows])]
+    model = Model(1, 1, np.zeros(0, np.uint64), np.zeros(0, int), np.ones(BUCKETS), [np.zeros((TABLE_ROWS, WIDTH), np.float32) for _ in range(2)], np.zeros(CLASSES, np.float32), np.zeros((CLASSES, WIDTH), np.float32))
+    for turn in range(ROUNDS):
+        list(_train(table, model, turn, ROUNDS))
+    assert sum(learnt) == 4 * train.count()
