@@ -1,6 +1,6 @@
-"""Near-duplicate documents: ProbMinHash signatures of weighted five-word shingles, banding, and exact verification.
+"""Near-duplicate documents: ProbMinHash signatures of five-word shingles, banding, and exact verification.
 
-Each shingle of a document arrives at random registers at the times of a Poisson process whose rate is its weight; a register keeps the shingle that comes first. An element is dropped as soon as its next arrival is later than every register's first one. Two registers agree with the probability Jaccard similarity of the documents. Registers in bands make buckets; within a bucket documents are compared with its most connected member, not all with all, and what that leaves apart is compared in further rounds.
+Each shingle of a document arrives at random registers at the times of a Poisson process whose rate is its weight, 1 for all: a weight by occurrences would differ between copies, and links are of distinct shingles. A register keeps the shingle that comes first. An element is dropped as soon as its next arrival is later than every register's first one. Two registers agree with the Jaccard similarity of the documents. Registers in bands make buckets; within a bucket documents are compared with its most connected member, not all with all, and what that leaves apart is compared in further rounds.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingles:
-    """The distinct shingles of a chunk's documents, sorted within each: hash, document, occurrences, and where each document's begin."""
+    """The distinct shingles of a chunk's documents, sorted within each: hash, document, and where each document's begin."""
 
     def __init__(self, chunk: Chunk, size: int = SHINGLE):
         words = chunk.words()
@@ -45,7 +45,6 @@ class Shingles:
         fresh[1:] = (window[1:] != window[:-1]) | (docs[1:] != docs[:-1])
         at = np.flatnonzero(fresh)
         self.hash, self.doc, self.n = window[at], docs[at], chunk.n
-        self.count = np.diff(np.append(at, len(window)))
         self.bounds = np.searchsorted(self.doc, np.arange(chunk.n + 1))
         self.sizes = np.diff(self.bounds)
 
@@ -61,17 +60,16 @@ class Shingles:
 
 
 def prob_min_hash(sets: Shingles, k: int) -> np.ndarray:
-    """k registers by document: the hash of the shingle that arrived first; a shingle's weight is 1 plus the logarithm of its occurrences."""
+    """k registers by document: the hash of the shingle that arrived first."""
     first = np.full(sets.n * k, np.inf)
     kept = np.zeros(sets.n * k, np.uint64)
-    rate = 1 + np.log(sets.count)
     state, doc, element = mix(sets.hash * _GOLDEN), sets.doc.astype(np.int64), sets.hash
     time, latest = np.zeros(len(element)), np.full(sets.n, np.inf)
     while len(element):
         state = mix(state + _GOLDEN)
-        time = time - np.log1p((state >> np.uint64(11)).astype(float) * -(2.0**-53)) / rate
+        time = time - np.log1p((state >> np.uint64(11)).astype(float) * -(2.0**-53))
         on = np.flatnonzero(time < latest[doc])  # the others can no longer be first anywhere
-        state, doc, element, time, rate = state[on], doc[on], element[on], time[on], rate[on]
+        state, doc, element, time = state[on], doc[on], element[on], time[on]
         register = doc * k + (mix(state ^ _GOLDEN) % np.uint64(k)).astype(np.int64)
         before = first[register]
         np.minimum.at(first, register, time)

@@ -81,3 +81,15 @@ def test_components_of_a_long_chain(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 101), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
+
+
+def test_copies_with_repeated_passages_are_found(spark):
+    docs, size = [], 104
+    for k in range(40):
+        base = [f"d{k}w{i}" for i in range(size)]
+        copy = base[:60] + base[40:60] * 300 + base[60:-9] + [f"d{k}n{i}" for i in range(9)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    x, y = shingles(docs[0][1]), shingles(docs[1][1])
+    assert 0.8 <= len(x & y) / len(x | y) < 0.81
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in docs}
