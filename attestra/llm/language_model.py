@@ -1,26 +1,31 @@
 """A hashed maximum-entropy language model over all documents.
 
-Documents become rows of whole chunks: the chunk's distinct token hashes, and the tokens as numbers of those. An exchange by hash counts every training token over the corpus and sends each chunk the counts of its own tokens. The model predicts a token's outcome, one of the most frequent words or a bucket of all others, as class and outcome within the class: two softmaxes over hashed features of the tokens before (two n-grams, two skips). Within a bucket a word has its share of the bucket's training tokens. Tasks learn on their own chunks from the same start, and Spark averages what they learnt, round after round.
+Documents become rows of whole chunks: the chunk's distinct token hashes, and the tokens as numbers of those. Spark counts every training token over the corpus; the most frequent ones, of fixed number, go to every task, and an exchange by hash sends each chunk the counts of its other tokens. The model predicts a token's outcome, one of the most frequent words or a bucket of all others, as class and outcome within the class: two softmaxes over hashed features of the tokens before (two n-grams, two skips), in tables whose rows grow with the square root of the corpus. Within a bucket a word has its share of the bucket's training tokens. Tasks learn on their own chunks from the same start, and Spark averages what they learnt, round after round.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared_tables import bounded_batches, written
+from attestra.llm.shared_tables import bounded_batches, row_names, written
 from attestra.llm.text_arrays import Chunk, chunks, joined, mix
 
 #: Classes, outcomes of each, and how many of the last outcomes are buckets of rare words.
 CLASSES, WIDTH, BUCKETS = 32, 32, 64
-#: Rows of each hashed weight table (a power of two), and rounds of averaging: of as many neighbouring tokens each gives its gradient in another round.
-ROWS, ROUNDS = 1 << 13, 3
+#: Rows of each hashed weight table: the power of two nearest to the root of the training tokens, from LEAST_ROWS to MOST_ROWS, which bounds what is broadcast; ROWS where nothing is said.
+LEAST_ROWS, ROWS, MOST_ROWS = 1 << 12, 1 << 13, 1 << 16
+#: Rounds of averaging: of as many neighbouring tokens each gives its gradient in another round. Rows of a block in which weights are exchanged.
+ROUNDS, BLOCK = 3, 256
+#: The most frequent tokens whose counts go to every task.
+COMMON = 1 << 16
 BATCH, RATE = 2048, 0.4
 CHUNK, PART = 4 << 20, 16 << 20
 FEATURES = 4
@@ -47,6 +52,7 @@ def token_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = row_names()
     for batch in batches:
         for chunk in chunks(batch.column("text"), CHUNK):
             own = batch.slice(chunk.first, chunk.n)
@@ -58,8 +64,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place[order] = np.arange(len(order))
             tokens = place[back]
             counts = np.bincount(tokens[np.repeat(~out, np.diff(bounds))], minlength=len(order))
-            name = hashlib.blake2b(h.tobytes() + repr(own.column("doc_id").to_pylist()).encode(), digest_size=8).digest()
-            row = [int.from_bytes(name, "little", signed=True), own.column("doc_id").to_pylist(), out.tolist(), bounds.astype("<i8").tobytes(), distinct[order].tobytes(), counts.astype("<u4").tobytes(), tokens.astype("<u4" if len(order) > 65536 else "<u2").tobytes()]
+            row = [next(names), own.column("doc_id").to_pylist(), out.tolist(), bounds.astype("<i8").tobytes(), distinct[order].tobytes(), counts.astype("<u4").tobytes(), tokens.astype("<u4" if len(order) > 65536 else "<u2").tobytes()]
             kinds = [pa.int64(), pa.list_(own.schema.field("doc_id").type), pa.list_(pa.bool_()), *(pa.binary(),) * 4]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["chunk", "ids", "out", "bounds", "vocabulary", "counts", "tokens"])
 
@@ -67,55 +72,79 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Tokens:
     """A chunk row: its vocabulary's hashes, and its documents' tokens as numbers of those."""
 
-    def __init__(self, r: dict):
+    def __init__(self, r: dict, rows: int = ROWS):
+        self.last = np.uint64(rows - 1)
         self.vocabulary, self.bounds = np.frombuffer(r["vocabulary"], np.uint64), np.frombuffer(r["bounds"], "<i8")
         self.tokens = np.frombuffer(r["tokens"], "<u4" if len(self.vocabulary) > 65536 else "<u2").astype(np.int64)
         self.since = np.arange(len(self.tokens)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
         self.hashes = np.append(self.vocabulary, _START)  # the last stands for what is before a document
-        self.rows = [(mix(self.hashes ^ _SALTS[k]) & np.uint64(ROWS - 1)).astype(np.int64) for k in (0, 1, 3)]
+        self.rows = [(mix(self.hashes ^ _SALTS[k]) & self.last).astype(np.int64) for k in (0, 1, 3)]
 
     def features(self, at: np.ndarray) -> np.ndarray:
         """Rows of the weight tables for the tokens at those places: the token before, the one before that, both, and the one before those."""
         back = [np.where(self.since[at] >= k, self.tokens[np.maximum(at - k, 0)], len(self.vocabulary)) for k in (1, 2, 3)]
-        pair = joined(self.hashes[back[1]], self.hashes[back[0]]) & np.uint64(ROWS - 1)
+        pair = joined(self.hashes[back[1]], self.hashes[back[0]]) & self.last
         return np.column_stack([self.rows[0][back[0]], self.rows[1][back[1]], pair.astype(np.int64), self.rows[2][back[2]]])
 
 
-def _part(vocabulary: np.ndarray, parts: int) -> np.ndarray:
-    return ((mix(vocabulary ^ _SALTS[2]) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The training tokens of each chunk: hash and number."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            counts = np.frombuffer(r["counts"], "<u4")
+            seen = counts > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["vocabulary"], np.int64)[seen]), pa.array(counts[seen].astype(np.int64))], names=["hash", "n"])
+
+
+class Common:
+    """The counts of the most frequent tokens."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+
+    def find(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of a vocabulary's tokens, and which of them are not here."""
+        counts, other = np.zeros(len(vocabulary), np.int64), np.ones(len(vocabulary), bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, vocabulary), len(self.hashes) - 1)
+            other = self.hashes[at] != vocabulary
+            counts[~other] = self.counts[at[~other]]
+        return counts, other
+
 
+def _dealt(vocabulary: np.ndarray, other: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the other tokens in order of the parts they are dealt to, and those parts."""
+    at = np.flatnonzero(other)
+    part = vocabulary[at].view(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    return at[order], part[order]
 
-def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+
+def _ask(batches: Iterator[pa.RecordBatch], common: Common, parts: int) -> Iterator[pa.RecordBatch]:
+    """Of each chunk and part: the hashes whose counts the chunk needs."""
     for batch in batches:
         for r in batch.to_pylist():
-            vocabulary, counts = np.frombuffer(r["vocabulary"], np.uint64), np.frombuffer(r["counts"], "<u4")
-            part = _part(vocabulary, parts)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(bounds)).tolist()
-            own = [order[bounds[p] : bounds[p + 1]] for p in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([r["chunk"]] * len(some), pa.int64()), pa.array([vocabulary[x].tobytes() for x in own], pa.binary()), pa.array([counts[x].tobytes() for x in own], pa.binary())], names=["part", "chunk", "hashes", "counts"])
-
-
-def _count(group: pa.Table) -> pa.Table:
-    """For each chunk the corpus counts of its hashes of a part; and, in a row without a chunk, what the part sums up to."""
-    hashes = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
-    distinct, back = np.unique(np.concatenate(hashes), return_inverse=True)
-    counts = np.bincount(back, np.concatenate([np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()]), len(distinct)).astype(np.int64)
-    cut = np.cumsum([0, *map(len, hashes)])
-    n, part = len(hashes), group.column("part")[0].as_py()
-    seen = counts > 0
-    bucket = (distinct % np.uint64(BUCKETS)).astype(np.int64)
-    sums = np.concatenate([np.bincount(bucket, x, BUCKETS).astype(np.int64) for x in (counts, seen)])
-    top = np.lexsort((distinct, -counts))[:_FREQUENT]
-    top = top[counts[top] > 0]
-    return pa.table({
-        "chunk": pa.array([*group.column("chunk").to_pylist(), None], pa.int64()),
-        "part": pa.array([part] * (n + 1), pa.int64()),
-        "counts": pa.array([*(counts[back[cut[k] : cut[k + 1]]].astype("<i8").tobytes() for k in range(n)), None], pa.binary()),
-        "sums": pa.array([*[None] * n, sums.tolist()], pa.list_(pa.int64())),
-        "top": pa.array([*[None] * n, [{"n": int(counts[k]), "h": int(distinct[k].view(np.int64))} for k in top]], pa.list_(pa.struct([("n", pa.int64()), ("h", pa.int64())]))),
-    })
+            vocabulary = np.frombuffer(r["vocabulary"], np.uint64)
+            at, part = _dealt(vocabulary, common.find(vocabulary)[1], parts)
+            if not len(at):
+                continue
+            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            own = [vocabulary[at[x:y]].tobytes() for x, y in zip(cut, [*cut[1:], len(at)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), pa.array([r["chunk"]] * len(cut), pa.int64()), pa.array(own, pa.binary())], names=["part", "chunk", "hashes"])
+
+
+def _answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
+    """The counts that the chunks asked a part for, 0 for tokens that no training document has."""
+    hashes = [np.frombuffer(x, np.int64) for x in asked.column("hashes").to_pylist()]
+    there, n = (counted.column(c).to_numpy() for c in ("hash", "n"))
+    order = np.argsort(there)
+    there, n = np.append(there[order], 0), np.append(n[order], 0)
+    found = []
+    for h in hashes:
+        at = np.searchsorted(there[:-1], h)
+        found.append(np.where((there[at] == h) & (at < len(there) - 1), n[at], 0).astype("<i8").tobytes())
+    return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "counts": pa.array(found, pa.binary())})
 
 
 @dataclass
@@ -156,10 +185,9 @@ class Model:
         own = z[np.arange(len(z)), target]
         return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
-    @staticmethod
-    def inner_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    def inner_rows(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Rows of the second table: a feature and the class together."""
-        return (mix(rows.astype(np.uint64) * _SALTS[0] + classes[:, None].astype(np.uint64) * _SALTS[1]) & np.uint64(ROWS - 1)).astype(np.int64)
+        return (mix(rows.astype(np.uint64) * _SALTS[0] + classes[:, None].astype(np.uint64) * _SALTS[1]) & np.uint64(len(self.weights[1]) - 1)).astype(np.int64)
 
     def score(self, tokens: Tokens, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By token: log10 of its probability by the unigram base, and by the model."""
@@ -185,14 +213,14 @@ class Model:
             for which, where, target, classes in ((0, rows, c, None), (1, self.inner_rows(rows, c), y % WIDTH, c)):
                 error = np.exp(self.log_softmax(which, where, classes))
                 error[nth, target] -= 1
-                for k in range(FEATURES):
-                    order = np.argsort(where[:, k], kind="stable")
-                    row = where[order, k]
-                    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                    g, row = np.add.reduceat(error[order], first), row[first]
-                    sums[which][row] += (g * g).mean(1)
-                    touched[which][row] += np.diff(np.append(first, len(order)))
-                    self.weights[which][row] -= (RATE / np.sqrt(1 + sums[which][row]))[:, None] * g
+                row = where.T.ravel()
+                order = np.argsort(row.astype(np.uint16), kind="stable")
+                row = row[order]
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                g, row = np.add.reduceat(error[order % len(part)], first), row[first]
+                sums[which][row] += (g * g).mean(1)
+                touched[which][row] += np.diff(np.append(first, len(order)))
+                self.weights[which][row] -= (RATE / np.sqrt(1 + sums[which][row]))[:, None] * g
 
 
 def places(chunk: int, turn: int, rounds: int, n: int) -> np.ndarray:
@@ -202,34 +230,39 @@ def places(chunk: int, turn: int, rounds: int, n: int) -> np.ndarray:
 
 def _train(batches: Iterator[pa.RecordBatch], model: Model, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
     """Learn on all rows of the task; then the weights times their examples, and the examples, in blocks of rows."""
+    rows = len(model.weights[0])
     model.weights = [w.copy() for w in model.weights]
-    sums, touched = ([np.zeros(ROWS, np.float32) for _ in range(2)] for _ in range(2))
+    sums, touched = ([np.zeros(rows, np.float32) for _ in range(2)] for _ in range(2))
     for batch in batches:
         for r in batch.to_pylist():
-            tokens = Tokens(r)
+            tokens = Tokens(r, rows)
             at = places(r["chunk"], turn, rounds, len(tokens.tokens))
             learns = ~np.repeat(np.array(r["out"], bool), np.diff(tokens.bounds))
             model.learn(tokens, at[learns[at]], sums, touched)
-    block = ROWS // 32
-    rows = [(which * 32 + k, (model.weights[which][k * block :][:block] * touched[which][k * block :][:block, None]).astype("<f4").tobytes(), touched[which][k * block :][:block].astype("<f4").tobytes()) for which in range(2) for k in range(32)]
-    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "weights", "touched"])
-
-
-def _average(group: pa.Table) -> pa.Table:
-    total, n = (np.sum([np.frombuffer(x, "<f4") for x in group.column(c).to_pylist()], axis=0, dtype=np.float64) for c in ("weights", "touched"))
-    mean = total.reshape(len(n), -1) / np.maximum(n, 1)[:, None]
-    return pa.table({"block": group.column("block").slice(0, 1), "weights": pa.array([mean.astype("<f4").tobytes()], pa.binary()), "touched": pa.array([n.astype("<f4").tobytes()], pa.binary())})
-
-
-def _started(counted: DataFrame) -> Model:
-    """The model that knows only how frequent outcomes are; from the parts' sums and their most frequent words."""
-    whole = counted.where("sums IS NOT NULL")
-    sums = whole.select(F.posexplode("sums").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()  # 2 * BUCKETS rows
-    by = {r["k"]: r["n"] for r in sums}
-    tokens, words = (np.array([by.get(k + s, 0) for k in range(BUCKETS)], np.int64) for s in (0, BUCKETS))
-    top = whole.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "h").limit(_FREQUENT).collect()
-    h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    n = np.array([r["n"] for r in top], np.int64)
+    task, blocks = TaskContext.get(), rows // BLOCK
+    own = task.partitionId() if task else 0
+    out = [(own, which * blocks + k, (model.weights[which][k * BLOCK :][:BLOCK] * touched[which][k * BLOCK :][:BLOCK, None]).astype("<f4").tobytes(), touched[which][k * BLOCK :][:BLOCK].astype("<f4").tobytes()) for which in range(2) for k in range(blocks)]
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["task", "block", "weights", "touched"])
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """Sums of a block over some tasks."""
+    weights, touched = (np.sum([np.frombuffer(x, "<f4") for x in group.column(c).to_pylist()], axis=0, dtype=np.float64).astype("<f4").tobytes() for c in ("weights", "touched"))
+    return pa.table({"block": group.column("block").slice(0, 1), "weights": pa.array([weights], pa.binary()), "touched": pa.array([touched], pa.binary())})
+
+
+def table_rows(n_tokens: int) -> int:
+    """Rows of the weight tables for so many training tokens."""
+    return min(max(1 << round(math.log2(max(n_tokens, 1)) / 2), LEAST_ROWS), MOST_ROWS)
+
+
+def _started(counts: DataFrame) -> tuple[Model, Common]:
+    """The model that knows only how frequent outcomes are, and the most frequent tokens; all of fixed size."""
+    sums = {r["bucket"]: r for r in counts.groupBy(F.col("hash").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    tokens, words = (np.array([sums[k][c] if k in sums else 0 for k in range(BUCKETS)], np.int64) for c in ("n", "words"))
+    top = counts.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
+    common_h, common_n = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    h, n = common_h[:_FREQUENT], common_n[:_FREQUENT]
     bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
     n_tokens, n_words = int(tokens.sum()), int(words.sum())
     rare_tokens, rare_words = tokens - np.bincount(bucket, n, BUCKETS).astype(np.int64), words - np.bincount(bucket, minlength=BUCKETS)
@@ -238,32 +271,35 @@ def _started(counted: DataFrame) -> Model:
     mass[_FREQUENT:] += rare_tokens + rare_words
     mass = mass.reshape(CLASSES, WIDTH)
     order = np.argsort(h)
-    zero = lambda: np.zeros((ROWS, WIDTH), np.float32)
-    return Model(n_tokens, n_words, h[order], order, rare_tokens + rare_words + 1, [zero(), zero()], np.log(mass.sum(1) / mass.sum()).astype(np.float32), np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32))
+    zero = lambda: np.zeros((table_rows(n_tokens), WIDTH), np.float32)
+    model = Model(n_tokens, n_words, h[order], order, rare_tokens + rare_words + 1, [zero(), zero()], np.log(mass.sum(1) / mass.sum()).astype(np.float32), np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32))
+    return model, Common(common_h, common_n)
 
 
-def _trained(table: DataFrame, model: Model, rounds: int) -> Model:
-    context = table.sparkSession.sparkContext
+def _trained(table: DataFrame, n_chunks: int, model: Model, rounds: int) -> Model:
+    context, blocks, kinds = table.sparkSession.sparkContext, len(model.weights[0]) // BLOCK, "block int, weights binary, touched binary"
+    own = table.select("chunk", "out", "bounds", "vocabulary", "tokens")
+    groups = math.isqrt(n_chunks) + 1  # so that what one task adds up grows with the root of the tasks at most
     for turn in range(rounds):
-        sent = context.broadcast(model)  # of fixed size
-        learnt = table.select("chunk", "out", "bounds", "vocabulary", "tokens").mapInArrow(lambda b, sent=sent, turn=turn: _train(b, sent.value, turn, rounds), "block int, weights binary, touched binary")
-        merged = learnt.groupBy("block").applyInArrow(_average, "block int, weights binary, touched binary").collect()
-        block = ROWS // 32
-        for r in merged:
-            which, k = divmod(r["block"], 32)
-            seen = np.frombuffer(r["touched"], "<f4") > 0
-            rows = model.weights[which][k * block : (k + 1) * block]
-            rows[seen] = np.frombuffer(r["weights"], "<f4").reshape(block, -1)[seen]
+        sent = context.broadcast(model)  # of bounded size
+        learnt = own.mapInArrow(lambda b, sent=sent, turn=turn: _train(b, sent.value, turn, rounds), f"task int, {kinds}")
+        some = learnt.groupBy("block", F.col("task") % groups).applyInArrow(_added, kinds)
+        for r in some.groupBy("block").applyInArrow(_added, kinds).collect():
+            which, k = divmod(r["block"], blocks)
+            n = np.frombuffer(r["touched"], "<f4")
+            rows = model.weights[which][k * BLOCK : (k + 1) * BLOCK]
+            rows[n > 0] = (np.frombuffer(r["weights"], "<f4").reshape(BLOCK, -1) / np.maximum(n, 1)[:, None])[n > 0]
+        sent.unpersist()
     return model
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: Model, parts: int) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], model: Model, common: Common, parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            tokens = Tokens(r)
-            counts, part = np.zeros(len(tokens.vocabulary), np.int64), _part(tokens.vocabulary, parts)
-            order = np.argsort(part, kind="stable")
-            counts[order] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x["counts"], "<i8") for x in sorted(r["found"], key=lambda x: x["part"]))])
+            tokens = Tokens(r, len(model.weights[0]))
+            counts, other = common.find(tokens.vocabulary)
+            at, _ = _dealt(tokens.vocabulary, other, parts)
+            counts[at] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x["counts"], "<i8") for x in sorted(r["found"] or (), key=lambda x: x["part"]))])
             base, score = model.score(tokens, counts)
             sums = [np.add.reduceat(x, tokens.bounds[:-1]) for x in (base, score, (counts > 0)[tokens.tokens].astype(np.int64))]
             n = len(r["ids"])
@@ -279,11 +315,15 @@ def language_model_scores(documents: DataFrame, rounds: int = ROUNDS) -> DataFra
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     table = written(docs.mapInArrow(_tokenize, f"chunk long, ids array<{kind}>, out array<boolean>, bounds binary, vocabulary binary, counts binary, tokens binary"), "zstd")
-    size = table.agg(F.sum(F.octet_length("vocabulary"))).first()[0] or 0
-    parts = max(12, -(-size // (PART // 4)))
-    sent = table.select("chunk", "vocabulary", "counts").mapInArrow(lambda b: _send(b, parts), "part long, chunk long, hashes binary, counts binary")
-    counted = written(sent.groupBy("part").applyInArrow(_count, "chunk long, part long, counts binary, sums array<long>, top array<struct<n:long,h:long>>"))
-    model = documents.sparkSession.sparkContext.broadcast(_trained(table, _started(counted), rounds))
-    found = counted.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts")).alias("found"))  # of one chunk's bounded size
-    both = table.drop("counts").join(found.hint("shuffle_hash"), "chunk")
-    return both.mapInArrow(lambda b: _scores(b, model.value, parts), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    size, n_chunks = table.agg(F.sum(F.octet_length("vocabulary")), F.count("*")).first()
+    parts = max(12, -(-(size or 0) // PART))
+    counts = written(table.select("vocabulary", "counts").mapInArrow(_entries, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+    model, common = _started(counts)
+    context = documents.sparkSession.sparkContext
+    model, common = context.broadcast(_trained(table, n_chunks, model, rounds)), context.broadcast(common)  # of bounded size
+    asked = table.select("chunk", "vocabulary").mapInArrow(lambda b: _ask(b, common.value, parts), "part long, chunk long, hashes binary")
+    by_part = counts.select(F.pmod("hash", F.lit(parts)).alias("part"), "hash", "n").groupBy("part")
+    found = asked.groupBy("part").cogroup(by_part).applyInArrow(_answer, "chunk long, part long, counts binary")
+    found = found.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts")).alias("found"))  # of one chunk's bounded size
+    both = table.drop("counts").join(found, "chunk", "left")
+    return both.mapInArrow(lambda b: _scores(b, model.value, common.value, parts), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from attestra.llm.language_model import BUCKETS, CLASSES, ROUNDS, WIDTH, Model, Tokens, _tokenize, _train, held_out, language_model_scores, places
+from attestra.llm import language_model
+from attestra.llm.language_model import BUCKETS, CLASSES, LEAST_ROWS, MOST_ROWS, ROUNDS, WIDTH, Model, Tokens, _tokenize, _train, held_out, language_model_scores, places, table_rows
 from attestra.llm.language_model import ROWS as TABLE_ROWS
 
 
@@ -90,3 +91,47 @@ def test_rounds_learn_every_token(spark, monkeypatch):
     for turn in range(ROUNDS):
         list(_train(table, model, turn, ROUNDS))
     assert sum(learnt) == 4 * train.count()
+
+
+def test_repeated_tables_and_equal_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(40))) for i in range(60)], "doc_id long, text string")
+    one = {(r.doc_id, r.n_tokens): r for r in language_model_scores(docs).collect()}
+    docs.write.parquet(str(tmp_path / "a"))
+    same = spark.read.parquet(*[str(tmp_path / "a")] * 2)
+    for table in (docs.union(docs), same):
+        got = language_model_scores(table).collect()
+        assert len(got) == 120
+        for r in got:
+            assert (r.doc_id, r.n_tokens) in one and r.train_tokens == 2 * one[r.doc_id, r.n_tokens].train_tokens
+
+
+def test_tables_grow_with_the_corpus():
+    assert [table_rows(n) for n in (0, 10, 1 << 26, 1 << 30, 1 << 50)] == [LEAST_ROWS, LEAST_ROWS, 1 << 13, 1 << 15, MOST_ROWS]
+
+
+def test_counts_of_tokens_beyond_the_common_ones(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "COMMON", 3)
+    check(spark, [(i, " ".join(["the", "of", f"w{i % 5}", f"v{i}"] * (i % 7))) for i in range(80)])
+
+
+def test_score_matches_a_plain_softmax():
+    rnd = np.random.default_rng(4)
+    vocabulary = rnd.integers(0, 2**63, 30).astype(np.uint64)
+    frequent, at = np.sort(vocabulary[:20]), rnd.permutation(20)
+    mass = rnd.random((CLASSES, WIDTH))
+    model = Model(1000, 30, frequent, at, np.full(BUCKETS, 9), [rnd.normal(0, 1, (TABLE_ROWS, WIDTH)).astype(np.float32) for _ in range(2)], np.log(mass.sum(1)), np.log(mass))
+    line = rnd.integers(0, 30, 50)
+    row = Tokens({"vocabulary": vocabulary.tobytes(), "bounds": np.array([0, 20, 50], "<i8").tobytes(), "tokens": line.astype("<u2").tobytes()})
+    counts = rnd.integers(0, 5, 30)
+    got = model.score(row, counts)[1]
+    for k, word in enumerate(line.tolist()):
+        rows = row.features(np.array([k]))
+        known = np.flatnonzero(frequent == vocabulary[word])
+        outcome = int(at[known[0]]) if len(known) else CLASSES * WIDTH - BUCKETS + int(vocabulary[word] % np.uint64(BUCKETS))
+        c, o = divmod(outcome, WIDTH)
+        share = lambda z, x: math.exp(z[x]) / sum(math.exp(v) for v in z)
+        first = [sum(float(model.weights[0][r][x]) for r in rows[0]) + float(model.classes_bias[x]) for x in range(CLASSES)]
+        inner = model.inner_rows(rows, np.array([c]))[0]
+        second = [sum(float(model.weights[1][r][x]) for r in inner) + float(model.outcome_bias[c][x]) for x in range(WIDTH)]
+        p = share(first, c) * share(second, o) * (1 if len(known) else (counts[word] + 1) / 9)
+        assert abs(got[k] - math.log10(p)) < 1e-3
