@@ -6,6 +6,7 @@ A text is cut at spaces into words, each with the word-start sign before it; an
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,10 +21,13 @@ from attestra.llm.text_arrays import Chunk, chunks, joined, members, mix
 SIGN = "▁"
 #: What a character without a piece costs below the worst piece: a fixed value of the public unigram tokenizers.
 UNKNOWN_PENALTY = 10.0
+#: Fixed names of pieces that stand for no characters.
+SPECIAL = frozenset(("<unk>", "<s>", "</s>", "<pad>"))
 #: Words whose counts a worker keeps at most; it forgets them all beyond that.
 KEPT_WORDS = 400_000
 
 #: Characters that no piece may have: words end at them, and each is a token.
+BYTE = re.compile("<0x[0-9A-F]{2}>")
 _HARD = members(b"\t\n")
 _ENDS = _HARD.copy()
 _ENDS[0x20] = True
@@ -40,20 +44,23 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
         raise ValueError(f"{path} lacks byte pieces, for example {missing[0]}")
     total = math.log(sum(1 / r for r in range(1, len(pieces) + 1)))
     special = {i for i in range(len(pieces)) if model.is_control(i) or model.is_unknown(i)}
+    if odd := {pieces[i] for i in special} - SPECIAL:
+        raise ValueError(f"{path} has special pieces of unknown names, for example {min(odd)}")
     return [(p, 0.0 if i in special else -math.log(i + 1) - total) for i, p in enumerate(pieces)]
 
 
 class Counter:
-    """Counts the pieces of words. Special and byte pieces are never matched in a text's characters."""
+    """Counts the pieces of words. Special pieces (by their names) and byte pieces are never matched in a text's characters; all others are, whatever their score."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
+        pieces = [(p, s) for p, s in pieces if p not in SPECIAL]
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
-            if not piece.startswith("<0x") and score:
+            if not BYTE.fullmatch(piece):
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
-        self.single = {p for p, s in pieces if len(p) == 1 and s}
+        self.single = {p for p, _ in pieces if len(p) == 1}
         if any(c in p for p, _ in pieces for c in "\t\n"):
             raise ValueError("pieces with tabs or line ends are not supported")
         self.known: dict[int, int] = {}
@@ -117,7 +124,7 @@ _COUNTERS: dict[int, Counter] = {}
 def token_counts(documents: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     """One row per document: doc_id, n_bytes and n_tokens of the whole text.
 
-    documents: doc_id and text; other columns are ignored. A null or empty text has no tokens; repeated rows are counted each for itself; a null doc_id is carried through; an empty table gives an empty result. pieces: a vocabulary of fixed size, which goes to every task. Characters without a piece count as their bytes.
+    documents: doc_id and text; other columns are ignored. A null or empty text has no tokens; repeated rows are counted each for itself; a null doc_id is carried through; an empty table gives an empty result. A text of any length is counted whole, word by word. pieces: a vocabulary of fixed size, which goes to every task. Characters without a piece count as their bytes. Of ways to cut a word that score the same, the one with the longest last piece counts. Every space starts a word, so that each of several spaces is a piece of its own, even where the vocabulary has pieces of several word-start signs.
     """
     bounded_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(pieces)

@@ -50,3 +50,8 @@ def test_odd_rows(spark, pieces):
     docs = spark.createDataFrame([(None, None), (1, ""), (1, "the"), (1, "the")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts(docs, pieces).collect()) == [(0, 0), (1, 0), (1, 1), (1, 1)]
     assert token_counts(docs.limit(0), pieces).count() == 0
+
+
+def test_pieces_of_score_zero(spark):
+    pieces = [("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("ab", 0.0), ("▁", -1.0), ("c", 0.0)] + [(f"<0x{b:02X}>", -5.0) for b in range(256)]
+    check(spark, pieces, ["ab", "abab c", "aabbcc"])
