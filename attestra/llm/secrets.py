@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and strings that neither their surroundings nor a dictionary of identifiers help to compress.
 
-A candidate is a long run of letters, digits and a few signs with a sensitive word shortly before it. zstandard, primed with a dictionary of common identifiers followed by the text around the candidate, tells how many bytes it adds: code, words and repeated names cost little, random keys about their information content. Those above a share of their length are reported.
+A candidate is a long run of letters, digits and a few signs, of two kinds of these at least, with a sensitive word shortly before it. zstandard, primed with a dictionary of common identifiers followed by the text around the candidate, tells how many bytes it adds: code, words and repeated names cost little, random keys about their information content. Those above a share of their length are reported.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from attestra.llm.text_arrays import Chunk, chunks, members
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 SENSITIVE = re.compile(rb"(?i:pass|pwd|secret|token|key|auth|bearer|credential|private|signature|login|session)")
-#: Of novel strings: length, bytes before them in which a sensitive word counts, bytes around them that may explain them, added bytes per byte.
+#: Of novel strings: length, bytes before them in which a sensitive word counts, bytes on either side of them that prime the compressor, added bytes per byte.
 LEAST, NEAR, AROUND, NOVELTY = 16, 40, 256, 0.6
 #: Fixed text that primes the compressor: names and phrases that are no secrets.
 IDENTIFIERS = (
@@ -33,6 +33,7 @@ IDENTIFIERS = (
     b"your_password_here changeme example placeholder undefined null none true false "
 )
 _WORDY = members(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+_SMALL, _GREAT = members(b"abcdefghijklmnopqrstuvwxyz"), members(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _HEX, _DIGIT = members(b"0123456789abcdef"), members(b"0123456789")
 _ACCESS = members(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _CASE = np.arange(256, dtype=np.uint8)
@@ -58,10 +59,13 @@ def added_bytes(before: bytes, candidate: bytes, after: bytes) -> int:
 
 
 def _novel(chunk: Chunk) -> Iterator[tuple[int, int, int]]:
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[chunk.data], dtype=np.int64)])
+    # digits alone are numbers, letters of one case with at most a capital in front are words: 16 bytes of either don't compress, and yet are no keys
+    digits, small = (np.concatenate([[0], np.cumsum(x[chunk.data], dtype=np.int64)]) for x in (_DIGIT, _SMALL))
+    great = np.concatenate([[0], np.cumsum(_GREAT[chunk.data], dtype=np.int64)])
     found = runs(_WORDY[chunk.data], chunk.offsets, LEAST)
-    count = digits[found[:, 1]] - digits[found[:, 0]]
-    found = found[(count > 0) & (count < found[:, 1] - found[:, 0])]
+    a, b = found[:, 0], found[:, 1]
+    count = digits[b] - digits[a]
+    found = found[((count > 0) & (count < b - a)) | ((small[b] > small[a]) & (great[b] > great[a + 1]))]
     for i, (begin, end) in zip(document_of(chunk, found[:, 0]).tolist(), found.tolist(), strict=True):
         first, last = int(chunk.offsets[i]), int(chunk.offsets[i + 1])
         word, name, value = chunk.data[begin:end].tobytes(), b"", b""
@@ -119,7 +123,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def secrets(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id and spans (start, rank and kind, end; code points, by start).
 
-    Of documents, doc_id and text count. A null or empty text has no spans; repeated rows are searched each for itself; a null doc_id is carried through; an empty table gives an empty result. Matches of one kind never overlap; novel strings never overlap with matches of the fixed patterns.
+    Of documents, doc_id and text count. A null or empty text has no spans; texts of any length are searched whole; repeated rows are searched each for itself; a null doc_id is carried through; an empty table gives an empty result. Matches of one kind never overlap; novel strings never overlap with matches of the fixed patterns.
     """
     bounded_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()

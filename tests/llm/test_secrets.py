@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from attestra.llm.secrets import digest, secrets
+import zstandard
+
+from attestra.llm.secrets import IDENTIFIERS, digest, secrets
 
 BASE = (
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 8),
@@ -47,3 +49,31 @@ def test_empty_table_and_repeats(spark):
     assert secrets(none).count() == 0
     twice = spark.createDataFrame([(None, "AKIA" + "A" * 20), (1, "x"), (1, "x")], "doc_id long, text string")
     assert sorted(r.n_access for r in digest(secrets(twice)).collect()) == [0, 0, 1]
+
+
+def test_keys_of_letters_alone(spark):
+    rnd = random.Random(6)
+    key = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(32))
+    got = run(spark, [f"the bearer {key} was sent", "the key responsibilities/characterisation of it", "auth Uncharacteristically wrong", "key 12345678901234567890 wrong"])
+    assert got[0].spans == "novel:11:43" and not any(got[k].spans for k in (1, 2, 3))
+
+
+def test_novelty_matches_zstandard_alone(spark):
+    """Every candidate of a text against a plain reading of the rule."""
+    rnd = random.Random(9)
+    parts = ["auth ", "key: ", "word ", "x" * 20 + "1 ", "configuration_value1 ", "Some plain text. ", "\n"]
+    random_key = lambda: "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(rnd.randint(12, 40))) + " "
+    texts = ["".join(rnd.choice([*parts, random_key()]) for _ in range(12)) for _ in range(60)]
+    for i, r in run(spark, texts).items():
+        text, want = texts[i], []
+        taken = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s and not s.startswith("novel")]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            word, near = m[0], text[max(0, m.start() - 40) : m.start()]
+            kinds = re.search("[0-9]", word) and not word.isdigit() or re.search("[a-z]", word) and re.search("[A-Z]", word[1:])
+            if not kinds or not re.search("pass|pwd|secret|token|key|auth|bearer|credential|private|signature|login|session", near, re.I):
+                continue
+            primer = zstandard.ZstdCompressionDict(IDENTIFIERS + text[m.end() : m.end() + 256].encode() + text[max(0, m.start() - 256) : m.start()].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            press = lambda x, d=primer: len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+            if press(word.encode()) - press(b"") >= 0.6 * len(word) and all(m.end() <= a or b <= m.start() for a, b in taken):
+                want.append(f"novel:{m.start()}:{m.end()}")
+        assert [s for s in r.spans.split(",") if s.startswith("novel")] == want
