@@ -12,13 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from attestra.llm.shared_tables import bounded_batches
+from attestra.llm.shared_tables import bounded_batches, named
 from attestra.llm.text_arrays import Chunk, chunks, members
 
 PASSAGE = 64
-#: Fitting: labelled documents at most, and passages of each, evenly spaced over the text.
-SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 6000, 48
+#: Labelled documents in the fitted sample at most, with all their passages.
+SAMPLE_DOCUMENTS = 6000
 THRESHOLD = 0.3
 
 _UPPER, _LOWER, _DIGIT = members(bytes(range(0x41, 0x5B))), members(bytes(range(0x61, 0x7B))), members(b"0123456789")
@@ -128,8 +129,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             x, per_doc = encoded(chunk)
             bags, at = [], 0
             for n in per_doc.tolist():
-                pick = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_PASSAGES)).astype(int))
-                bags.append(x[at : at + n][pick].tobytes())
+                bags.append(x[at : at + n].tobytes())
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column("y").slice(chunk.first, chunk.n)], names=["bag", "y"])
 
@@ -139,8 +139,9 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """Fit on at most `sample` labelled documents that are not held out: those whose ids hash lowest."""
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("double").alias("y")).dropDuplicates(["doc_id"])
+    """Fit on at most `sample` labelled documents that are not held out: those whose ids hash lowest. Documents whose labels contradict each other are not learnt from."""
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("most"))
+    marked = marked.where("y = most").select("doc_id", F.col("y").cast("double").alias("y"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     bags = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id").select("text", "y")
     got = bags.mapInArrow(_encode_batches, "bag binary, y double").collect()
@@ -152,10 +153,11 @@ def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUME
 def with_quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """documents with three more columns: held_out, score (0 to 1, higher: good likelier) and predicted (score >= threshold).
 
-    documents: doc_id and text, labels: doc_id and quality (0 or 1; null: unknown). A null or empty text is scored as one passage without words. Repeated rows get equal scores; a null doc_id counts as held out and is carried through. Columns of documents that clash with the new ones are replaced. Without labels of both kinds every score is the share of good ones, 0.5 if there are none.
+    documents: doc_id and text, labels: doc_id and quality (0 or 1; null: unknown; several that disagree: not learnt from). Every passage of a text of any length counts, in learning and in scoring. A null or empty text is scored as one passage without words. Repeated rows get equal scores; a null doc_id counts as held out and is carried through. Columns of documents that clash with the new ones are replaced. Without labels of both kinds every score is the share of good ones, 0.5 if there are none.
     """
     bounded_batches(documents.sparkSession)
     own = [c for c in documents.columns if c not in ("held_out", "score", "predicted")]
+    kept = [named(c) for c in own]
     sent = documents.sparkSession.sparkContext.broadcast(trained(documents, labels, sample))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +169,6 @@ def with_quality(documents: DataFrame, labels: DataFrame, threshold: float = THR
                 out = batch.slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(s)], names=[*own, "score"])
 
-    frame = documents.select(*own)
-    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in frame.schema)
-    scored = frame.mapInArrow(score, f"{kinds}, score double")
+    frame = documents.select(*kept)
+    scored = frame.mapInArrow(score, StructType([*(StructField(x.name, x.dataType) for x in frame.schema), StructField("score", DoubleType())]))
     return scored.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,6 +1,8 @@
+import math
+
 import numpy as np
 
-from attestra.llm.quality_classifier import fit, with_quality
+from attestra.llm.quality_classifier import FEATURES, fit, with_quality
 
 
 def test_held_out_accuracy(spark):
@@ -36,3 +38,42 @@ def test_attention_finds_the_telling_passage():
     assert ((r["s"] > 0.5) == y).mean() > 0.97
     many = (y == 0) & (sizes > 3)
     assert r["a"][tell[many]].mean() > 1.5 / sizes[many].mean()
+
+
+def test_labels_that_disagree_are_not_learnt_from(spark):
+    docs = spark.createDataFrame([(i, ("plain words of a text. " if i % 2 else "BUY!!! $$$ ") * 20) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    odd = spark.createDataFrame([(i, 1 - i % 2) for i in range(0, 40, 4)], "doc_id long, quality int")
+    scores = lambda x: {r.doc_id: r.score for r in with_quality(docs, x).collect()}
+    clean = labels.join(odd, "doc_id", "left_anti")
+    assert scores(labels.union(odd)) == scores(clean)
+
+
+def test_forward_pass_matches_plain_python():
+    rnd = np.random.default_rng(3)
+    sizes, y = np.array([3, 1, 5]), np.array([1.0, 0.0, 1.0])
+    x = rnd.normal(0, 1, (9, FEATURES)).astype(np.float32)
+    model = fit(x, sizes, y, steps=20)
+    got = model.run(x, np.cumsum(sizes) - sizes, sizes)["s"]
+    p = {k: np.asarray(v, float) for k, v in model.parts.items()}
+    at = 0
+    for i, n in enumerate(sizes):
+        hidden, energy = [], []
+        for row in x[at : at + n]:
+            v = [min(max((float(row[f]) - float(model.shift[f])) / float(model.scale[f]), -8), 8) for f in range(FEATURES)]
+            h = [math.tanh(sum(v[f] * p["W"][f, j] for f in range(FEATURES)) + p["b"][j]) for j in range(len(p["b"]))]
+            gate = lambda k, h=h: math.tanh(sum(a * b for a, b in zip(h, p["V"][:, k], strict=True))) / (1 + math.exp(-sum(a * b for a, b in zip(h, p["U"][:, k], strict=True))))
+            hidden.append(h)
+            energy.append(math.exp(sum(gate(k) * p["w"][k] for k in range(len(p["w"])))))
+        z = [sum(e * h[j] for e, h in zip(energy, hidden, strict=True)) / sum(energy) for j in range(len(p["b"]))]
+        want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, p["c"], strict=True)) - float(p["d"])))
+        assert abs(got[i] - want) < 1e-4
+        at += n
+
+
+def test_long_texts_are_learnt_whole(spark):
+    # what tells stands in the last words only, far beyond the first passages
+    docs = spark.createDataFrame([(i, "some plain words stand here. " * 900 + ("BUY NOW!!! $$$ " * 30 if i % 2 else "and these end it. " * 30)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    got = with_quality(docs, labels).where("held_out").collect()
+    assert got and all((r.score > 0.5) == (r.doc_id % 2 == 0) for r in got)
