@@ -1,6 +1,6 @@
 """Personal data in texts: fixed patterns, and identifiers that bootstrapped contexts give away.
 
-The matches of the fixed patterns are seeds. A lexical pattern is the words before and after an identifier-like string together with that string's shape; patterns and the instances they enclose form a bipartite graph. Round by round Spark scores patterns by the trust in their instances and instances by the patterns that enclose them; what highly trusted patterns enclose is reported too.
+The matches of the fixed patterns are seeds. A lexical pattern is the words before and after a string that looks like an identifier, whatever its shape; patterns and the instances they enclose form a bipartite graph. Round by round Spark scores patterns by the trust in their instances and instances by the patterns that enclose them; what highly trusted patterns enclose is reported too.
 """
 
 from __future__ import annotations
@@ -12,28 +12,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from attestra.llm.shared_tables import bounded_batches, packed, unpacked, written
+from attestra.llm.shared_tables import bounded_batches, named, packed, packed_column, unpacked, written
 from attestra.llm.spans import SPAN, SPAN_SQL, code_points, document_of, joined_spans, of_kind
-from attestra.llm.text_arrays import Chunk, chunks, members
+from attestra.llm.text_arrays import Chunk, Words, chunks, members
 
 KINDS = ("email", "ip", "card", "phone", "context")
 DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 #: Rounds of scoring; a pattern's share of trusted instances, and distinct seeds, from which it discovers others.
 ROUNDS, TRUST, SEEDS = 3, 0.8, 3
-#: Characters and digits from which a string is like an identifier, and the most that counts.
-LEAST, DIGITS, MOST = 6, 3, 64
+#: Characters and digits from which a string is like an identifier.
+LEAST, DIGITS = 6, 3
 
 _LOCAL = members(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = members(b"0123456789")
 _SEPARATOR = members(b" -")
-_SHAPE = np.full(256, ord("x"), np.uint8)
-_SHAPE[list(range(0x30, 0x3A))] = ord("9")
-_SHAPE[list(range(0x41, 0x5B))] = ord("X")
-for _c in b"!\"#$%&'()*+,-./:;<=>?@[]^_{|}~\\`":
-    _SHAPE[_c] = _c
 _TRIM = b".,;:!?()[]{}\"'"
+_PUNCTUATION = members(_TRIM)
 
 
 def luhn(digits: bytes) -> bool:
@@ -111,33 +108,42 @@ def base_spans(chunk: Chunk) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def _shape(word: bytes) -> bytes:
-    """The word's classes of characters, repeats once."""
-    kinds = _SHAPE[np.frombuffer(word, np.uint8)]
-    return kinds[np.concatenate([[True], kinds[1:] != kinds[:-1]])].tobytes()
+def _identifier_like(chunk: Chunk, words: Words, base: list[list[tuple[int, int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last words of the strings that look like identifiers: runs of words, one space apart, with a digit or an at sign each, and DIGITS digits or an at sign in all. Words that touch a fixed pattern's match, and punctuation between two words, end a run."""
+    n, data = len(words.starts), chunk.data
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    digits, signs = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (_DIGIT[data], data == ord("@")))
+    digits, signs = (x[words.ends] - x[words.starts] for x in (digits, signs))
+    like = (digits > 0) | (signs > 0)
+    for i, spans in enumerate(base):
+        for a, _, b in spans:
+            first = int(chunk.offsets[i])
+            like[np.searchsorted(words.ends, a + first, "right") : np.searchsorted(words.starts, b + first)] = False
+    linked = like[1:] & like[:-1] & (words.starts[1:] - words.ends[:-1] == 1) & (data[words.ends[:-1]] == 0x20)
+    linked &= ~_PUNCTUATION[data[words.ends[:-1] - 1]] & ~_PUNCTUATION[data[words.starts[1:]]]
+    linked[words.bounds[1:-1][(words.bounds[1:-1] > 0) & (words.bounds[1:-1] < n)] - 1] = False
+    begins = np.flatnonzero(like & np.concatenate([[True], ~linked]))
+    ends = np.flatnonzero(like & np.concatenate([~linked, [True]]))
+    total_digits, total_signs = (np.concatenate([[0], np.cumsum(x)]) for x in (digits, signs))
+    enough = (total_digits[ends + 1] - total_digits[begins] >= DIGITS) | (total_signs[ends + 1] > total_signs[begins])
+    return begins[enough], ends[enough]
 
 
 def candidates(chunk: Chunk, base: list[list[tuple[int, int, int]]]) -> Iterator[tuple[int, int, int, bytes, bytes, bool]]:
-    """(document, begin, end, pattern, instance, is it a seed) of the identifier-like words and the seeds."""
+    """(document, begin, end, pattern, instance, is it a seed) of the strings that look like identifiers, of any length, and the seeds. The pattern is the word before and the word after."""
     words = chunk.words()
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[chunk.data], dtype=np.int64)])
-    like = (digits[words.ends] - digits[words.starts] >= DIGITS) & (words.ends - words.starts >= LEAST)
-    signs = np.flatnonzero(chunk.data == ord("@"))
-    if len(signs) and len(words.starts):
-        k = np.searchsorted(words.starts, signs, "right") - 1
-        like[k[k >= 0]] = True
     text, n = chunk.data.tobytes(), len(words.starts)
     picked: list[tuple[int, int, int, bool]] = []
     for i, spans in enumerate(base):
         picked += [(i, a + int(chunk.offsets[i]), b + int(chunk.offsets[i]), True) for a, _, b in spans]
-    at = np.flatnonzero(like)
-    for i, k in zip(document_of(chunk, words.starts[at]).tolist(), at.tolist(), strict=True):
-        a, b = int(words.starts[k]), int(words.ends[k])
+    firsts, lasts = _identifier_like(chunk, words, base)
+    for i, k, m in zip(document_of(chunk, words.starts[firsts]).tolist(), firsts.tolist(), lasts.tolist(), strict=True):
+        a, b = int(words.starts[k]), int(words.ends[m])
         core = text[a:b].lstrip(_TRIM)
         a = b - len(core)
         b = a + len(core.rstrip(_TRIM))
-        first = int(chunk.offsets[i])
-        if LEAST <= b - a <= MOST and not any(x + first < b and a < y + first for x, _, y in base[i]):
+        if b - a >= LEAST:
             picked.append((i, a, b, False))
     for i, a, b, seed in picked:
         k, m = int(np.searchsorted(words.ends, a, "right")), int(np.searchsorted(words.starts, b))
@@ -146,7 +152,7 @@ def candidates(chunk: Chunk, base: list[list[tuple[int, int, int]]]) -> Iterator
         cut = m - 1
         right = text[b : words.ends[cut]].strip(_TRIM) if 0 <= cut < n and words.ends[cut] > b else b""
         right = right or (text[words.starts[m] : words.ends[m]] if m < words.bounds[i + 1] else b"$")
-        yield i, a, b, b" ".join([left[-MOST:].lower(), _shape(text[a:b])[:MOST], right[:MOST].lower()]), text[a:b], seed
+        yield i, a, b, left.lower() + b" " + right.lower(), text[a:b], seed
 
 
 _CANDIDATE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.binary()), ("instance", pa.binary()), ("seed", pa.bool_())])
@@ -195,14 +201,16 @@ def with_personal_data(documents: DataFrame, rounds: int = ROUNDS, trust: float
     bounded_batches(documents.sparkSession)
     own = documents.drop("spans", "near__", "row__", "added__")
     kept = [c for c in own.columns if keep_text or c != "text"]
-    kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in kept)
-    found = own.mapInArrow(lambda batches: _search(batches, kept), f"{kinds}, spans {SPAN_SQL}, near__ {_CANDIDATE_SQL}")
+    schema = StructType([StructField(c, own.schema[c].dataType) for c in kept])
+    for field in StructType.fromDDL(f"spans {SPAN_SQL}, near__ {_CANDIDATE_SQL}"):
+        schema = schema.add(field)
+    found = own.mapInArrow(lambda batches: _search(batches, kept), schema)
     found = written(found.withColumn("row__", F.monotonically_increasing_id()))
     near = found.where(F.size("near__") > 0).select("row__", F.explode("near__").alias("c")).select("row__", "c.*")
     patterns = trusted_patterns(near.select("pattern", "instance", "seed"), rounds, trust, seeds)
     added = near.where("NOT seed").join(patterns, "pattern", "left_semi").groupBy("row__").agg(F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("rank"), F.lit(KINDS[-1]).alias("kind"), "end")).alias("added__"))
     both = found.join(added, "row__", "left")
-    return both.select(*(f"`{c}`" for c in kept), F.array_sort(F.when(F.col("added__").isNull(), F.col("spans")).otherwise(F.concat("spans", "added__"))).alias("spans"))
+    return both.select(*map(named, kept), F.array_sort(F.when(F.col("added__").isNull(), F.col("spans")).otherwise(F.concat("spans", "added__"))).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -215,7 +223,7 @@ def digest(found: DataFrame) -> DataFrame:
 def masked(documents: DataFrame) -> DataFrame:
     """documents with each span of personal data in text replaced by its kind in angle brackets; n_chars, where it is there, is counted anew for those texts.
 
-    Overlapping spans are replaced together, by the first one's kind.
+    Overlapping spans are replaced together, by the first one's kind. documents: doc_id and text; all other columns are kept, whatever their names. A null text stays null, an empty one empty; texts of any length are masked whole; repeated rows are masked each for itself; an empty table gives an empty result.
     """
     found = with_personal_data(packed(documents))
 
@@ -232,5 +240,5 @@ def masked(documents: DataFrame) -> DataFrame:
     changed = found.withColumn("masked", text)
     replaced = {"text": F.col("masked")}
     if "n_chars" in documents.columns:
-        replaced["n_chars"] = F.when(F.size("spans") > 0, F.char_length("masked")).otherwise(F.col("rest__.n_chars")).cast(documents.schema["n_chars"].dataType)
+        replaced["n_chars"] = F.when(F.size("spans") > 0, F.char_length("masked")).otherwise(packed_column(documents.columns, "n_chars")).cast(documents.schema["n_chars"].dataType)
     return unpacked(changed, documents.columns, **replaced)

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from attestra.llm.personal_data import digest, luhn, masked, with_personal_data
+from attestra.llm.personal_data import digest, luhn, masked, trusted_patterns, with_personal_data
 
 DIGITS = re.compile("[0-9]")
 
@@ -60,3 +60,31 @@ def test_masked_and_odd_tables(spark):
     got = sorted((r.doc_id or 0, r.text, r.n_chars) for r in masked(docs).collect())
     assert got[1] == got[2] == (1, "é write <EMAIL> or <IP>!", 24) and got[3] == (2, "clean", 5) and got[0][1] is None
     assert with_personal_data(docs.limit(0)).count() == 0
+
+
+def test_contexts_discover_other_shapes_groups_and_long_strings(spark):
+    texts = [f"write to u{i}@site{i}.org for help" for i in range(9)]
+    texts += ["write to AB-123456 for help", "write to 123 45 6789 for help", f"write to {'9x' * 400} for help", "write to 4111 1111. 22 for help", "see AB-123456 there now"]
+    got = run(spark, texts)
+    assert got[9].spans == "context:9:18" and got[10].spans == "context:9:20" and got[11].spans == "context:9:809"
+    assert not got[12].spans and not got[13].spans
+
+
+def test_scores_match_plain_python(spark):
+    rnd = random.Random(8)
+    edges = {(f"p{rnd.randint(0, 11)}", f"i{rnd.randint(0, 39)}"): None for _ in range(150)}
+    seeds = {f"i{k}" for k in range(26)}
+    frame = spark.createDataFrame([(p.encode(), i.encode(), i in seeds) for p, i in edges for _ in range(2)], "pattern binary, instance binary, seed boolean")
+    for rounds, trust, least in ((1, 0.5, 3), (3, 0.55, 4), (5, 0.6, 2)):
+        own = {p: {i for q, i in edges if q == p} for p, _ in edges}
+        own = {p: x for p, x in own.items() if len(x & seeds) >= least}
+        belief = dict.fromkeys(seeds, 1.0)
+        for _ in range(rounds):
+            score = {p: sum(belief.get(i, 0.0) for i in x) / (len(x) + 1) for p, x in own.items()}
+            for i in {i for x in own.values() for i in x} - seeds:
+                doubt = 1.0
+                for p in (p for p, x in own.items() if i in x):
+                    doubt *= 1 - min(score[p], 0.999)
+                belief[i] = 1 - doubt
+        got = {bytes(r.pattern).decode() for r in trusted_patterns(frame, rounds, trust, least).collect()}
+        assert got == {p for p, s in score.items() if s >= trust}
