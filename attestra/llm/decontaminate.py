@@ -5,6 +5,8 @@ The words of the test items, lower-cased, go into one suffix automaton; each doc
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared_tables import bounded_batches, written
+from attestra.llm.shared_tables import bounded_batches, packed, packed_column, unpacked, written
 from attestra.llm.text_arrays import Chunk, chunks, covered, joined, members
 
 WINDOW = 10
@@ -177,77 +179,98 @@ class Items:
 def decontaminate(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, item_ids (sorted as strings), hits (maximal runs of hit words as [first, end) word numbers).
 
-    documents: doc_id and text, benchmark: item_id and text; other columns are ignored. Null texts have no words. Items without words are never found; equal items are found together. Repeated documents are searched each for itself. The items are read block by block of a bounded number of words; a block's automaton goes to every task, and with several blocks their findings are merged by row.
+    documents: doc_id and text, benchmark: item_id and text; other columns are ignored. Null and empty texts have no words; texts of any length are searched whole. Items without words are never found; equal items are found together, and items without an id count for hits alone. Repeated documents are searched each for itself; empty tables give no rows, or no hits. The driver reads the items block by block, each of at most block_words words or one item; a block's automaton goes to every task, and with several blocks their findings are merged by row.
     """
     bounded_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    return _found(docs, list(_blocks(benchmark, block_words)) or [[]]).drop("row")
+    return _found(docs, benchmark, block_words).drop("row")
 
 
 def without_contamination(documents: DataFrame, benchmark: DataFrame, max_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """documents with the hit words cut out of their texts, each run leaving a space; those with more than max_share of their words hit are removed.
 
-    All columns of documents are kept; n_chars, where it is there, is counted anew for texts that were cut.
+    All columns of documents are kept, whatever their names; n_chars, where it is there, is counted anew for texts that were cut. Null and empty texts stay as they are; texts of any length are searched and cut whole; repeated rows are cut each for itself; without items, or without documents, nothing changes.
     """
     bounded_batches(documents.sparkSession)
-    blocks = list(_blocks(benchmark, block_words))
-    if not blocks:
-        return documents
-    kept = [c for c in documents.columns if c not in ("doc_id", "text")]
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(F.lit(1).alias("_"), *kept).alias("rest")).withColumn("row", F.monotonically_increasing_id())
-    if len(blocks) == 1:
-        cut = _cut(docs, _task(docs, blocks[0]))
-    else:
+    docs = packed(documents).withColumn("row", F.monotonically_increasing_id())
+    first, more = _first_block(benchmark, block_words)
+    if more:
         docs = written(docs)
-        cut = _cut(docs.join(_found(docs, blocks).select("row", "n_words", "n_hit", "hits"), "row"), None)
+        cut = _cut(docs.join(_found(docs, benchmark, block_words).select("row", "n_words", "n_hit", "hits"), "row"), None)
+    else:
+        cut = _cut(docs, _task(docs, first))
     cut = cut.where(F.col("n_hit") <= max_share * F.col("n_words"))
-    out = [F.when(F.col("n_hit") > 0, F.char_length("text")).otherwise(F.col("rest")[c]).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in documents.columns]
-    return cut.select(*out)
+    replaced = {}
+    if "n_chars" in documents.columns:
+        replaced["n_chars"] = F.when(F.col("n_hit") > 0, F.char_length("text")).otherwise(packed_column(documents.columns, "n_chars")).cast(documents.schema["n_chars"].dataType)
+    return unpacked(cut, documents.columns, **replaced)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, block_words: int) -> DataFrame:
+    first, more = _first_block(benchmark, block_words)
+    if not more:
+        return _searched(docs, first)
+    docs = written(docs)
+    # a block's findings are written before the next block is read
+    parts = [written(_searched(docs, block)) for block in _blocks(benchmark, block_words)]
+    whole = functools.reduce(DataFrame.unionByName, parts)
+    whole = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return whole.mapInArrow(_merged, whole.select("row", "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), "item_ids", "hits").schema)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The findings of all blocks in a document: runs that meet become one."""
+    for batch in batches:
+        n_hit, named, spans = [], [], []
+        for found, ids in zip(batch.column("hits").to_pylist(), batch.column("item_ids").to_pylist(), strict=True):
+            own: list[dict] = []
+            for x in found:
+                if own and own[-1]["end"] >= x["first"]:
+                    own[-1]["end"] = max(own[-1]["end"], x["end"])
+                else:
+                    own.append(x)
+            spans.append(own)
+            named.append(sorted(set(ids)))
+            n_hit.append(sum(x["end"] - x["first"] for x in own))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_words")), pa.array(n_hit, pa.int64()), pa.array(named, pa.list_(pa.string())), pa.array(spans, pa.list_(_SPAN))], names=["row", "doc_id", "n_words", "n_hit", "item_ids", "hits"])
 
 
-def _found(docs: DataFrame, blocks: list[list[tuple[str, str | None]]]) -> DataFrame:
-    if len(blocks) > 1:
-        docs = written(docs)
-    parts = [_searched(docs, block) for block in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    whole = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    whole = whole.withColumn("hits", F.aggregate(
-        "hits",
-        F.slice("hits", 1, 0),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & (F.try_element_at(out, F.size(out))["end"] >= x["first"]),
-            F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.greatest(F.size(out), F.lit(1)))["first"].alias("first"), F.greatest(F.try_element_at(out, F.greatest(F.size(out), F.lit(1)))["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(out, F.array(x))),
-    ))
-    return whole.select("row", "doc_id", "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"]).alias("n_hit"), "item_ids", "hits")
-
-
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
     """Items one block after another; the driver holds a block and a partition at most."""
     block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").toLocalIterator():
-        n = len(r["text"]) // 2 + 1
-        if block and size + n > block_words * 8:
+        n = len(item_words(r["text"]))
+        if block and size + n > block_words:
             yield block
             block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += n
+        if n:
+            block.append((r["item_id"], r["text"]))
+            size += n
     if block:
         yield block
 
 
+def _first_block(benchmark: DataFrame, block_words: int) -> tuple[list[tuple[str, str]], bool]:
+    """The first block of items (empty if there is none), and whether there are more."""
+    blocks = _blocks(benchmark, block_words)
+    return next(blocks, []), next(blocks, None) is not None
+
+
 _SPAN = pa.struct([("first", pa.int64()), ("end", pa.int64())])
 
 
-def _task(docs: DataFrame, block: list[tuple[str, str | None]]):
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+#: A worker keeps the automaton that it built last, for its next task.
+_BUILT: dict[str, Items] = {}
+
+
+def _task(docs: DataFrame, block: list[tuple[str, str]]):
+    sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def task() -> Items:
-        return Items(sent.value)
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = Items(sent.value)
+        return _BUILT[name]
 
     return task
 
@@ -264,7 +287,7 @@ def _spans(items: Items, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, list[lis
     return counts, n_hit, named, spans
 
 
-def _searched(docs: DataFrame, block: list[tuple[str, str | None]]) -> DataFrame:
+def _searched(docs: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
     task = _task(docs, block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,10 +324,10 @@ def _cut(docs: DataFrame, task) -> DataFrame:
                             out.append(text[at : int(words.starts[first + x["first"]]) - base])
                             at = int(words.ends[first + x["end"] - 1]) - base
                         texts[i] = b" ".join([*out, text[at:]]).decode()
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(texts, pa.string()), own.column("rest"), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64())], names=["doc_id", "text", "rest", "n_words", "n_hit"])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(texts, pa.string()), own.column("rest__"), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64())], names=["doc_id", "text", "rest__", "n_words", "n_hit"])
 
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "rest")}
-    return docs.mapInArrow(cut, f"doc_id {kinds['doc_id']}, text string, rest {kinds['rest']}, n_words long, n_hit long")
+    zero = F.lit(0).cast("long")
+    return docs.mapInArrow(cut, docs.select("doc_id", "text", "rest__", zero.alias("n_words"), zero.alias("n_hit")).schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
