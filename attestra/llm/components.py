@@ -9,7 +9,10 @@ from attestra.llm.shared_tables import written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and component (its least node) of all nodes in links (a, b); each round takes the least label near by and jumps along labels, until none changes."""
+    """node and component (its least node) of all nodes in links (a, b); each round takes the least label near by and jumps along labels, until none changes.
+
+    Repeated links and links of a node with itself change nothing; an empty table gives an empty result; a link with a null is ignored.
+    """
     edges = written(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:

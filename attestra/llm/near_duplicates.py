@@ -185,7 +185,7 @@ def _links(documents: DataFrame, signed: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles and class_id, the least doc_id of its class.
 
-    A class is what links of Jaccard similarity SIMILARITY or more, over sets of five-word shingles, connect. documents: doc_id and text; other columns are ignored. A text of fewer than five words has one shingle of all of them; one without words, or null, is in a class of its own. A null doc_id has the null class and links nothing. Repeated rows share their class; an empty table gives an empty result.
+    A class is what links of Jaccard similarity SIMILARITY or more, over sets of five-word shingles, connect. documents: doc_id and text; other columns are ignored. A text of fewer than five words has one shingle of all of them; one without words, or null, is in a class of its own. Texts of any length are compared whole; the least doc_id settles ties. A null doc_id has the null class and links nothing. Repeated rows share their class; an empty table gives an empty result.
     """
     bounded_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestra.llm.shared_tables import written
+from attestra.llm.shared_tables import named, written
 
 #: Documents in a block, slots of a period that weights are rounded to if they are to be, and hexadecimal digits of the parts that each source's documents are counted in.
 BLOCK, RESOLUTION, DIGITS = 64, 400, 3
@@ -94,11 +94,11 @@ def schedule(totals: DataFrame, block: int, resolution: int | None) -> DataFrame
 def mixed(documents: DataFrame, weights: dict[str, float | Fraction] | None = None, block: int = BLOCK, resolution: int | None = None, digits: int = DIGITS) -> DataFrame:
     """documents with three more columns: block (of the source, from 0), slot (of all; the order in which blocks are read) and place (within the block).
 
-    documents: doc_id and source; other columns are kept, and ones named block, slot or place are replaced. weights: target weights by source, 1 for those not named. They are kept exactly, unless there is a resolution: then each is rounded to a whole number of slots of a period of about that size, at least one. Every row is placed: sources that run out leave the others their slots, so that slots near such an end may stay empty. The order within a source is that of the md5 of doc_id's digits; rows of equal doc_id stand next to each other in any order; rows without a source form a source of their own; an empty table gives an empty result. Only sources, not documents, are ever gathered in one place.
+    documents: doc_id and source; other columns are kept, and ones named block, slot or place are replaced. weights: target weights by source, 1 for those not named. They are kept exactly, unless there is a resolution: then each is rounded to a whole number of slots of a period of about that size, at least one. Every row is placed: sources that run out leave the others their slots, so that slots near such an end may stay empty. Texts are not looked at. The order within a source is that of the md5 of doc_id's digits, and of equal deadlines the source of the least name goes first; rows of equal doc_id stand next to each other in any order; rows without a source form a source of their own; an empty table gives an empty result. Only sources, not documents, are ever gathered in one place.
     """
     own = documents.drop("block", "slot", "place")
     key, number = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    docs = own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("own_"), "doc_id", key.alias("key_"), F.md5(number).alias("hash_")).withColumn("bucket_", F.left("hash_", F.lit(digits)))
+    docs = own.select(F.struct(*map(named, own.columns)).alias("own_"), "doc_id", key.alias("key_"), F.md5(number).alias("hash_")).withColumn("bucket_", F.left("hash_", F.lit(digits)))
     counts = docs.groupBy("key_", "bucket_").agg(F.count("*").alias("n_"))
     counts = written(counts)
     before = F.coalesce(F.sum("n_").over(Window.partitionBy("key_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
