@@ -33,7 +33,7 @@ def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS, resolution=source_mixing.RESOLUTION)  # as its SQL rounds
+    return source_mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +65,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_repeated_spans, op4_source_mixing, op5_near_duplicates, op6_personal_data, op7_language_model, op8_secrets, op9_decontaminate, op10_quality_classifier)
 }
 
-_WEIGHT = "CASE source " + " ".join(f"WHEN '{name}' THEN {w}" for name, w in WEIGHTS.items()) + " ELSE 1.0 END"
+#: Twice each weight, a whole number.
+_WEIGHT = "CASE source " + " ".join(f"WHEN '{name}' THEN {int(2 * w)}" for name, w in WEIGHTS.items()) + " ELSE 2 END"
 
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('=' || source, '-') AS key, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS nr FROM documents
-), t AS (SELECT key, CAST({_WEIGHT} AS DOUBLE) AS weight, ceil(count(*) / {source_mixing.BLOCK}.0) AS blocks FROM d GROUP BY key, source
-), s AS (SELECT key, greatest(1, CAST(round(weight / (SELECT sum(weight) FROM t) * {source_mixing.RESOLUTION}) AS BIGINT)) AS a, blocks FROM t
+), t AS (SELECT key, CAST({_WEIGHT} AS BIGINT) AS weight, ceil(count(*) / {source_mixing.BLOCK}.0) AS blocks FROM d GROUP BY key, source
+), s AS (SELECT key, weight // (SELECT list_reduce(list(weight), lambda x, y: gcd(x, y)) FROM t) AS a, blocks FROM t
 ), q AS (SELECT key, a, CAST(ceil(blocks / a) AS BIGINT) AS periods FROM s
 ), ends AS (SELECT DISTINCT periods AS until FROM q
 ), phase AS (SELECT until, coalesce(lag(until) OVER (ORDER BY until), 0) AS since FROM ends

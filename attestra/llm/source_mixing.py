@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from attestra.llm.shared_tables import named, written
 
-#: Documents in a block, slots of a period that weights are rounded to if they are to be, and hexadecimal digits of the parts that each source's documents are counted in.
-BLOCK, RESOLUTION, DIGITS = 64, 400, 3
+#: Documents in a block, and hexadecimal digits of the parts that each source's documents are counted in.
+BLOCK, DIGITS = 64, 3
 #: Sources up to which the schedule, at most this many periods and one for each source, goes to every task.
 FEW_SOURCES = 128
 #: The largest whole weight: finer ones are refused, as their period has too many slots.

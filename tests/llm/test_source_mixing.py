@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import pytest
 
+from attestra.llm.queries import WEIGHTS
 from attestra.llm.source_mixing import mixed
 
 
@@ -103,3 +104,9 @@ def test_exact_weights_of_many_sources(spark):
 def test_too_fine_weights_are_refused(spark):
     with pytest.raises(ValueError):
         mixed(documents(spark, {"a": 1}), {"a": 1 / 3})
+
+
+def test_production_weights_over_thousands_of_blocks(spark):
+    sizes = {f"src{k}": int(2 * WEIGHTS.get(f"src{k}", 1) * 110) for k in range(20)}
+    got = mixed(documents(spark, sizes), WEIGHTS, block=1).collect()
+    assert len(got) == 5390 and off_by_a_block(got, WEIGHTS, sizes) is None
