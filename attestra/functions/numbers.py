@@ -128,3 +128,14 @@ def spoken_number(c: Column) -> Column:
     head = F.split(s, r"\bpoint\b")[0]
     tokens = F.filter(F.split(head, r"[\s-]+"), lambda t: t != "")
     return F.when(s.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), s.try_cast("double")).otherwise(_words_value(tokens))
+
+
+def download_size(model: Column, sizes: Column, fallback: int, addend: int, with_addend: Column) -> Column:
+    """Bytes to fetch for a model, by a map of known sizes; what is not known counts as the fallback. The addend is for what comes with every model."""
+    return F.coalesce(F.try_element_at(sizes, model), F.lit(fallback)) + F.when(with_addend, addend).otherwise(0)
+
+
+def retries_that_fit(requested: Column, batches: Column, budget_ms: float, attempt_ms: float, base_ms: float, cap_ms: float) -> Column:
+    """The most retries, up to those requested, whose worst case (attempts and waits of every batch) fits the budget; 0 if none does."""
+    fits = F.filter(F.sequence(F.lit(0), F.greatest(requested.cast("int"), F.lit(0))), lambda r: batches * ((r + 1) * attempt_ms + total_backoff(r, base_ms, cap_ms)) <= budget_ms)
+    return F.coalesce(F.array_max(fits), F.lit(0))

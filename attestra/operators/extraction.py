@@ -90,3 +90,22 @@ def transcribed(chunks: DataFrame, transcriber: Transcriber) -> DataFrame:
 def extractor_for(key: str | None, one_call: bool, double: Extractor, real: Extractor) -> tuple[str, Extractor]:
     """Which way to extract: without a key the double; else by group, or all in one call."""
     return ("double", double) if not key else ("single-shot" if one_call else "per-group", real)
+
+
+def instructions(rules: Column, preamble: str, base_heading: str, further_heading: str, output: str, marker: str, last_base: int = 6) -> Column:
+    """Instructions from rules (an array of number and text): those up to last_base under one heading, the others, if there are any, under another; then what to put out, and last the marker that the text follows."""
+    texts = lambda keep: F.array_join(F.transform(F.array_sort(F.filter(rules, lambda r: keep(r["number"]))), lambda r: r["text"]), "\n\n")
+    more = texts(lambda n: n > last_base)
+    return F.concat(F.lit(preamble + base_heading), texts(lambda n: n <= last_base), F.when(more != "", F.concat(F.lit(further_heading), more)).otherwise(""), F.lit(output + marker))
+
+
+def conversation(said: Column, examples: Column, text: Column, group: Column | None = None) -> Column:
+    """The conversation to send, as an array of role and content: instructions, each example (text, fields: a map from group to JSON) as a turn of its own, and the text. With a group, examples show only its fields, and those that lack it are left out."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    if group is None:
+        shown = F.transform(examples, lambda e: F.struct(e["text"].alias("text"), F.to_json(e["fields"]).alias("fields")))
+    else:
+        own = F.filter(examples, lambda e: F.map_contains_key(e["fields"], group))
+        shown = F.transform(own, lambda e: F.struct(e["text"].alias("text"), F.to_json(F.map_filter(e["fields"], lambda k, _: k == group)).alias("fields")))
+    turns = F.flatten(F.transform(shown, lambda e: F.array(turn("user", e["text"]), turn("assistant", e["fields"]))))
+    return F.concat(F.array(turn("system", said)), turns, F.array(turn("user", text)))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attestra.sources.folders import written
+
 #: Fixed values.
 STATUSES = ("recording", "queued", "transcribing", "extracting", "awaiting-review", "writing", "failed", "done", "discarded", "dead")
 ACTIVE = ("queued", "transcribing", "extracting", "writing", "failed")
@@ -77,12 +79,19 @@ def due(items: DataFrame, now: Column) -> DataFrame:
 def with_seq(items: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """new with seq: onwards from the highest in items, in the given order. Rows are numbered within ranges of the order; only a count for each range is gathered in one task."""
     top = items.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top")).scalar()
-    ranged = new.repartitionByRange(order).withColumn("range__", F.spark_partition_id()).persist()  # counted and numbered in the same ranges
+    return numbered(new, [order], "nth__").withColumn("seq", top + F.col("nth__")).drop("nth__")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their number, from 1, in an order that has no ties. Ranges of the order are numbered each for itself from what the ranges before hold; only a count for each range is gathered in one task."""
+    ranged = rows.repartitionByRange(*order).withColumn("range__", F.spark_partition_id())
+    # written, so that rows are counted and numbered in the same ranges whatever executors are lost
+    ranged = written(ranged)
     counts = ranged.groupBy("range__").agg(F.count("*").alias("n__"))
     before = F.sum("n__").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
     starts = counts.select("range__", F.coalesce(before, F.lit(0)).alias("before__"))
-    numbered = ranged.withColumn("nth__", F.row_number().over(Window.partitionBy("range__").orderBy(order)))
-    return numbered.join(F.broadcast(starts), "range__").withColumn("seq", top + F.col("before__") + F.col("nth__")).drop("range__", "before__", "nth__")
+    within = ranged.withColumn("nth_in__", F.row_number().over(Window.partitionBy("range__").orderBy(*order)))
+    return within.join(F.broadcast(starts), "range__").withColumn(name, F.col("before__") + F.col("nth_in__")).drop("range__", "before__", "nth_in__")
 
 
 def with_audio(items: DataFrame, audio: DataFrame, chunks: DataFrame) -> DataFrame:

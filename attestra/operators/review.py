@@ -124,3 +124,35 @@ def missing_keys(json: Column, keys: list[str]) -> Column:
 
 def extra_keys(json: Column, keys: list[str]) -> Column:
     return F.array_except(F.coalesce(F.json_object_keys(json), F.expr("CAST(array() AS array<string>)")), F.array(*map(F.lit, keys)))
+
+
+_KEYS = ("value", "sourceSpan", "confidence")
+
+
+def loose_leaves(records: DataFrame, json: str, depth: int = 8) -> DataFrame:
+    """Leaves of JSON objects without a schema: whatever has a value, a source span and a confidence is a leaf, any other object is gone into, to `depth` levels. Columns: the others, path, value (as JSON text), confidence (clamped to 0..1) and source_span; what is no object gives nothing."""
+    others = [c for c in records.columns if c != json]
+    level = records.select(*others, F.lit("").alias("path__"), F.col(json).alias("node__"))
+    found = []
+    for _ in range(depth):
+        inner = level.select(*others, "path__", F.explode(F.from_json("node__", "map<string,string>")).alias("key__", "node__"))
+        level = inner.select(*others, F.when(F.col("path__") == "", F.col("key__")).otherwise(F.concat_ws(".", "path__", "key__")).alias("path__"), "node__")
+        keys = F.coalesce(F.json_object_keys("node__"), F.expr("CAST(array() AS array<string>)"))
+        leaf = F.size(F.array_intersect(keys, F.array(*map(F.lit, _KEYS)))) == len(_KEYS)
+        found.append(level.where(leaf))
+        level = level.where(~leaf & F.startswith("node__", F.lit("{")))
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    got = F.from_json("node__", "value string, sourceSpan string, confidence double")
+    return whole.select(*others, F.col("path__").alias("path"), got["value"].alias("value"), clamped(F.coalesce(got["confidence"], F.lit(0.0))).alias("confidence"), got["sourceSpan"].alias("source_span"))
+
+
+def parsed(json: Column, schema: T.StructType, context: Column) -> Column:
+    """A struct of the fields, if the JSON is an object with exactly a schema's keys and their kinds, and error: what is wrong, where."""
+    names = [f.name for f in schema.fields]
+    keys, got = F.json_object_keys(json), F.from_json(json, schema)
+    lacking, odd = missing_keys(json, names), extra_keys(json, names)
+    wrong = F.array_compact(F.array(*(F.when(F.get_json_object(json, f"$.{f.name}").isNotNull() & got[f.name].isNull(), f.name) for f in schema.fields)))
+    problem = F.when(keys.isNull(), "no JSON object").when(F.size(lacking) > 0, F.concat(F.lit("missing "), F.array_join(lacking, ", "))).when(F.size(odd) > 0, F.concat(F.lit("unknown "), F.array_join(odd, ", "))).when(F.size(wrong) > 0, F.concat(F.lit("wrong kind of "), F.array_join(wrong, ", ")))
+    return F.struct(F.when(problem.isNull(), got).alias("fields"), F.concat(context, F.lit(": "), problem).alias("error"))

@@ -154,3 +154,78 @@ def axis_category(equipment_truth: Column, equipment: Column, fuel_truth: Column
 def history_line(runs: DataFrame, value: str, order: str = "captured_at") -> DataFrame:
     """By label the least, greatest and last value of its runs."""
     return runs.groupBy("label").agg(F.min(value).alias("least"), F.max(value).alias("greatest"), F.max_by(value, order).alias("last"), F.count("*").alias("n"))
+
+
+def enum_tag(options: Column, truth: Column, value: Column) -> Column:
+    """How far a value is from a true member of an ordered vocabulary: invalid (none of it), boundary (its neighbour), or null."""
+    x, y = F.array_position(options, truth), F.array_position(options, value)
+    return F.when(y == 0, "invalid").when(F.abs(x - y) == 1, "boundary")
+
+
+def counters(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """All 43 counters of judged cells that also have options (an enum's or band's members in order), by_name (the value is a member's name, not the member) and converted (a value that may not be made from what the text says)."""
+    generic, health, v = ~F.col("is_health"), F.col("is_health"), F.col("verdict")
+    there, said = F.col("truth").isNotNull(), F.col("value").isNotNull()
+    scored = judged.withColumn("tag__", F.when(F.col("kind") == "enum", enum_tag(F.col("options"), F.col("truth"), F.col("value"))))
+    compared = generic & v.isin("correct", "wrong", "retracted")
+    enum, band, right, tag = compared & (F.col("kind") == "enum"), compared & F.col("is_band"), v == "correct", F.coalesce("tag__", F.lit(""))
+    passed, member = F.col("truth") == "Passed", v.isin("correct", "health-correct") & (F.col("kind") == "enum")
+    span = F.col("span_issue")
+    n = F.count_if
+    return scored.groupBy(*(by or [])).agg(
+        n(generic & ~there).alias("gt_null"), n(generic & there).alias("gt_non_null"), n(~there & ~said).alias("correct_null"), _n("hallucination").alias("hallucination_hard"), _n("soft").alias("hallucination_soft"),
+        _n("unscorable").alias("unscorable"), _n("miss").alias("miss"), n(generic & (v == "excused")).alias("miss_excused"), n(there & said).alias("both_non_null"), n(generic & right).alias("correct"), _n("wrong", "retracted").alias("wrong"),
+        n(~there & said & F.col("converted")).alias("rvalue_conversion"), n(enum).alias("enum_gt_member"), n(enum & right).alias("enum_correct"), n(enum & ~right & ~tag.isin("invalid", "boundary")).alias("enum_wrong_member"), n(enum & ~right & (tag == "invalid")).alias("enum_invalid"),
+        n((v == "miss") & (F.col("kind") == "enum")).alias("enum_miss"), _n("sanctioned").alias("enum_sanctioned"), n(member & ~F.col("by_name")).alias("vocab_api"), n(member & F.col("by_name")).alias("vocab_slug"),
+        n(band).alias("band_gt"), n(band & right).alias("band_correct"), n(band & ~right & (tag == "boundary")).alias("band_boundary"), n(band & ~right & (tag != "boundary")).alias("band_wrong"), n((v == "miss") & F.col("is_band")).alias("band_miss"),
+        n(said).alias("span_checked"), n(said & span.isNull()).alias("span_verbatim"), n(said & (span == "near-miss")).alias("span_near_miss"), n(said & (span == "fabricated")).alias("span_fabricated"), n(said & (span == "missing")).alias("span_missing"),
+        n(health & ~there).alias("h_gt_null"), _n("health-correct-null").alias("h_correct_null"), _n("health-hallucinated-pass").alias("h_hallucinated_pass"), _n("health-hallucinated-problem").alias("h_hallucinated_problem"), _n("silent-not-tested").alias("h_silent_not_tested"),
+        n(health & there).alias("h_gt_state"), _n("health-correct").alias("h_correct_state"), _n("health-wrong-state").alias("h_wrong_state"), _n("health-miss").alias("h_miss"), n(health & (v == "excused")).alias("h_miss_excused"), n((v == "health-miss") & passed).alias("h_clean_dropped"),
+        n(health & passed).alias("h_gt_passed"), n((v == "health-correct") & passed).alias("h_gt_passed_correct"),
+    )
+
+
+def corpus_counters(counted: DataFrame, reports: DataFrame, names: list[str], by: str = "slug") -> DataFrame:
+    """Sums of counters over all reports; one without cells counts as a report that is not scored, and adds nothing."""
+    both = reports.select(by).join(counted.withColumn("scored__", F.lit(True)), by, "left")
+    return both.agg(F.count("*").alias("n_reports"), F.count_if("scored__").alias("n_scored"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+
+
+def report_flags(counted: DataFrame) -> DataFrame:
+    """counted with flags: what a report should be looked at for, in a fixed order (hazard_pair and off_schema say whether a pair of fields was torn apart and whether the shape was off)."""
+    c = F.col
+    marks = ((c("hallucination_hard") > 0, "HALLUC"), (c("rvalue_conversion") > 0, "RCONV"), (c("h_hallucinated_pass") > 0, "HPASS"), (c("span_fabricated") + c("span_missing") > 0, "SPAN"), (c("hazard_pair"), "FUELDROP"), (c("off_schema"), "SCHEMA"))
+    return counted.withColumn("flags", F.array_compact(F.array(*(F.when(on, name) for on, name in marks))))
+
+
+def run_gate(shapes: DataFrame, hazards: DataFrame, by: list[str]) -> DataFrame:
+    """By run: whether it passes (every slug scored, no hazard, every shape conforming), and how many shapes conformed at the first try, after more, and never. shapes: by, slug, scored, conforming, attempts; hazards: by and n_hazards, null for none."""
+    ok = F.coalesce("conforming", F.lit(False))
+    n = shapes.groupBy(*by).agg(
+        F.bool_and("scored").alias("all_scored"), F.bool_and(ok).alias("all_conforming"), F.count_if(ok & (F.col("attempts") == 1)).alias("first_try"), F.count_if(ok & (F.col("attempts") > 1)).alias("retried"), F.count_if(~ok).alias("never")
+    )
+    joined = n.join(hazards, by, "left").withColumn("n_hazards", F.coalesce("n_hazards", F.lit(0)))
+    return joined.withColumn("passed", F.col("all_scored") & F.col("all_conforming") & (F.col("n_hazards") == 0)).drop("all_scored", "all_conforming")
+
+
+def with_delta(base: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
+    """Each of the base's rows with the other run's value and the difference; both null where the other has no such row."""
+    there = other.select(key, F.col(value).alias("other"))
+    return base.select(key, F.col(value).alias("base")).join(there, key, "left").withColumn("delta", F.col("base") - F.col("other"))
+
+
+def lost(truth: DataFrame, base: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Cells (slug, path, value) that are true and that the base has, and the candidate has not."""
+    had = base.where("value IS NOT NULL").select("slug", "path", F.col("value").alias("base"))
+    has = candidate.where("value IS NOT NULL").select("slug", "path")
+    return truth.where("value IS NOT NULL").select("slug", "path", F.col("value").alias("truth")).join(had, ["slug", "path"]).join(has, ["slug", "path"], "left_anti")
+
+
+def fresh_baseline(runs: DataFrame, baselines: DataFrame) -> DataFrame:
+    """runs (fingerprint, backend, ...) with the baseline's rate, if it has the same fingerprint and the same backend; else null."""
+    return runs.join(baselines.select("fingerprint", "backend", F.col("rate").alias("baseline_rate")), ["fingerprint", "backend"], "left")
+
+
+def colliding_names(vocabulary: DataFrame) -> DataFrame:
+    """Names of a path's vocabulary (path, member, name) that stand for several members."""
+    return vocabulary.groupBy("path", "name").agg(F.count_distinct("member").alias("n")).where("n > 1")

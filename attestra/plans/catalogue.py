@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.plans import check_queries, queue_queries, region_queries, scoring_queries, set_queries, stream_queries, text_queries
+from attestra.plans import check_queries, queue_queries, region_queries, scoring_queries, set_queries, stream_queries, text_queries, truth_queries, write_queries
 
-_ALL = (text_queries, check_queries, queue_queries, region_queries, scoring_queries, set_queries, stream_queries)
+_ALL = (text_queries, check_queries, queue_queries, region_queries, scoring_queries, set_queries, stream_queries, truth_queries, write_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _ALL for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _ALL for k, s in m.ORACLE_SQL.items()}
 

@@ -29,7 +29,7 @@ p AS (SELECT l_orderkey, l_linenumber, k, l_suppkey, list_filter([CASE WHEN stat
   CASE WHEN status = 'asserted' AND kind = 'enum' AND member = 'R' THEN 'not a member' END, CASE WHEN status = 'asserted' AND no_fit = '' THEN 'no fit without a meaning' END, CASE WHEN status <> 'asserted' AND (value IS NOT NULL OR member IS NOT NULL OR no_fit IS NOT NULL) THEN 'a value that is not asserted' END,
   CASE WHEN span IS NOT NULL AND (span = '' OR l_linenumber = 5) THEN 'span not in the text' END], lambda x: x IS NOT NULL) AS problems FROM t) SELECT * FROM p""")
 def prj_truth_problems(spark, sf_dir):
-    """PRJ-24, PRJ-26, PRJ-27, LST-23, SRC-31."""
+    """PRJ-24, PRJ-26, PRJ-27, LST-23."""
     n, k = F.col("l_linenumber"), F.col("l_partkey")
     kind = F.when(k % 3 == 0, "number").when(k % 3 == 1, "string").otherwise("enum")
     status = F.element_at(F.array(*map(F.lit, ("unmentioned", "declared_absent", "asserted", "asserted", "odd"))), (F.col("l_suppkey") % 5).cast("int") + 1)
@@ -91,14 +91,14 @@ def stm_extraction_by_group(spark, sf_dir):
 
 @query("""SELECT conv_id AS item_id, string_agg(substr(text, 1, 5), ' ' ORDER BY turn) FILTER (trim(substr(text, 1, 5)) <> '') AS text FROM conversations GROUP BY conv_id""")
 def stm_transcription_by_chunk(spark, sf_dir):
-    """STM-21, STM-34, UDF-01, 15, 22."""
+    """STM-34, UDF-01, 15, 22."""
     chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("ord"), F.col("text").cast("binary").alias("audio"))
     return X.transcribed(chunks, lambda audio: audio.decode()[:5])
 
 
 @query("""SELECT DISTINCT ON (o_custkey) o_custkey AS idempotency_key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)""")
 def src_written_once(spark, sf_dir):
-    """SRC-43, UDF-04, UDF-05: what a sink may send, once for each key."""
+    """SRC-43: what a sink may send, once for each key."""
     from attestra.sources.outbox import written_once
 
     writes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("idempotency_key"))

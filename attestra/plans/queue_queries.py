@@ -78,10 +78,10 @@ def agg_highest_seq(spark, sf_dir):
     return queue(spark, sf_dir).agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("highest"), F.coalesce(F.max(F.when(F.col("seq") < 0, F.col("seq"))), F.lit(-1)).alias("of_none"))
 
 
-@query(f"""WITH {QUEUE}, top AS (SELECT max(seq) AS top FROM q), n AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) AS r FROM customer WHERE c_custkey < 200) SELECT id, top + r AS seq FROM n, top""")
+@query(f"""WITH {QUEUE}, top AS (SELECT max(seq) AS top FROM q), n AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) SELECT id, top + r AS seq FROM n, top""")
 def src_new_seq(spark, sf_dir):
-    """SRC-07, SRC-08: numbers for a batch of new items."""
-    new = table(spark, sf_dir, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("id"))
+    """AGG-03: numbers for a batch of new items, from the highest onwards."""
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     return Q.with_seq(queue(spark, sf_dir), new, "id")
 
 
@@ -96,14 +96,14 @@ _CHUNKS = "c AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, 'audio-' || l_orderke
 
 @query(f"WITH {_CHUNKS} SELECT id, md5(string_agg(bytes, '' ORDER BY name)) AS whole, CAST(sum(length(bytes)) AS BIGINT) AS n FROM c GROUP BY id")
 def src_merged_chunks(spark, sf_dir):
-    """SRC-09, SRC-10, SRT-02, AGG-02."""
+    """SRC-10, SRT-02, AGG-02."""
     merged = Q.merged_chunks(_chunks(spark, sf_dir))
     return merged.select("id", F.md5("bytes").alias("whole"), F.length("bytes").cast("long").alias("n"))
 
 
 @query(f"WITH {_CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY name DESC, bytes DESC) AS r FROM c) SELECT id, md5(string_agg(bytes, '' ORDER BY name) FILTER (r > 1)) AS whole FROM r GROUP BY id")
 def src_merged_without_last(spark, sf_dir):
-    """SRC-11, STM-20: what is left for a second attempt at recovery."""
+    """SRC-11: what is left for a second attempt at recovery."""
     return Q.merged_chunks(_chunks(spark, sf_dir), without_last=True).select("id", F.md5("bytes").alias("whole"))
 
 
@@ -120,7 +120,7 @@ _LOG = "l AS (SELECT l_orderkey AS id, l_partkey * 10000000 + l_suppkey * 100 +
 
 @query(f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS r FROM l) SELECT id, status, n FROM r WHERE r = 1 AND NOT deleted")
 def src_latest_of_log(spark, sf_dir):
-    """SRC-01, 14, 15, 16, 17, 18, 35: the current rows of an append-only log."""
+    """SRC-01, SRC-35: the current rows of an append-only log."""
     version = F.col("l_partkey") * 10_000_000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")
     log = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), version.alias("version"), F.col("l_returnflag").alias("status"), F.col("l_quantity").alias("n"), ((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 7)).alias("deleted"))
     return Q.latest(log)
@@ -141,7 +141,7 @@ def stm_after_failure(spark, sf_dir):
 b AS (SELECT *, outcome IS NOT NULL AND status = 'awaiting-review' AS done FROM o)
 SELECT id, CASE WHEN done AND outcome = 'discarded' THEN 'discarded' WHEN done THEN 'writing' WHEN status = 'dead' AND transcript IS NOT NULL AND extracted IS NOT NULL THEN 'awaiting-review' ELSE status END AS status, CASE WHEN done THEN 0 ELSE attempts END AS attempts FROM b""")
 def stm_review_and_reopen(spark, sf_dir):
-    """STM-08, STM-09, SRC-12: guarded changes of state."""
+    """STM-08, STM-09: guarded changes of state."""
     items, k = queue(spark, sf_dir), F.col("seq")
     outcomes = items.where(k % 4 != 3).select("id", F.when(k % 4 == 0, "accepted").when(k % 4 == 1, "edited").otherwise("discarded").alias("outcome"))
     return Q.reopened(Q.reviewed(items, outcomes)).select("id", "status", "attempts")

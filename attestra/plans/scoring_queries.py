@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.functions.strings import member_slug
+from attestra.operators import queue as Q
 from attestra.operators import review as V
 from attestra.operators import scoring as C
+from attestra.sources.folders import written
 from attestra.plans.tables import CELLS, VERDICTS, cells, equal_sql, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -51,13 +53,13 @@ def score_verdicts(spark, sf_dir):
 
 @query(f"WITH {VERDICTS}, t AS (SELECT {_TOTALS} FROM j) SELECT *, {_RATES} FROM t")
 def score_corpus_totals(spark, sf_dir):
-    """AGG-04, 05, 10, 11, 12, 13."""
+    """AGG-10, 11, 12, 13."""
     return C.totals(judged(spark, sf_dir))
 
 
 @query(f"WITH {VERDICTS}, t AS (SELECT part % 14 AS run, path, {_TOTALS} FROM j GROUP BY ALL) SELECT *, {_RATES} FROM t")
 def score_rates_by_run(spark, sf_dir):
-    """AGG-15, AGG-20: the flagship, rates of each run and field."""
+    """AGG-20: the flagship, rates of each run and field."""
     return C.totals(judged(spark, sf_dir).withColumn("run", F.col("part") % 14), ["run", "path"])
 
 
@@ -66,7 +68,7 @@ _HAZARDS = ", ".join(f"count(*) FILTER (verdict = '{h}') AS {h.replace('-', '_')
 
 @query(f"WITH {VERDICTS} SELECT slug, bool_and(verdict NOT IN {C.HAZARDS}) AS passed, {_HAZARDS} FROM j GROUP BY slug")
 def score_gate(spark, sf_dir):
-    """PRJ-30, AGG-23."""
+    """PRJ-30: the hazards of each record."""
     return C.gate(judged(spark, sf_dir), ["slug"])
 
 
@@ -94,17 +96,15 @@ def agg_dense_grid(spark, sf_dir):
     return C.dense(agg_first_claims(spark, sf_dir), _FEW)
 
 
-@query(f"""WITH {VERDICTS}, p AS (SELECT *, CASE bucket WHEN 'fault' THEN 0 WHEN 'short' THEN 1 ELSE 2 END AS rank FROM j WHERE bucket NOT IN ('captured', 'absent')), f AS (SELECT rank, path, slug, min(part) AS part FROM p GROUP BY ALL ORDER BY rank, path, slug LIMIT 300),
+@query(f"""WITH {VERDICTS}, p AS (SELECT *, CASE bucket WHEN 'fault' THEN 0 WHEN 'short' THEN 1 ELSE 2 END AS rank FROM j WHERE bucket NOT IN ('captured', 'absent')), f AS (SELECT rank, path, slug, min(part) AS part FROM p GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (ORDER BY rank, path, slug) AS k FROM f)
 SELECT CASE WHEN k < 100 THEN 'p-' || lpad(CAST(k AS VARCHAR), 2, '0') ELSE 'p-' || k END AS id, path, slug, part, coalesce(rank <> lag(rank) OVER (ORDER BY k), true) AS heading, k - 1 AS x FROM n""")
 def win_problem_list(spark, sf_dir):
-    """PRJ-22, WIN-10, WIN-11, WIN-16, SRT-03: a report of the 300 worst."""
-    from pyspark.sql.window import Window
-
-    found = C.problems(judged(spark, sf_dir)).groupBy("rank", "path", "slug").agg(F.min("part").alias("part")).orderBy("rank", "path", "slug").limit(300)
-    w = Window.orderBy("rank", "path", "slug")  # of the 300 rows
-    k = F.row_number().over(w)
-    numbered = found.withColumn("k", k).withColumn("heading", F.coalesce(F.col("rank") != F.lag("rank").over(w), F.lit(True)))
+    """PRJ-22, WIN-10, WIN-11, WIN-16, SRT-03: a report of all problems, numbered by ranges of their order."""
+    found = C.problems(judged(spark, sf_dir)).groupBy("rank", "path", "slug").agg(F.min("part").alias("part"))
+    found = written(found)
+    first = found.groupBy("rank").agg(F.min(F.struct("path", "slug")).alias("first"))  # a row for each of three ranks
+    numbered = Q.numbered(found, ["rank", "path", "slug"], "k").join(F.broadcast(first), "rank").withColumn("heading", F.struct("path", "slug") == F.col("first"))
     digits = F.col("k").cast("string")
     return numbered.select(F.concat(F.lit("p-"), F.when(F.col("k") < 100, F.lpad(digits, 2, "0")).otherwise(digits)).alias("id"), "path", "slug", "part", "heading", (F.col("k") - 1).cast("long").alias("x"))
 
@@ -125,7 +125,7 @@ def agg_confidence_gap(spark, sf_dir):
 @query(f"""WITH {CELLS}, a AS (SELECT slug, path, min(value) AS value FROM c5 WHERE part % 3 <> 0 GROUP BY ALL), b AS (SELECT slug, path, max(value) AS value FROM c5 WHERE part % 4 <> 0 GROUP BY ALL)
 SELECT slug, path, a.value AS was, b.value AS now, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (slug, path) WHERE a.value IS DISTINCT FROM b.value""")
 def jon_drift(spark, sf_dir):
-    """JON-09, JON-10, JON-11, JON-20."""
+    """JON-20."""
     c = cells(spark, sf_dir)
     a = c.where("part % 3 != 0").groupBy("slug", "path").agg(F.min("value").alias("value"))
     return C.compared(a, c.where("part % 4 != 0").groupBy("slug", "path").agg(F.max("value").alias("value")))
@@ -144,7 +144,7 @@ def jon_axis_pairs(spark, sf_dir):
 @query("""WITH v AS (SELECT DISTINCT p_brand AS path, p_name AS member, replace(p_name, ' ', '_') AS name FROM part), x AS (SELECT p_partkey, p_brand AS path, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '_') ELSE p_type END AS value FROM part)
 SELECT p_partkey, x.path, x.value, coalesce(a.member, b.member) AS member FROM x LEFT JOIN v a ON x.path = a.path AND x.value = a.member LEFT JOIN v b ON x.path = b.path AND x.value = b.name""")
 def jon_members(spark, sf_dir):
-    """JON-05, JON-18, LST-12."""
+    """JON-05, JON-18."""
     p = table(spark, sf_dir, "part")
     vocabulary = p.select(F.col("p_brand").alias("path"), F.col("p_name").alias("member"), member_slug(F.col("p_name")).alias("name")).distinct()
     k = F.col("p_partkey") % 3
@@ -152,11 +152,11 @@ def jon_members(spark, sf_dir):
     return C.resolved_members(values, vocabulary)
 
 
-@query("""WITH s AS (SELECT o_orderkey AS slug, n AS path FROM orders, range(1, 8) r(n) WHERE o_orderkey < 3000), e AS (SELECT l_orderkey AS slug, l_linenumber AS path, min(CASE l_returnflag WHEN 'A' THEN 'asserted' ELSE 'unmentioned' END) AS status FROM lineitem GROUP BY ALL), d AS (SELECT DISTINCT l_orderkey AS slug, l_linenumber % 4 + 1 AS path FROM lineitem)
+@query("""WITH s AS (SELECT o_orderkey AS slug, n AS path FROM orders, range(1, 8) r(n)), e AS (SELECT l_orderkey AS slug, l_linenumber AS path, min(CASE l_returnflag WHEN 'A' THEN 'asserted' ELSE 'unmentioned' END) AS status FROM lineitem GROUP BY ALL), d AS (SELECT DISTINCT l_orderkey AS slug, l_linenumber % 4 + 1 AS path FROM lineitem)
 SELECT slug, path, coalesce(e.status, CASE WHEN d.slug IS NOT NULL THEN 'declared_absent' END, 'unmentioned') AS status FROM s LEFT JOIN e USING (slug, path) LEFT JOIN d USING (slug, path)""")
 def jon_overlay(spark, sf_dir):
-    """JON-01, JON-06, PRJ-15: a dense grid, and layers over it."""
-    slugs = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("slug"))
+    """JON-06, PRJ-15: a dense grid, and layers over it."""
+    slugs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slug"))
     n = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("slug"), F.col("l_linenumber").alias("path"), "l_returnflag")
     explicit = n.groupBy("slug", "path").agg(F.min(F.when(F.col("l_returnflag") == "A", "asserted").otherwise("unmentioned")).alias("status"))
     return C.overlaid(C.spine(slugs, list(range(1, 8))), n.select("slug", (F.col("path") % 4 + 1).alias("path")), explicit)
@@ -197,38 +197,47 @@ def _decisions(leaves):
 @query(f"""WITH {_LEAVES}, r AS (SELECT lv.*, coalesce(source_span IN ('the quantity', 'flag '), false) AS grounded, CASE WHEN value IS NOT NULL THEN 'stated' WHEN source_span IS NOT NULL THEN 'addressed' ELSE 'silent' END AS state FROM lv)
 SELECT path, state, grounded, count(*) AS n, round(sum(confidence), 6) AS confidence FROM r GROUP BY ALL""")
 def lst_review_request(spark, sf_dir):
-    """LST-03, 04, 05, 08, 09, 10, 11, PRJ-33, PRJ-35, JON-02."""
+    """LST-03, 04, 09, 10, 11, PRJ-35, JON-02."""
     leaves = _leaves(spark, sf_dir)
     texts = leaves.select("item_id").distinct().withColumn("text", F.lit("the quantity and a flag are here"))
     return V.request(leaves, texts).groupBy("path", "state", "grounded").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 
-@query(f"""WITH {_LEAVES} SELECT item_id, path, 'missing' AS issue FROM lv ANTI JOIN de USING (item_id, path) UNION ALL SELECT item_id, path, 'extra' FROM de ANTI JOIN lv USING (item_id, path)""")
+_DIGEST = "CAST(split_part(item_id, '-', 1) AS BIGINT) % 500 AS bucket, count(*) AS n, CAST(sum(CAST(split_part(item_id, '-', 3) AS BIGINT) * (length(path) + 1)) AS BIGINT) AS parts"
+
+
+def _digest(rows, *by):
+    """Rows by the record's number mod 500 and other columns: how many, and a sum that tells which."""
+    part = F.split("item_id", "-")
+    return rows.groupBy((part[0].cast("long") % 500).alias("bucket"), *by).agg(F.count("*").alias("n"), F.sum(part[2].cast("long") * (F.length("path") + 1)).alias("parts"))
+
+
+@query(f"""WITH {_LEAVES}, r AS (SELECT item_id, path, 'missing' AS issue FROM lv ANTI JOIN de USING (item_id, path) UNION ALL SELECT item_id, path, 'extra' FROM de ANTI JOIN lv USING (item_id, path)) SELECT path, issue, {_DIGEST} FROM r GROUP BY path, issue, bucket""")
 def jon_completeness(spark, sf_dir):
-    """JON-03, JON-04, SET-02, PRJ-23."""
+    """JON-03, JON-04, SET-02, PRJ-23; a digest of the paths that are missing and extra."""
     leaves = _leaves(spark, sf_dir)
-    return V.completeness(leaves, _decisions(leaves))
+    return _digest(V.completeness(leaves, _decisions(leaves)), "path", "issue")
 
 
-@query(f"""WITH {_LEAVES} SELECT item_id, path FROM lv ANTI JOIN de USING (item_id, path) WHERE source_span IS NULL OR source_span NOT IN ('the quantity', 'flag ')""")
+@query(f"""WITH {_LEAVES}, r AS (SELECT item_id, path FROM lv ANTI JOIN de USING (item_id, path) WHERE source_span IS NULL OR source_span NOT IN ('the quantity', 'flag ')) SELECT path, {_DIGEST} FROM r GROUP BY path, bucket""")
 def prj_blocked_paths(spark, sf_dir):
-    """PRJ-34."""
+    """PRJ-34; a digest of the paths that hold back a submission."""
     leaves = _leaves(spark, sf_dir)
     texts = leaves.select("item_id").distinct().withColumn("text", F.lit("the quantity and a flag are here"))
-    return V.blocked(V.request(leaves, texts), _decisions(leaves)).select("item_id", "path")
+    return _digest(V.blocked(V.request(leaves, texts), _decisions(leaves)), "path")
 
 
-@query(f"""WITH {_LEAVES} SELECT item_id, path, CASE WHEN status = 'edited' THEN de.value ELSE lv.value END IS NULL AS empty, CASE WHEN status = 'edited' AND de.value IS NULL THEN 'edit without a value' END AS issue FROM lv LEFT JOIN de USING (item_id, path) WHERE coalesce(status, 'accepted') <> 'rejected'""")
+@query(f"""WITH {_LEAVES}, r AS (SELECT item_id, path, CASE WHEN status = 'edited' THEN de.value ELSE lv.value END IS NULL AS empty, CASE WHEN status = 'edited' AND de.value IS NULL THEN 'edit without a value' END AS issue FROM lv LEFT JOIN de USING (item_id, path) WHERE coalesce(status, 'accepted') <> 'rejected') SELECT path, empty, issue, {_DIGEST} FROM r GROUP BY path, empty, issue, bucket""")
 def lst_resolved_review(spark, sf_dir):
-    """LST-07, UDF-17."""
+    """LST-07, UDF-17; a digest of the leaves that stay."""
     leaves = _leaves(spark, sf_dir)
-    return V.resolved(leaves, _decisions(leaves)).select("item_id", "path", F.col("value").isNull().alias("empty"), "issue")
+    return _digest(V.resolved(leaves, _decisions(leaves)), "path", F.col("value").isNull().alias("empty"), "issue")
 
 
 @query(f"""WITH {_LEAVES}, s AS (SELECT item_id, coalesce(list(path ORDER BY path) FILTER (status = 'edited'), []) AS edited_fields, coalesce(list(path ORDER BY path) FILTER (status = 'rejected'), []) AS rejected_fields, count(*) AS n FROM lv LEFT JOIN de USING (item_id, path) GROUP BY item_id)
 SELECT item_id, edited_fields, rejected_fields, CASE WHEN len(rejected_fields) = n THEN 'discarded' WHEN len(edited_fields) + len(rejected_fields) > 0 THEN 'edited' ELSE 'accepted' END AS status FROM s""")
 def lst_review_outcomes(spark, sf_dir):
-    """LST-24, AGG-30."""
+    """LST-24."""
     leaves = _leaves(spark, sf_dir)
     return V.outcomes(leaves, _decisions(leaves))
 
@@ -241,14 +250,14 @@ def agg_groups_of_paths(spark, sf_dir):
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS extra, ['missing'] AS missing FROM events""")
 def lst_json_keys(spark, sf_dir):
-    """LST-17, LST-18."""
+    """LST-18: keys that are missing or unknown."""
     got = F.from_json("props", "k bigint")
     return table(spark, sf_dir, "events").select("event_id", got["k"].alias("k"), V.extra_keys(F.col("props"), ["k"]).alias("extra"), V.missing_keys(F.col("props"), ["k", "missing"]).alias("missing"))
 
 
 @query("""SELECT o_custkey % 20 AS label, min(o_totalprice) AS least, max(o_totalprice) AS greatest, max_by(o_totalprice, o_orderdate::VARCHAR || lpad(o_orderkey::VARCHAR, 12, '0')) AS last, count(*) AS n FROM orders GROUP BY ALL""")
 def agg_history_line(spark, sf_dir):
-    """AGG-22, SRC-26, SRC-27."""
+    """AGG-22."""
     runs = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("label"), "o_totalprice", F.struct("o_orderdate", "o_orderkey").alias("captured_at"))
     return C.history_line(runs, "o_totalprice")
 

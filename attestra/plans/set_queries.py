@@ -57,7 +57,7 @@ def set_sections(spark, sf_dir):
 
 @query("SELECT conv_id, md5(string_agg(text, ' ' ORDER BY turn)) AS whole, count(*) AS n FROM conversations GROUP BY conv_id")
 def set_ordered_text(spark, sf_dir):
-    """SET-08, STR-29, LST-20."""
+    """SET-08."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(F.transform(turns, lambda t: t["text"]), " ")).alias("whole"), F.count("*").alias("n"))
 
@@ -73,21 +73,21 @@ def win_runs(spark, sf_dir):
 
 @query("""SELECT c_custkey, coalesce(o_orderkey, -1) AS answer FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
 def jon_lookup_with_default(spark, sf_dir):
-    """JON-16, JON-17, JON-19, MTH-14, UDF-15, SRC-34."""
+    """SRC-34: a lookup with a default."""
     last = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("o_orderkey"))
     return table(spark, sf_dir, "customer").join(last, "c_custkey", "left").select("c_custkey", F.coalesce("o_orderkey", F.lit(-1)).alias("answer"))
 
 
 @query("""WITH s AS (SELECT user_id, date_trunc('day', ts) AS sample, sum(value) AS total FROM events GROUP BY ALL) SELECT user_id, round(max(total), 6) AS peak FROM s GROUP BY user_id""")
 def agg_peak_of_sums(spark, sf_dir):
-    """AGG-17, AGG-34."""
+    """AGG-17."""
     s = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("sample")).agg(F.sum("value").alias("total"))
     return s.groupBy("user_id").agg(F.round(F.max("total"), 6).alias("peak"))
 
 
 @query("""WITH l AS (SELECT user_id, event_type, max_by(value, (ts, event_id)) AS loaded FROM events GROUP BY ALL) SELECT user_id, round(least(1.0, sum(loaded) / (count(*) * 50)), 9) AS fraction FROM l GROUP BY user_id""")
 def agg_progress(spark, sf_dir):
-    """AGG-25, SRC-48, STM-33: the latest of each file, then their share."""
+    """AGG-25, SRC-48: the latest of each file, then their share."""
     latest = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("loaded"))
     return latest.groupBy("user_id").agg(F.round(F.least(F.lit(1.0), F.sum("loaded") / (F.count("*") * 50)), 9).alias("fraction"))
 

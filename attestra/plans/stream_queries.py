@@ -37,14 +37,14 @@ def _ms(c: str = "ts"):
 
 @query()
 def stm_live_regions(spark, sf_dir):
-    """STM-13, 14, 15, 16, 17, 18, UDF-11: commits and refreshes of each user's stream."""
+    """STM-13, 14, UDF-11: commits and refreshes of each user's stream."""
     frames = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("frame"), (F.col("value") / 200).alias("p"))
     return drained(streamed(frames, "user_id", ["frame", "event_id"], P.live_regions(refresh=1, commit=2, least=6, cap=20, speech=2, pad=1)), shared_folder(spark, "live_regions"))
 
 
 @query()
 def stm_relay(spark, sf_dir):
-    """STM-01, 02, 03, 04, 05, 06, 07, 08, 09, 12, 26: items' states, event by event."""
+    """STM-02, 03, 04, 05, 06, 08, 09, 12, 26: items' states, event by event."""
     kinds = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "purchase", "review").otherwise("reopen")
     text = F.when(F.col("event_type") == "purchase", F.when(F.col("event_id") % 5 == 0, "discarded").otherwise("accepted")).otherwise(F.col("props"))
     log = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("at_ms"), kinds.alias("event"), text.alias("text"), (F.col("event_id") % 11 == 0).alias("terminal"), F.lit(1000).alias("duration_ms"))
@@ -89,7 +89,7 @@ def stm_live_summary(spark, sf_dir):
 
 @query("SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
 def src_json_repair(spark, sf_dir):
-    """SRC-20, SRC-21."""
+    """SRC-21."""
     k, props = F.col("event_id") % 4, F.col("props")
     raw = F.when(k == 0, props).when(k == 1, F.concat(F.lit("Here it is:\n```json\n"), props, F.lit("\n```\nDone {not}."))).when(k == 2, F.concat(F.lit("So: "), props, F.lit(" as asked"))).otherwise(F.concat(F.lit("no "), F.regexp_replace(props, "[}]", "")))
     return table(spark, sf_dir, "events").select("event_id", F.from_json(J.repaired(raw), "k bigint")["k"].alias("k"))
@@ -119,15 +119,15 @@ def src_newest_replica(spark, sf_dir):
     return S.newest(of(o.where("o_custkey % 2 = 0"), "a"), of(o.where("o_orderkey % 3 = 0 OR o_orderstatus = 'F'"), "b"))
 
 
-@query("""SELECT s.s_suppkey % 40 AS key, 'x' AS verdict FROM supplier s WHERE false UNION ALL SELECT key, CASE WHEN was IS NULL THEN 'first-visit' WHEN was > 0 AND coalesce(now, 0) = 0 THEN 'evicted' ELSE 'intact' END FROM (SELECT s_suppkey AS key, s_suppkey % 3 AS was FROM supplier WHERE s_suppkey < 30) m FULL JOIN (SELECT o_custkey % 20 AS key, count(*) AS now FROM orders GROUP BY 1) n USING (key)""")
+@query("""SELECT s.s_suppkey % 40 AS key, 'x' AS verdict FROM supplier s WHERE false UNION ALL SELECT key, CASE WHEN was IS NULL THEN 'first-visit' WHEN was > 0 AND coalesce(now, 0) = 0 THEN 'evicted' ELSE 'intact' END FROM (SELECT s_suppkey AS key, s_suppkey % 3 AS was FROM supplier) m FULL JOIN (SELECT o_custkey % 20 AS key, count(*) AS now FROM orders GROUP BY 1) n USING (key)""")
 def prj_eviction(spark, sf_dir):
     """PRJ-32, STM-32."""
-    markers = table(spark, sf_dir, "supplier").where("s_suppkey < 30").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 3).alias("n"))
+    markers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 3).alias("n"))
     return S.eviction(markers, queue(spark, sf_dir))
 
 
 @query()
 def src_described(spark, sf_dir):
-    """SRC-46, JON-19."""
+    """SRC-46."""
     text = F.concat(F.lit('{"properties": {"a": {"description": "'), F.col("p_name"), F.lit('", "items": {"properties": {"a": {"description": "no"}, "b": {"description": "'), F.col("p_brand"), F.lit('"}}}}}}'))
     return J.described(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), text.alias("text")))

@@ -5,13 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a local temporary one."""
+    """A new folder under spark.checkpoint.dir; where that is unset and Spark runs in one process (tests), under a local temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="attestra-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{purpose}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in a folder of its own: what is read from it stays the same when executors are lost."""
+    path = shared_folder(df.sparkSession, f"attestra/{df.sparkSession.sparkContext.applicationId}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

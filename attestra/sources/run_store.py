@@ -48,7 +48,7 @@ class RunStore:
     def prune(self, label: str, keep: int) -> None:
         """Only the last `keep` entries stay; none if that is not over 0."""
         w = Window.partitionBy("label").orderBy(F.desc("captured_at"))
-        self._rewrite(label, self.history(label).withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep).drop("n"))
+        self._rewrite(label, self.history(label).withColumn("nth__", F.row_number().over(w)).where(F.col("nth__") <= keep).drop("nth__"))
 
     def delete_run(self, label: str) -> None:
         self._drop(self.current_path, label)
