@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,23 +48,39 @@ def _aligned(ref: list[str], hyp: list[str]) -> tuple[int, int, int, list[dict]]
     number = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
     h = np.array([number[w] for w in hyp], np.int64)
     steps = np.arange(m + 1)
-    table = np.empty((n + 1, m + 1), np.int32)
-    table[0] = steps
-    for i, w in enumerate(ref, 1):
-        table[i, 0] = i
-        if m:
-            best = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (h != number[w]))
-            table[i, 1:] = np.minimum.accumulate(np.concatenate([[i], best]) - steps)[1:] + steps[1:]
+
+    def below(above: np.ndarray, i: int) -> np.ndarray:
+        row = np.empty(len(steps), np.int32)
+        row[0] = i
+        if len(h):
+            best = np.minimum(above[1:] + 1, above[:-1] + (h != number[ref[i - 1]]))
+            row[1:] = np.minimum.accumulate(np.concatenate([[i], best]) - steps)[1:] + steps[1:]
+        return row
+
+    # every size-th row is kept; on the way back the rows between two of them are made again
+    size = math.isqrt(n) + 1
+    row, kept = steps.astype(np.int32), {0: steps.astype(np.int32)}
+    for i in range(1, n + 1):
+        row = below(row, i)
+        if i % size == 0:
+            kept[i] = row
+    base, block = -1, []
     counts, pairs = [0, 0, 0], []
     while n or m:
-        here = table[n, m]
-        if n and m and ref[n - 1] == hyp[m - 1] and here == table[n - 1, m - 1]:
+        if n and (n - 1) // size * size != base:
+            base = (n - 1) // size * size
+            block = [kept[base]]
+            for i in range(base + 1, min(base + size, n) + 1):
+                block.append(below(block[-1], i))
+        here = block[n - base][m] if n else m
+        above = block[n - 1 - base] if n else None
+        if n and m and ref[n - 1] == hyp[m - 1] and here == above[m - 1]:
             n, m = n - 1, m - 1
-        elif n and m and here == table[n - 1, m - 1] + 1:
+        elif n and m and here == above[m - 1] + 1:
             pairs.append({"ref": ref[n - 1], "hyp": hyp[m - 1]})
             counts[0] += 1
             n, m = n - 1, m - 1
-        elif n and here == table[n - 1, m] + 1:
+        elif n and here == above[m] + 1:
             counts[1] += 1
             n -= 1
         else:

@@ -5,7 +5,10 @@ frames: stream, frame (0, 1, ... within a stream), p. regions: stream, start, en
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,18 +57,33 @@ def padded(regions: DataFrame, pad: int, lengths: DataFrame) -> DataFrame:
     return joined.select("stream", left.cast("long").alias("start"), right.cast("long").alias("end"))
 
 
+def _parted(lists: DataFrame, part: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
+    """stream, start and end of what a function of a row's list gives; rows go to Python in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [part(x) for x in batch.column("list").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+            spans = np.array([s for x in found for s in x], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("stream").take(at), pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["stream", "start", "end"])
+
+    return lists.select("stream", "list").mapInArrow(run, f"stream {lists.schema['stream'].dataType.simpleString()}, start long, end long")
+
+
 def merged(regions: DataFrame, max_span: int) -> DataFrame:
-    """Neighbours joined from the left for as long as they span at most max_span."""
-    kind = "struct<start:bigint,end:bigint>"
+    """Neighbours joined from the left for as long as they span at most max_span: one walk over each stream's regions."""
 
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = x["end"] - last["start"] <= max_span
-        front = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(fits, F.concat(front, F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))).otherwise(F.concat(acc, F.array(x)))
+    def walk(found: list[dict]) -> list[tuple[int, int]]:
+        out: list[list[int]] = []
+        for x in found:
+            if out and x["end"] - out[-1][0] <= max_span:
+                out[-1][1] = x["end"]
+            else:
+                out.append([x["start"], x["end"]])
+        return [(x, y) for x, y in out]
 
-    lists = regions.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("r"))
-    return lists.select("stream", F.explode(F.aggregate("r", F.expr(f"CAST(array() AS array<{kind}>)"), step)).alias("r")).select("stream", "r.start", "r.end")
+    own = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return _parted(regions.groupBy("stream").agg(F.array_sort(F.collect_list(own)).alias("list")), walk)
 
 
 def _cut(p: list[float], start: int, max_span: int) -> list[tuple[int, int]]:
@@ -83,19 +101,16 @@ def _cut(p: list[float], start: int, max_span: int) -> list[tuple[int, int]]:
 
 
 def cut(regions: DataFrame, frames: DataFrame, max_span: int) -> DataFrame:
-    """Regions longer than max_span (4 at least) parted at the first quietest frame of their middle half, again and again. Only frames of such regions are moved; each region is a group of its own."""
+    """Regions longer than max_span (4 at least) parted at the first quietest frame of their middle half, again and again. Regions of a stream don't overlap: the last one that began before a frame is carried along to it, so that only frames inside are kept."""
     if max_span < 4:
         raise ValueError("max_span must be 4 at least")
     long_ = regions.where(F.col("end") - F.col("start") > max_span)
-    inside = frames.join(long_, "stream").where((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("end")))
-
-    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        found = _cut(pdf["p"].tolist(), int(pdf["start"].iloc[0]), max_span)
-        return pd.DataFrame({"stream": pdf["stream"].iloc[0], "start": [a for a, _ in found], "end": [b for _, b in found]})
-
-    kind = frames.schema["stream"].dataType.simpleString()
-    shorter = inside.groupBy("stream", "start").applyInPandas(parts, f"stream {kind}, start long, end long")
+    begins = long_.select("stream", F.col("start").cast("long").alias("frame"), F.lit(None).cast("double").alias("p"), F.struct("start", "end").alias("region"), F.lit(0).alias("ord"))
+    every = frames.select("stream", F.col("frame").cast("long").alias("frame"), F.col("p").cast("double").alias("p"), F.lit(None).cast(begins.schema["region"].dataType).alias("region"), F.lit(1).alias("ord"))
+    w = Window.partitionBy("stream").orderBy("frame", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = begins.unionByName(every).withColumn("region", F.last("region", ignorenulls=True).over(w)).where("ord = 1 AND frame < region.end")
+    lists = inside.groupBy("stream", F.col("region.start").alias("start")).agg(F.array_sort(F.collect_list(F.struct("frame", "p"))).alias("list"))
+    shorter = _parted(lists, lambda found: _cut([x["p"] for x in found], found[0]["frame"], max_span))
     return regions.where(F.col("end") - F.col("start") <= max_span).select("stream", "start", "end").unionByName(shorter)
 
 

@@ -50,11 +50,14 @@ def marked(lines: Column, marker: str) -> Column:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of a JSON-lines folder; blank lines are skipped, a malformed one is an error that names it."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text")).where("trim(text) != ''")
-    bad = F.try_parse_json("text").isNull()
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("malformed line "), F.col("line") + 1)).cast("string")).otherwise(F.col("text"))
-    return lines.select("line", F.from_json(checked, schema).alias("r")).select("line", "r.*")
+    """Records of a JSON-lines folder; blank lines are skipped, a malformed one is an error that names it. Lines are read one by one, so that large files are split; only a file with a malformed line is read as a whole, for its number."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) != ''")
+    bad = lines.where(F.try_parse_json("value").isNull()).first()
+    if bad is not None:
+        whole = spark.read.text(bad.file, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+        n = whole.where(F.col("text") == bad.value).agg(F.min("line")).first()[0]
+        raise ValueError(f"malformed line {n + 1} of {bad.file}")
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def named_texts(spark: SparkSession, path: str, name: str = "text") -> DataFrame:
