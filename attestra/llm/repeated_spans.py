@@ -1,6 +1,6 @@
 """Removal of byte strings that occur in an earlier document, by deep-shallow sorting.
 
-Each string of WIDTH bytes belongs to the least hash among its GRAM-byte grams, so that equal strings belong together wherever they stand. Neighbouring strings of the same least hash form a run. A first exchange tells which hashes several documents have; the text of only those runs is then dealt out by hash, sorted, and compared: first whole runs, and where a hash has several different ones, their strings one by one. Runs that a chunk of documents has several times leave it once.
+Each string of WIDTH bytes belongs to the least hash among its GRAM-byte grams, so that equal strings belong together wherever they stand. Neighbouring strings of the same least hash form a run. A first exchange tells which hashes several documents have; the text of only those runs is then dealt out by hash, sorted, and compared: first whole runs, and where a hash has several different ones, their strings one by one. Runs that a chunk of documents has several times leave it once. Hashes that very many chunks have are not dealt out as texts: their strings are told by 128 bits each, and Spark finds the least document of each by an aggregate with a map-side combine, so that no task gets all that share a hash.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.shared_tables import bounded_batches, written
+from attestra.llm.shared_tables import bounded_batches, row_names, written
 from attestra.llm.suffix_order import ranks
 from attestra.llm.text_arrays import chunks, covered, joined, mix
 
 WIDTH, GRAM = 50, 16
 #: Bytes of documents in a chunk, and of all documents for each part that the hashes are dealt into.
 CHUNK, PART = 2 << 20, 8 << 20
+#: Chunks from which on a hash is a hot one.
+HOT = 64
 _LATER = np.iinfo(np.int64).max
 
 
@@ -33,12 +35,12 @@ def unpacked(x: bytes, kind: str | type = np.uint8) -> np.ndarray:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = row_names()
     for batch in batches:
         for chunk in chunks(batch.column("text"), CHUNK):
             data = chunk.data.tobytes()
             ids = batch.column("doc_id").slice(chunk.first, chunk.n)
-            name = int.from_bytes(hashlib.blake2b(data + repr(ids.to_pylist()).encode(), digest_size=8).digest(), "little", signed=True)
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([len(data)], pa.int64()), pa.array([packed(chunk.offsets.astype("<i8"))], pa.binary()), pa.array([packed(data, 6)], pa.binary())], names=["chunk", "ids", "n_bytes", "offsets", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([next(names)], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([len(data)], pa.int64()), pa.array([packed(chunk.offsets.astype("<i8"))], pa.binary()), pa.array([packed(data, 6)], pa.binary())], names=["chunk", "ids", "n_bytes", "offsets", "data"])
 
 
 class Runs:
@@ -107,15 +109,18 @@ def _offer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "chunk", "keys", "several"])
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """The hashes of a part that several documents have, for each chunk that has them."""
+def _shared(group: pa.Table, hot: int) -> pa.Table:
+    """The hashes of a part that several documents have, for each chunk that has them: those of fewer than `hot` chunks, and the others."""
     own = [np.frombuffer(x, np.uint32) for x in group.column("keys").to_pylist()]
     both = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(group.column("several").to_pylist(), own, strict=True)]
     every = np.sort(np.concatenate(own))
     repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[b] for k, b in zip(own, both, strict=True))]))
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    often = every[first[np.diff(np.append(first, len(every))) >= hot]]
     here = [k[np.isin(k, repeated, assume_unique=True)] for k in own]
-    n = len(own)
-    return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "keys": pa.array([x.tobytes() for x in here], pa.binary())}).filter(pa.array([len(here[k]) > 0 for k in range(n)], pa.bool_()))
+    many = [np.isin(k, often, assume_unique=True) for k in here]
+    keys, hot_keys = ([k[m == side].tobytes() for k, m in zip(here, many, strict=True)] for side in (False, True))
+    return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "keys": pa.array(keys, pa.binary()), "hot_keys": pa.array(hot_keys, pa.binary())}).filter(pa.array([len(k) > 0 for k in here], pa.bool_()))
 
 
 def _spread(runs: Runs, picked: np.ndarray) -> np.ndarray:
@@ -124,18 +129,53 @@ def _spread(runs: Runs, picked: np.ndarray) -> np.ndarray:
     return np.repeat(runs.first[picked] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def _codes(shared: list[dict], which: str) -> np.ndarray:
+    """Parts and keys as one number each, sorted."""
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *((np.uint64(x["part"]) << np.uint64(32)) | np.frombuffer(x[which], np.uint32) for x in shared)]))
+
+
+def _picked(runs: Runs, ids: np.ndarray, parts: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of documents with an id whose hashes are among the codes, and all runs' parts and keys."""
+    part, key = runs.part(parts)
+    code = (part.astype(np.uint64) << np.uint64(32)) | key
+    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    return np.flatnonzero((codes[at] == code) & (ids[runs.doc] != _LATER)), part, key
+
+
+def _strings(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Of each chunk: the distinct strings of its runs of hot hashes, by 128 bits, with the least and greatest documents that have them here, and all their places and documents."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            codes = _codes(r["shared"], "hot_keys")
+            if not len(codes):
+                continue
+            runs, ids = Runs(r["data"], r["offsets"]), _numbers(r["ids"])
+            picked, _, _ = _picked(runs, ids, parts, codes)
+            size = runs.count[picked]
+            at = np.repeat(runs.first[picked] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            doc = np.repeat(ids[runs.doc[picked]], size)
+            loads = np.ndarray((len(runs.data) - 7,), "<u8", runs.data, strides=(1,))
+            h1, h2 = np.full(len(at), 1, np.uint64), np.full(len(at), 2, np.uint64)
+            for k in (*range(0, WIDTH - 8, 8), WIDTH - 8):
+                word = loads[at + k]
+                h1, h2 = joined(h1, word), joined(word, h2)
+            order = np.lexsort((doc, h2, h1))
+            at, doc, h1, h2 = at[order], doc[order], h1[order], h2[order]
+            first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
+            cut = np.append(first, len(at))
+            lists = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (np.ascontiguousarray(at, "<i4"), np.ascontiguousarray(doc, "<i8"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), r["chunk"], np.int64)), pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), pa.array(doc[first]), pa.array(doc[cut[1:] - 1]), *lists], names=["chunk", "h1", "h2", "least", "greatest", "at", "docs"])
+
+
 def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Of each chunk and part: its shared runs (key, number, document, strings, text), each text once for its least document, and the numbers of the others."""
     for batch in batches:
         for r in batch.to_pylist():
             runs, ids = Runs(r["data"], r["offsets"]), _numbers(r["ids"])
-            part, key = runs.part(parts)
-            code = (part.astype(np.uint64) << np.uint64(32)) | key
-            shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *((np.uint64(x["part"]) << np.uint64(32)) | np.frombuffer(x["keys"], np.uint32) for x in r["shared"])]))
-            if not len(shared):
+            codes = _codes(r["shared"], "keys")
+            if not len(codes):
                 continue
-            at = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
-            picked = np.flatnonzero((shared[at] == code) & (ids[runs.doc] != _LATER))
+            picked, part, key = _picked(runs, ids, parts, codes)
             doc, size = ids[runs.doc[picked]], runs.count[picked] + WIDTH - 1
             text = runs.data[_spread(runs, picked)]
             begin = np.cumsum(size) - size
@@ -217,9 +257,15 @@ def _decide(group: pa.Table) -> pa.Table:
     return pa.table({"chunk": group.column("chunk"), "spans": pa.array(spans, pa.binary()), "local": group.column("local")}).filter(some)
 
 
-def _removed(runs: Runs, found: list[dict] | None) -> np.ndarray:
-    """Flags of the bytes of a chunk that go."""
+def _removed(runs: Runs, found: list[dict] | None, hot: list[dict] | None) -> np.ndarray:
+    """Flags of the bytes of a chunk that go: those of the dealt runs' strings, and of the hot strings that an earlier document has."""
     step = np.zeros(len(runs.data) + 1, np.int32)
+    if hot:
+        at, docs = (np.frombuffer(b"".join(x[c] for x in hot), kind) for c, kind in (("at", "<i4"), ("docs", "<i8")))
+        least = np.repeat(np.array([x["least"] for x in hot], np.int64), [len(x["at"]) // 4 for x in hot])
+        at = at[docs > least].astype(np.int64)
+        np.add.at(step, at, 1)
+        np.add.at(step, at + WIDTH, -1)
     for x in found or ():
         local = np.cumsum(unpacked(x["local"], "<u4"), dtype=np.int64)
         spans = unpacked(x["spans"], "<i4").reshape(-1, 3).astype(np.int64)
@@ -233,7 +279,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             runs = Runs(r["data"], r["offsets"])
-            gone, offsets, data = _removed(runs, r["found"]), runs.offsets, runs.data
+            gone, offsets, data = _removed(runs, r["found"], r["hot"]), runs.offsets, runs.data
             out = []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 own = gone[a:b]
@@ -244,7 +290,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def without_repeated_spans(documents: DataFrame) -> DataFrame:
+def without_repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept, the bytes that stay.
 
     A byte goes if a string of WIDTH bytes that covers it starts in a document of smaller doc_id too, in the texts as given. documents: doc_id (a whole number) and text; other columns are ignored. A null text is empty; texts of fewer than WIDTH bytes stay whole; rows of equal doc_id don't count as earlier than each other; a row without doc_id stays whole and takes nothing from others; an empty table gives an empty result.
@@ -255,9 +301,15 @@ def without_repeated_spans(documents: DataFrame) -> DataFrame:
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(12, -(-total // PART))
     offers = table.select("chunk", "ids", "offsets", "data").mapInArrow(lambda b: _offer(b, parts), "part long, chunk long, keys binary, several binary")
-    shared = offers.groupBy("part").applyInArrow(_shared, "chunk long, part long, keys binary")
-    shared = shared.groupBy("chunk").agg(F.collect_list(F.struct("part", "keys")).alias("shared"))  # of one chunk's bounded size
-    dealt = table.join(shared.hint("shuffle_hash"), "chunk").mapInArrow(lambda b: _deal(b, parts), "part long, chunk long, keys binary, runs binary, docs binary, counts binary, data binary, local binary")
+    shared = offers.groupBy("part").applyInArrow(lambda group: _shared(group, hot), "chunk long, part long, keys binary, hot_keys binary")
+    shared = shared.groupBy("chunk").agg(F.collect_list(F.struct("part", "keys", "hot_keys")).alias("shared"))  # of one chunk's bounded size
+    offered = table.join(shared, "chunk")
+    dealt = offered.mapInArrow(lambda b: _deal(b, parts), "part long, chunk long, keys binary, runs binary, docs binary, counts binary, data binary, local binary")
     found = dealt.groupBy("part").applyInArrow(_decide, "chunk long, spans binary, local binary")
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("spans", "local")).alias("found"))
-    return table.join(found.hint("shuffle_hash"), "chunk", "left").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    some = offered.where(F.exists("shared", lambda x: F.length(x["hot_keys"]) > 0))
+    strings = written(some.mapInArrow(lambda b: _strings(b, parts), "chunk long, h1 long, h2 long, least long, greatest long, at binary, docs binary"))
+    earliest = strings.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("greatest").alias("last")).where("first < last").select("h1", "h2", "first")
+    hot_found = strings.join(earliest, ["h1", "h2"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "docs", F.col("first").alias("least"))).alias("hot"))  # of one chunk's bounded size
+    both = table.join(found, "chunk", "left").join(hot_found, "chunk", "left")
+    return both.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from attestra.llm.repeated_spans import without_repeated_spans
 from attestra.llm.suffix_order import ranks
@@ -27,9 +28,9 @@ def brute(docs, width=50):
     return sorted(out)
 
 
-def run(spark, docs):
+def run(spark, docs, **more):
     frame = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, kept string").repartition(3)
-    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in without_repeated_spans(frame).collect())
+    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in without_repeated_spans(frame, **more).collect())
 
 
 def test_ranks_are_those_of_sorted_strings():
@@ -67,3 +68,14 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in without_repeated_spans(docs).collect())
     assert got == [(0, 0), (0, 0), (1, 0), (2, len(t))]
     assert without_repeated_spans(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 2, 3])
+def test_hot_hashes_match_brute_force(spark, hot):
+    """Every hash, or those that two or three chunks have, is told by its strings."""
+    rnd = random.Random(hot)
+    phrase = "this very common line stands in a third of all the documents there are"
+    some = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    docs = [(i, some(rnd.randint(0, 60)) + (phrase if i % 3 == 0 else "") + some(rnd.randint(0, 60)) + ("z" * 90 if i % 7 == 0 else "")) for i in range(60)]
+    docs += [(200, None), (201, ""), (202, docs[3][1]), (203, docs[3][1]), (203, docs[3][1]), (-5, docs[9][1])]
+    assert run(spark, docs, hot=hot) == brute(docs)
