@@ -169,15 +169,20 @@ class Model:
         return out
 
     def logits(self, which: int, rows: np.ndarray, classes: np.ndarray | None) -> np.ndarray:
-        z = self.weights[which][rows[:, 0]]
+        z = self.weights[which].take(rows[:, 0], 0, mode="clip")
         for k in range(1, FEATURES):
-            z += self.weights[which][rows[:, k]]
+            z += self.weights[which].take(rows[:, k], 0, mode="clip")
         z += self.classes_bias if classes is None else self.outcome_bias[classes]
         return np.minimum(z, 60, out=z)  # beyond that the exponential would not fit
 
     def log_softmax(self, which: int, rows: np.ndarray, classes: np.ndarray | None) -> np.ndarray:
+        return np.log(self.softmax(which, rows, classes))
+
+    def softmax(self, which: int, rows: np.ndarray, classes: np.ndarray | None) -> np.ndarray:
         z = self.logits(which, rows, classes)
-        return z - np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))[:, None]
+        np.exp(z, out=z)
+        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+        return z
 
     def log_share(self, which: int, rows: np.ndarray, classes: np.ndarray | None, target: np.ndarray) -> np.ndarray:
         """The log probability of one target in each row."""
@@ -211,16 +216,19 @@ class Model:
             y, rows = outcome[tokens.tokens[part]], tokens.features(part)
             c, nth = y // WIDTH, np.arange(len(part))
             for which, where, target, classes in ((0, rows, c, None), (1, self.inner_rows(rows, c), y % WIDTH, c)):
-                error = np.exp(self.log_softmax(which, where, classes))
+                error = self.softmax(which, where, classes)
                 error[nth, target] -= 1
                 row = where.T.ravel()
                 order = np.argsort(row.astype(np.uint16), kind="stable")
                 row = row[order]
                 first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                g, row = np.add.reduceat(error[order % len(part)], first), row[first]
-                sums[which][row] += (g * g).mean(1)
+                # two columns at a time, as complex numbers: half as many additions
+                g, row = np.add.reduceat(error.take(order % len(part), 0, mode="clip").view(np.complex64), first).view(np.float32), row[first]
+                squares = sums[which][row] + np.einsum("ij,ij->i", g, g) / WIDTH
+                sums[which][row] = squares
                 touched[which][row] += np.diff(np.append(first, len(order)))
-                self.weights[which][row] -= (RATE / np.sqrt(1 + sums[which][row]))[:, None] * g
+                g *= (RATE / np.sqrt(1 + squares))[:, None]
+                self.weights[which][row] -= g
 
 
 def places(chunk: int, turn: int, rounds: int, n: int) -> np.ndarray:
