@@ -1,6 +1,6 @@
 """Removal of byte strings that occur in an earlier document, by deep-shallow sorting.
 
-Each string of WIDTH bytes belongs to the least hash among its GRAM-byte grams, so that equal strings belong together wherever they stand. Neighbouring strings of the same least hash form a run. A first exchange tells which hashes several documents have; the text of only those runs is then dealt out by hash, sorted, and compared: first whole runs, and where a hash has several different ones, their strings one by one. Runs that a chunk of documents has several times leave it once. Hashes that very many chunks have are not dealt out as texts: their strings are told by 128 bits each, and Spark finds the least document of each by an aggregate with a map-side combine, so that no task gets all that share a hash.
+Each string of WIDTH bytes belongs to the least hash among its GRAM-byte grams, so that equal strings belong together wherever they stand. Neighbouring strings of the same least hash form a run. A first exchange tells which hashes several documents have; the text of only those runs is then dealt out by hash, sorted, and compared: first whole runs, and where a hash has several different ones, their strings one by one. Runs that a chunk of documents has several times leave it once. Hashes of very many runs are not dealt out as texts: their strings are told by 128 bits each, and Spark finds the least document of each by an aggregate with a map-side combine, so that no task gets all that share a hash.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from attestra.llm.text_arrays import chunks, covered, joined, mix
 WIDTH, GRAM = 50, 16
 #: Bytes of documents in a chunk, and of all documents for each part that the hashes are dealt into.
 CHUNK, PART = 2 << 20, 8 << 20
-#: Chunks from which on a hash is a hot one.
-HOT = 64
+#: Runs of the whole corpus from which on a hash is a hot one: so many, some 20 MB of text, are sorted by one task at most.
+HOT = 200_000
 _LATER = np.iinfo(np.int64).max
 
 
@@ -87,7 +87,7 @@ def _numbers(ids: list[int | None]) -> np.ndarray:
 
 
 def _offer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Of each chunk and part: the hashes, and whether two documents of the chunk have it."""
+    """Of each chunk and part: the hashes, how many runs have each, and whether two documents of the chunk have it."""
     for batch in batches:
         for r in batch.to_pylist():
             runs, ids = Runs(r["data"], r["offsets"]), _numbers(r["ids"])
@@ -105,18 +105,21 @@ def _offer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
             several = doc[at] != doc[last]
             part, key = part[at], key[at]
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            out = [(int(part[a]), r["chunk"], key[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for a, b in zip(cut, [*cut[1:], len(part)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "chunk", "keys", "several"])
+            times = (last + 1 - at).astype("<u4")
+            out = [(int(part[a]), r["chunk"], key[a:b].tobytes(), times[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for a, b in zip(cut, [*cut[1:], len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *(pa.binary(),) * 3), strict=True)], names=["part", "chunk", "keys", "times", "several"])
 
 
 def _shared(group: pa.Table, hot: int) -> pa.Table:
-    """The hashes of a part that several documents have, for each chunk that has them: those of fewer than `hot` chunks, and the others."""
+    """The hashes of a part that several documents have, for each chunk that has them: those of fewer than `hot` runs, and the others."""
     own = [np.frombuffer(x, np.uint32) for x in group.column("keys").to_pylist()]
     both = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(group.column("several").to_pylist(), own, strict=True)]
-    every = np.sort(np.concatenate(own))
+    every = np.concatenate(own)
+    order = np.argsort(every)
+    every, times = every[order], np.concatenate([np.frombuffer(x, "<u4") for x in group.column("times").to_pylist()])[order]
     repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[b] for k, b in zip(own, both, strict=True))]))
     first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    often = every[first[np.diff(np.append(first, len(every))) >= hot]]
+    often = every[first[np.add.reduceat(times, first, dtype=np.int64) >= hot]] if len(every) else every
     here = [k[np.isin(k, repeated, assume_unique=True)] for k in own]
     many = [np.isin(k, often, assume_unique=True) for k in here]
     keys, hot_keys = ([k[m == side].tobytes() for k, m in zip(here, many, strict=True)] for side in (False, True))
@@ -300,15 +303,14 @@ def without_repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     table = written(docs.mapInArrow(_chunk_rows, "chunk long, ids array<long>, n_bytes long, offsets binary, data binary"))
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(12, -(-total // PART))
-    offers = table.select("chunk", "ids", "offsets", "data").mapInArrow(lambda b: _offer(b, parts), "part long, chunk long, keys binary, several binary")
-    shared = offers.groupBy("part").applyInArrow(lambda group: _shared(group, hot), "chunk long, part long, keys binary, hot_keys binary")
-    shared = shared.groupBy("chunk").agg(F.collect_list(F.struct("part", "keys", "hot_keys")).alias("shared"))  # of one chunk's bounded size
-    offered = table.join(shared, "chunk")
-    dealt = offered.mapInArrow(lambda b: _deal(b, parts), "part long, chunk long, keys binary, runs binary, docs binary, counts binary, data binary, local binary")
+    offers = table.select("chunk", "ids", "offsets", "data").mapInArrow(lambda b: _offer(b, parts), "part long, chunk long, keys binary, times binary, several binary")
+    every = written(offers.groupBy("part").applyInArrow(lambda group: _shared(group, hot), "chunk long, part long, keys binary, hot_keys binary"))
+    shared = every.groupBy("chunk").agg(F.collect_list(F.struct("part", "keys")).alias("shared"))  # of one chunk's bounded size
+    dealt = table.join(shared, "chunk").mapInArrow(lambda b: _deal(b, parts), "part long, chunk long, keys binary, runs binary, docs binary, counts binary, data binary, local binary")
     found = dealt.groupBy("part").applyInArrow(_decide, "chunk long, spans binary, local binary")
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("spans", "local")).alias("found"))
-    some = offered.where(F.exists("shared", lambda x: F.length(x["hot_keys"]) > 0))
-    strings = written(some.mapInArrow(lambda b: _strings(b, parts), "chunk long, h1 long, h2 long, least long, greatest long, at binary, docs binary"))
+    hot_keys = written(every.where(F.length("hot_keys") > 0).groupBy("chunk").agg(F.collect_list(F.struct("part", "hot_keys")).alias("shared")))
+    strings = written(table.join(hot_keys, "chunk").mapInArrow(lambda b: _strings(b, parts), "chunk long, h1 long, h2 long, least long, greatest long, at binary, docs binary"))
     earliest = strings.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("greatest").alias("last")).where("first < last").select("h1", "h2", "first")
     hot_found = strings.join(earliest, ["h1", "h2"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "docs", F.col("first").alias("least"))).alias("hot"))  # of one chunk's bounded size
     both = table.join(found, "chunk", "left").join(hot_found, "chunk", "left")
