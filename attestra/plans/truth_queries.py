@@ -254,3 +254,24 @@ def stm_reframed(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     quanta = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), (F.row_number().over(w) - 1).alias("quantum"), F.array("event_id").alias("samples"))
     return reframed(quanta, 4).select(F.col("stream").alias("user_id"), "frame", "samples")
+
+
+@query("""SELECT 'r' || event_id AS slug, CASE event_id % 5 WHEN 1 THEN 'empty' WHEN 2 THEN 'malformed' WHEN 3 THEN 'no object' WHEN 4 THEN 'absent' END AS problem FROM events""")
+def src_loaded(spark, sf_dir):
+    """SRC-20: every slug's result, or whether it is absent, empty, malformed or no object."""
+    from attestra.sources.json_text import loaded
+
+    k = F.col("event_id") % 5
+    slug = F.concat(F.lit("r"), F.col("event_id")).alias("slug")
+    text = F.when(k == 0, F.col("props")).when(k == 1, " ").when(k == 2, F.concat(F.lit("{"), F.col("props"))).otherwise("[1]")
+    e = table(spark, sf_dir, "events")
+    return loaded(e.where(k != 4).select(slug, text.alias("text")), e.select(slug)).select("slug", "problem")
+
+
+@query("""WITH g AS (SELECT o_custkey % 50 AS run, o_orderpriority AS path, o_orderstatus AS slug, count(*) AS n FROM orders WHERE o_custkey % 50 < 25 OR o_orderstatus <> 'P' OR o_orderpriority < '4' GROUP BY ALL), r AS (SELECT run, count(*) AS cells, count(DISTINCT path) AS paths, count(DISTINCT slug) AS slugs FROM g GROUP BY run) SELECT * FROM r WHERE cells <> paths * slugs""")
+def src_shape_problems(spark, sf_dir):
+    """SRC-31: runs whose grid of paths and slugs is not dense."""
+    from attestra.sources.run_store import shape_problems
+
+    o = table(spark, sf_dir, "orders").where("o_custkey % 50 < 25 OR o_orderstatus != 'P' OR o_orderpriority < '4'")
+    return shape_problems(o.select((F.col("o_custkey") % 50).alias("run"), F.col("o_orderpriority").alias("path"), F.col("o_orderstatus").alias("slug")).distinct())
