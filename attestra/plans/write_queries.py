@@ -94,7 +94,7 @@ def src_cleared(spark, sf_dir):
     return left.agg(F.count("*").alias("n_left"), F.min("seq").alias("first"), F.max("seq").alias("last")).join(gone.agg(F.count("*").alias("n_gone")))
 
 
-_WRITES = """w AS (SELECT l_orderkey AS id, l_linenumber * 100000000000 + l_partkey * 100000 + l_suppkey AS version, CASE WHEN l_linenumber % 3 <> 1 THEN l_returnflag END AS status, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS n, CASE WHEN l_linenumber = 5 THEN 'status' WHEN l_linenumber = 3 THEN 'n' END AS unset, l_linenumber = 7 AND l_linestatus = 'F' AS deleted FROM lineitem)"""
+_WRITES = """w AS (SELECT l_orderkey AS id, (l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS version, CASE WHEN l_linenumber % 3 <> 1 THEN l_returnflag END AS status, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS n, CASE WHEN l_linenumber = 5 THEN 'status' WHEN l_linenumber = 3 THEN 'n' END AS unset, l_linenumber = 7 AND l_linestatus = 'F' AS deleted FROM lineitem)"""
 
 
 @query(f"""WITH {_WRITES}, f AS (SELECT id, max_by(CASE WHEN unset = 'status' AND status IS NULL THEN '-' ELSE status END, version) FILTER (status IS NOT NULL OR unset = 'status') AS status, max_by(CASE WHEN unset = 'n' AND n IS NULL THEN -1 ELSE n END, version) FILTER (n IS NOT NULL OR unset = 'n') AS n, max_by(deleted, version) AS gone FROM w GROUP BY id)
@@ -103,7 +103,7 @@ def src_folded(spark, sf_dir):
     """SRC-01, SRC-15, SRC-18: of each field the last value that a write set or unset."""
     line = F.col("l_linenumber")
     log = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("id"), (line * F.lit(100_000_000_000) + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("version"), F.when(line % 3 != 1, F.col("l_returnflag")).alias("status"), F.when(line % 2 == 0, F.col("l_quantity")).alias("n"),
+        F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("version"), F.when(line % 3 != 1, F.col("l_returnflag")).alias("status"), F.when(line % 2 == 0, F.col("l_quantity")).alias("n"),
         F.when(line == 5, F.array(F.lit("status"))).when(line == 3, F.array(F.lit("n"))).alias("unset"), ((line == 7) & (F.col("l_linestatus") == "F")).alias("deleted"),
     )
     return W.folded(log, ["status", "n"])
