@@ -24,9 +24,36 @@ BINARIZED = f"""{FRAMES}, m AS (SELECT *, CASE WHEN p >= 0.5 THEN frame WHEN p <
 g AS (SELECT *, arg_max(mark, frame) FILTER (mark IS NOT NULL) OVER (PARTITION BY stream ORDER BY frame) AS held FROM m),
 i AS (SELECT stream, frame, frame - row_number() OVER (PARTITION BY stream ORDER BY frame) AS island FROM g WHERE held >= 0),
 b AS (SELECT stream, min(frame) AS start, max(frame) + 1 AS "end" FROM i GROUP BY stream, island)"""
-FILLED = BINARIZED + """, a AS (SELECT *, coalesce(CAST(start - lag("end") OVER (PARTITION BY stream ORDER BY start) >= 3 AS INT), 1) AS apart FROM b),
-s AS (SELECT *, sum(apart) OVER (PARTITION BY stream ORDER BY start) AS island FROM a), r AS (SELECT stream, min(start) AS start, max("end") AS "end" FROM s GROUP BY stream, island)"""
-KEPT = FILLED + """, k AS (SELECT * FROM r WHERE "end" - start >= 2)"""
+
+
+def kept_sql(silence: int, speech: int) -> str:
+    """Up to k: regions whose gaps are bridged, long enough."""
+    return f"""{BINARIZED}, a AS (SELECT *, coalesce(CAST(start - lag("end") OVER (PARTITION BY stream ORDER BY start) >= {silence} AS INT), 1) AS apart FROM b),
+s AS (SELECT *, sum(apart) OVER (PARTITION BY stream ORDER BY start) AS island FROM a), r AS (SELECT stream, min(start) AS start, max("end") AS "end" FROM s GROUP BY stream, island),
+k AS (SELECT * FROM r WHERE "end" - start >= {speech})"""
+
+
+def padded_sql(pad: int) -> str:
+    """From k to d: regions widened."""
+    return f"""n AS (SELECT stream, max(frame) + 1 AS length FROM f GROUP BY stream),
+w AS (SELECT k.*, length, lag("end") OVER v AS before, lead(start) OVER v AS after FROM k JOIN n USING (stream) WINDOW v AS (PARTITION BY stream ORDER BY start)),
+d AS (SELECT stream, CAST(CASE WHEN before IS NOT NULL AND least(length, before + {pad}) > greatest(0, start - {pad}) THEN (before + start) // 2 ELSE greatest(0, start - {pad}) END AS BIGINT) AS start, CAST(CASE WHEN after IS NOT NULL AND least(length, "end" + {pad}) > greatest(0, after - {pad}) THEN ("end" + after) // 2 ELSE least(length, "end" + {pad}) END AS BIGINT) AS "end" FROM w)"""
+
+
+def merged_sql(regions: str, span: int) -> str:
+    """From a table of regions to x: neighbours joined."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY start) AS i FROM {regions}),
+t AS (SELECT stream, i, start, start AS first, "end" FROM o WHERE i = 1 UNION ALL SELECT o.stream, o.i, o.start, CASE WHEN o."end" - t.first <= {span} THEN t.first ELSE o.start END, o."end" FROM t JOIN o ON o.stream = t.stream AND o.i = t.i + 1),
+x AS (SELECT stream, first AS start, max("end") AS "end" FROM t GROUP BY stream, first)"""
+
+
+def cut_sql(span: int) -> str:
+    """From x to y: regions parted at the quietest frame of their middle half, until none is longer."""
+    return f"""h AS (SELECT stream, start, "end" FROM x UNION ALL SELECT stream, unnest([start, quiet]), unnest([quiet, "end"]) FROM (SELECT h.stream, h.start, h."end", arg_min(f.frame, (f.p, f.frame)) AS quiet FROM h JOIN f ON f.stream = h.stream AND f.frame >= h.start + (h."end" - h.start) // 4 AND f.frame < h.start + (3 * (h."end" - h.start) + 3) // 4 WHERE h."end" - h.start > {span} GROUP BY h.stream, h.start, h."end")),
+y AS (SELECT * FROM h WHERE "end" - start <= {span})"""
+
+
+KEPT = kept_sql(3, 2)
 
 
 @query(f'WITH {BINARIZED} SELECT stream, start, "end" FROM b')
@@ -46,29 +73,25 @@ def _padded(spark, sf_dir):
     return R.padded(win_bridged(spark, sf_dir), 2, f.groupBy("stream").agg((F.max("frame") + 1).alias("length")))
 
 
-@query(f"""WITH {KEPT}, n AS (SELECT stream, max(frame) + 1 AS length FROM f GROUP BY stream),
-w AS (SELECT k.*, length, lag("end") OVER v AS before, lead(start) OVER v AS after FROM k JOIN n USING (stream) WINDOW v AS (PARTITION BY stream ORDER BY start))
-SELECT stream, CAST(CASE WHEN before IS NOT NULL AND least(length, before + 2) > greatest(0, start - 2) THEN (before + start) // 2 ELSE greatest(0, start - 2) END AS BIGINT) AS start, CAST(CASE WHEN after IS NOT NULL AND least(length, "end" + 2) > greatest(0, after - 2) THEN ("end" + after) // 2 ELSE least(length, "end" + 2) END AS BIGINT) AS "end" FROM w""")
+@query(f'WITH {KEPT}, {padded_sql(2)} SELECT stream, start, "end" FROM d')
 def win_padded(spark, sf_dir):
     """WIN-04."""
     return _padded(spark, sf_dir)
 
 
-@query(f"""WITH RECURSIVE {KEPT}, n AS (SELECT stream, max(frame) + 1 AS length FROM f GROUP BY stream), o AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY start) AS i FROM k),
-t AS (SELECT stream, i, start, start AS first, "end" FROM o WHERE i = 1 UNION ALL SELECT o.stream, o.i, o.start, CASE WHEN o."end" - t.first <= 12 THEN t.first ELSE o.start END, o."end" FROM t JOIN o ON o.stream = t.stream AND o.i = t.i + 1)
-SELECT stream, first AS start, max("end") AS "end" FROM t GROUP BY stream, first""")
+@query(f'WITH RECURSIVE {KEPT}, {merged_sql("k", 12)} SELECT stream, start, "end" FROM x')
 def win_merged(spark, sf_dir):
     """WIN-05."""
     return R.merged(win_bridged(spark, sf_dir), 12)
 
 
-@query()
+@query(f'WITH RECURSIVE {KEPT}, {padded_sql(2)}, {merged_sql("d", 30)}, {cut_sql(6)} SELECT stream, start, "end" FROM y')
 def win_cut(spark, sf_dir):
     """WIN-06: parted again and again at the quietest frame."""
     return R.cut(R.merged(_padded(spark, sf_dir), 30), frames(spark, sf_dir), 6)
 
 
-@query()
+@query(f'WITH RECURSIVE {kept_sql(2, 5)}, {padded_sql(4)}, {merged_sql("d", 12)}, {cut_sql(12)} SELECT stream, least(length * 800, start * 800 + 100) AS start, least(length * 800, "end" * 800 + 100) AS "end" FROM y JOIN n USING (stream)')
 def win_chunks(spark, sf_dir):
     """WIN-07, MTH-09: from frames to samples, all steps."""
     f = frames(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.operators.queue import ACTIVE, LEAST_RATE, MAX_ATTEMPTS
 from attestra.plans.tables import queue, table
 from attestra.sources import json_text as J
 from attestra.sources import run_store as S
@@ -35,14 +36,46 @@ def _ms(c: str = "ts"):
     return F.unix_millis(F.col(c).cast("timestamp"))
 
 
-@query()
+#: Each user's events in order, one step of a recursion each.
+LOG = "e AS MATERIALIZED (SELECT *, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events)"
+
+
+def _region_sql(kind: str, n: str, first: str, last: str, start: str) -> str:
+    """A row that the live detector emits, with a pad of 1."""
+    return f"{{'kind': {kind}, 'start': {start}, 'end': {start} + {n}, 'speech_start': {start} + CASE WHEN {first} < 0 THEN 0 ELSE greatest(0, {first} - 1) END, 'speech_end': {start} + CASE WHEN {first} < 0 THEN {n} ELSE least({n}, {last} + 2) END}}"
+
+
+_REGIONS = f"""WITH RECURSIVE {LOG}, t AS (SELECT user_id, CAST(0 AS BIGINT) AS i, min(ms) AS start, 0 AS n, 0 AS speech, 0 AS silence, false AS inside, -1 AS first, -1 AS last, [{_region_sql("''", "0", "0", "0", "min(ms)")}][2:] AS found FROM e GROUP BY user_id
+UNION ALL SELECT user_id, i, CASE WHEN done THEN ms + 1 ELSE start END, CASE WHEN done THEN 0 ELSE n END, CASE WHEN done THEN 0 ELSE speech END, CASE WHEN done THEN 0 ELSE silence END, inside AND NOT done, CASE WHEN done THEN -1 ELSE first END, CASE WHEN done THEN -1 ELSE last END,
+  list_concat(found, CASE WHEN done OR asks THEN [{_region_sql("CASE WHEN done THEN 'commit' ELSE 'refresh' END", "n", "first", "last", "start")}] ELSE [] END)
+FROM (SELECT *, quiet AND silence >= 2 AND speech >= 2 AND n >= 6 AS done, quiet AND silence = 1 AND speech >= 2 AS asks
+FROM (SELECT user_id, i, ms, start, n, found, inside OR heard AS inside, inside AND NOT heard AS quiet, speech + CAST(heard AS INT) AS speech, CASE WHEN heard THEN 0 WHEN inside THEN silence + 1 ELSE silence END AS silence, CASE WHEN heard AND NOT inside AND first < 0 THEN n - 1 ELSE first END AS first, CASE WHEN heard THEN n - 1 ELSE last END AS last
+FROM (SELECT *, CASE WHEN inside THEN p >= 0.1 ELSE p >= 0.3 END AS heard
+FROM (SELECT e.user_id, e.i, e.ms, e.value / 200 AS p, CASE WHEN t.n >= 20 THEN e.ms ELSE t.start END AS start, CASE WHEN t.n >= 20 THEN 1 ELSE t.n + 1 END AS n, CASE WHEN t.n >= 20 THEN 0 ELSE t.speech END AS speech, CASE WHEN t.n >= 20 THEN 0 ELSE t.silence END AS silence, t.inside AND t.n < 20 AS inside, CASE WHEN t.n >= 20 THEN -1 ELSE t.first END AS first, CASE WHEN t.n >= 20 THEN -1 ELSE t.last END AS last,
+  CASE WHEN t.n >= 20 THEN [{_region_sql("'commit'", "t.n", "t.first", "t.last", "t.start")}] ELSE [] END AS found FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1)))))
+SELECT user_id, x.kind AS kind, x.start AS start, x."end" AS "end", x.speech_start AS speech_start, x.speech_end AS speech_end FROM (SELECT user_id, unnest(found) AS x FROM t)"""
+
+
+@query(_REGIONS)
 def stm_live_regions(spark, sf_dir):
     """STM-13, 14, UDF-11: commits and refreshes of each user's stream."""
     frames = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("frame"), (F.col("value") / 200).alias("p"))
     return drained(streamed(frames, "user_id", ["frame", "event_id"], P.live_regions(refresh=1, commit=2, least=6, cap=20, speech=2, pad=1)), shared_folder(spark, "live_regions"))
 
 
-@query()
+_RELAY = f"""WITH RECURSIVE {LOG}, g AS MATERIALIZED (SELECT user_id, i, ms, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'ok' WHEN 'purchase' THEN 'review' ELSE 'reopen' END AS event, CASE WHEN event_type <> 'purchase' THEN props WHEN event_id % 5 = 0 THEN 'discarded' ELSE 'accepted' END AS text, event_id % 11 = 0 AS terminal FROM e),
+t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS ms, false AS acts, CAST(NULL AS VARCHAR) AS status, false AS heard, false AS extracted, CAST(NULL AS VARCHAR) AS outcome, 0 AS attempts, CAST(0 AS BIGINT) AS due FROM g
+UNION ALL SELECT user_id, i, ms, acts, CASE WHEN NOT acts THEN status WHEN event = 'enqueue' THEN 'queued' WHEN event = 'failed' THEN CASE WHEN final THEN 'dead' ELSE 'failed' END WHEN event = 'review' THEN CASE WHEN text = 'discarded' THEN 'discarded' ELSE 'writing' END WHEN event = 'reopen' THEN 'awaiting-review'
+    WHEN doing = 'transcribe' AND length(trim(text)) >= {LEAST_RATE} THEN 'extracting' WHEN doing <> 'write' THEN 'awaiting-review' WHEN lost THEN 'dead' ELSE 'done' END,
+  heard OR (acts AND event = 'ok'), extracted OR (acts AND event = 'ok' AND doing = 'extract'), CASE WHEN acts AND event = 'review' THEN text WHEN acts AND event = 'reopen' THEN NULL ELSE outcome END,
+  CASE WHEN acts AND event = 'failed' THEN attempts + 1 WHEN acts AND (event = 'review' OR event = 'ok' AND NOT (doing = 'write' AND lost)) THEN 0 ELSE attempts END,
+  CASE WHEN acts AND event = 'failed' THEN CASE WHEN final THEN 0 ELSE ms + CAST(least(60000, 1000 * pow(2, attempts)) AS BIGINT) END WHEN acts AND event = 'ok' AND NOT (doing = 'write' AND lost) THEN 0 ELSE due END
+FROM (SELECT g.*, t.status, t.heard, t.extracted, t.outcome, t.attempts, t.due, coalesce(t.outcome, 'discarded') = 'discarded' AS lost, g.terminal OR t.attempts + 1 >= {MAX_ATTEMPTS} AS final, CASE WHEN NOT t.heard THEN 'transcribe' WHEN NOT t.extracted THEN 'extract' ELSE 'write' END AS doing,
+  coalesce(CASE g.event WHEN 'enqueue' THEN t.status IS NULL WHEN 'review' THEN t.status = 'awaiting-review' WHEN 'reopen' THEN t.status = 'dead' AND t.heard AND t.extracted ELSE t.status IN {tuple(sorted(ACTIVE))} AND g.ms >= t.due END, false) AS acts FROM t JOIN g ON g.user_id = t.user_id AND g.i = t.i + 1))
+SELECT user_id, ms AS at_ms, status, attempts, nullif(due, 0) AS due_ms FROM t WHERE acts"""
+
+
+@query(_RELAY)
 def stm_relay(spark, sf_dir):
     """STM-02, 03, 04, 05, 06, 08, 09, 12, 26: items' states, event by event."""
     kinds = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "purchase", "review").otherwise("reopen")
@@ -51,7 +84,13 @@ def stm_relay(spark, sf_dir):
     return drained(streamed(log, "user_id", ["at_ms", "event_id"], P.relay()), shared_folder(spark, "relay"))
 
 
-@query()
+_PREVIEWS = f"""WITH RECURSIVE {LOG}, t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, false AS taken, CAST(0 AS BIGINT) AS session, false AS done, CAST([] AS VARCHAR[]) AS committed, CAST(NULL AS VARCHAR) AS tail FROM e
+UNION ALL SELECT user_id, i, takes, CASE WHEN takes THEN now ELSE session END, done OR (takes AND event = 'handoff'), CASE WHEN takes AND event = 'handoff' THEN [] WHEN takes AND event = 'commit' THEN list_append(committed, props) ELSE committed END, CASE WHEN NOT takes THEN tail WHEN event = 'tail' THEN props END
+FROM (SELECT e.user_id, e.i, e.props, t.session, t.done, t.committed, t.tail, CAST(floor(e.value / 400) AS BIGINT) AS now, NOT t.done AND floor(e.value / 400) >= t.session AS takes, CASE WHEN e.event_type = 'purchase' THEN 'commit' WHEN e.event_type = 'error' AND e.event_id % 9 = 0 THEN 'handoff' ELSE 'tail' END AS event FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1))
+SELECT user_id, len(committed) AS n_committed, array_to_string(committed, ' ') AS text, tail, done FROM t WHERE taken"""
+
+
+@query(_PREVIEWS)
 def stm_previews(spark, sf_dir):
     """STM-10, 11, 12, 27, UDF-06."""
     kind = F.when(F.col("event_type") == "purchase", "commit").when((F.col("event_type") == "error") & (F.col("event_id") % 9 == 0), "handoff").otherwise("tail")
@@ -59,7 +98,14 @@ def stm_previews(spark, sf_dir):
     return drained(streamed(log, "user_id", ["at", "event_id"], P.previews()), shared_folder(spark, "previews"))
 
 
-@query()
+_CONNECTIVITY = f"""WITH RECURSIVE {LOG}, t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'offline' AS status, CAST(0 AS BIGINT) AS since, CAST(-1 AS BIGINT) AS healthy, CAST(NULL AS BIGINT) AS first_at, 'none' AS first, CAST(NULL AS BIGINT) AS second_at, 'none' AS second FROM e
+UNION ALL SELECT user_id, i, CASE WHEN falls THEN 'offline' WHEN starts THEN 'probing' ELSE now END, CASE WHEN starts THEN ms ELSE since END, CASE WHEN starts THEN -1 WHEN event_type = 'click' AND now = 'probing' AND healthy < 0 THEN ms ELSE healthy END, CASE WHEN now <> status THEN first_at END, CASE WHEN now <> status THEN now ELSE 'none' END, CASE WHEN falls OR starts THEN ms END, CASE WHEN falls THEN 'offline' WHEN starts THEN 'probing' ELSE 'none' END
+FROM (SELECT *, now <> 'offline' AND (event_type = 'error' OR event_type NOT IN ('error', 'view', 'click') AND now = 'probing') AS falls, event_type = 'view' AND now = 'offline' AS starts
+FROM (SELECT e.user_id, e.i, e.ms, e.event_type, t.status, t.since, t.healthy, CASE WHEN t.status = 'probing' AND t.healthy >= 0 AND e.ms >= t.healthy + 3000 THEN 'online' WHEN t.status = 'probing' AND t.healthy < 0 AND e.ms >= t.since + 5000 THEN 'offline' ELSE t.status END AS now, CASE WHEN t.healthy >= 0 THEN t.healthy + 3000 ELSE t.since + 5000 END AS first_at FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1)))
+SELECT user_id, x.at_ms AS at_ms, x.status AS status FROM (SELECT user_id, unnest([{{'at_ms': first_at, 'status': first}}, {{'at_ms': second_at, 'status': second}}]) AS x FROM t) WHERE x.status <> 'none'"""
+
+
+@query(_CONNECTIVITY)
 def stm_connectivity(spark, sf_dir):
     """STM-22."""
     kind = F.when(F.col("event_type") == "error", "down").when(F.col("event_type") == "view", "up").when(F.col("event_type") == "click", "probe_ok").otherwise("probe_failed")
@@ -67,7 +113,9 @@ def stm_connectivity(spark, sf_dir):
     return drained(streamed(log, "user_id", ["at_ms", "event_id"], P.connectivity()), shared_folder(spark, "connectivity"))
 
 
-@query()
+@query("""WITH h AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 3 = 0 THEN event_type END AS word FROM events), l AS (SELECT *, row_number() OVER v AS i, lag(word) OVER v AS before FROM h WINDOW v AS (PARTITION BY user_id ORDER BY ms, event_id)),
+s AS (SELECT *, CASE WHEN i = 1 THEN 0 WHEN word = before THEN 4 ELSE 3 END AS same FROM l), c AS (SELECT *, coalesce(max(same) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS committed FROM s)
+SELECT user_id, CASE WHEN committed > 0 THEN word WHEN same = 4 THEN 'the same words ' || word ELSE 'the same words' END AS words, CAST(same AS BIGINT) AS n_committed FROM c WHERE same > committed""")
 def stm_agreement(spark, sf_dir):
     """STM-31, WIN-13, STR-25."""
     log = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("at"), F.concat_ws(" ", F.lit("the same words"), F.when(F.col("event_id") % 3 == 0, F.col("event_type"))).alias("text"))
@@ -126,7 +174,7 @@ def prj_eviction(spark, sf_dir):
     return S.eviction(markers, queue(spark, sf_dir))
 
 
-@query()
+@query("SELECT p_partkey AS doc, unnest([CAST(0 AS BIGINT), 1]) AS ord, unnest(['a', 'b']) AS name, unnest([p_name, p_brand]) AS description FROM part")
 def src_described(spark, sf_dir):
     """SRC-46."""
     text = F.concat(F.lit('{"properties": {"a": {"description": "'), F.col("p_name"), F.lit('", "items": {"properties": {"a": {"description": "no"}, "b": {"description": "'), F.col("p_brand"), F.lit('"}}}}}}'))

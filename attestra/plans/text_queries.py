@@ -94,7 +94,11 @@ def str_sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("sentences"))
 
 
-@query()
+@query(r"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS before, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(list_transform(s, lambda x: len(regexp_split_to_array(x, '\s+')))) AS n FROM s)),
+f AS MATERIALIZED (SELECT a.doc_id, a.i, greatest(a.i + 1, coalesce(min(b.i), 1000000000)) AS next FROM w a ASOF LEFT JOIN w b ON a.doc_id = b.doc_id AND a.before + 66 < b.upto GROUP BY a.doc_id, a.i),
+t AS (SELECT doc_id, i, next FROM f WHERE i = 1 UNION ALL SELECT f.doc_id, f.i, f.next FROM t JOIN f ON f.doc_id = t.doc_id AND f.i = t.next)
+SELECT doc_id, CAST(count(i) AS INT) AS n_pieces, md5(coalesce(string_agg(array_to_string(s[i:next - 1], ' '), '|' ORDER BY i) FILTER (i IS NOT NULL), '')) AS pieces FROM s LEFT JOIN t USING (doc_id) GROUP BY doc_id""")
 def str_packed_sentences(spark, sf_dir):
     """STR-22: a fold over the sentences."""
     p = S.packed(S.sentences(F.col("text")), 66)

@@ -10,8 +10,10 @@ from attestra.plans.catalogue import ORACLE_SQL, QUERIES
 def plain(v):
     if isinstance(v, bool) or v is None:
         return v
-    if isinstance(v, (int, float)):
-        return None if isinstance(v, float) and math.isnan(v) else float(f"{v:.9g}")
+    if isinstance(v, int):
+        return float(v)
+    if isinstance(v, float):
+        return None if math.isnan(v) else float(f"{v:.9g}")
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     return str(v)
