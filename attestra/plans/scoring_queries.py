@@ -9,6 +9,7 @@ from attestra.functions.strings import member_slug
 from attestra.operators import queue as Q
 from attestra.operators import review as V
 from attestra.operators import scoring as C
+from attestra.operators.checks import declared, split_by_group
 from attestra.sources.folders import written
 from attestra.plans.tables import CELLS, VERDICTS, cells, equal_sql, table
 
@@ -288,7 +289,17 @@ def score_perfect_model(spark, sf_dir):
 @query("SELECT p_partkey, p_size, p_name FROM part ORDER BY p_partkey")
 def prj_declared_columns(spark, sf_dir):
     """PRJ-03, SRT-11."""
-    from attestra.operators.checks import declared
-
     schema = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("gone", T.StringType()), T.StructField("p_size", T.IntegerType()), T.StructField("p_name", T.StringType())])
     return declared(table(spark, sf_dir, "part"), schema).orderBy("p_partkey")
+
+
+_GROUPS = T.StructType([T.StructField("money", T.StructType([T.StructField("total", T.LongType()), T.StructField("priority", T.StringType())])), T.StructField("who", T.StructType([T.StructField("customer", T.LongType())]))])
+
+
+@query("""SELECT o_orderkey AS record, unnest(['money', 'who']) AS "group", unnest(['money.total,money.priority', 'who.customer']) AS paths, unnest(['{"money":{"total":' || CAST(trunc(o_totalprice) AS BIGINT) || ',"priority":"' || o_orderpriority || '"}}', '{"who":{"customer":' || o_custkey || '}}']) AS fields FROM orders""")
+def prj_split_by_group(spark, sf_dir):
+    """PRJ-17, STR-15: records read group by group, each with a schema of its own, and the paths of its leaves."""
+    money = F.struct(F.col("o_totalprice").cast("long").alias("total"), F.col("o_orderpriority").alias("priority"))
+    records = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record"), F.to_json(F.struct(money.alias("money"), F.struct(F.col("o_custkey").alias("customer")).alias("who"))).alias("json"))
+    own = [F.struct(F.lit(g).alias("group"), F.lit(",".join(V.leaf_paths(V.enveloped(s)))).alias("paths"), F.to_json(F.from_json("json", s)).alias("fields")) for g, s in split_by_group(_GROUPS).items()]
+    return records.select("record", F.explode(F.array(*own)).alias("g")).select("record", "g.*")

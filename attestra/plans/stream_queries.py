@@ -45,21 +45,22 @@ def _region_sql(kind: str, n: str, first: str, last: str, start: str) -> str:
     return f"{{'kind': {kind}, 'start': {start}, 'end': {start} + {n}, 'speech_start': {start} + CASE WHEN {first} < 0 THEN 0 ELSE greatest(0, {first} - 1) END, 'speech_end': {start} + CASE WHEN {first} < 0 THEN {n} ELSE least({n}, {last} + 2) END}}"
 
 
-_REGIONS = f"""WITH RECURSIVE {LOG}, t AS (SELECT user_id, CAST(0 AS BIGINT) AS i, min(ms) AS start, 0 AS n, 0 AS speech, 0 AS silence, false AS inside, -1 AS first, -1 AS last, [{_region_sql("''", "0", "0", "0", "min(ms)")}][2:] AS found FROM e GROUP BY user_id
-UNION ALL SELECT user_id, i, CASE WHEN done THEN ms + 1 ELSE start END, CASE WHEN done THEN 0 ELSE n END, CASE WHEN done THEN 0 ELSE speech END, CASE WHEN done THEN 0 ELSE silence END, inside AND NOT done, CASE WHEN done THEN -1 ELSE first END, CASE WHEN done THEN -1 ELSE last END,
-  list_concat(found, CASE WHEN done OR asks THEN [{_region_sql("CASE WHEN done THEN 'commit' ELSE 'refresh' END", "n", "first", "last", "start")}] ELSE [] END)
-FROM (SELECT *, quiet AND silence >= 2 AND speech >= 2 AND n >= 6 AS done, quiet AND silence = 1 AND speech >= 2 AS asks
-FROM (SELECT user_id, i, ms, start, n, found, inside OR heard AS inside, inside AND NOT heard AS quiet, speech + CAST(heard AS INT) AS speech, CASE WHEN heard THEN 0 WHEN inside THEN silence + 1 ELSE silence END AS silence, CASE WHEN heard AND NOT inside AND first < 0 THEN n - 1 ELSE first END AS first, CASE WHEN heard THEN n - 1 ELSE last END AS last
-FROM (SELECT *, CASE WHEN inside THEN p >= 0.1 ELSE p >= 0.3 END AS heard
-FROM (SELECT e.user_id, e.i, e.ms, e.value / 200 AS p, CASE WHEN t.n >= 20 THEN e.ms ELSE t.start END AS start, CASE WHEN t.n >= 20 THEN 1 ELSE t.n + 1 END AS n, CASE WHEN t.n >= 20 THEN 0 ELSE t.speech END AS speech, CASE WHEN t.n >= 20 THEN 0 ELSE t.silence END AS silence, t.inside AND t.n < 20 AS inside, CASE WHEN t.n >= 20 THEN -1 ELSE t.first END AS first, CASE WHEN t.n >= 20 THEN -1 ELSE t.last END AS last,
-  CASE WHEN t.n >= 20 THEN [{_region_sql("'commit'", "t.n", "t.first", "t.last", "t.start")}] ELSE [] END AS found FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1)))))
+_REGIONS = f"""WITH RECURSIVE {LOG}, t AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS start, 0 AS n, 0 AS speech, 0 AS silence, false AS inside, -1 AS first, -1 AS last, [{_region_sql("''", "0", "0", "0", "min(ms)")}][2:] AS found FROM e GROUP BY user_id
+UNION ALL SELECT user_id, i, CASE WHEN closes THEN -1 WHEN done THEN ms + 1 ELSE start END, CASE WHEN done THEN 0 ELSE n END, CASE WHEN done THEN 0 ELSE speech END, CASE WHEN done THEN 0 ELSE silence END, inside AND NOT done, CASE WHEN done THEN -1 ELSE first END, CASE WHEN done THEN -1 ELSE last END,
+  list_concat(found, CASE WHEN done AND NOT closes OR asks OR closes AND first >= 0 THEN [{_region_sql("CASE WHEN closes THEN 'drain' WHEN done THEN 'commit' ELSE 'refresh' END", "n", "first", "last", "start")}] ELSE [] END)
+FROM (SELECT *, closes OR (quiet AND silence >= 2 AND speech >= 2 AND n >= 6) AS done, NOT closes AND quiet AND silence = 1 AND speech >= 2 AS asks
+FROM (SELECT user_id, i, ms, closes, start, n, found, inside OR heard AS inside, inside AND NOT heard AS quiet, speech + CAST(heard AS INT) AS speech, CASE WHEN heard THEN 0 WHEN inside THEN silence + 1 ELSE silence END AS silence, CASE WHEN heard AND NOT inside AND first < 0 THEN n - 1 ELSE first END AS first, CASE WHEN heard THEN n - 1 ELSE last END AS last
+FROM (SELECT *, NOT closes AND CASE WHEN inside THEN p >= 0.1 ELSE p >= 0.3 END AS heard
+FROM (SELECT user_id, i, ms, p, closes, CASE WHEN full_ OR start < 0 AND NOT closes THEN ms ELSE start END AS start, CASE WHEN closes THEN n WHEN full_ THEN 1 ELSE n + 1 END AS n, CASE WHEN full_ THEN 0 ELSE speech END AS speech, CASE WHEN full_ THEN 0 ELSE silence END AS silence, inside AND NOT full_ AS inside, CASE WHEN full_ THEN -1 ELSE first END AS first, CASE WHEN full_ THEN -1 ELSE last END AS last,
+  CASE WHEN full_ THEN [{_region_sql("'commit'", "n", "first", "last", "start")}] ELSE [] END AS found
+FROM (SELECT e.user_id, e.i, e.ms, e.value / 200 AS p, e.event_id % 23 = 0 AS closes, t.n >= 20 AND e.event_id % 23 <> 0 AS full_, t.start, t.n, t.speech, t.silence, t.inside, t.first, t.last FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1))))))
 SELECT user_id, x.kind AS kind, x.start AS start, x."end" AS "end", x.speech_start AS speech_start, x.speech_end AS speech_end FROM (SELECT user_id, unnest(found) AS x FROM t)"""
 
 
 @query(_REGIONS)
 def stm_live_regions(spark, sf_dir):
-    """STM-13, 14, UDF-11: commits and refreshes of each user's stream."""
-    frames = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("frame"), (F.col("value") / 200).alias("p"))
+    """STM-13, 14, 15, UDF-11: commits and refreshes of each user's stream, and what is left when it closes."""
+    frames = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("frame"), F.when(F.col("event_id") % 23 != 0, F.col("value") / 200).alias("p"))
     return drained(streamed(frames, "user_id", ["frame", "event_id"], P.live_regions(refresh=1, commit=2, least=6, cap=20, speech=2, pad=1)), shared_folder(spark, "live_regions"))
 
 
@@ -84,6 +85,47 @@ def stm_relay(spark, sf_dir):
     return drained(streamed(log, "user_id", ["at_ms", "event_id"], P.relay()), shared_folder(spark, "relay"))
 
 
+_SESSION = f"""WITH RECURSIVE {LOG}, g AS MATERIALIZED (SELECT user_id, i, ms AS start, CASE WHEN event_type = 'error' AND event_id % 6 = 0 THEN ms ELSE ms + 1 + CAST(floor(value) AS BIGINT) END AS "end", CASE event_type WHEN 'signup' THEN 'opened' WHEN 'purchase' THEN 'commit' WHEN 'click' THEN 'refresh' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'close' ELSE 'failed' END ELSE 'done' END AS event FROM e),
+t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, false AS open, false AS leaves, false AS refresh, false AS commits, CAST(NULL AS BIGINT) AS since, CAST(NULL AS BIGINT) AS upto, [{{'kind': '', 'start': start, 'end': start}}][2:] AS jobs, [{{'kind': '', 'start': start, 'end': start}}][2:] AS told FROM g WHERE i = 1
+UNION ALL SELECT user_id, i, CASE WHEN NOT open THEN event = 'opened' AND NOT leaves ELSE NOT ends END, NOT open AND event <> 'opened' AND (leaves OR event = 'close'),
+  open AND NOT ends AND CASE WHEN event = 'refresh' THEN true WHEN pops AND kind = 'tail' THEN false ELSE refresh END, open AND NOT ends AND CASE WHEN event = 'commit' THEN true WHEN pops AND kind = 'commit' AND NOT again THEN false ELSE commits END,
+  CASE WHEN NOT open OR ends OR again OR joins THEN NULL WHEN event = 'commit' AND commits THEN coalesce(since, start) ELSE since END, CASE WHEN NOT open OR ends OR again OR joins THEN NULL WHEN event = 'commit' AND commits THEN "end" ELSE upto END,
+  CASE WHEN NOT open OR ends THEN [] WHEN joins THEN list_prepend({{'kind': 'commit', 'start': next[1].start, 'end': upto}}, next[2:]) ELSE next END,
+  list_concat(CASE WHEN pops THEN [{{'kind': CASE WHEN event = 'failed' THEN 'error' WHEN kind = 'tail' THEN 'tail' ELSE 'commit' END, 'start': jobs[1].start, 'end': jobs[1]."end"}}] WHEN NOT open AND event = 'opened' THEN [{{'kind': 'opened', 'start': CAST(NULL AS BIGINT), 'end': CAST(NULL AS BIGINT)}}] ELSE [] END,
+    CASE WHEN ends OR (NOT open AND event = 'opened' AND leaves) THEN [{{'kind': 'closed', 'start': CAST(NULL AS BIGINT), 'end': CAST(NULL AS BIGINT)}}] ELSE [] END)
+FROM (SELECT *, pops AND NOT again AND since IS NOT NULL AND len(next) > 0 AND coalesce(next[1].kind = 'commit', false) AS joins
+FROM (SELECT *, CASE WHEN event = 'refresh' AND NOT refresh THEN list_append(jobs, {{'kind': 'tail', 'start': start, 'end': "end"}}) WHEN event = 'commit' AND NOT commits THEN list_append(jobs, {{'kind': 'commit', 'start': start, 'end': "end"}}) WHEN event = 'close' THEN list_append(jobs, {{'kind': 'close', 'start': start, 'end': "end"}})
+    WHEN again THEN list_append(jobs[2:], {{'kind': 'commit', 'start': since, 'end': upto}}) WHEN pops THEN jobs[2:] ELSE jobs END AS next
+FROM (SELECT *, pops AND kind = 'commit' AND since IS NOT NULL AS again, open AND (event = 'close' AND "end" <= start OR pops AND kind = 'close') AS ends
+FROM (SELECT g.*, t.open, t.leaves, t.refresh, t.commits, t.since, t.upto, t.jobs, coalesce(t.jobs[1].kind, '') AS kind, t.open AND g.event IN ('done', 'failed') AND len(t.jobs) > 0 AS pops FROM t JOIN g ON g.user_id = t.user_id AND g.i = t.i + 1)))))
+SELECT user_id, x.kind AS kind, x.start AS start, x."end" AS "end" FROM (SELECT user_id, unnest(told) AS x FROM t)"""
+
+
+@query(_SESSION)
+def stm_live_session(spark, sf_dir):
+    """STM-16, 17, 28, UDF-24: what live sessions send, their transcriptions one after the other."""
+    kind = F.when(F.col("event_type") == "signup", "opened").when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "click", "refresh").when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, "close").otherwise("failed")).otherwise("done")
+    length = F.when((F.col("event_type") == "error") & (F.col("event_id") % 6 == 0), 0).otherwise(F.floor("value") + 1)
+    log = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("start"), (_ms() + length).alias("end"), kind.alias("event"))
+    return drained(streamed(log, "user_id", ["start", "event_id"], P.live_session()), shared_folder(spark, "live_session"))
+
+
+_CAPTURE = f"""WITH RECURSIVE {LOG}, g AS MATERIALIZED (SELECT user_id, i, ms, CAST(floor(value) AS BIGINT) AS n, CASE WHEN event_type = 'purchase' THEN 'resumed' WHEN event_type = 'view' THEN 'tick' WHEN event_id % 97 = 0 THEN 'close' ELSE 'blob' END AS event FROM e),
+t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS ms, CAST(0 AS BIGINT) AS n, '' AS event, CAST(-1 AS BIGINT) AS last, false AS resumed, false AS stalled, false AS closed, CAST(0 AS BIGINT) AS chunk, false AS latches, false AS stores FROM g
+UNION ALL SELECT user_id, i, ms, n, event, CASE WHEN event = 'tick' AND last >= 0 THEN last ELSE ms END, event = 'resumed' OR (resumed AND event <> 'blob'), stalled OR latches, closed OR event = 'close', CASE WHEN event = 'blob' AND NOT closed THEN chunk + 1 ELSE chunk END, latches, event = 'blob' AND NOT closed
+FROM (SELECT g.*, t.last, t.resumed, t.stalled, t.closed, t.chunk, NOT t.closed AND NOT t.stalled AND t.last >= 0 AND g.ms - t.last > 43200000 AND (g.event = 'tick' OR g.event = 'blob' AND NOT t.resumed) AS latches FROM t JOIN g ON g.user_id = t.user_id AND g.i = t.i + 1))
+SELECT user_id, ms AS at_ms, CAST(NULL AS BIGINT) AS chunk, CAST(NULL AS BIGINT) AS slice, CAST(NULL AS BIGINT) AS n_bytes, 'stalled' AS health FROM t WHERE latches
+UNION ALL SELECT user_id, ms, chunk - 1, k, least(100, n - 100 * k), CASE WHEN stalled THEN 'stalled' ELSE 'flushing' END FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(n / 100.0) AS BIGINT)))) AS k FROM t WHERE stores)"""
+
+
+@query(_CAPTURE)
+def stm_capture(spark, sf_dir):
+    """STM-19: recordings' chunks as they are stored, and whether they stall."""
+    kind = F.when(F.col("event_type") == "purchase", "resumed").when(F.col("event_type") == "view", "tick").when(F.col("event_id") % 97 == 0, "close").otherwise("blob")
+    log = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("at_ms"), kind.alias("event"), F.floor("value").alias("n_bytes"))
+    return drained(streamed(log, "user_id", ["at_ms", "event_id"], P.capture(12 * 3600 * 1000, 100)), shared_folder(spark, "capture"))
+
+
 _PREVIEWS = f"""WITH RECURSIVE {LOG}, t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, false AS taken, CAST(0 AS BIGINT) AS session, false AS done, CAST([] AS VARCHAR[]) AS committed, CAST(NULL AS VARCHAR) AS tail FROM e
 UNION ALL SELECT user_id, i, takes, CASE WHEN takes THEN now ELSE session END, done OR (takes AND event = 'handoff'), CASE WHEN takes AND event = 'handoff' THEN [] WHEN takes AND event = 'commit' THEN list_append(committed, props) ELSE committed END, CASE WHEN NOT takes THEN tail WHEN event = 'tail' THEN props END
 FROM (SELECT e.user_id, e.i, e.props, t.session, t.done, t.committed, t.tail, CAST(floor(e.value / 400) AS BIGINT) AS now, NOT t.done AND floor(e.value / 400) >= t.session AS takes, CASE WHEN e.event_type = 'purchase' THEN 'commit' WHEN e.event_type = 'error' AND e.event_id % 9 = 0 THEN 'handoff' ELSE 'tail' END AS event FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1))
@@ -179,3 +221,11 @@ def src_described(spark, sf_dir):
     """SRC-46."""
     text = F.concat(F.lit('{"properties": {"a": {"description": "'), F.col("p_name"), F.lit('", "items": {"properties": {"a": {"description": "no"}, "b": {"description": "'), F.col("p_brand"), F.lit('"}}}}}}'))
     return J.described(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), text.alias("text")))
+
+
+@query("""SELECT p_partkey AS doc, '{"properties":{"description":{"type":"string"},"n":{"items":{"properties":{"b":{"type":"' || lower(replace(p_brand, '#', '')) || '"}}},"type":"array"}}}' AS text FROM part""")
+def prj_undescribed(spark, sf_dir):
+    """PRJ-19."""
+    kind = F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("")))
+    text = F.concat(F.lit('{"description": "'), F.col("p_name"), F.lit('", "properties": {"n": {"type": "array", "description": "d", "items": {"properties": {"b": {"description": "e", "type": "'), kind, F.lit('"}}}}, "description": {"type": "string", "description": "f"}}}'))
+    return J.undescribed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), text.alias("text")))

@@ -8,6 +8,8 @@ from attestra.operators import queue as Q
 from attestra.operators import writes as W
 from attestra.plans.queue_queries import _ACTIVE, _CHUNKS, _chunks
 from attestra.plans.tables import QUEUE, queue, table
+from attestra.sources.folders import shared_folder, written
+from attestra.sources.outbox import Outbox
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -201,3 +203,16 @@ def src_run_current(spark, sf_dir):
     """SRC-26, SRC-27: what was saved last of every label that is there."""
     store = _run_store(spark, sf_dir)
     return store.current().join(store.labels(), "label").select(F.col("label").cast("string").alias("label"), "captured_at", "n")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'done' ELSE 'queued' END AS status, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 END AS INT) AS attempts FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def src_migrated_log(spark, sf_dir):
+    """SRC-02, 03: a log whose first rows have fewer columns is read like one of today, and dropped once it has been read."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.cast("string").alias("id"), k.alias("seq"))
+    box = Outbox(spark, shared_folder(spark, "outbox"))
+    rows.where("seq % 2 = 0").select("id", F.lit(1).cast("long").alias("version"), "seq", F.lit("queued").alias("status")).write.parquet(box.path)
+    box.append(rows.where("seq % 3 = 0").withColumn("version", F.lit(2)).withColumn("status", F.lit("done")).withColumn("attempts", F.lit(1)))
+    items = written(box.items().select("id", "seq", "status", "attempts"))
+    box.drop()
+    return items

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.operators.checks import without_descriptions
+
 
 def repaired(text: Column) -> Column:
     """The JSON object that a text is, or that it fences, or that reaches from its first to its last brace; null if none of them parses."""
@@ -98,3 +100,13 @@ def described(specs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc", "ord", "name", "description"])
 
     return specs.select("doc", "text").mapInPandas(crawl, f"doc {specs.schema['doc'].dataType.simpleString()}, ord long, name string, description string")
+
+
+def undescribed(specs: DataFrame) -> DataFrame:
+    """JSON schemas (doc, text) without their descriptions, written compactly with sorted names."""
+
+    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(text=[None if t is None else json.dumps(without_descriptions(json.loads(t)), sort_keys=True, separators=(",", ":")) for t in pdf["text"]])
+
+    return specs.select("doc", "text").mapInPandas(strip, f"doc {specs.schema['doc'].dataType.simpleString()}, text string")

@@ -26,7 +26,7 @@ class Processor:
 
 def _emitted(processor: Processor, state: dict, key: str, value: object, events: pd.DataFrame, order: list[str]) -> pd.DataFrame:
     rows = [out for event in events.sort_values(order).to_dict("records") for out in processor.step(state, event)]
-    found = pd.DataFrame(rows, columns=processor.names())
+    found = pd.DataFrame(rows, columns=processor.names(), dtype=object)  # whole numbers stay whole beside nulls
     found.insert(0, key, value)
     return found
 

@@ -8,12 +8,14 @@ from attestra.streaming.folds import Processor
 #: Fixed values of the live detector: probabilities, and lengths in frames of 512 samples at 16 kHz.
 ENTER, EXIT = 0.3, 0.1
 FRAME_MS = 32.0
+#: Fixed values of a capture: the silence after which it counts as stalled, and the largest chunk that is stored.
+STALL_MS, CHUNK_BYTES = 30_000, 10_000_000
 
 
 def live_regions(refresh: int = 13, commit: int = 25, least: int = 469, cap: int = 938, speech: int = 8, pad: int = 6) -> Processor:
     """Frames (frame, p) to refreshes and commits of regions; lengths in frames.
 
-    A region that reaches the cap is committed before the next frame. Within speech, silence of `refresh` frames asks for a refresh, and silence of `commit` frames commits a region that has speech and length enough.
+    A region that reaches the cap is committed before the next frame. Within speech, silence of `refresh` frames asks for a refresh, and silence of `commit` frames commits a region that has speech and length enough. A frame without p closes the stream: what is held and has speech is given as a drain, and the next frame begins anew.
     """
 
     def emit(kind: str, s: dict) -> dict:
@@ -25,7 +27,11 @@ def live_regions(refresh: int = 13, commit: int = 25, least: int = 469, cap: int
         s.update(start=at, n=0, speech=0, silence=0, inside=False, first=-1, last=-1)
 
     def step(s: dict, event: dict) -> list[dict]:
-        out, at, p = [], int(event["frame"]), float(event["p"])
+        out, at, p = [], int(event["frame"]), event["p"]
+        if p is None or p != p:
+            out = [emit("drain", s)] if s["first"] >= 0 else []
+            fresh(s, -1)
+            return out
         if s["start"] < 0:
             fresh(s, at)
         if s["n"] >= cap:
@@ -52,6 +58,84 @@ def live_regions(refresh: int = 13, commit: int = 25, least: int = 469, cap: int
     return Processor(start, step, "kind string, start long, end long, speech_start long, speech_end long")
 
 
+def live_session() -> Processor:
+    """What a live session sends, from opened, refresh, commit and close (each with the start and end of its audio; a close with nothing left has none, end <= start) and done or failed, the end of the transcription that runs.
+
+    Transcriptions run one after the other in the order in which they were asked for. While a refresh waits or runs, further ones are dropped; while a commit waits or runs, the audio of further ones is joined, so that none is lost and one at most waits. A close transcribes what is left as the last commit and then ends the session; one that comes before the session is open ends it as soon as it opens. Outside a session nothing else counts.
+    """
+
+    def idle(s: dict) -> None:
+        s.update(open=False, leaves=False, refresh=False, commit=False, pending=None, jobs=[])
+
+    def step(s: dict, event: dict) -> list[dict]:
+        kind, span = event["event"], [int(event["start"]), int(event["end"])]
+        told = lambda k, x=(None, None): {"kind": k, "start": x[0], "end": x[1]}
+        if not s["open"]:
+            leaves = s["leaves"]
+            if kind == "opened":
+                s.update(open=not leaves, leaves=False)
+                return [told("opened"), told("closed")] if leaves else [told("opened")]
+            s["leaves"] = leaves or kind == "close"
+            return []
+        out = []
+        if kind == "close" and span[1] <= span[0]:
+            idle(s)
+            return [told("closed")]
+        if kind == "close":
+            s["jobs"].append(["close", *span])
+        elif kind == "refresh" and not s["refresh"]:
+            s["refresh"] = True
+            s["jobs"].append(["tail", *span])
+        elif kind == "commit" and s["commit"]:
+            s["pending"] = [s["pending"][0] if s["pending"] else span[0], span[1]]
+        elif kind == "commit":
+            s["commit"] = True
+            s["jobs"].append(["commit", *span])
+        elif kind in ("done", "failed") and s["jobs"]:
+            what, *at = s["jobs"].pop(0)
+            out.append(told("error" if kind == "failed" else "tail" if what == "tail" else "commit", at))
+            if what == "close":
+                idle(s)
+                return [*out, told("closed")]
+            if what == "tail":
+                s["refresh"] = False
+            elif s["pending"]:
+                s["jobs"].append(["commit", *s["pending"]])
+                s["pending"] = None
+            else:
+                s["commit"] = False
+            if s["pending"] and s["jobs"] and s["jobs"][0][0] == "commit":  # begins now, with what has come since it was asked for
+                s["jobs"][0][2], s["pending"] = s["pending"][1], None
+        return out
+
+    start = {"open": False, "leaves": False, "refresh": False, "commit": False, "pending": None, "jobs": []}
+    return Processor(start, step, "kind string, start long, end long")
+
+
+def capture(stall_ms: int = STALL_MS, most: int = CHUNK_BYTES) -> Processor:
+    """Chunks of a recording as they are stored, and its health, from begin, blob (n_bytes), resumed, tick and close.
+
+    Blobs are numbered in order and stored in slices of at most `most` bytes, an empty one as one slice. A gap over stall_ms before a blob or a tick makes the capture stalled for good; a resumption begins the count anew, and the first blob after it is never late. After a close nothing counts.
+    """
+
+    def step(s: dict, event: dict) -> list[dict]:
+        kind, now, out = event["event"], int(event["at_ms"]), []
+        if s["closed"]:
+            return []
+        late = s["last"] >= 0 and now - s["last"] > stall_ms
+        if late and not s["stalled"] and (kind == "tick" or kind == "blob" and not s["resumed"]):
+            s["stalled"] = True
+            out.append({"at_ms": now, "chunk": None, "slice": None, "n_bytes": None, "health": "stalled"})
+        if kind == "blob":
+            size, health = int(event["n_bytes"]), "stalled" if s["stalled"] else "flushing"
+            out += [{"at_ms": now, "chunk": s["chunk"], "slice": k, "n_bytes": min(most, size - k * most), "health": health} for k in range(max(1, -(-size // most)))]
+            s["chunk"] += 1
+        s.update(closed=kind == "close", resumed=kind == "resumed" or s["resumed"] and kind != "blob", last=s["last"] if kind == "tick" and s["last"] >= 0 else now)
+        return out
+
+    return Processor({"last": -1, "resumed": False, "stalled": False, "closed": False, "chunk": 0}, step, "at_ms long, chunk long, slice long, n_bytes long, health string")
+
+
 def previews() -> Processor:
     """Live text of an item: tails replace each other, commits append and clear the tail, a handoff ends it. What comes after, or for an older session, is ignored."""
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,46 @@ def test_live_regions(spark):
     assert got == [("refresh", 0, 5, 0, 5), ("commit", 0, 7, 0, 5), ("refresh", 7, 10, 7, 10), ("commit", 7, 12, 7, 10), ("commit", 12, 22, 12, 22)]
 
 
+def test_a_close_drains_what_has_speech(spark):
+    p = [0.0, 0.5, 0.2, None, 0.0, None, 0.9, None]
+    got = fold(spark, P.live_regions(refresh=2, commit=3, least=5, cap=10, speech=2, pad=1), [(1, k, k, x) for k, x in enumerate(p)], ["key", "at", "frame", "p"])
+    assert got == [("drain", 0, 3, 0, 3), ("drain", 6, 7, 6, 7)]
+
+
+def session(events):
+    p = P.live_session()
+    state = {**p.start, "jobs": []}
+    return [(x["kind"], x["start"], x["end"]) for e, a, b in events for x in p.step(state, {"event": e, "start": a, "end": b})]
+
+
+def test_live_sessions():
+    asked = [("opened", 0, 0), ("refresh", 0, 5), ("refresh", 0, 7), ("commit", 0, 9), ("commit", 9, 12), ("commit", 12, 15), ("done", 0, 0), ("done", 0, 0), ("commit", 15, 20), ("failed", 0, 0), ("close", 20, 22), ("done", 0, 0), ("refresh", 22, 23), ("opened", 0, 0)]
+    assert session(asked) == [("opened", None, None), ("tail", 0, 5), ("commit", 0, 15), ("error", 15, 20), ("commit", 20, 22), ("closed", None, None), ("opened", None, None)]
+    again = [("opened", 0, 0), ("commit", 0, 9), ("commit", 9, 12), ("done", 0, 0), ("commit", 12, 14), ("done", 0, 0), ("done", 0, 0), ("done", 0, 0)]
+    assert session(again) == [("opened", None, None), ("commit", 0, 9), ("commit", 9, 12), ("commit", 12, 14)]
+    assert session([("close", 0, 4), ("commit", 0, 4), ("opened", 0, 0), ("done", 0, 0)]) == [("opened", None, None), ("closed", None, None)]
+    assert session([("opened", 0, 0), ("commit", 0, 4), ("close", 5, 5), ("done", 0, 0)]) == [("opened", None, None), ("closed", None, None)]
+
+
+def test_no_commit_of_a_session_is_lost():
+    rnd = random.Random(5)
+    for _ in range(200):
+        kinds = [rnd.choice(["refresh", "commit", "done", "failed"]) for _ in range(40)]
+        events, at = [("opened", 0, 0)], 0
+        for k in kinds:
+            events.append((k, at, at + (k == "commit")))
+            at += k == "commit"
+        got = session([*events, *[("done", at, at)] * 50])
+        spans = [(a, b) for k, a, b in got if k in ("commit", "error") and b > a]
+        assert [a for a, _ in spans] == [0, *(b for _, b in spans)][: len(spans)] and (not at or spans[-1][1] == at)
+
+
+def test_capture(spark):
+    rows = [("r", k, t, e, n) for k, (t, e, n) in enumerate([(0, "begin", 0), (10, "blob", 25), (50, "tick", 0), (200, "resumed", 0), (290, "blob", 0), (391, "tick", 0), (392, "blob", 10), (400, "close", 0), (401, "blob", 5)])]
+    got = fold(spark, P.capture(100, 10), rows, ["key", "at", "at_ms", "event", "n_bytes"])
+    assert got == [(10, 0, 0, 10, "flushing"), (10, 0, 1, 10, "flushing"), (10, 0, 2, 5, "flushing"), (290, 1, 0, 0, "flushing"), (391, None, None, None, "stalled"), (392, 2, 0, 10, "stalled")]
+
+
 def test_relay(spark):
     columns = ["key", "at", "at_ms", "event", "text", "terminal", "duration_ms"]
     rows = [("i", 0, 0, "enqueue", None, False, 1000), ("i", 1, 1, "failed", None, False, 0), ("i", 2, 500, "ok", "too early", False, 0), ("i", 3, 1500, "ok", "a transcript", False, 0), ("i", 4, 1600, "ok", "{}", False, 0), ("i", 5, 1700, "ok", "ignored", False, 0), ("i", 6, 1800, "review", "accepted", False, 0), ("i", 7, 1900, "failed", None, True, 0), ("i", 8, 2000, "reopen", None, False, 0), ("i", 9, 2100, "review", "edited", False, 0), ("i", 10, 2200, "ok", None, False, 0), ("i", 11, 2300, "reopen", None, False, 0)]
