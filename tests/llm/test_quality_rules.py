@@ -1,7 +1,8 @@
+import math
 import re
 from collections import Counter
 
-from attestra.llm.quality_rules import quality_rules
+from attestra.llm.quality_rules import RULES, quality_rules
 
 TEXTS = [
     None,
@@ -46,3 +47,50 @@ def test_votes_tell_junk_from_prose(spark, sf_dir):
     good = [r.kept for r in got if r.quality == 1]
     bad = [not r.kept for r in got if r.quality == 0]
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) > 0.8
+
+
+def plain_em(votes):
+    """Each document's posterior by expectation-maximisation, document by document."""
+    n, prior = len(votes), {0: (0.1, 0.4, 0.5), 1: (0.1, 0.01, 0.89)}
+    good = [0.1 if 1 in v else 0.95 for v in votes]
+    for _ in range(200):
+        table = {}
+        for c in (0, 1):
+            for j in range(len(RULES)):
+                mass = [prior[c][x] * 0.01 * n for x in range(3)]
+                for v, g in zip(votes, good, strict=True):
+                    mass[v[j]] += g if c else 1 - g
+                table[c, j] = [m / sum(mass) for m in mass]
+        share = (sum(good) + 0.5) / (n + 1)
+        new = []
+        for v in votes:
+            a, b = (math.log(p) + sum(math.log(table[c, j][x]) for j, x in enumerate(v)) for c, p in ((0, 1 - share), (1, share)))
+            new.append(1 / (1 + math.exp(min(a - b, 500))))
+        if max(abs(x - y) for x, y in zip(good, new, strict=True)) < 1e-9:
+            break
+        good = new
+    return new
+
+
+def test_posteriors_match_plain_python(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = quality_rules(docs).collect()
+    want = plain_em([r.votes for r in got])
+    assert max(abs(r.p_good - p) for r, p in zip(got, want, strict=True)) < 1e-6
+    assert all(r.kept == (not r.base_failed and p >= 0.5) for r, p in zip(got, want, strict=True) if abs(p - 0.5) > 1e-6)
+
+
+def test_a_rule_worse_than_chance_is_turned_around(spark):
+    """A rule that calls what the others hold good bad, and the reverse, ends up speaking for them."""
+    import numpy as np
+
+    from attestra.llm.quality_rules import learn_rules, posterior
+
+    rnd = np.random.default_rng(3)
+    truth = rnd.random(4000) < 0.7
+    right = rnd.random((4000, 6)) < 0.9
+    votes = np.where(right == truth[:, None], 2, 1)
+    votes[:, 5] = np.where((rnd.random(4000) < 0.85) == truth, 1, 2)  # the contrary of the truth, mostly
+    share, table = learn_rules(votes, np.ones(4000))
+    assert table[1, 5, 1] > table[1, 5, 2] and table[0, 5, 2] > table[0, 5, 1]
+    assert ((posterior(votes, share, table) >= 0.5) == truth).mean() > 0.97
