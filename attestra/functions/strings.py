@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"(?U)\s+"
+#: White space by the Unicode property.
+_WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def straight_quotes(c: Column) -> Column:
@@ -20,7 +21,7 @@ def compact_key(c: Column) -> Column:
 
 def loose_text(c: Column) -> Column:
     """Lower case, straight quotes, single spaces."""
-    return F.trim(F.regexp_replace(straight_quotes(F.lower(c)), _SPACE, " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(c), "‘’“”" + _WHITE, "''\"\"" + " " * len(_WHITE)), "  +", " "))
 
 
 def bare_text(c: Column) -> Column:
@@ -30,13 +31,12 @@ def bare_text(c: Column) -> Column:
 
 def spoken_text(c: Column) -> Column:
     """The form in which transcripts are compared: letters, digits, apostrophes and single spaces."""
-    kept = F.regexp_replace(straight_quotes(F.lower(c)), r"(?U)[^a-z0-9'\s]", " ")
-    return F.trim(F.regexp_replace(kept, _SPACE, " "))
+    return F.trim(F.regexp_replace(straight_quotes(F.lower(c)), "[^a-z0-9']+", " "))
 
 
 def words(c: Column) -> Column:
-    """Words between spaces; none in an empty text."""
-    return F.filter(F.split(c, _SPACE), lambda w: w != "")
+    """Words between spaces, of a text in one of the forms above; none in an empty text."""
+    return F.filter(F.split(c, " "), lambda w: w != "")
 
 
 def spoken_words(c: Column) -> Column:
@@ -50,7 +50,7 @@ def same_value(a: Column, b: Column) -> Column:
 
 
 def right_trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(_WHITE))
 
 
 def is_grounded(span: Column, text: Column) -> Column:
@@ -66,13 +66,17 @@ def is_verbatim(span: Column, text: Column) -> Column:
 
 def span_class(span: Column, text: Column, longest: int = 6, shortest: int = 4) -> Column:
     """verbatim; near-miss: loose, bare, or with a fragment of `shortest` to `longest` words; or fabricated."""
-    loose, there = loose_text(span), loose_text(text)
-    w = words(loose)
-    # a fragment of more words has one of the fewest in it
-    fragments = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - shortest + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, shortest), " "))
-    some = (F.size(w) >= shortest) & F.exists(fragments, lambda f: F.contains(there, f))
-    near = F.contains(there, loose) | F.contains(bare_text(there), bare_text(loose)) | some
-    return F.when(is_verbatim(span, text), "verbatim").when((F.length(span) > 0) & near, "near-miss").otherwise("fabricated")
+
+    def near(x: Column) -> Column:
+        w = words(x["span"])
+        # a fragment of more words has one of the fewest in it
+        fragments = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - shortest + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, shortest), " "))
+        some = (F.size(w) >= shortest) & F.exists(fragments, lambda f: F.contains(x["text"], f))
+        return F.contains(x["text"], x["span"]) | F.contains(bare_text(x["text"]), bare_text(x["span"])) | some
+
+    forms = F.struct(loose_text(span).alias("span"), loose_text(text).alias("text"))
+    found = F.transform(F.array(forms), near)[0]  # the forms are made once, and only where the quote is not verbatim
+    return F.when(is_verbatim(span, text), "verbatim").when((F.length(span) > 0) & found, "near-miss").otherwise("fabricated")
 
 
 def member_slug(c: Column) -> Column:

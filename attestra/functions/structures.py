@@ -43,24 +43,29 @@ def error_rate(distance: Column, ref: Column, hyp: Column) -> Column:
     return F.when(F.size(ref) > 0, distance / F.size(ref)).otherwise(F.when(F.size(hyp) == 0, 0.0).otherwise(1.0))
 
 
+#: Cells of an alignment's table up to which all of it is kept.
+WHOLE = 1 << 20
+
+
 def _aligned(ref: list[str], hyp: list[str]) -> tuple[int, int, int, list[dict]]:
     n, m = len(ref), len(hyp)
     number = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
     h = np.array([number[w] for w in hyp], np.int64)
-    steps = np.arange(m + 1)
+    steps = np.arange(m + 1, dtype=np.int32)
 
     def below(above: np.ndarray, i: int) -> np.ndarray:
-        row = np.empty(len(steps), np.int32)
+        row = np.empty_like(steps)
         row[0] = i
-        if len(h):
-            best = np.minimum(above[1:] + 1, above[:-1] + (h != number[ref[i - 1]]))
-            row[1:] = np.minimum.accumulate(np.concatenate([[i], best]) - steps)[1:] + steps[1:]
+        np.minimum(above[1:] + 1, above[:-1] + (h != number[ref[i - 1]]), out=row[1:])
+        row -= steps
+        np.minimum.accumulate(row, out=row)
+        row += steps
         return row
 
-    # every size-th row is kept; on the way back the rows between two of them are made again
-    size = math.isqrt(n) + 1
-    row, kept = steps.astype(np.int32), {0: steps.astype(np.int32)}
-    for i in range(1, n + 1):
+    # small tables are kept whole; of others every size-th row, and on the way back the rows between two of them are made again
+    size = max(n, 1) if n * m <= WHOLE else math.isqrt(n) + 1
+    row, kept = steps, {0: steps}
+    for i in range(1, n + 1 if size < n else 1):
         row = below(row, i)
         if i % size == 0:
             kept[i] = row

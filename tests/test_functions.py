@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,22 @@ def test_common_prefixes(spark):
     a, b, c = (F.split(F.lit(x), " ") for x in ("a b c d", "a b x", "a b c"))
     assert one(spark, L.common_prefix(a, b)) == ["a", "b"] and one(spark, L.common_prefix(a, c)) == ["a", "b", "c"]
     assert one(spark, L.common_prefix_of(F.array(a, b, c))) == ["a", "b"]
+
+
+def test_white_space_of_all_kinds(spark):
+    white = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+    rows = [f"{w}A{w}{w} ‘b’{w}c-d’s{w}" for w in white] + ["", white, "a\u200bb\ufeff", "x\x1cy"]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", S.loose_text(F.col("t")).alias("loose"), S.spoken_text(F.col("t")).alias("spoken"), S.right_trimmed(F.col("t")).alias("cut")).collect()
+    for r in got:
+        straight = r.t.lower().replace("‘", "'").replace("’", "'")
+        assert r.loose == re.sub(f"[{white}]+", " ", straight).strip(" ")
+        assert r.spoken == re.sub("[^a-z0-9']+", " ", straight).strip(" ")
+        assert r.cut == r.t.rstrip(white)
+
+
+def test_alignment_is_the_same_with_and_without_the_whole_table(monkeypatch):
+    rnd = random.Random(4)
+    pairs = [([rnd.choice("abcd") for _ in range(rnd.randint(0, 40))], [rnd.choice("abcd") for _ in range(rnd.randint(0, 40))]) for _ in range(200)]
+    whole = [L._aligned(*p) for p in pairs]
+    monkeypatch.setattr(L, "WHOLE", -1)
+    assert [L._aligned(*p) for p in pairs] == whole
