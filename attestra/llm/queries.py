@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import decontaminate, fill_in_middle, language_model, near_duplicates, personal_data, quality_classifier, quality_rules, repeated_spans, secrets, source_mixing, token_counts
+from attestra.llm import conversation_repair, decontaminate, fill_in_middle, language_model, near_duplicates, personal_data, quality_classifier, quality_rules, repeated_spans, secrets, source_mixing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,11 +65,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digest(fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_token_counts, op3_repeated_spans, op4_source_mixing, op5_near_duplicates, op6_personal_data, op7_language_model, op8_secrets, op9_decontaminate, op10_quality_classifier,
-        op11_fill_in_middle,
+        op11_fill_in_middle, op12_conversation_repair,
     )
 }
 
@@ -135,5 +139,34 @@ WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(
 ), c AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
   sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), k AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(key) + 1), lambda j: [CAST(ascii(key[j]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END), 4294967295) % 20 AS kind FROM c
+), d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM k, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) r(copy)
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d
+), f AS (SELECT *, left(role, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault, coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS odd FROM o
+), n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal, max(i) AS last FROM f GROUP BY conv_id
+), arcs AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) a(s, c, t)
+), t AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, [{'s': 0, 'c': 0, 'a': '', 'r': ''}] AS best FROM n
+  UNION ALL
+  SELECT conv_id, i, list(b) FROM (
+    SELECT conv_id, i, min({'s': s, 'c': c, 'a': a, 'r': r}) AS b FROM (
+      SELECT conv_id, i, unnest(flatten(list_transform(best, lambda b: list_concat(
+        [{'s': b.s, 'c': b.c + 2, 'a': b.a || 'D', 'r': b.r}],
+        CASE WHEN fault IN ('blank', 'duplicate') THEN [] ELSE list_concat(
+          CASE WHEN (b.s IN (0, 1, 3) AND c = 'u') OR (b.s = 0 AND c = 's') OR (b.s = 2 AND c = 'a') THEN [{'s': CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'c': b.c + late, 'a': b.a || 'K', 'r': b.r || chr(10) || role || ':' || text}] ELSE [] END,
+          [{'s': CASE b.s WHEN 2 THEN 3 ELSE 2 END, 'c': b.c + 1 + late, 'a': b.a || 'R', 'r': b.r || chr(10) || CASE b.s WHEN 2 THEN 'assistant:' ELSE 'user:' END || text}]) END))), recursive := true)
+      FROM (
+        SELECT t.conv_id, f.i, f.role, f.text, f.fault, f.c, CASE f.fault WHEN 'truncated' THEN 5 ELSE 0 END AS late, list_concat(best,
+          list_transform(best, lambda b: {'s': CASE b.s WHEN 2 THEN 3 ELSE 2 END, 'c': b.c + 5, 'a': b.a || 'I', 'r': b.r || chr(10) || CASE b.s WHEN 2 THEN 'assistant:' ELSE 'user:' END}),
+          list_transform(best, lambda b: {'s': CASE b.s WHEN 2 THEN 2 ELSE 3 END, 'c': b.c + 10, 'a': b.a || 'II', 'r': b.r || chr(10) || CASE b.s WHEN 2 THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END})) AS best
+        FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.i = t.i + 1)
+    ) GROUP BY conv_id, i, s) GROUP BY conv_id, i
+), ends AS (SELECT n.*, list_min(list_transform(best, lambda b: CASE b.s WHEN 0 THEN {'c': b.c, 'a': b.a, 'r': b.r} WHEN 3 THEN {'c': b.c, 'a': b.a, 'r': b.r} WHEN 2 THEN {'c': b.c + 5, 'a': b.a || 'I', 'r': b.r || chr(10) || 'assistant:'} ELSE {'c': b.c + 10, 'a': b.a || 'II', 'r': b.r || chr(10) || 'user:' || chr(10) || 'assistant:'} END)) AS b FROM n JOIN t ON t.conv_id IS NOT DISTINCT FROM n.conv_id AND t.i = n.last)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id AS id FROM conversations) LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM id
 """,
 }
