@@ -34,6 +34,7 @@ CONTRACT = {
     "op9": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op10": "doc_id held_out score predicted",
     "op11": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13": "doc_id held_out score predicted",
 }
 
 
