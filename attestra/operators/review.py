@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from attestra.functions.numbers import clamped
 from attestra.functions.strings import is_grounded
+from attestra.sources.folders import written
 
 ENVELOPE = T.StructType([T.StructField("value", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("source_span", T.StringType())])
 
@@ -45,10 +46,23 @@ def flattened(records: DataFrame, column: str, schema: T.StructType) -> DataFram
     return records.select(*(c for c in records.columns if c != column), F.explode(F.array(*leaves)).alias("leaf")).select(*(c for c in records.columns if c != column), "leaf.*")
 
 
+def _kind(of: Column, key: str) -> Column:
+    """The JSON kind of an object's member, as Spark names it: VOID for a null, null where there is none."""
+    return F.schema_of_variant(F.variant_get(of, f"$.{key}", "variant"))
+
+
+def _envelope(node: Column) -> Column:
+    """An envelope from a parsed object; whatever is no whole envelope reads as a leaf that was left out."""
+    whole = F.coalesce(F.regexp_like(_kind(node, "confidence"), F.lit("^(BIGINT|DOUBLE|DECIMAL)")) & _kind(node, "sourceSpan").isin("STRING", "VOID"), F.lit(False))
+    return F.struct(
+        F.when(whole, F.try_variant_get(node, "$.value", "string")).alias("value"), F.when(whole, clamped(F.try_variant_get(node, "$.confidence", "double"))).otherwise(0.0).alias("confidence"),
+        F.when(whole, F.try_variant_get(node, "$.sourceSpan", "string")).alias("source_span"),
+    )
+
+
 def read_envelope(json: Column) -> Column:
-    """An envelope from JSON; what is malformed reads as a leaf left out."""
-    got = F.from_json(json, ENVELOPE)
-    return F.struct(got["value"].alias("value"), clamped(F.coalesce(got["confidence"], F.lit(0.0))).alias("confidence"), got["source_span"].alias("source_span"))
+    """An envelope (value, a number as confidence, a string or null as sourceSpan) from JSON, its value as text and its confidence clamped. It is read as a whole or not at all: what is malformed reads as a leaf left out, without value and quote, of confidence 0."""
+    return _envelope(F.try_parse_json(json))
 
 
 def request(leaves: DataFrame, texts: DataFrame) -> DataFrame:
@@ -129,23 +143,28 @@ def extra_keys(json: Column, keys: list[str]) -> Column:
 _KEYS = ("value", "sourceSpan", "confidence")
 
 
-def loose_leaves(records: DataFrame, json: str, depth: int = 8) -> DataFrame:
-    """Leaves of JSON objects without a schema: whatever has a value, a source span and a confidence is a leaf, any other object is gone into, to `depth` levels. Columns: the others, path, value (as JSON text), confidence (clamped to 0..1) and source_span; what is no object gives nothing."""
+def loose_leaves(records: DataFrame, json: str) -> DataFrame:
+    """Leaves of JSON without a schema: whatever has a value, a sourceSpan and a confidence is a leaf, any other object or list is gone into, as deep as it goes. Columns: the others, path (list items by their number from 0), value (as text), confidence (clamped to 0..1; 0 if it is no number) and source_span; what is neither object nor list gives nothing.
+
+    A level of all records is one job; what is found and what is to be gone into are written, so that no level is walked twice.
+    """
     others = [c for c in records.columns if c != json]
-    level = records.select(*others, F.lit("").alias("path__"), F.col(json).alias("node__"))
+    level = records.select(*others, F.lit(None).cast("string").alias("path__"), F.try_parse_json(json).alias("node__"))
     found = []
-    for _ in range(depth):
-        inner = level.select(*others, "path__", F.explode(F.from_json("node__", "map<string,string>")).alias("key__", "node__"))
-        level = inner.select(*others, F.when(F.col("path__") == "", F.col("key__")).otherwise(F.concat_ws(".", "path__", "key__")).alias("path__"), "node__")
-        keys = F.coalesce(F.json_object_keys("node__"), F.expr("CAST(array() AS array<string>)"))
-        leaf = F.size(F.array_intersect(keys, F.array(*map(F.lit, _KEYS)))) == len(_KEYS)
-        found.append(level.where(leaf))
-        level = level.where(~leaf & F.startswith("node__", F.lit("{")))
-    whole = found[0]
+    while True:
+        inner = records.sparkSession.sql(f"SELECT {', '.join(f't.`{c}`' for c in others)}, t.path__, e.* FROM {{t}} AS t, LATERAL variant_explode(t.node__) AS e", t=level)
+        leaf = F.size(F.array_compact(F.array(*(_kind(F.col("value"), k) for k in _KEYS)))) == len(_KEYS)
+        kept = inner.select(*others, F.concat_ws(".", "path__", F.coalesce("key", F.col("pos").cast("string"))).alias("path__"), F.col("value").alias("node__"), F.coalesce(leaf, F.lit(False)).alias("leaf__"), F.schema_of_variant("value").alias("kind__"))
+        here = written(kept.where(F.col("leaf__") | F.regexp_like("kind__", F.lit("^(OBJECT|ARRAY)"))).drop("kind__"))
+        found.append(here.where("leaf__"))
+        level = here.where("NOT leaf__").drop("leaf__")
+        if level.isEmpty():
+            break
+    node, whole = F.col("node__"), found[0]
     for part in found[1:]:
         whole = whole.unionByName(part)
-    got = F.from_json("node__", "value string, sourceSpan string, confidence double")
-    return whole.select(*others, F.col("path__").alias("path"), got["value"].alias("value"), clamped(F.coalesce(got["confidence"], F.lit(0.0))).alias("confidence"), got["sourceSpan"].alias("source_span"))
+    confidence = clamped(F.coalesce(F.when(F.regexp_like(_kind(node, "confidence"), F.lit("^(BIGINT|DOUBLE|DECIMAL)")), F.try_variant_get(node, "$.confidence", "double")), F.lit(0.0)))
+    return whole.select(*others, F.col("path__").alias("path"), F.try_variant_get(node, "$.value", "string").alias("value"), confidence.alias("confidence"), F.try_variant_get(node, "$.sourceSpan", "string").alias("source_span"))
 
 
 def parsed(json: Column, schema: T.StructType, context: Column) -> Column:

@@ -161,20 +161,28 @@ def agg_colliding_names(spark, sf_dir):
     return C.colliding_names(table(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), F.col("p_name").alias("member"), name.alias("name")))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CAST(event_id AS VARCHAR) END AS value, CAST(CASE WHEN event_id % 4 = 0 THEN 1.0 WHEN event_id % 4 = 1 THEN 0.25 ELSE 0.0 END AS DOUBLE) AS confidence, CASE WHEN event_id % 4 < 2 THEN event_type END AS source_span FROM events""")
+@query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN '{"n":' || event_id || '}' END AS value,
+CAST(CASE event_id % 9 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 WHEN 3 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS confidence, CASE WHEN event_id % 9 IN (0, 1, 3) THEN event_type END AS source_span FROM events""")
 def lst_envelopes(spark, sf_dir):
-    """LST-05, LST-08: envelopes from JSON, confidence clamped; what is malformed reads as a leaf left out."""
-    k, i = F.col("event_id") % 4, F.col("event_id").cast("string")
-    json = F.when(k == 0, F.concat(F.lit('{"value": "'), i, F.lit('", "confidence": 7, "source_span": "'), F.col("event_type"), F.lit('"}'))).when(k == 1, F.concat(F.lit('{"value": "'), i, F.lit('", "confidence": 0.25, "source_span": "'), F.col("event_type"), F.lit('"}'))).when(k == 2, "no envelope {")
-    return table(spark, sf_dir, "events").select("event_id", V.read_envelope(json).alias("e")).select("event_id", "e.value", F.coalesce("e.confidence", F.lit(0.0)).alias("confidence"), "e.source_span")
-
-
-@query("""SELECT event_id, path, value, confidence FROM (SELECT event_id, unnest([{'path': 'a', 'value': CAST(event_id AS VARCHAR), 'confidence': 1.0}, {'path': 'b.c.d', 'value': event_type, 'confidence': 0.5}]) AS x FROM events), LATERAL (SELECT x.path AS path, x.value AS value, CAST(x.confidence AS DOUBLE) AS confidence)""")
+    """LST-05, LST-08: envelopes from JSON, confidence clamped; what is malformed (a word or nothing as confidence, no sourceSpan or one that is no string, no object) reads as a leaf left out, value and all."""
+    i, kind = F.col("event_id").cast("string"), F.col("event_type")
+    forms = [
+        '{"value": "%1$s", "confidence": 7, "sourceSpan": "%2$s"}', '{"value": %1$s, "confidence": 0.25, "sourceSpan": "%2$s", "more": 1}', '{"value": {"n": %1$s}, "confidence": 0.5, "sourceSpan": null}', '{"confidence": 5e-1, "sourceSpan": "%2$s"}',
+        '{"value": "%1$s", "confidence": "high", "sourceSpan": "%2$s"}', '{"value": "%1$s", "sourceSpan": "%2$s"}', '{"value": "%1$s", "confidence": 0.5}', '{"value": "%1$s", "confidence": 0.5, "sourceSpan": 5}', "no envelope %1$s {",
+    ]
+    json = F.element_at(F.array(*(F.format_string(f, i, kind) for f in forms)), (F.col("event_id") % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", V.read_envelope(json).alias("e")).select("event_id", "e.*")
+
+
+@query("""SELECT event_id, x.path AS path, x.value AS value, CAST(x.confidence AS DOUBLE) AS confidence, x.span AS source_span FROM (SELECT event_id, unnest([{'path': 'a', 'value': CAST(event_id AS VARCHAR), 'confidence': 1.0, 'span': NULL}, {'path': 'b.1.d', 'value': event_type, 'confidence': 0.5, 'span': event_type},
+{'path': 'f' || repeat('.d', CAST(event_id % 30 AS INT)), 'value': CAST(event_id AS VARCHAR), 'confidence': 0.0, 'span': NULL}]) AS x FROM events)""")
 def lst_loose_leaves(spark, sf_dir):
-    """PRJ-33, LST-08: leaves of objects without a schema, at any depth."""
-    leaf = lambda v, c: F.concat(F.lit('{"value": "'), v, F.lit(f'", "sourceSpan": null, "confidence": {c}}}'))
-    json = F.concat(F.lit('{"a": '), leaf(F.col("event_id").cast("string"), 3), F.lit(', "n": 5, "b": {"c": {"d": '), leaf(F.col("event_type"), 0.5), F.lit(', "e": "x"}}}'))
-    return V.loose_leaves(table(spark, sf_dir, "events").select("event_id", json.alias("json")), "json").select("event_id", "path", "value", "confidence")
+    """PRJ-33, LST-08: leaves of objects and lists without a schema, down to thirty levels here and to any depth."""
+    i, kind, deep = F.col("event_id").cast("string"), F.col("event_type"), (F.col("event_id") % 30).cast("int")
+    leaf = lambda v, c, q: F.format_string(f'{{"value": "%s", "sourceSpan": {q}, "confidence": {c}}}', v)
+    nested = F.concat(F.repeat(F.lit('{"d": '), deep), leaf(i, '"high"', "null"), F.repeat(F.lit("}"), deep))
+    json = F.concat(F.lit('{"a": '), leaf(i, 3, "null"), F.lit(', "n": 5, "b": [7, {"d": '), F.format_string('{"value": "%1$s", "sourceSpan": "%1$s", "confidence": 0.5}', kind), F.lit(', "e": "x"}], "f": '), nested, F.lit("}"))
+    return V.loose_leaves(table(spark, sf_dir, "events").select("event_id", json.alias("json")), "json")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_id END AS n, CASE event_id % 5 WHEN 1 THEN 'answer: no JSON object' WHEN 2 THEN 'answer: missing n' WHEN 3 THEN 'answer: unknown m' WHEN 4 THEN 'answer: wrong kind of n' END AS error FROM events""")
