@@ -11,14 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.operators.queue import STATUSES, listed, merged_chunks, with_seq
+from attestra.sources.folders import written
 
 
 def folded(log: DataFrame, fields: list[str]) -> DataFrame:
-    """The items as all writes leave them: of each field the last value that was set or unset; items whose last write deletes them are gone. One aggregate with a map-side combine."""
+    """The items as all writes leave them: of each field the last value that was set or unset since the item's last deletion; items whose last write deletes them are gone, and one that is written again begins anew. One aggregate with a map-side combine. Of writes of one id and version the order is open; a deletion's own fields don't count."""
     unset = F.coalesce("unset", F.expr("CAST(array() AS array<string>)"))
-    said = lambda c: F.when(F.col(c).isNotNull() | F.array_contains(unset, c), F.col("version"))
-    last = log.groupBy("id").agg(*(F.max_by(c, said(c)).alias(c) for c in fields), F.max_by(F.coalesce("deleted", F.lit(False)), "version").alias("gone__"))
-    return last.where("NOT gone__").drop("gone__")
+    gone = F.coalesce("deleted", F.lit(False))
+    said = lambda c: F.when(~gone & (F.col(c).isNotNull() | F.array_contains(unset, c)), F.col("version"))
+    last = log.groupBy("id").agg(*(F.struct(F.max_by(c, said(c)).alias("v"), F.max(said(c)).alias("at")).alias(c) for c in fields), F.max("version").alias("last__"), F.max(F.when(gone, F.col("version"))).alias("gone__"))
+    since = lambda at: F.col("gone__").isNull() | (at > F.col("gone__"))
+    return last.where(since(F.col("last__"))).select("id", *(F.when(since(F.col(c)["at"]), F.col(c)["v"]).alias(c) for c in fields))
 
 
 def row_problem() -> Column:
@@ -65,15 +68,24 @@ def with_chunk(items: DataFrame, chunks: DataFrame, new: DataFrame) -> tuple[Dat
     return kept.unionByName(known), new.join(items.select("id"), "id", "left_anti")
 
 
-def committed(items: DataFrame, chunks: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """items after commits (id, duration_ms) of recordings, and the chunks that stay. Only an item that is being recorded is committed: it is queued and its chunks go. Others stay, and problem says what they are."""
-    said = commits.select("id", F.col("duration_ms").alias("length__"), F.lit(True).alias("commit__"))
-    both = items.join(said, "id", "left")
-    done = F.col("commit__").isNotNull() & (F.col("status") == "recording")
-    problem = F.when(F.col("commit__").isNotNull() & ~done, F.concat(F.col("status"), F.lit(", not recording")))
-    after = both.select(*(F.when(done, F.lit("queued")).otherwise(F.col(c)).alias(c) if c == "status" else F.when(done, F.col("length__")).otherwise(F.col(c)).alias(c) if c == "duration_ms" else F.col(c) for c in items.columns), problem.alias("problem"))
-    swept = both.where(done).select("id")
-    return after, chunks.join(swept, "id", "left_anti")
+def committed(items: DataFrame, chunks: DataFrame, audio: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What commits (id, audio, duration_ms; one for an id) of recordings leave: items, chunks and audio (id, bytes).
+
+    Only an item that is being recorded is committed: its audio is stored in place of any other, it is queued with its length, and its chunks go. Others stay, and problem says what they are; a commit of an id that isn't there is a row of items with the problem 'no item', and nothing is stored for it.
+    """
+    said = commits.select("id", F.col("duration_ms").alias("length__"), F.col("audio").alias("audio__"), F.lit(True).alias("commit__"))
+    both = items.withColumn("there__", F.lit(True)).join(said, "id", "full")
+    done = F.col("commit__").isNotNull() & F.coalesce(F.col("status") == "recording", F.lit(False))
+    problem = F.when(F.col("there__").isNull(), "no item").when(F.col("commit__").isNotNull() & ~done, F.concat(F.coalesce("status", F.lit("?")), F.lit(", not recording")))
+    changed = {"status": F.when(done, F.lit("queued")).otherwise(F.col("status")), "duration_ms": F.when(done, F.col("length__")).otherwise(F.col("duration_ms"))}
+    after = both.select(*(changed.get(c, F.col(c)).alias(c) for c in items.columns), problem.alias("problem"))
+    stored = both.where(done).select("id", F.col("audio__").alias("bytes"))
+    return after, chunks.join(stored.select("id"), "id", "left_anti"), without_audio(audio, stored).unionByName(stored)
+
+
+def audio_of(audio: DataFrame, ids: DataFrame) -> DataFrame:
+    """bytes by id of those asked for; an id without audio has none."""
+    return ids.select("id").join(audio.select("id", "bytes"), "id", "left")
 
 
 def without_audio(audio: DataFrame, ids: DataFrame) -> DataFrame:
@@ -87,22 +99,30 @@ def cleared(items: DataFrame, statuses: list[str] | str | None = None, limit: in
     return items.join(gone, "id", "left_anti"), gone
 
 
-def recovered(items: DataFrame, chunks: DataFrame, decode: Callable[[Column], Column], order: str, new_id: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+#: What is said of a recording that can't be recovered, and of one that was.
+NO_SOURCE, NO_AUDIO, SUCCESSOR = "unrecoverable: no capture.sourceId", "unrecoverable: cannot decode audio", "recovered as "
+#: Columns that belong to an item's way through the queue; all others belong to its recording.
+OF_THE_QUEUE = ("id", "seq", "version", "deleted", "status", "idempotency_key", "attempts", "next_attempt_at", "enqueued_at", "last_error", "transcript", "extracted", "source_id", "outcome", "audio", "duration_ms")
+
+
+def recovered(items: DataFrame, chunks: DataFrame, decode: Callable[[Column], Column], order: str, now: Column, new_id: Callable[[Column], Column] | None = None, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """What becomes of recordings that a crash cut short: (changes to them, new items).
 
-    decode gives the duration of audio bytes, or null where they can't be read. The whole of an item's chunks is tried, then all but the last. Where either can be read, a new queued item with that audio takes the place of the old one, which is dead and says so; else the old one is dead and lost. An item without a source is lost too.
+    decode gives the duration of audio bytes, or null where they can't be read. The whole of an item's chunks is tried, then all but the last. Where either can be read, a new queued item takes the place of the old one, made as enqueued() makes any other: with that audio and its length, the recording's own columns (all that aren't the queue's), a seq, a key and times of its own, no attempts and no source. The old one is dead and names it. Else the old one is dead and lost, as is an item without a source. key: an expression over id, the new one.
     """
     broken = items.where("status = 'recording'")
-    whole = merged_chunks(chunks).select("id", F.col("bytes").alias("whole"))
-    most = merged_chunks(chunks, without_last=True).select("id", F.col("bytes").alias("most"))
-    tried = broken.join(whole, "id", "left").join(most, "id", "left").withColumn("whole_ms", decode(F.col("whole"))).withColumn("most_ms", decode(F.col("most")))
-    length = F.coalesce("whole_ms", "most_ms")
-    audio = F.when(F.col("whole_ms").isNotNull(), F.col("whole")).otherwise(F.col("most"))
+    whole = merged_chunks(chunks).select("id", F.col("bytes").alias("whole__"))
+    most = merged_chunks(chunks, without_last=True).select("id", F.col("bytes").alias("most__"))
+    tried = broken.join(whole, "id", "left").join(most, "id", "left").withColumn("whole_ms__", decode(F.col("whole__"))).withColumn("most_ms__", decode(F.col("most__")))
+    length = F.coalesce("whole_ms__", "most_ms__")
+    audio = F.when(F.col("whole_ms__").isNotNull(), F.col("whole__")).otherwise(F.col("most__"))
     fresh = F.expr("uuid()") if new_id is None else new_id(F.col("id"))
-    judged = tried.withColumn("new_id", F.when(F.col("source_id").isNotNull() & length.isNotNull(), fresh))
-    error = F.when(F.col("source_id").isNull(), "unrecoverable: no capture.sourceId").when(length.isNull(), "unrecoverable: cannot decode audio").otherwise(F.concat(F.lit("recovered as "), F.col("new_id")))
-    new = judged.where("new_id IS NOT NULL").select(F.col("new_id").alias("id"), F.col(order).alias("order__"), length.alias("duration_ms"), audio.alias("audio"))
-    return judged.select("id", F.lit("dead").alias("status"), error.alias("last_error")), with_seq(items, new, "order__").drop("order__").withColumn("status", F.lit("queued"))
+    # written, as an item and the word of it must name the same new id
+    judged = written(tried.withColumn("new_id__", F.when(F.col("source_id").isNotNull() & length.isNotNull(), fresh)))
+    error = F.when(F.col("source_id").isNull(), NO_SOURCE).when(length.isNull(), NO_AUDIO).otherwise(F.concat(F.lit(SUCCESSOR), F.col("new_id__")))
+    own = [c for c in items.columns if c not in OF_THE_QUEUE]
+    recordings = judged.where("new_id__ IS NOT NULL").select(F.col("new_id__").alias("id"), F.col(order).alias("order__"), length.alias("duration_ms"), audio.alias("audio"), *own)
+    return judged.select("id", F.lit("dead").alias("status"), error.alias("last_error")), enqueued(items, recordings, "order__", now, key).drop("order__")
 
 
 def write_problem(values: Column, fields: list[str], context: Column, needed: list[str]) -> Column:

@@ -58,27 +58,41 @@ def src_appended_chunks(spark, sf_dir):
     return all_.groupBy("id").agg(F.count("*").alias("n"), F.max("name").alias("last"), F.md5(F.aggregate(sorted_, F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"]))).alias("whole"))
 
 
-_COMMITS = "k AS (SELECT id, seq * 10 AS ms FROM q WHERE seq % 4 < 3), m AS (SELECT q.*, k.ms, k.id IS NOT NULL AS asked FROM q LEFT JOIN k USING (id))"
+_COMMITS = "k AS (SELECT id, seq * 10 AS ms, 'new' || id AS said FROM q WHERE seq % 4 < 3 UNION ALL SELECT 'none' || c_custkey, 1, 'lost' FROM customer WHERE c_custkey % 50 = 0), m AS (SELECT id, q.status, q.duration_ms, q.id IS NOT NULL AS there, k.ms, k.said, k.id IS NOT NULL AS asked FROM q FULL JOIN k USING (id))"
 
 
-@query(f"""WITH {QUEUE}, {_COMMITS} SELECT id, CASE WHEN asked AND status = 'recording' THEN 'queued' ELSE status END AS status, CASE WHEN asked AND status = 'recording' THEN ms ELSE duration_ms END AS duration_ms, CASE WHEN asked AND status <> 'recording' THEN status || ', not recording' END AS problem FROM m""")
-def src_committed(spark, sf_dir):
-    """SRC-12: only an item that is being recorded is committed; others are refused and stay."""
+def _committed(spark, sf_dir):
+    """Commits of three in four items, and of some that aren't there."""
     items = queue(spark, sf_dir)
-    return W.committed(items, _chunks(spark, sf_dir), items.where("seq % 4 < 3").select("id", (F.col("seq") * 10).alias("duration_ms")))[0].select("id", "status", "duration_ms", "problem")
+    audio = items.where("seq % 10 < 5").select("id", F.concat(F.lit("old"), F.col("id")).cast("binary").alias("bytes"))
+    known = items.where("seq % 4 < 3").select("id", (F.col("seq") * 10).alias("duration_ms"), F.concat(F.lit("new"), F.col("id")).cast("binary").alias("audio"))
+    lost = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("none"), F.col("c_custkey")).alias("id"), F.lit(1).cast("long").alias("duration_ms"), F.lit("lost").cast("binary").alias("audio"))
+    return W.committed(items, _chunks(spark, sf_dir), audio, known.unionByName(lost))
+
+
+@query(f"""WITH {QUEUE}, {_COMMITS} SELECT id, CASE WHEN asked AND status = 'recording' THEN 'queued' ELSE status END AS status, CASE WHEN asked AND status = 'recording' THEN ms ELSE duration_ms END AS duration_ms, CASE WHEN NOT there THEN 'no item' WHEN asked AND status <> 'recording' THEN status || ', not recording' END AS problem FROM m""")
+def src_committed(spark, sf_dir):
+    """SRC-12: only an item that is being recorded is committed; others are refused and stay, unknown ones are told."""
+    return _committed(spark, sf_dir)[0].select("id", "status", "duration_ms", "problem")
 
 
 @query(f"""WITH {QUEUE}, {_COMMITS}, {_CHUNKS} SELECT id, count(*) AS n FROM c ANTI JOIN (SELECT id FROM m WHERE asked AND status = 'recording') USING (id) GROUP BY id""")
 def src_chunks_after_commit(spark, sf_dir):
     """SRC-12: a commit sweeps its item's chunks, and no others."""
-    items = queue(spark, sf_dir)
-    return W.committed(items, _chunks(spark, sf_dir), items.where("seq % 4 < 3").select("id", (F.col("seq") * 10).alias("duration_ms")))[1].groupBy("id").agg(F.count("*").alias("n"))
+    return _committed(spark, sf_dir)[1].groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {QUEUE}, {_COMMITS}, w AS (SELECT id, said FROM m WHERE asked AND status = 'recording') SELECT id, coalesce(w.said, 'old' || id) AS audio FROM (SELECT id FROM q WHERE seq % 10 < 5) o FULL JOIN w USING (id)""")
+def src_audio_after_commit(spark, sf_dir):
+    """SRC-12: a commit stores its audio in place of what was there; one that is refused stores none."""
+    return _committed(spark, sf_dir)[2].select("id", F.col("bytes").cast("string").alias("audio"))
 
 
-@query("SELECT 'c' || c_custkey AS id, length(c_name) AS n_bytes, md5(c_name) AS audio FROM customer")
+@query("SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN length(c_name) END AS n_bytes, CASE WHEN c_custkey % 3 > 0 THEN md5(c_name) END AS audio FROM customer")
 def src_audio(spark, sf_dir):
-    """SRC-13: audio bytes by id."""
-    return _customers(spark, sf_dir).select("id", F.length("audio").cast("long").alias("n_bytes"), F.md5("audio").alias("audio"))
+    """SRC-13: audio bytes by id; an id without audio has none."""
+    there = _customers(spark, sf_dir)
+    return W.audio_of(there.where("c_custkey % 3 > 0").withColumnRenamed("audio", "bytes"), there).select("id", F.length("bytes").cast("long").alias("n_bytes"), F.md5("bytes").alias("audio"))
 
 
 @query(f"""WITH {QUEUE}, {_CHUNKS}, p AS (SELECT id, sum(length(bytes)) AS parts FROM c GROUP BY id) SELECT q.id, q.seq % 3 <> 1 AS audio_ready, CAST(CASE WHEN q.seq % 3 <> 1 THEN 5 WHEN status = 'recording' THEN coalesce(parts, 0) ELSE 0 END AS BIGINT) AS audio_bytes FROM q LEFT JOIN p USING (id)""")
@@ -96,17 +110,18 @@ def src_cleared(spark, sf_dir):
     return left.agg(F.count("*").alias("n_left"), F.min("seq").alias("first"), F.max("seq").alias("last")).join(gone.agg(F.count("*").alias("n_gone")))
 
 
-_WRITES = """w AS (SELECT l_orderkey AS id, (l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS version, CASE WHEN l_linenumber % 3 <> 1 THEN l_returnflag END AS status, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS n, CASE WHEN l_linenumber = 5 THEN 'status' WHEN l_linenumber = 3 THEN 'n' END AS unset, l_linenumber = 7 AND l_linestatus = 'F' AS deleted FROM lineitem)"""
+_WRITES = """w AS (SELECT l_orderkey AS id, (l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS version, CASE WHEN l_linenumber % 3 <> 1 THEN l_returnflag END AS status, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS n, CASE WHEN l_linenumber = 5 THEN 'status' WHEN l_linenumber = 3 THEN 'n' END AS unset, l_linenumber IN (3, 7) AND l_linestatus = 'F' AS deleted FROM lineitem)"""
 
 
-@query(f"""WITH {_WRITES}, f AS (SELECT id, max_by(CASE WHEN unset = 'status' AND status IS NULL THEN '-' ELSE status END, version) FILTER (status IS NOT NULL OR unset = 'status') AS status, max_by(CASE WHEN unset = 'n' AND n IS NULL THEN -1 ELSE n END, version) FILTER (n IS NOT NULL OR unset = 'n') AS n, max_by(deleted, version) AS gone FROM w GROUP BY id)
-SELECT id, nullif(status, '-') AS status, nullif(n, -1) AS n FROM f WHERE NOT gone""")
+@query(f"""WITH {_WRITES}, d AS (SELECT id, max(version) FILTER (deleted) AS gone, max(version) AS last FROM w GROUP BY id), s AS (SELECT w.* FROM w JOIN d USING (id) WHERE gone IS NULL OR version > gone),
+f AS (SELECT id, max_by(CASE WHEN unset = 'status' AND status IS NULL THEN '-' ELSE status END, version) FILTER (status IS NOT NULL OR unset = 'status') AS status, max_by(CASE WHEN unset = 'n' AND n IS NULL THEN -1 ELSE n END, version) FILTER (n IS NOT NULL OR unset = 'n') AS n FROM s GROUP BY id)
+SELECT id, nullif(status, '-') AS status, nullif(n, -1) AS n FROM f""")
 def src_folded(spark, sf_dir):
-    """SRC-01, SRC-15, SRC-18: of each field the last value that a write set or unset."""
+    """SRC-01, SRC-15, SRC-18: of each field the last value that a write set or unset since the last deletion; some items are written again after it."""
     line = F.col("l_linenumber")
     log = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("version"), F.when(line % 3 != 1, F.col("l_returnflag")).alias("status"), F.when(line % 2 == 0, F.col("l_quantity")).alias("n"),
-        F.when(line == 5, F.array(F.lit("status"))).when(line == 3, F.array(F.lit("n"))).alias("unset"), ((line == 7) & (F.col("l_linestatus") == "F")).alias("deleted"),
+        F.when(line == 5, F.array(F.lit("status"))).when(line == 3, F.array(F.lit("n"))).alias("unset"), (line.isin(3, 7) & (F.col("l_linestatus") == "F")).alias("deleted"),
     )
     return W.folded(log, ["status", "n"])
 
@@ -132,7 +147,7 @@ def _recovered(spark, sf_dir):
     # bytes can be read if the last chunk they end with is one of the first three lines
     items = queue(spark, sf_dir).withColumn("source_id", F.when(F.col("seq") % 20 != 10, "s"))
     decode = lambda b: F.when(F.right(b.cast("string"), F.lit(1)) < "4", F.length(b).cast("long"))
-    return W.recovered(items, _chunks(spark, sf_dir), decode, "seq", lambda i: F.concat(F.lit("new-"), i))
+    return W.recovered(items, _chunks(spark, sf_dir), decode, "seq", _now(), lambda i: F.concat(F.lit("new-"), i), F.concat(F.lit("key-"), F.col("id")))
 
 
 @query("WITH " + _RECOVERY.replace("{queue}", QUEUE) + """ SELECT id, 'dead' AS status, CASE WHEN source IS NULL THEN 'unrecoverable: no capture.sourceId' WHEN coalesce(whole_ms, most_ms) IS NULL THEN 'unrecoverable: cannot decode audio' ELSE 'recovered as new-' || id END AS last_error FROM t""")
@@ -141,10 +156,11 @@ def stm_recovered(spark, sf_dir):
     return _recovered(spark, sf_dir)[0]
 
 
-@query("WITH " + _RECOVERY.replace("{queue}", QUEUE) + """ SELECT 'new-' || id AS id, (SELECT max(seq) FROM q) + row_number() OVER (ORDER BY seq) AS seq, 'queued' AS status, CAST(coalesce(whole_ms, most_ms) AS BIGINT) AS duration_ms, CASE WHEN whole_ms IS NOT NULL THEN whole ELSE most END AS audio FROM t WHERE source IS NOT NULL AND coalesce(whole_ms, most_ms) IS NOT NULL""")
+@query("WITH " + _RECOVERY.replace("{queue}", QUEUE) + """ SELECT 'new-' || id AS id, (SELECT max(seq) FROM q) + row_number() OVER (ORDER BY t.seq) AS seq, 'queued' AS status, CAST(coalesce(whole_ms, most_ms) AS BIGINT) AS duration_ms, CASE WHEN whole_ms IS NOT NULL THEN whole ELSE most END AS audio,
+q.device, 'key-new-' || id AS idempotency_key, CAST(0 AS INT) AS attempts, TIMESTAMP '2003-01-01' AS next_attempt_at, TIMESTAMP '2003-01-01' AS enqueued_at FROM t JOIN q USING (id) WHERE source IS NOT NULL AND coalesce(whole_ms, most_ms) IS NOT NULL""")
 def stm_recovered_items(spark, sf_dir):
-    """STM-20, STM-21: the new items that take their places."""
-    return _recovered(spark, sf_dir)[1].select("id", "seq", "status", "duration_ms", F.md5("audio").alias("audio"))
+    """STM-20, STM-21: the new items that take their places, whole ones like any other: the recording's own columns, a key, no attempts, times."""
+    return _recovered(spark, sf_dir)[1].withColumn("audio", F.md5("audio"))
 
 
 @query(f"""WITH {QUEUE}, b AS (SELECT device FROM q WHERE status = 'recording' AND device % 3 <> 0), a AS (SELECT *, CASE WHEN seq % 7 = 1 THEN 'transient' WHEN seq % 7 = 3 THEN 'terminal' ELSE 'ok' END AS outcome, next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '2003-01-01' AS due FROM q WHERE status IN {_ACTIVE}),

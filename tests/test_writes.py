@@ -17,7 +17,9 @@ def test_folded_matches_plain_python(spark):
     want = {}
     for i, _, a, n, unset, deleted in rows:
         item = want.setdefault(i, {"a": None, "n": None, "gone": False})
-        for name, v in (("a", a), ("n", n)):
+        if deleted or item["gone"]:
+            item.update(a=None, n=None)
+        for name, v in () if deleted else (("a", a), ("n", n)):
             if v is not None:
                 item[name] = v
             elif name in (unset or []):
@@ -62,3 +64,20 @@ def test_cut_matches_one_region_at_a_time(spark):
     r = spark.createDataFrame(regions, "stream string, start long, end long")
     want = sorted((s, *x) for s, a, b in regions for x in (R._cut(frames[s][a:b], a, 9) if b - a > 9 else [(a, b)]))
     assert sorted(tuple(x) for x in R.cut(r, f, 9).collect()) == want
+
+
+def test_an_item_that_is_written_again_begins_anew(spark):
+    log = spark.createDataFrame([("x", 1, "queued", 5, False), ("x", 2, None, None, True), ("x", 3, "fresh", None, False), ("y", 1, "queued", 6, False), ("y", 2, None, None, True)], "id string, version long, status string, n long, deleted boolean")
+    got = W.folded(log.withColumn("unset", F.lit(None).cast("array<string>")), ["status", "n"]).collect()
+    assert [tuple(r) for r in got] == [("x", "fresh", None)]
+
+
+def test_recovered_items_are_whole(spark):
+    items = spark.createDataFrame([("a", 0, "recording", "s", "house 1", "t"), ("b", 1, "recording", None, "house 2", None), ("c", 2, "queued", None, "house 3", None)], "id string, seq long, status string, source_id string, job string, transcript string")
+    chunks = spark.createDataFrame([("a", "c0", b"ok"), ("a", "c1", b"no")], "id string, name string, bytes binary")
+    decode = lambda b: F.when(b.cast("string").endswith("ok"), F.length(b).cast("long"))
+    changes, new = W.recovered(items, chunks, decode, "seq", F.lit("2020-01-01").cast("timestamp_ntz"))
+    (one,) = new.collect()
+    assert (bytes(one.audio), one.duration_ms, one.job, one.status, one.attempts, one.seq) == (b"ok", 2, "house 1", "queued", 0, 3)
+    assert len(one.idempotency_key) == 36 and one.next_attempt_at == one.enqueued_at and "transcript" not in one and "source_id" not in one
+    assert {r.id: r.last_error for r in changes.collect()} == {"a": f"recovered as {one.id}", "b": "unrecoverable: no capture.sourceId"}
