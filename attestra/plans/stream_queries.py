@@ -12,6 +12,7 @@ from attestra.sources import run_store as S
 from attestra.sources.folders import shared_folder
 from attestra.streaming import processors as P
 from attestra.streaming.folds import drained, streamed
+from attestra.streaming.timed import timed
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -126,33 +127,34 @@ def stm_capture(spark, sf_dir):
     return drained(streamed(log, "user_id", ["at_ms", "event_id"], P.capture(12 * 3600 * 1000, 100)), shared_folder(spark, "capture"))
 
 
-_PREVIEWS = f"""WITH RECURSIVE {LOG}, t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, false AS taken, CAST(0 AS BIGINT) AS session, false AS done, CAST([] AS VARCHAR[]) AS committed, CAST(NULL AS VARCHAR) AS tail FROM e
-UNION ALL SELECT user_id, i, takes, CASE WHEN takes THEN now ELSE session END, done OR (takes AND event = 'handoff'), CASE WHEN takes AND event = 'handoff' THEN [] WHEN takes AND event = 'commit' THEN list_append(committed, props) ELSE committed END, CASE WHEN NOT takes THEN tail WHEN event = 'tail' THEN props END
+_PREVIEWS = f"""WITH RECURSIVE {LOG}, t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, false AS taken, CAST(0 AS BIGINT) AS session, false AS done, CAST(0 AS BIGINT) AS committed, CAST(NULL AS VARCHAR) AS added, CAST(NULL AS VARCHAR) AS tail FROM e
+UNION ALL SELECT user_id, i, takes, CASE WHEN takes THEN now ELSE session END, done OR (takes AND event = 'handoff'), CASE WHEN takes AND event = 'handoff' THEN 0 WHEN takes AND event = 'commit' THEN committed + 1 ELSE committed END, CASE WHEN takes AND event = 'commit' THEN props END, CASE WHEN NOT takes THEN tail WHEN event = 'tail' THEN props END
 FROM (SELECT e.user_id, e.i, e.props, t.session, t.done, t.committed, t.tail, CAST(floor(e.value / 400) AS BIGINT) AS now, NOT t.done AND floor(e.value / 400) >= t.session AS takes, CASE WHEN e.event_type = 'purchase' THEN 'commit' WHEN e.event_type = 'error' AND e.event_id % 9 = 0 THEN 'handoff' ELSE 'tail' END AS event FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1))
-SELECT user_id, len(committed) AS n_committed, array_to_string(committed, ' ') AS text, tail, done FROM t WHERE taken"""
+SELECT user_id, committed AS n_committed, added, tail, done FROM t WHERE taken"""
 
 
 @query(_PREVIEWS)
 def stm_previews(spark, sf_dir):
-    """STM-10, 11, 12, 27, UDF-06."""
+    """STM-10, 11, 12, 27, UDF-06: what live previews show; a committed text is told once and not held, and items that have been handed off are forgotten after a day."""
     kind = F.when(F.col("event_type") == "purchase", "commit").when((F.col("event_type") == "error") & (F.col("event_id") % 9 == 0), "handoff").otherwise("tail")
-    log = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("at"), kind.alias("event"), F.col("props").alias("text"), F.floor(F.col("value") / 400).alias("session"))
-    return drained(streamed(log, "user_id", ["at", "event_id"], P.previews()), shared_folder(spark, "previews"))
+    log = events(spark, sf_dir).select("user_id", "event_id", F.timestamp_millis(_ms()).alias("time"), _ms().alias("at"), kind.alias("event"), F.col("props").alias("text"), F.floor(F.col("value") / 400).alias("session"))
+    return drained(timed(log, "user_id", ["at", "event_id"], P.previews(), "time", "at", 24 * 3600 * 1000), shared_folder(spark, "previews"))
 
 
 _CONNECTIVITY = f"""WITH RECURSIVE {LOG}, t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'offline' AS status, CAST(0 AS BIGINT) AS since, CAST(-1 AS BIGINT) AS healthy, CAST(NULL AS BIGINT) AS first_at, 'none' AS first, CAST(NULL AS BIGINT) AS second_at, 'none' AS second FROM e
 UNION ALL SELECT user_id, i, CASE WHEN falls THEN 'offline' WHEN starts THEN 'probing' ELSE now END, CASE WHEN starts THEN ms ELSE since END, CASE WHEN starts THEN -1 WHEN event_type = 'click' AND now = 'probing' AND healthy < 0 THEN ms ELSE healthy END, CASE WHEN now <> status THEN first_at END, CASE WHEN now <> status THEN now ELSE 'none' END, CASE WHEN falls OR starts THEN ms END, CASE WHEN falls THEN 'offline' WHEN starts THEN 'probing' ELSE 'none' END
 FROM (SELECT *, now <> 'offline' AND (event_type = 'error' OR event_type NOT IN ('error', 'view', 'click') AND now = 'probing') AS falls, event_type = 'view' AND now = 'offline' AS starts
 FROM (SELECT e.user_id, e.i, e.ms, e.event_type, t.status, t.since, t.healthy, CASE WHEN t.status = 'probing' AND t.healthy >= 0 AND e.ms >= t.healthy + 3000 THEN 'online' WHEN t.status = 'probing' AND t.healthy < 0 AND e.ms >= t.since + 5000 THEN 'offline' ELSE t.status END AS now, CASE WHEN t.healthy >= 0 THEN t.healthy + 3000 ELSE t.since + 5000 END AS first_at FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1)))
-SELECT user_id, x.at_ms AS at_ms, x.status AS status FROM (SELECT user_id, unnest([{{'at_ms': first_at, 'status': first}}, {{'at_ms': second_at, 'status': second}}]) AS x FROM t) WHERE x.status <> 'none'"""
+SELECT user_id, x.at_ms AS at_ms, x.status AS status FROM (SELECT user_id, unnest([{{'at_ms': first_at, 'status': first}}, {{'at_ms': second_at, 'status': second}}]) AS x FROM t) WHERE x.status <> 'none'
+UNION ALL SELECT user_id, at_ms, status FROM (SELECT user_id, CASE WHEN healthy >= 0 THEN healthy + 3000 ELSE since + 5000 END AS at_ms, CASE WHEN healthy >= 0 THEN 'online' ELSE 'offline' END AS status FROM t QUALIFY i = max(i) OVER (PARTITION BY user_id) AND status = 'probing') WHERE at_ms <= (SELECT max(ms) FROM e)"""
 
 
 @query(_CONNECTIVITY)
 def stm_connectivity(spark, sf_dir):
-    """STM-22."""
+    """STM-22: devices' statuses; a probe's deadline and the time of stability are timers, which fire without a further event once the stream's time has passed them."""
     kind = F.when(F.col("event_type") == "error", "down").when(F.col("event_type") == "view", "up").when(F.col("event_type") == "click", "probe_ok").otherwise("probe_failed")
-    log = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("at_ms"), kind.alias("event"))
-    return drained(streamed(log, "user_id", ["at_ms", "event_id"], P.connectivity()), shared_folder(spark, "connectivity"))
+    log = events(spark, sf_dir).select("user_id", "event_id", F.timestamp_millis(_ms()).alias("time"), _ms().alias("at_ms"), kind.alias("event"))
+    return drained(timed(log, "user_id", ["at_ms", "event_id"], P.connectivity(), "time", "at_ms", 24 * 3600 * 1000), shared_folder(spark, "connectivity"))
 
 
 @query("""WITH h AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 3 = 0 THEN event_type END AS word FROM events), l AS (SELECT *, row_number() OVER v AS i, lag(word) OVER v AS before FROM h WINDOW v AS (PARTITION BY user_id ORDER BY ms, event_id)),

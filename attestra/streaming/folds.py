@@ -16,9 +16,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 @dataclass(frozen=True)
 class Processor:
+    """due: when time alone will bring something about (in milliseconds; null: never), and elapse what it brings about until then; a step asks for that itself. at_rest: whether a state may be forgotten, as nothing depends on it any more."""
+
     start: dict
     step: Callable[[dict, dict], list[dict]]
     emits: str
+    due: Callable[[dict], int | None] = lambda state: None
+    elapse: Callable[[dict, int], list[dict]] = lambda state, now: []
+    at_rest: Callable[[dict], bool] = lambda state: False
 
     def names(self) -> list[str]:
         return [x.strip().split(" ")[0] for x in self.emits.split(",")]

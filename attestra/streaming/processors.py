@@ -137,23 +137,23 @@ def capture(stall_ms: int = STALL_MS, most: int = CHUNK_BYTES) -> Processor:
 
 
 def previews() -> Processor:
-    """Live text of an item: tails replace each other, commits append and clear the tail, a handoff ends it. What comes after, or for an older session, is ignored."""
+    """Live text of an item: tails replace each other, a commit adds its text and clears the tail, a handoff ends it. What comes after, or for an older session, is ignored. Texts that are committed are emitted and not held: the state is a count and a tail. An item that has been handed off rests."""
 
     def step(s: dict, event: dict) -> list[dict]:
         kind, text, session = event["event"], event["text"], int(event["session"])
         if s["done"] or session < s["session"]:
             return []
-        s["session"] = session
+        s["session"], added = session, None
         if kind == "tail":
             s["tail"] = text
         elif kind == "commit":
-            s["committed"].append(text or "")
-            s["tail"] = None
+            added = text or ""
+            s.update(committed=s["committed"] + 1, tail=None)
         elif kind == "handoff":
-            s.update(done=True, committed=[], tail=None)
-        return [{"n_committed": len(s["committed"]), "text": " ".join(s["committed"]), "tail": s["tail"], "done": s["done"]}]
+            s.update(done=True, committed=0, tail=None)
+        return [{"n_committed": s["committed"], "added": added, "tail": s["tail"], "done": s["done"]}]
 
-    return Processor({"session": 0, "done": False, "committed": [], "tail": None}, step, "n_committed long, text string, tail string, done boolean")
+    return Processor({"session": 0, "done": False, "committed": 0, "tail": None}, step, "n_committed long, added string, tail string, done boolean", at_rest=lambda s: s["done"])
 
 
 def relay(base_ms: float = 1000, cap_ms: float = 60_000) -> Processor:
@@ -193,11 +193,11 @@ def relay(base_ms: float = 1000, cap_ms: float = 60_000) -> Processor:
         return [{"at_ms": now, "status": s["status"], "attempts": s["attempts"], "due_ms": s["due"] or None}]
 
     start = {"status": None, "duration": 0, "transcript": None, "extracted": None, "outcome": None, "attempts": 0, "due": 0}
-    return Processor(start, step, "at_ms long, status string, attempts int, due_ms long")
+    return Processor(start, step, "at_ms long, status string, attempts int, due_ms long", at_rest=lambda s: s["status"] in ("done", "discarded"))
 
 
 def connectivity(timeout_ms: int = 5000, stable_ms: int = 3000) -> Processor:
-    """A device's status from what happens to it: up, down, probe_ok and probe_failed. A probe that takes too long has failed; only after a healthy time is a device online."""
+    """A device's status from what happens to it: up, down, probe_ok and probe_failed. A probe that takes too long has failed; only after a healthy time is a device online. An offline device rests."""
 
     def to(s: dict, status: str, at: int) -> list[dict]:
         if s["status"] == status:
@@ -205,13 +205,18 @@ def connectivity(timeout_ms: int = 5000, stable_ms: int = 3000) -> Processor:
         s["status"] = status
         return [{"at_ms": at, "status": status}]
 
+    def due(s: dict) -> int | None:
+        if s["status"] != "probing":
+            return None
+        return s["healthy"] + stable_ms if s["healthy"] >= 0 else s["since"] + timeout_ms
+
+    def elapse(s: dict, now: int) -> list[dict]:
+        at = due(s)
+        return [] if at is None or now < at else to(s, "online" if s["healthy"] >= 0 else "offline", at)
+
     def step(s: dict, event: dict) -> list[dict]:
-        now, kind, out = int(event["at_ms"]), event["event"], []
-        if s["status"] == "probing":  # what time alone has brought about
-            if s["healthy"] >= 0 and now >= s["healthy"] + stable_ms:
-                out += to(s, "online", s["healthy"] + stable_ms)
-            elif s["healthy"] < 0 and now >= s["since"] + timeout_ms:
-                out += to(s, "offline", s["since"] + timeout_ms)
+        now, kind = int(event["at_ms"]), event["event"]
+        out = elapse(s, now)
         if kind == "down" or kind == "probe_failed" and s["status"] == "probing":
             out += to(s, "offline", now)
         elif kind == "up" and s["status"] == "offline":
@@ -221,7 +226,7 @@ def connectivity(timeout_ms: int = 5000, stable_ms: int = 3000) -> Processor:
             s["healthy"] = now
         return out
 
-    return Processor({"status": "offline", "since": 0, "healthy": -1}, step, "at_ms long, status string")
+    return Processor({"status": "offline", "since": 0, "healthy": -1}, step, "at_ms long, status string", due, elapse, lambda s: s["status"] == "offline")
 
 
 def agreement(n: int = 2) -> Processor:

@@ -128,7 +128,7 @@ def test_relay(spark):
 def test_previews_and_connectivity(spark):
     rows = [("i", 0, "tail", "a", 1), ("i", 1, "tail", "ab", 1), ("i", 2, "commit", "ab.", 1), ("i", 3, "tail", "old", 0), ("i", 4, "commit", "", 1), ("i", 5, "handoff", None, 1), ("i", 6, "tail", "late", 1)]
     got = fold(spark, P.previews(), rows, ["key", "at", "event", "text", "session"])
-    assert [(x[0], x[2], x[3]) for x in got] == [(0, "a", False), (0, "ab", False), (1, None, False), (2, None, False), (0, None, True)]
+    assert got == [(0, None, "a", False), (0, None, "ab", False), (1, "ab.", None, False), (2, "", None, False), (0, None, None, True)]
     rows = [("d", t, t, e) for t, e in [(0, "up"), (100, "probe_ok"), (3200, "down"), (4000, "up"), (10_000, "up"), (10_100, "probe_ok"), (11_000, "down")]]
     got = fold(spark, P.connectivity(), rows, ["key", "at", "at_ms", "event"])
     assert got == [(0, "probing"), (3100, "online"), (3200, "offline"), (4000, "probing"), (9000, "offline"), (10_000, "probing"), (11_000, "offline")]
