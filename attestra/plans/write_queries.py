@@ -10,6 +10,7 @@ from attestra.plans.queue_queries import _ACTIVE, _CHUNKS, _chunks
 from attestra.plans.tables import QUEUE, queue, table
 from attestra.sources.folders import shared_folder, written
 from attestra.sources.outbox import Outbox
+from attestra.sources.versions import VersionConflict
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -210,7 +211,7 @@ def _run_store(spark, sf_dir):
 
 @query(f"""WITH {_RUNS}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY captured_at DESC) AS k FROM r) SELECT label, captured_at, n FROM k WHERE label <> '2' AND (label <> '0' OR k <= 3) AND (label <> '1' OR captured_at <> TIMESTAMP '1997-01-01')""")
 def src_run_history(spark, sf_dir):
-    """SRC-24, SRC-25, SRC-28, SRC-29, SRC-30: histories after pruning and deletions."""
+    """SRC-25, SRC-28, SRC-29, SRC-30: histories after pruning and deletions, each a version of its own."""
     return _run_store(spark, sf_dir).history().select(F.col("label").cast("string").alias("label"), "captured_at", "n")
 
 
@@ -221,14 +222,20 @@ def src_run_current(spark, sf_dir):
     return store.current().join(store.labels(), "label").select(F.col("label").cast("string").alias("label"), "captured_at", "n")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'done' ELSE 'queued' END AS status, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 END AS INT) AS attempts FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'done' WHEN o_orderkey % 3 = 1 THEN 'failed' ELSE 'queued' END AS status, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 2 END AS INT) AS attempts FROM orders")
 def src_migrated_log(spark, sf_dir):
-    """SRC-02, 03: a log whose first rows have fewer columns is read like one of today, and dropped once it has been read."""
+    """SRC-02, SRC-03, SRC-18: a log whose first rows have fewer columns is read like one of today; an append that was made from an older version than the last is refused and made again; the log is dropped once it has been read."""
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(k.cast("string").alias("id"), k.alias("seq"))
     box = Outbox(spark, shared_folder(spark, "outbox"))
-    rows.where("seq % 2 = 0").select("id", F.lit(1).cast("long").alias("version"), "seq", F.lit("queued").alias("status")).write.parquet(box.path)
-    box.append(rows.where("seq % 3 = 0").withColumn("version", F.lit(2)).withColumn("status", F.lit("done")).withColumn("attempts", F.lit(1)))
+    rows.select("id", F.lit(1).cast("long").alias("version"), "seq", F.lit("queued").alias("status")).write.parquet(box.path)
+    seen = box.version()
+    box.append(rows.where("seq % 3 = 0").withColumn("version", F.lit(2)).withColumn("status", F.lit("done")).withColumn("attempts", F.lit(1)), seen)
+    late = lambda v: rows.where("seq % 3 = 1").withColumn("version", F.lit(v)).withColumn("status", F.lit("failed")).withColumn("attempts", F.lit(v))
+    try:
+        box.append(late(9), seen)
+    except VersionConflict:
+        box.append(late(2), box.version())
     items = written(box.items().select("id", "seq", "status", "attempts"))
     box.drop()
     return items

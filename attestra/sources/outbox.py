@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.operators.queue import STATUSES, latest
+from attestra.sources.folders import Files, written
+from attestra.sources.versions import Parts, Versions
 
 SCHEMA = "id string, version bigint, seq bigint, status string, idempotency_key string, attempts int, next_attempt_at timestamp, enqueued_at timestamp, last_error string, duration_ms bigint, transcript string, extracted string, source_id string, deleted boolean"
 
@@ -21,39 +23,55 @@ def problems(rows: DataFrame) -> DataFrame:
 
 
 class Outbox:
-    """path: a folder that driver and executors share. Rows are appended, never changed; versions order those of an id."""
+    """path: a folder that driver and executors share. Rows are appended, never changed; versions order those of an id. Each append is a version of the log itself, and is there as a whole or not at all. Parquet that lies in the folder from before counts as the log's beginning."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.versions = spark, path, Versions(spark, path)
 
-    def append(self, rows: DataFrame) -> None:
-        """Rows by name; columns that are missing are null. A row that breaks a rule fails the write."""
+    def version(self) -> int:
+        """The log's version, which an append can be made from; -1: nothing was appended."""
+        return self.versions.last()
+
+    def append(self, rows: DataFrame, base: int | None = None) -> int:
+        """Rows by name; columns that are missing are null. A row that breaks a rule fails the write. With base, the version that the rows were made from, an append after another's is refused (VersionConflict): read again and make them anew."""
         schema = self.spark.createDataFrame([], SCHEMA).schema
         whole = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
         checked = problems(whole)
         guard = F.when(F.col("problem").isNotNull() & ~F.coalesce("deleted", F.lit(False)), F.raise_error(F.concat_ws(": ", "id", "problem")).cast("bigint")).otherwise(F.col("version"))
-        checked.withColumn("version", guard).drop("problem").write.mode("append").parquet(self.path)
+        (folders,) = self.versions.write(checked.withColumn("version", guard).drop("problem")).values()
+        return self.versions.change(lambda parts: parts | {"log": [*parts.get("log", []), *folders]}, base)
+
+    def compact(self) -> int:
+        """All appends in one folder: for a log of many small ones."""
+
+        def change(parts: Parts) -> Parts:
+            (folders,) = self.versions.write(self.versions.read(parts["log"], SCHEMA)).values() if parts.get("log") else ([],)
+            return parts | {"log": folders}
+
+        return self.versions.change(change)
 
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).option("mergeSchema", True).parquet(self.path)
+    def log(self, version: int | None = None) -> DataFrame:
+        """All rows, or those of a version."""
+        folders = self.versions.parts(version).get("log", [])
+        old = [x for x in Files(self.spark).names(self.path) if x.endswith(".parquet")]
+        appended = self.versions.read(folders, SCHEMA) if folders else self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(self.path).unionByName(appended) if old else appended
 
-    def items(self) -> DataFrame:
-        return latest(self.log())
+    def items(self, version: int | None = None) -> DataFrame:
+        return latest(self.log(version))
 
     def remove(self, ids: DataFrame, version: int) -> int:
         """Tombstones for ids that are there; their number."""
-        gone = self.items().join(ids.select("id"), "id", "left_semi").select("id", "seq").withColumn("version", F.lit(version)).withColumn("deleted", F.lit(True))
-        n = gone.count()
+        gone = written(self.items().join(ids.select("id"), "id", "left_semi").select("id", "seq").withColumn("version", F.lit(version)).withColumn("deleted", F.lit(True)))
         self.append(gone)
-        return n
+        return gone.count()
 
     def watch(self) -> DataFrame:
-        """The log as a stream of rows as they are appended."""
-        return self.spark.readStream.schema(SCHEMA).parquet(self.path)
+        """The log as a stream of rows as they are appended. It sees an append's files, whether or not its commit was refused: fold by version, or read log() where that matters."""
+        return self.spark.readStream.schema(SCHEMA).parquet(f"{self.path}/_parts/*")
 
     def drop(self) -> None:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        Files(self.spark).delete(self.path)
 
 
 def written_once(writes: DataFrame, done: DataFrame) -> DataFrame:
