@@ -98,7 +98,7 @@ def stm_transcription_by_chunk(spark, sf_dir):
 
 @query("""SELECT DISTINCT ON (o_custkey) o_custkey AS idempotency_key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)""")
 def src_written_once(spark, sf_dir):
-    """SRC-43: what a sink may send, once for each key."""
+    """SRC-43: what a sink may send, once for each key and not what it has sent before."""
     from attestra.sources.outbox import written_once
 
     writes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("idempotency_key"))

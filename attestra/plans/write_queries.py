@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra.operators import queue as Q
 from attestra.operators import writes as W
@@ -11,6 +13,7 @@ from attestra.plans.tables import QUEUE, queue, table
 from attestra.sources.folders import shared_folder, written
 from attestra.sources.outbox import Outbox
 from attestra.sources.versions import VersionConflict
+from attestra.sources.write_sink import Adapter, WriteSink, folder_writer, tool_rows
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -190,6 +193,47 @@ def prj_write_problems(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), W.write_problem(values, ["price", "state"], context, ["job"]).alias("problem"))
 
 
+_TOOL = """x AS (SELECT o_orderkey AS id, o_orderkey % 7 AS k, 'k' || o_orderkey // 3 AS idempotency_key, o_totalprice AS price, 'house ' || o_custkey AS job, CASE WHEN o_orderkey % 5 = 0 THEN 'context lacks job' WHEN o_orderkey % 7 = 1 THEN 'unknown fields odd' WHEN o_orderkey % 7 = 2 THEN 'wrong fields price' WHEN o_orderkey % 7 = 3 THEN 'nothing to write' END AS problem FROM orders)"""
+
+
+def _tool_writes(spark, sf_dir):
+    """orders as a stream into a tool that takes files. The first run breaks off between the write and the ledger; the second goes on from its checkpoint; a third, from the beginning, finds all written."""
+    k = F.col("o_orderkey") % 7
+    orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parquet*")
+    price, fields = F.col("o_totalprice").alias("price"), F.to_json(F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("state")))
+    fields = F.when(k == 1, F.to_json(F.struct(price, F.lit(1).alias("odd")))).when(k == 2, '{"price": "much"}').when(k == 3, "{}").otherwise(fields)
+    context = F.when(F.col("o_orderkey") % 5 == 0, "{}").otherwise(F.to_json(F.struct(F.concat(F.lit("house "), F.col("o_custkey")).alias("job"))))
+    items = orders.select(F.col("o_orderkey").alias("id"), fields.alias("fields"), context.alias("context"), F.concat(F.lit("k"), F.floor(F.col("o_orderkey") / 3)).alias("idempotency_key"))
+    values, where = T.StructType().add("price", "double").add("state", "string"), T.StructType().add("job", "string")
+    root, left = shared_folder(spark, "tool"), [True]
+
+    def breaks(batch: str) -> None:
+        if left.pop():
+            raise RuntimeError(f"{batch} breaks off before its entry in the ledger")
+
+    adapter = Adapter("orders", values, where, folder_writer(f"{root}/rows"))
+    broken, sink = WriteSink(spark, f"{root}/sink", adapter, breaks), WriteSink(spark, f"{root}/sink", adapter)
+    try:
+        broken.start(items, f"{root}/checkpoint").awaitTermination()
+    except StreamingQueryException:
+        sink.start(items, f"{root}/checkpoint").awaitTermination()
+    sink.start(items, f"{root}/checkpoint2").awaitTermination()
+    schema = T.StructType().add("id", "long").add("fields", values).add("context", where).add("idempotency_key", "string")
+    return sink, tool_rows(sink, f"{root}/rows", schema)
+
+
+@query(f"WITH {_TOOL} SELECT idempotency_key, min(id) AS id, arg_min(price, id) AS price, arg_min(job, id) AS job FROM x WHERE problem IS NULL GROUP BY idempotency_key")
+def src_tool_writes(spark, sf_dir):
+    """SRC-43, UDF-04, UDF-05: reviewed values are written into a tool through a ledger, each key once though the stream breaks off in between and is run again."""
+    return _tool_writes(spark, sf_dir)[1].select("idempotency_key", "id", "fields.price", "context.job")
+
+
+@query(f"WITH {_TOOL} SELECT CAST(id AS VARCHAR) AS id, problem FROM x WHERE problem IS NOT NULL")
+def src_refused_writes(spark, sf_dir):
+    """SRC-43, UDF-05: what can never be written is told, and why."""
+    return _tool_writes(spark, sf_dir)[0].refused().select("id", "problem").distinct()
+
+
 _RUNS = "r AS (SELECT CAST(o_custkey % 5 AS VARCHAR) AS label, date_trunc('year', o_orderdate) AS captured_at, count(*) AS n FROM orders GROUP BY ALL)"
 
 
