@@ -10,6 +10,7 @@ from attestra.plans.tables import queue, table
 from attestra.sources import json_text as J
 from attestra.sources import run_store as S
 from attestra.sources.folders import shared_folder
+from attestra.sources.lines import files_written, line_stream
 from attestra.streaming import processors as P
 from attestra.streaming.folds import drained, streamed
 from attestra.streaming.timed import timed
@@ -194,12 +195,38 @@ def src_last_object(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", J.last_object(F.concat(F.lit('first {"a": 1} then } '), last, F.lit(' and " {"'))).alias("found"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'view'")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'view' AND event_id % 10 <> 3")
 def src_marked_lines(spark, sf_dir):
-    """SRC-33."""
-    line = F.when(F.col("event_type") == "view", F.concat(F.lit("12:00 @@MEASURE@@"), F.col("props"))).otherwise(F.concat(F.lit("12:00 other "), F.col("props")))
-    found = table(spark, sf_dir, "events").select("event_id", J.marked(line, "@@MEASURE@@").alias("json")).where("json IS NOT NULL")
-    return found.select("event_id", F.from_json("json", "k bigint")["k"].alias("k"))
+    """SRC-33: a stream of log lines; those with a marker and JSON that can be read are taken, all others skipped."""
+    folder, props = shared_folder(spark, "log"), F.col("props")
+    measure = F.regexp_replace(props, "^[{]", F.concat(F.lit('{"event_id": '), F.col("event_id"), F.lit(", ")))
+    line = F.when(F.col("event_type") != "view", F.concat(F.lit("12:00 other "), measure)).when(F.col("event_id") % 10 == 3, F.concat(F.lit("12:00 @@MEASURE@@ {garbled "), measure)).otherwise(F.concat(F.lit("12:00 @@MEASURE@@ "), measure))
+    table(spark, sf_dir, "events").select(line).write.text(f"{folder}/in")
+    log = line_stream(spark, f"{folder}/in", "*.txt")
+    return drained(J.marked_lines(log.select("text"), "@@MEASURE@@ ", "event_id long, k long"), folder)
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_partkey % 10 < 8 THEN l_quantity END AS quantity, l_partkey % 10 >= 8 AS malformed FROM lineitem WHERE l_partkey % 10 <> 7")
+def src_json_lines(spark, sf_dir):
+    """SRC-24: JSON lines from ranges of bytes; blank lines are skipped, malformed ones told with their places."""
+    folder, k = shared_folder(spark, "jsonl"), F.col("l_partkey") % 10
+    record = F.to_json(F.struct(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("quantity")))
+    torn = F.concat(F.substring_index(record, ",", 2), F.lit(" torn"))
+    table(spark, sf_dir, "lineitem").select(F.when(k == 7, F.lit("  ")).when(k >= 8, torn).otherwise(record)).write.text(folder)
+    kept = J.json_lines(spark, folder, "id long, n long, quantity double", "keep", "*.txt", 1 << 20)
+    part = lambda name: F.regexp_extract("malformed", f'"{name}":([0-9]+)', 1).cast("long")
+    return kept.select(F.coalesce("id", part("id")).alias("id"), F.coalesce("n", part("n")).alias("n"), "quantity", F.col("problem").isNotNull().alias("malformed"))
+
+
+@query("""SELECT 'supplier ' || s_suppkey AS slug, CASE s_suppkey % 5 WHEN 0 THEN 'old format' WHEN 1 THEN 'malformed' WHEN 2 THEN 'no transcript' END AS problem, CASE WHEN s_suppkey % 5 <> 2 THEN s_name END AS text FROM supplier WHERE s_suppkey % 7 <> 0""")
+def src_truth_files(spark, sf_dir):
+    """SRC-19: a folder of `*.json` with what is true joined to the `*.txt` of the same names; what can't be graded is told, what is contaminated left out."""
+    folder, k = shared_folder(spark, "truth"), F.col("s_suppkey") % 5
+    name = F.concat(F.lit("supplier "), F.col("s_suppkey")).alias("name")
+    rows = table(spark, sf_dir, "supplier")
+    files_written(rows.select(name, F.when(k == 0, '{"fields": {}}').when(k == 1, '{"leaves": ').otherwise('{"leaves": {}}').alias("text")), f"{folder}/truth", ".json")
+    files_written(rows.where(k != 2).select(name, F.col("s_name").alias("text")), f"{folder}/texts", ".txt")
+    return J.truth_files(spark, f"{folder}/truth", f"{folder}/texts", rows.where("s_suppkey % 7 = 0").select(name.alias("slug"))).select("slug", "problem", "text")
 
 
 @query("""WITH a AS (SELECT o_custkey AS key, max(o_orderdate) AS seen_at, 'a' AS which FROM orders GROUP BY 1), b AS (SELECT o_custkey AS key, max(o_orderdate) AS seen_at, 'b' AS which FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus = 'F' GROUP BY 1), u AS (SELECT * FROM a WHERE key % 2 = 0 UNION ALL SELECT * FROM b)

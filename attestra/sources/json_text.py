@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.operators.checks import without_descriptions
+from attestra.sources.lines import RANGE_BYTES, lines, numbered
 
 
 def repaired(text: Column) -> Column:
@@ -46,26 +47,49 @@ def last_object(text: Column) -> Column:
     return F.pandas_udf(find, "string")(text)
 
 
-def marked(lines: Column, marker: str) -> Column:
-    """The JSON after a marker in a log line, or null."""
-    return F.nullif(F.regexp_extract(lines, f"(?s){marker}(.*)$", 1), F.lit(""))
-
-
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of a JSON-lines folder; blank lines are skipped, a malformed one is an error that names it. Lines are read one by one, so that large files are split; only a file with a malformed line is read as a whole, for its number."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) != ''")
-    bad = lines.where(F.try_parse_json("value").isNull()).first()
-    if bad is not None:
-        whole = spark.read.text(bad.file, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
-        n = whole.where(F.col("text") == bad.value).agg(F.min("line")).first()[0]
-        raise ValueError(f"malformed line {n + 1} of {bad.file}")
-    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
-
-
-def named_texts(spark: SparkSession, path: str, name: str = "text") -> DataFrame:
-    """Whole files with their names without folder and ending."""
-    slug = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    return spark.read.text(path, wholetext=True).select(F.url_decode(slug).alias("slug"), F.col("value").alias(name))
+def json_lines(spark: SparkSession, path: str, schema: str, malformed: str = "fail", pattern: str = "*", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Records of JSON-lines files (a file or a folder), one for each line that isn't blank.
+
+    malformed says what becomes of a line that is no JSON object: fail (the read fails and names the file and line of one), drop, or keep: all rows then have file, line, problem and malformed beside the record's own columns, and such a line has a problem, its text as malformed, and no record. A file is split into ranges for large ones; lines are read twice only where their numbers are asked for (keep and fail).
+    """
+    found = lines(spark, path, pattern, range_bytes)
+    found = found if malformed == "drop" else numbered(found)
+    found = found.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    bad = F.json_object_keys("text").isNull() | F.try_parse_json("text").isNull()
+    record = F.from_json("text", schema)
+    if malformed == "drop":
+        return found.where(~bad).select(record.alias("r")).select("r.*")
+    problem = F.when(bad, F.concat(F.lit("malformed line "), F.col("line"), F.lit(" of "), F.col("file")))
+    if malformed == "keep":
+        told = found.select("file", "line", problem.alias("problem"), F.when(bad, F.col("text")).alias("malformed"), F.when(~bad, record).alias("r"))
+        return told.select("file", "line", "problem", "malformed", "r.*")
+    if malformed != "fail":
+        raise ValueError(f"unknown policy {malformed!r}")
+    return found.select(F.when(bad, F.raise_error(problem).cast(found.select(record.alias("r")).schema["r"].dataType)).otherwise(record).alias("r")).select("r.*")
+
+
+def marked_lines(log: DataFrame, marker: str, schema: str) -> DataFrame:
+    """Records after a marker in the lines of a log, a table or a stream of lines: the others and what can't be read are skipped. Columns: those of the lines but text, and the record's."""
+    others = [c for c in log.columns if c != "text"]
+    found = log.where(F.contains("text", F.lit(marker))).select(*others, F.expr(f"substr(text, instr(text, '{marker}') + {len(marker)})").alias("json__"))
+    readable = F.try_parse_json("json__").isNotNull()
+    return found.where(readable).select(*others, F.from_json("json__", schema).alias("r__")).select(*others, "r__.*")
+
+
+def named_texts(spark: SparkSession, path: str, name: str = "text", encoded: bool = False) -> DataFrame:
+    """Whole files with their names without folder and ending; encoded: names are percent-encoded, as files_written() makes them."""
+    slug = F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1))  # Spark gives it as in a URI
+    return spark.read.text(path, wholetext=True).select((F.url_decode(slug) if encoded else slug).alias("slug"), F.col("value").alias(name))
+
+
+def truth_files(spark: SparkSession, truth: str, transcripts: str, excluded: DataFrame | None = None, key: str = "leaves") -> DataFrame:
+    """slug, truth (JSON) and text of every `*.json` in a folder and the `*.txt` of its name (percent-encoded) in another, and problem: what keeps it from being graded (malformed, old format: without the key, no transcript), or null. excluded: slugs that are left out."""
+    said = named_texts(spark, f"{truth}/*.json", "truth", encoded=True)
+    said = said if excluded is None else said.join(excluded.select("slug"), "slug", "left_anti")
+    both = said.join(named_texts(spark, f"{transcripts}/*.txt", encoded=True), "slug", "left")
+    keys = F.json_object_keys("truth")
+    problem = F.when(F.try_parse_json("truth").isNull() | keys.isNull(), "malformed").when(~F.array_contains(keys, key), "old format").when(F.col("text").isNull(), "no transcript")
+    return both.select("slug", "truth", "text", problem.alias("problem"))
 
 
 def loaded(results: DataFrame, slugs: DataFrame) -> DataFrame:
