@@ -1,6 +1,8 @@
 """Removal of byte strings that occur in an earlier document, by deep-shallow sorting.
 
-Each string of WIDTH bytes belongs to the least hash among its GRAM-byte grams, so that equal strings belong together wherever they stand. Neighbouring strings of the same least hash form a run. A first exchange tells which hashes several documents have; the text of only those runs is then dealt out by hash, sorted, and compared: first whole runs, and where a hash has several different ones, their strings one by one. Runs that a chunk of documents has several times leave it once. Hashes of very many runs are not dealt out as texts: their strings are told by 128 bits each, and Spark finds the least document of each by an aggregate with a map-side combine, so that no task gets all that share a hash.
+Each string of WIDTH bytes belongs to the least hash among its GRAM-byte grams, so that equal strings belong together wherever they stand. Neighbouring strings of the same least hash form a run. A first exchange tells which hashes several documents have; the text of only those runs is then dealt out by hash, sorted, and compared: first whole runs, and where a hash has several different ones, their strings one by one. Runs that a chunk of documents has several times leave it once.
+
+No task gets all that share a hash, however often it occurs. What chunks offer is combined for FAN chunks at a time before the parts see it. A hash of very many runs is split into shares by the content of its strings, so that equal ones still meet; a share's strings, too, are sorted and reduced to different ones for FAN chunks at a time before all of a share are sorted.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from attestra.llm.text_arrays import chunks, covered, joined, mix
 WIDTH, GRAM = 50, 16
 #: Bytes of documents in a chunk, and of all documents for each part that the hashes are dealt into.
 CHUNK, PART = 2 << 20, 8 << 20
-#: Runs of the whole corpus from which on a hash is a hot one: so many, some 20 MB of text, are sorted by one task at most.
-HOT = 200_000
+#: Runs of a hash that make a share of it, some 20 MB of text, and chunks whose rows meet in one group.
+SHARE, FAN = 200_000, 4096
 _LATER = np.iinfo(np.int64).max
 
 
@@ -106,24 +108,53 @@ def _offer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
             part, key = part[at], key[at]
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             times = (last + 1 - at).astype("<u4")
-            out = [(int(part[a]), r["chunk"], key[a:b].tobytes(), times[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for a, b in zip(cut, [*cut[1:], len(part)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *(pa.binary(),) * 3), strict=True)], names=["part", "chunk", "keys", "times", "several"])
-
-
-def _shared(group: pa.Table, hot: int) -> pa.Table:
-    """The hashes of a part that several documents have, for each chunk that has them: those of fewer than `hot` runs, and the others."""
-    own = [np.frombuffer(x, np.uint32) for x in group.column("keys").to_pylist()]
-    both = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(group.column("several").to_pylist(), own, strict=True)]
-    every = np.concatenate(own)
-    order = np.argsort(every)
-    every, times = every[order], np.concatenate([np.frombuffer(x, "<u4") for x in group.column("times").to_pylist()])[order]
-    repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[b] for k, b in zip(own, both, strict=True))]))
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    often = every[first[np.add.reduceat(times, first, dtype=np.int64) >= hot]] if len(every) else every
-    here = [k[np.isin(k, repeated, assume_unique=True)] for k in own]
-    many = [np.isin(k, often, assume_unique=True) for k in here]
-    keys, hot_keys = ([k[m == side].tobytes() for k, m in zip(here, many, strict=True)] for side in (False, True))
-    return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "keys": pa.array(keys, pa.binary()), "hot_keys": pa.array(hot_keys, pa.binary())}).filter(pa.array([len(k) > 0 for k in here], pa.bool_()))
+            out = [(int(part[a]), r["fan"], r["chunk"], key[a:b].tobytes(), times[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for a, b in zip(cut, [*cut[1:], len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*(pa.int64(),) * 3, *(pa.binary(),) * 3), strict=True)], names=["part", "fan", "chunk", "keys", "times", "several"])
+
+
+def _lists(group: pa.Table, column: str, kind: str | type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in group.column(column).to_pylist()]
+
+
+def _several(group: pa.Table, own: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.unpackbits(x, count=len(k)).astype(bool) for x, k in zip(_lists(group, "several", np.uint8), own, strict=True)]
+
+
+def _added(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of a part's rows, each once, how many runs have each, and whether several documents do."""
+    own = _lists(group, "keys", np.uint32)
+    keys, back = np.unique(np.concatenate(own), return_inverse=True)
+    times = np.zeros(len(keys), np.int64)
+    np.add.at(times, back, np.concatenate(_lists(group, "times", "<u4")))
+    several = np.bincount(back, minlength=len(keys)) > 1
+    several[back[np.concatenate(_several(group, own))]] = True
+    return keys, times, several
+
+
+def _combined(group: pa.Table) -> pa.Table:
+    """What FAN chunks offer to a part, as one row."""
+    keys, times, several = _added(group)
+    return pa.table({"part": group.column("part")[:1], "fan": group.column("fan")[:1], "keys": pa.array([keys.tobytes()], pa.binary()), "times": pa.array([np.minimum(times, 2**32 - 1).astype("<u4").tobytes()], pa.binary()), "several": pa.array([np.packbits(several).tobytes()], pa.binary())})
+
+
+def _shared(group: pa.Table, share: int) -> pa.Table:
+    """The hashes of a part that several documents have, and how many shares each makes, for every FAN chunks that have offered some."""
+    keys, times, several = _added(group)
+    shared, shares = keys[several].tobytes(), (1 + times[several] // share).astype("<u4").tobytes()
+    n = group.num_rows
+    return pa.table({"part": group.column("part"), "fan": group.column("fan"), "keys": pa.array([shared] * n, pa.binary()), "shares": pa.array([shares] * n, pa.binary())})
+
+
+def _returned(offers: pa.Table, found: pa.Table) -> pa.Table:
+    """Of each chunk: its shared hashes of a part, and their shares."""
+    keys, shares = np.concatenate([np.zeros(0, np.uint32), *_lists(found, "keys", np.uint32)]), np.concatenate([np.zeros(0, "<u4"), *_lists(found, "shares", "<u4")])
+    here = []
+    for own in _lists(offers, "keys", np.uint32):
+        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        some = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+        here.append((own[some].tobytes(), shares[at[some]].tobytes() if len(keys) else b""))
+    out = pa.table({"chunk": offers.column("chunk"), "part": offers.column("part"), "keys": pa.array([x for x, _ in here], pa.binary()), "shares": pa.array([x for _, x in here], pa.binary())})
+    return out.filter(pa.array([len(x) > 0 for x, _ in here], pa.bool_()))
 
 
 def _spread(runs: Runs, picked: np.ndarray) -> np.ndarray:
@@ -132,42 +163,100 @@ def _spread(runs: Runs, picked: np.ndarray) -> np.ndarray:
     return np.repeat(runs.first[picked] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def _codes(shared: list[dict], which: str) -> np.ndarray:
-    """Parts and keys as one number each, sorted."""
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *((np.uint64(x["part"]) << np.uint64(32)) | np.frombuffer(x[which], np.uint32) for x in shared)]))
+def _codes(shared: list[dict], split: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Parts and keys as one number each, sorted, and their shares: those of hashes that are split, or of the others."""
+    codes = np.concatenate([np.zeros(0, np.uint64), *((np.uint64(x["part"]) << np.uint64(32)) | np.frombuffer(x["keys"], np.uint32) for x in shared)])
+    shares = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x["shares"], "<u4") for x in shared)]).astype(np.int64)
+    codes, shares = codes[(shares > 1) == split], shares[(shares > 1) == split]
+    order = np.argsort(codes)
+    return codes[order], shares[order]
 
 
-def _picked(runs: Runs, ids: np.ndarray, parts: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of documents with an id whose hashes are among the codes, and all runs' parts and keys."""
+def _picked(runs: Runs, ids: np.ndarray, parts: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of documents with an id whose hashes are among the codes, the places of these codes, and all runs' parts and keys."""
     part, key = runs.part(parts)
     code = (part.astype(np.uint64) << np.uint64(32)) | key
     at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-    return np.flatnonzero((codes[at] == code) & (ids[runs.doc] != _LATER)), part, key
+    picked = np.flatnonzero((codes[at] == code) & (ids[runs.doc] != _LATER))
+    return picked, at[picked], part, key
+
+
+def _heads(rank: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by rank and what follows it, and where in it each rank begins."""
+    order = np.lexsort((*reversed(then), rank))
+    return order, np.flatnonzero(np.concatenate([[True], np.diff(rank[order]) != 0])) if len(order) else np.zeros(0, np.int64)
+
+
+_STRINGS = "code long, share long, fan long, chunk long, text binary, least binary, greatest binary, cuts binary, at binary, docs binary"
 
 
 def _strings(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Of each chunk: the distinct strings of its runs of hot hashes, by 128 bits, with the least and greatest documents that have them here, and all their places and documents."""
+    """Of each chunk, hash that is split, and share: the different strings of its runs, the least and greatest documents that have each here, and all their places and documents."""
     for batch in batches:
         for r in batch.to_pylist():
-            codes = _codes(r["shared"], "hot_keys")
+            codes, shares = _codes(r["shared"], True)
             if not len(codes):
                 continue
             runs, ids = Runs(r["data"], r["offsets"]), _numbers(r["ids"])
-            picked, _, _ = _picked(runs, ids, parts, codes)
+            picked, of, _, _ = _picked(runs, ids, parts, codes)
+            if not len(picked):
+                continue
             size = runs.count[picked]
             at = np.repeat(runs.first[picked] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            doc = np.repeat(ids[runs.doc[picked]], size)
-            loads = np.ndarray((len(runs.data) - 7,), "<u8", runs.data, strides=(1,))
-            h1, h2 = np.full(len(at), 1, np.uint64), np.full(len(at), 2, np.uint64)
-            for k in (*range(0, WIDTH - 8, 8), WIDTH - 8):
-                word = loads[at + k]
-                h1, h2 = joined(h1, word), joined(word, h2)
-            order = np.lexsort((doc, h2, h1))
-            at, doc, h1, h2 = at[order], doc[order], h1[order], h2[order]
-            first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
+            doc, of = np.repeat(ids[runs.doc[picked]], size), np.repeat(of, size)
+            order, first = _heads(ranks(runs.data, at, np.full(len(at), WIDTH)), doc)
+            at, doc, of = at[order], doc[order], of[order]
             cut = np.append(first, len(at))
-            lists = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (np.ascontiguousarray(at, "<i4"), np.ascontiguousarray(doc, "<i8"))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), r["chunk"], np.int64)), pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), pa.array(doc[first]), pa.array(doc[cut[1:] - 1]), *lists], names=["chunk", "h1", "h2", "least", "greatest", "at", "docs"])
+            loads, h = np.ndarray((len(runs.data) - 7,), "<u8", runs.data, strides=(1,)), np.zeros(len(first), np.uint64)
+            for k in (*range(0, WIDTH - 8, 8), WIDTH - 8):
+                h = joined(h, loads[at[first] + k])
+            share = (h % shares[of[first]].astype(np.uint64)).astype(np.int64)
+            group, starts = _heads(of[first] * (int(shares.max()) + 1) + share)
+            rows = []
+            for g in np.split(group, starts[1:]):
+                where = np.concatenate([np.arange(cut[k], cut[k + 1]) for k in g])
+                text = runs.data[at[first[g]][:, None] + np.arange(WIDTH)]
+                rows.append((int(codes[of[first[g[0]]]].view(np.int64)), int(share[g[0]]), r["fan"], r["chunk"], text.tobytes(), doc[first[g]].tobytes(), doc[cut[g + 1] - 1].tobytes(), (cut[g + 1] - cut[g]).astype("<i4").tobytes(), at[where].astype("<i4").tobytes(), doc[where].tobytes()))
+            kinds = (*(pa.int64(),) * 4, *(pa.binary(),) * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _STRINGS.split(", ")])
+
+
+def _different(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different strings of all rows of a group, their least and greatest documents, to which of them each row's strings belong, and how many strings each row has."""
+    text = np.frombuffer(b"".join(group.column("text").to_pylist()), np.uint8)
+    least, greatest = (np.concatenate(_lists(group, c, "<i8")) for c in ("least", "greatest"))
+    n = len(least)
+    rank = ranks(text, np.arange(n) * WIDTH, np.full(n, WIDTH))
+    order, first = _heads(rank)
+    which = np.empty(n, np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+    return text.reshape(n, WIDTH)[order[first]], np.minimum.reduceat(least[order], first), np.maximum.reduceat(greatest[order], first), which, np.array([len(x) // 8 for x in group.column("least").to_pylist()])
+
+
+def _reduced(group: pa.Table) -> pa.Table:
+    """The different strings of a share that FAN chunks have, as one row."""
+    text, least, greatest, _, _ = _different(group)
+    return pa.table({**{c: group.column(c)[:1] for c in ("code", "share", "fan")}, "text": pa.array([text.tobytes()], pa.binary()), "least": pa.array([least.tobytes()], pa.binary()), "greatest": pa.array([greatest.tobytes()], pa.binary())})
+
+
+def _earliest(group: pa.Table) -> pa.Table:
+    """Of each row's strings the least document of all that have it; beyond any if they are all one."""
+    _, least, greatest, which, sizes = _different(group)
+    first = np.where(least < greatest, least, _LATER)[which]
+    return pa.table({**{c: group.column(c) for c in ("code", "share", "fan")}, "first": pa.array([x.tobytes() for x in np.split(first, np.cumsum(sizes)[:-1])], pa.binary())})
+
+
+def _located(strings: pa.Table, found: pa.Table) -> pa.Table:
+    """Of each chunk: the places of a share's strings that several documents have, these documents, and the least of all."""
+    _, _, _, which, sizes = _different(strings)
+    first = np.split(np.frombuffer(found.column("first")[0].as_py(), "<i8")[which], np.cumsum(sizes)[:-1])
+    rows = []
+    for k, least in enumerate(first):
+        cuts, at, docs = (np.frombuffer(strings.column(c)[k].as_py(), kind) for c, kind in (("cuts", "<i4"), ("at", "<i4"), ("docs", "<i8")))
+        least = np.repeat(least, cuts)
+        gone = docs > least
+        rows.append((at[gone].tobytes(), int(gone.sum())))
+    return pa.table({"chunk": strings.column("chunk"), "at": pa.array([x for x, _ in rows], pa.binary())}).filter(pa.array([n > 0 for _, n in rows], pa.bool_()))
 
 
 def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -175,10 +264,10 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for r in batch.to_pylist():
             runs, ids = Runs(r["data"], r["offsets"]), _numbers(r["ids"])
-            codes = _codes(r["shared"], "keys")
+            codes, _ = _codes(r["shared"], False)
             if not len(codes):
                 continue
-            picked, part, key = _picked(runs, ids, parts, codes)
+            picked, _, part, key = _picked(runs, ids, parts, codes)
             doc, size = ids[runs.doc[picked]], runs.count[picked] + WIDTH - 1
             text = runs.data[_spread(runs, picked)]
             begin = np.cumsum(size) - size
@@ -260,13 +349,11 @@ def _decide(group: pa.Table) -> pa.Table:
     return pa.table({"chunk": group.column("chunk"), "spans": pa.array(spans, pa.binary()), "local": group.column("local")}).filter(some)
 
 
-def _removed(runs: Runs, found: list[dict] | None, hot: list[dict] | None) -> np.ndarray:
-    """Flags of the bytes of a chunk that go: those of the dealt runs' strings, and of the hot strings that an earlier document has."""
+def _removed(runs: Runs, found: list[dict] | None, split: list[bytes] | None) -> np.ndarray:
+    """Flags of the bytes of a chunk that go: those of the dealt runs' strings, and of the strings of split hashes, that an earlier document has."""
     step = np.zeros(len(runs.data) + 1, np.int32)
-    if hot:
-        at, docs = (np.frombuffer(b"".join(x[c] for x in hot), kind) for c, kind in (("at", "<i4"), ("docs", "<i8")))
-        least = np.repeat(np.array([x["least"] for x in hot], np.int64), [len(x["at"]) // 4 for x in hot])
-        at = at[docs > least].astype(np.int64)
+    if split:
+        at = np.frombuffer(b"".join(split), "<i4").astype(np.int64)
         np.add.at(step, at, 1)
         np.add.at(step, at + WIDTH, -1)
     for x in found or ():
@@ -282,7 +369,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             runs = Runs(r["data"], r["offsets"])
-            gone, offsets, data = _removed(runs, r["found"], r["hot"]), runs.offsets, runs.data
+            gone, offsets, data = _removed(runs, r["found"], r["split"]), runs.offsets, runs.data
             out = []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 own = gone[a:b]
@@ -293,7 +380,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def without_repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
+def without_repeated_spans(documents: DataFrame, share: int = SHARE, fan: int = FAN) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept, the bytes that stay.
 
     A byte goes if a string of WIDTH bytes that covers it starts in a document of smaller doc_id too, in the texts as given. documents: doc_id (a whole number) and text; other columns are ignored. A null text is empty; texts of fewer than WIDTH bytes stay whole; rows of equal doc_id don't count as earlier than each other; a row without doc_id stays whole and takes nothing from others; an empty table gives an empty result.
@@ -301,17 +388,24 @@ def without_repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(docs.mapInArrow(_chunk_rows, "chunk long, ids array<long>, n_bytes long, offsets binary, data binary"))
-    total = table.agg(F.sum("n_bytes")).first()[0] or 0
+    total, n_chunks = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     parts = max(12, -(-total // PART))
-    offers = table.select("chunk", "ids", "offsets", "data").mapInArrow(lambda b: _offer(b, parts), "part long, chunk long, keys binary, times binary, several binary")
-    every = written(offers.groupBy("part").applyInArrow(lambda group: _shared(group, hot), "chunk long, part long, keys binary, hot_keys binary"))
-    shared = every.groupBy("chunk").agg(F.collect_list(F.struct("part", "keys")).alias("shared"))  # of one chunk's bounded size
+    table = table.withColumn("fan", F.pmod(F.xxhash64("chunk"), F.lit(max(1, -(-n_chunks // fan)))))
+    offers = table.select("chunk", "fan", "ids", "offsets", "data").mapInArrow(lambda b: _offer(b, parts), "part long, fan long, chunk long, keys binary, times binary, several binary")
+    of_some = offers.groupBy("part", "fan")
+    combined = of_some.applyInArrow(_combined, "part long, fan long, keys binary, times binary, several binary")
+    judged = combined.groupBy("part").applyInArrow(lambda group: _shared(group, share), "part long, fan long, keys binary, shares binary")
+    every = written(of_some.cogroup(judged.groupBy("part", "fan")).applyInArrow(_returned, "chunk long, part long, keys binary, shares binary"))
+    shared = every.groupBy("chunk").agg(F.collect_list(F.struct("part", "keys", "shares")).alias("shared"))  # of one chunk's bounded size
     dealt = table.join(shared, "chunk").mapInArrow(lambda b: _deal(b, parts), "part long, chunk long, keys binary, runs binary, docs binary, counts binary, data binary, local binary")
     found = dealt.groupBy("part").applyInArrow(_decide, "chunk long, spans binary, local binary")
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("spans", "local")).alias("found"))
-    hot_keys = written(every.where(F.length("hot_keys") > 0).groupBy("chunk").agg(F.collect_list(F.struct("part", "hot_keys")).alias("shared")))
-    strings = written(table.join(hot_keys, "chunk").mapInArrow(lambda b: _strings(b, parts), "chunk long, h1 long, h2 long, least long, greatest long, at binary, docs binary"))
-    earliest = strings.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("greatest").alias("last")).where("first < last").select("h1", "h2", "first")
-    hot_found = strings.join(earliest, ["h1", "h2"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "docs", F.col("first").alias("least"))).alias("hot"))  # of one chunk's bounded size
-    both = table.join(found, "chunk", "left").join(hot_found, "chunk", "left")
+    splits = written(every.where(F.regexp_replace(F.hex("shares"), "01000000", "") != "").groupBy("chunk").agg(F.collect_list(F.struct("part", "keys", "shares")).alias("shared")))
+    strings = written(table.join(splits, "chunk").mapInArrow(lambda b: _strings(b, parts), _STRINGS))
+    of_share = strings.groupBy("code", "share", "fan")
+    reduced = of_share.applyInArrow(_reduced, "code long, share long, fan long, text binary, least binary, greatest binary")
+    earliest = reduced.groupBy("code", "share").applyInArrow(_earliest, "code long, share long, fan long, first binary")
+    located = of_share.cogroup(earliest.groupBy("code", "share", "fan")).applyInArrow(_located, "chunk long, at binary")
+    split = located.groupBy("chunk").agg(F.collect_list("at").alias("split"))  # of one chunk's bounded size
+    both = table.join(found, "chunk", "left").join(split, "chunk", "left")
     return both.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -70,12 +70,22 @@ def test_odd_rows(spark):
     assert without_repeated_spans(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 2, 3])
-def test_hot_hashes_match_brute_force(spark, hot):
-    """Every hash, or those that two or three chunks have, is told by its strings."""
-    rnd = random.Random(hot)
+@pytest.mark.parametrize("share,fan", [(1, 1), (2, 2), (5, 4096), (10**6, 1)])
+def test_split_hashes_match_brute_force(spark, share, fan):
+    """Nearly every hash, or those of some runs, is split into shares; chunks meet one by one, two by two or all at once."""
+    rnd = random.Random(share)
     phrase = "this very common line stands in a third of all the documents there are"
     some = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
     docs = [(i, some(rnd.randint(0, 60)) + (phrase if i % 3 == 0 else "") + some(rnd.randint(0, 60)) + ("z" * 90 if i % 7 == 0 else "")) for i in range(60)]
     docs += [(200, None), (201, ""), (202, docs[3][1]), (203, docs[3][1]), (203, docs[3][1]), (-5, docs[9][1])]
-    assert run(spark, docs, hot=hot) == brute(docs)
+    assert run(spark, docs, share=share, fan=fan) == brute(docs)
+
+
+def test_a_line_in_a_third_of_many_chunks(spark):
+    """Each document is a chunk of its own row here; the line's hash is split, and its strings reduced two chunks at a time."""
+    rnd = random.Random(9)
+    line = "Licensed to whom it may concern, in every third document of this table."
+    docs = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(70)) + (line[: 50 + i % 20] if i % 3 == 0 else "")) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in without_repeated_spans(frame, share=3, fan=2).collect())
+    assert got == brute(docs)
