@@ -152,10 +152,3 @@ def byte_loudness(samples: DataFrame, x: str = "x") -> DataFrame:
     """Root mean square of unsigned bytes around 128, at most 1."""
     d = (F.col(x) - 128) / 128.0
     return samples.groupBy("stream").agg(F.least(F.lit(1.0), F.coalesce(F.sqrt(F.avg(d * d)), F.lit(0.0))).alias("rms"))
-
-
-def reframed(quanta: DataFrame, per_frame: int) -> DataFrame:
-    """Frames of per_frame quanta each (stream, quantum: numbered from 0, samples: array); an unfinished last frame is left out."""
-    frame = F.floor(F.col("quantum") / per_frame).cast("long")
-    lists = quanta.groupBy("stream", frame.alias("frame")).agg(F.array_sort(F.collect_list(F.struct("quantum", "samples"))).alias("q"))
-    return lists.where(F.size("q") == per_frame).select("stream", "frame", F.flatten(F.transform("q", lambda x: x["samples"])).alias("samples"))

@@ -13,6 +13,7 @@ from attestra.sources.folders import shared_folder
 from attestra.sources.lines import files_written, line_stream
 from attestra.streaming import processors as P
 from attestra.streaming.folds import drained, streamed
+from attestra.streaming.live_view import LiveView, retractions
 from attestra.streaming.timed import timed
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -167,17 +168,24 @@ def stm_agreement(spark, sf_dir):
     return drained(streamed(log, "user_id", ["at", "event_id"], P.agreement()), shared_folder(spark, "agreement"))
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+@query("WITH l AS (SELECT user_id, arg_max({'k': event_type, 'v': value}, (epoch_us(ts) // 1000, event_id)) AS l FROM events GROUP BY user_id) SELECT l.k AS event_type, count(*) AS n, round(sum(l.v), 4) AS total FROM l WHERE l.k <> 'error' GROUP BY l.k")
 def stm_live_summary(spark, sf_dir):
-    """SRC-06, STM-32: a running summary, as it stands when all is read."""
-    log = events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """SRC-06, STM-32: users by what they did last, kept up by changes: each event takes back what its user counted for before; an error takes the user out."""
+    log = events(spark, sf_dir).select("user_id", "event_id", _ms().alias("at"), "event_type", "value", (F.col("event_type") == "error").alias("deleted"))
+    changes = streamed(log, "user_id", ["at", "event_id"], retractions({"event_type": "string", "value": "double"}))
     folder = shared_folder(spark, "summary")
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows")
-
-    log.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").select("event_type", "n", F.round("total", 4).alias("total"))
+    view = LiveView(spark, f"{folder}/view", ["event_type"], ["value"])
+    view.start(changes, f"{folder}/state").awaitTermination()
+    return view.read().select("event_type", "n", F.round("value", 4).alias("total"))
+
+
+@query("""WITH q AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS k FROM events), s AS (SELECT user_id, unnest([event_id, -event_id, event_id // 2]) AS sample, unnest([3 * k, 3 * k + 1, 3 * k + 2]) AS k FROM q),
+f AS (SELECT user_id, k // 4 AS frame, list(CAST(sample AS DOUBLE) ORDER BY k) AS samples FROM s GROUP BY ALL) SELECT user_id, frame, samples FROM f WHERE len(samples) = 4""")
+def stm_reframed(spark, sf_dir):
+    """STM-18: quanta of three samples as frames of four, in a stream: what does not fill a frame is held until more comes."""
+    i = F.col("event_id")
+    log = events(spark, sf_dir).select("user_id", "event_id", F.timestamp_millis(_ms()).alias("time"), _ms().alias("at"), F.array(i, -i, F.floor(i / 2)).cast("array<double>").alias("samples"))
+    return drained(timed(log, "user_id", ["at", "event_id"], P.reframed(4), "time", "at", 24 * 3600 * 1000, "10 minutes"), shared_folder(spark, "reframed"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")

@@ -252,18 +252,6 @@ def stm_capture_health(spark, sf_dir):
     return last.select("user_id", F.when(F.col("last") != "error", F.col("last")).alias("health"))
 
 
-@query("""WITH q AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events), f AS (SELECT user_id, k // 4 AS frame, list(event_id ORDER BY k) AS samples FROM q GROUP BY ALL) SELECT user_id, frame, samples FROM f WHERE len(samples) = 4""")
-def stm_reframed(spark, sf_dir):
-    """STM-18: four quanta make a frame; what is left over waits for more."""
-    from pyspark.sql.window import Window
-
-    from attestra.operators.regions import reframed
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    quanta = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), (F.row_number().over(w) - 1).alias("quantum"), F.array("event_id").alias("samples"))
-    return reframed(quanta, 4).select(F.col("stream").alias("user_id"), "frame", "samples")
-
-
 @query("""SELECT 'r' || event_id AS slug, CASE event_id % 5 WHEN 1 THEN 'empty' WHEN 2 THEN 'malformed' WHEN 3 THEN 'no object' WHEN 4 THEN 'absent' END AS problem FROM events""")
 def src_loaded(spark, sf_dir):
     """SRC-20: every slug's result, or whether it is absent, empty, malformed or no object."""

@@ -244,3 +244,16 @@ def agreement(n: int = 2) -> Processor:
         return [{"words": " ".join(new), "n_committed": s["committed"]}] if new else []
 
     return Processor({"last": [], "committed": 0}, step, "words string, n_committed long")
+
+
+def reframed(size: int = 512) -> Processor:
+    """Quanta of samples, in the stream's order, regrouped into frames of `size`: what does not fill a frame is held, under a frame's length, until more comes. A stream that has nothing held rests."""
+
+    def step(s: dict, event: dict) -> list[dict]:
+        held = [*s["held"], *(event["samples"] if event["samples"] is not None else ())]
+        n = len(held) // size
+        out = [{"frame": s["frame"] + k, "samples": held[k * size : (k + 1) * size]} for k in range(n)]
+        s.update(frame=s["frame"] + n, held=[x.item() if hasattr(x, "item") else x for x in held[n * size :]])
+        return out
+
+    return Processor({"frame": 0, "held": []}, step, "frame long, samples array<double>")
