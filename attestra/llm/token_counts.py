@@ -59,6 +59,7 @@ class Counter:
             if not BYTE.fullmatch(piece):
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces if not BYTE.fullmatch(p)), default=1)
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.single = {p for p, _ in pieces if len(p) == 1}
         if any(c in p for p, _ in pieces for c in "\t\n"):
@@ -66,26 +67,27 @@ class Counter:
         self.known: dict[int, int] = {}
 
     def word(self, word: str) -> int:
-        n = len(word)
-        best, start, pieces = [-math.inf] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        """Pieces of the best way to cut a word; scores and counts are held for as many ends as the longest piece has characters, whatever the word's length."""
+        n, ring = len(word), self.longest + 1
+        best, pieces = [-math.inf] * ring, [0] * ring
         best[0] = 0.0
-        found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            found[end].append(match)
-        single = self.single
-        for end, matches in enumerate(found, 1):
+        matches, single = self.automaton.iter(word), self.single
+        last, match = next(matches, (n, None))
+        for end in range(1, n + 1):
             top, at, count = -math.inf, 0, 0
-            for length, score in matches:
+            while last == end - 1:
+                length, score = match
                 i = end - length
-                total = best[i] + score
+                total = best[i % ring] + score
                 if total > top or total == top and i < at:
-                    top, at, count = total, i, pieces[i] + 1
+                    top, at, count = total, i, pieces[i % ring] + 1
+                last, match = next(matches, (n, None))
             if word[end - 1] not in single:
-                total = best[end - 1] + self.unknown
+                total = best[(end - 1) % ring] + self.unknown
                 if total > top:
-                    top, count = total, pieces[end - 1] + len(word[end - 1].encode())
-            best[end], pieces[end] = top, count
-        return pieces[n]
+                    top, count = total, pieces[(end - 1) % ring] + len(word[end - 1].encode())
+            best[end % ring], pieces[end % ring] = top, count
+        return pieces[n % ring]
 
     def counts(self, chunk: Chunk) -> np.ndarray:
         """Tokens of each document of a chunk."""
