@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from attestra.llm.shared_tables import bounded_batches, named
+from attestra.llm.shared_tables import bounded_batches, packed, packed_column
 from attestra.llm.text_arrays import Chunk, chunks, members
 
 PASSAGE = 64
@@ -92,6 +92,17 @@ class Model:
         s = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
         return {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "s": s}
 
+    def slopes(self, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, doc: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """The gradient of the documents' mean log loss; doc: the document of each passage."""
+        p, r = self.parts, self.run(x, starts, sizes)
+        ds = (r["s"] - y) / len(y)
+        dz = ds[:, None] * p["c"]
+        da = (dz[doc] * r["h"]).sum(1)
+        de = r["a"] * (da - np.repeat(np.add.reduceat(r["a"] * da, starts), sizes))
+        dt, dg = de[:, None] * p["w"] * r["g"] * (1 - r["t"] ** 2), de[:, None] * p["w"] * r["t"] * r["g"] * (1 - r["g"])
+        dh = (r["a"][:, None] * dz[doc] + dt @ p["V"].T + dg @ p["U"].T) * (1 - r["h"] ** 2)
+        return {"W": r["x"].T @ dh, "b": dh.sum(0), "V": r["h"].T @ dt, "U": r["h"].T @ dg, "w": (r["t"] * r["g"]).T @ de, "c": r["z"].T @ ds, "d": ds.sum()}
+
 
 def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 250, width: int = 16, gates: int = 8, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
     """Adam on the mean log loss of the documents, all at a time; without labels of both kinds, a constant."""
@@ -106,14 +117,7 @@ def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 250, width
     starts, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
     m, v = ({k: np.zeros_like(q) for k, q in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        r = model.run(x, starts, sizes)
-        ds = (r["s"] - y) / len(y)
-        dz = ds[:, None] * p["c"]
-        da = (dz[doc] * r["h"]).sum(1)
-        de = r["a"] * (da - np.repeat(np.add.reduceat(r["a"] * da, starts), sizes))
-        dt, dg = de[:, None] * p["w"] * r["g"] * (1 - r["t"] ** 2), de[:, None] * p["w"] * r["t"] * r["g"] * (1 - r["g"])
-        dh = (r["a"][:, None] * dz[doc] + dt @ p["V"].T + dg @ p["U"].T) * (1 - r["h"] ** 2)
-        grad = {"W": r["x"].T @ dh, "b": dh.sum(0), "V": r["h"].T @ dt, "U": r["h"].T @ dg, "w": (r["t"] * r["g"]).T @ de, "c": r["z"].T @ ds, "d": ds.sum()}
+        grad = model.slopes(x, starts, sizes, doc, y)
         for k in p:
             g = grad[k] + decay * p[k]
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -139,26 +143,30 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """Fit on at most `sample` labelled documents that are not held out: those whose ids hash lowest. Documents whose labels contradict each other are not learnt from."""
+    """Fit on at most `sample` labelled documents that are not held out: those whose ids hash lowest. Documents whose labels contradict each other are not learnt from. Of an id with several rows one text is learnt from, so that no more than `sample` bags come to the driver."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("most"))
     marked = marked.where("y = most").select("doc_id", F.col("y").cast("double").alias("y"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    bags = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id").select("text", "y")
+    text = F.struct(F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string").alias("text"))
+    bags = documents.select("doc_id", text.alias("text")).join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min("text")["text"].alias("text"), F.first("y").alias("y")).select("text", "y")
     got = bags.mapInArrow(_encode_batches, "bag binary, y double").collect()
     got = sorted(got, key=lambda r: (bytes(r["bag"]), r["y"]))  # the order of the rows must not tell in the sums
     x = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in got]
     return fit(np.concatenate([np.zeros((0, FEATURES), np.float32), *x]), np.array([len(b) for b in x], int), np.array([r["y"] for r in got]))
 
 
+_NEW = ("held_out", "score", "predicted")
+
+
 def with_quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """documents with three more columns: held_out, score (0 to 1, higher: good likelier) and predicted (score >= threshold).
 
-    documents: doc_id and text, labels: doc_id and quality (0 or 1; null: unknown; several that disagree: not learnt from). Every passage of a text of any length counts, in learning and in scoring. A null or empty text is scored as one passage without words. Repeated rows get equal scores; a null doc_id counts as held out and is carried through. Columns of documents that clash with the new ones are replaced. Without labels of both kinds every score is the share of good ones, 0.5 if there are none.
+    documents: doc_id and text, labels: doc_id and quality (0 or 1; null: unknown; several that disagree: not learnt from). Every passage of a text of any length counts, in learning and in scoring. A null or empty text is scored as one passage without words. Repeated rows get equal scores; a null doc_id counts as held out and is carried through. Columns of documents that clash with the new ones, in any case of letters, are replaced; text comes back as a string. Without labels of both kinds every score is the share of good ones, 0.5 if there are none.
     """
     bounded_batches(documents.sparkSession)
-    own = [c for c in documents.columns if c not in ("held_out", "score", "predicted")]
-    kept = [named(c) for c in own]
     sent = documents.sparkSession.sparkContext.broadcast(trained(documents, labels, sample))
+    frame = packed(documents)
+    schema = StructType([*frame.schema, StructField("score__", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -166,9 +174,8 @@ def with_quality(documents: DataFrame, labels: DataFrame, threshold: float = THR
             for chunk in chunks(batch.column("text")):
                 x, sizes = encoded(chunk)
                 s = model.run(x, np.cumsum(sizes) - sizes, sizes)["s"].astype(float)
-                out = batch.slice(chunk.first, chunk.n)
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(s)], names=[*own, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(chunk.first, chunk.n).columns, pa.array(s)], names=schema.names)
 
-    frame = documents.select(*kept)
-    scored = frame.mapInArrow(score, StructType([*(StructField(x.name, x.dataType) for x in frame.schema), StructField("score", DoubleType())]))
-    return scored.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    kept = [c for c in documents.columns if c.lower() not in _NEW]
+    scored = frame.mapInArrow(score, schema)
+    return scored.select(*(packed_column(documents.columns, c).alias(c) for c in kept), F.col("score__").alias("score"), held_out().alias("held_out"), (F.col("score__") >= threshold).cast("int").alias("predicted"))
