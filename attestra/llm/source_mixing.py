@@ -44,7 +44,8 @@ def _weight(source: Column, weights: dict[str, float | Fraction], exact: bool) -
 
 
 def _period(sources: Column, size: Column) -> Column:
-    """Earliest deadline first over one period: an array of (index of the source, which of its blocks), by slot."""
+    """Earliest deadline first over one period: an array of (index of the source, which of its blocks), by slot. Slots are gathered in pieces of about the root of their number, so that none is copied more often than that."""
+    piece = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
 
     def step(acc: Column, t: Column) -> Column:
         def job(s: Column, i: Column) -> Column:
@@ -53,14 +54,20 @@ def _period(sources: Column, size: Column) -> Column:
             return F.when(ready, F.struct(F.ceil((done + 1) * size / s["a"]).alias("deadline"), i.alias("i"), done.alias("nth")))
 
         best = F.array_min(F.filter(F.transform(sources, job), lambda x: x.isNotNull()))
-        after = lambda b: F.struct(
-            F.transform(acc["done"], lambda n, i: n + F.when(i == b["i"], 1).otherwise(0)).alias("done"),
-            F.concat(acc["order"], F.array(F.struct(b["i"].alias("i"), b["nth"].alias("nth")))).alias("order"),
-        )
+
+        def after(b: Column) -> Column:
+            here = F.concat(acc["here"], F.array(F.struct(b["i"].alias("i"), b["nth"].alias("nth"))))
+            full = (t + 1) % piece == 0
+            return F.struct(
+                F.transform(acc["done"], lambda n, i: n + F.when(i == b["i"], 1).otherwise(0)).alias("done"), F.when(full, F.expr("CAST(array() AS array<struct<i:int,nth:bigint>>)")).otherwise(here).alias("here"),
+                F.when(full, F.concat(acc["before"], F.array(here))).otherwise(acc["before"]).alias("before"),
+            )
+
         return F.transform(F.array(best), after)[0]  # found once, not for each source
 
-    start = F.struct(F.transform(sources, lambda s: F.lit(0)).alias("done"), F.expr("CAST(array() AS array<struct<i:int,nth:int>>)").alias("order"))
-    return F.aggregate(F.sequence(F.lit(0), size - 1), start, step, lambda acc: acc["order"])
+    none = "CAST(array() AS {})"
+    start = F.struct(F.transform(sources, lambda s: F.lit(0).cast("long")).alias("done"), F.expr(none.format("array<struct<i:int,nth:bigint>>")).alias("here"), F.expr(none.format("array<array<struct<i:int,nth:bigint>>>")).alias("before"))
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), size - 1), start, step, lambda acc: F.concat(F.flatten(acc["before"]), acc["here"]))
 
 
 def schedule(totals: DataFrame, block: int, resolution: int | None) -> DataFrame:
@@ -79,7 +86,7 @@ def schedule(totals: DataFrame, block: int, resolution: int | None) -> DataFrame
     one = sources.agg(F.array_sort(F.collect_list(F.struct("key", "a", "periods"))).alias("all"), F.array_sort(F.collect_set("periods")).alias("ends"))
     phases = one.select("all", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0)))).alias("since"), F.col("ends").alias("until"))).alias("phase", "p"))
     phases = phases.select("phase", "p.since", "p.until", F.filter("all", lambda s: s["periods"] >= F.col("p.until")).alias("sources"))
-    phases = phases.withColumn("size", F.aggregate("sources", F.lit(0), lambda n, s: n + s["a"]))
+    phases = phases.withColumn("size", F.aggregate("sources", F.lit(0).cast("long"), lambda n, s: n + s["a"]))
     order = phases.groupBy("phase").agg(*(F.first(c).alias(c) for c in ("since", "until", "sources", "size")))  # each phase may go to another task
     order = order.withColumn("order", _period(F.col("sources"), F.col("size")))
     length = (F.col("until") - F.col("since")) * F.col("size")
