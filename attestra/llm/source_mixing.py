@@ -44,30 +44,35 @@ def _weight(source: Column, weights: dict[str, float | Fraction], exact: bool) -
 
 
 def _period(sources: Column, size: Column) -> Column:
-    """Earliest deadline first over one period: an array of (index of the source, which of its blocks), by slot. Slots are gathered in pieces of about the root of their number, so that none is copied more often than that."""
+    """Earliest deadline first over one period: an array of (index of the source, which of its blocks), by slot.
+
+    Each step counts the block that the step before has chosen, and chooses one. Slots are gathered in pieces of about the root of their number, so that none is copied more often than that.
+    """
     piece = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
+    slot, none = "struct<i:int,nth:bigint>", "CAST(array() AS array<{}>)"
+
+    def chosen(done: Column, t: Column) -> Column:
+        def job(s: Column, n: Column) -> Column:
+            ready = (n < s["a"]) & (F.floor(n * size / s["a"]) <= t)
+            return F.when(ready, F.struct(F.ceil((n + 1) * size / s["a"]).alias("deadline"), s["i"].alias("i"), n.alias("nth")))
+
+        return F.array_min(F.zip_with(F.transform(sources, lambda s, i: F.struct(s["a"].alias("a"), i.alias("i"))), done, job))
 
     def step(acc: Column, t: Column) -> Column:
-        def job(s: Column, i: Column) -> Column:
-            done = acc["done"][i]
-            ready = (done < s["a"]) & (F.floor(done * size / s["a"]) <= t)
-            return F.when(ready, F.struct(F.ceil((done + 1) * size / s["a"]).alias("deadline"), i.alias("i"), done.alias("nth")))
-
-        best = F.array_min(F.filter(F.transform(sources, job), lambda x: x.isNotNull()))
-
-        def after(b: Column) -> Column:
-            here = F.concat(acc["here"], F.array(F.struct(b["i"].alias("i"), b["nth"].alias("nth"))))
-            full = (t + 1) % piece == 0
-            return F.struct(
-                F.transform(acc["done"], lambda n, i: n + F.when(i == b["i"], 1).otherwise(0)).alias("done"), F.when(full, F.expr("CAST(array() AS array<struct<i:int,nth:bigint>>)")).otherwise(here).alias("here"),
-                F.when(full, F.concat(acc["before"], F.array(here))).otherwise(acc["before"]).alias("before"),
-            )
-
-        return F.transform(F.array(best), after)[0]  # found once, not for each source
-
-    none = "CAST(array() AS {})"
-    start = F.struct(F.transform(sources, lambda s: F.lit(0).cast("long")).alias("done"), F.expr(none.format("array<struct<i:int,nth:bigint>>")).alias("here"), F.expr(none.format("array<array<struct<i:int,nth:bigint>>>")).alias("before"))
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), size - 1), start, step, lambda acc: F.concat(F.flatten(acc["before"]), acc["here"]))
+        last = acc["best"]
+        done = F.transform(acc["done"], lambda n, i: n + F.when(i == last["i"], 1).otherwise(0))
+        here = F.concat(acc["here"], F.array(F.struct(last["i"].alias("i"), last["nth"].alias("nth"))))
+        full = t % piece == 0
+        return F.struct(done.alias("done"), chosen(done, t).alias("best"), F.when(full, F.expr(none.format(slot))).otherwise(here).alias("here"), F.when(full, F.concat(acc["before"], F.array(here))).otherwise(acc["before"]).alias("before"))
+
+    def gathered(acc: Column) -> Column:
+        last = acc["best"]
+        return F.concat(F.flatten(acc["before"]), acc["here"], F.filter(F.array(F.struct(last["i"].alias("i"), last["nth"].alias("nth"))), lambda x: x["i"].isNotNull()))
+
+    zero = F.transform(sources, lambda s: F.lit(0).cast("long"))
+    start = F.struct(zero.alias("done"), chosen(zero, F.lit(0).cast("long")).alias("best"), F.expr(none.format(slot)).alias("here"), F.expr(none.format(f"array<{slot}>")).alias("before"))
+    later = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), size - 1)), lambda t: t > 0)
+    return F.aggregate(later, start, step, gathered)
 
 
 def schedule(totals: DataFrame, block: int, resolution: int | None) -> DataFrame:
