@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Extractor = Callable[[str, str], dict]
@@ -109,3 +109,27 @@ def conversation(said: Column, examples: Column, text: Column, group: Column | N
         shown = F.transform(own, lambda e: F.struct(e["text"].alias("text"), F.to_json(F.map_filter(e["fields"], lambda k, _: k == group)).alias("fields")))
     turns = F.flatten(F.transform(shown, lambda e: F.array(turn("user", e["text"]), turn("assistant", e["fields"]))))
     return F.concat(F.array(turn("system", said)), turns, F.array(turn("user", text)))
+
+
+def canned(recordings: DataFrame, answers: DataFrame, key: str, text: str, default: str) -> DataFrame:
+    """A double's answers: of each recording the canned text for its key, else the default."""
+    return recordings.select(key).join(answers.select(key, text), key, "left").select(key, F.coalesce(text, F.lit(default)).alias(text))
+
+
+def described_fields(fields: DataFrame, vendor: DataFrame, key: str, theirs: str, own: str) -> DataFrame:
+    """key and description: what the vendor says of a field, where it says something, and the own note."""
+    both = fields.select(key, own).join(vendor.select(key, theirs), key, "left")
+    return both.select(key, F.concat_ws(" ", theirs, own).alias("description"))
+
+
+def recording_totals(segments: DataFrame, by: str) -> DataFrame:
+    """By recording group of segments (duration, elapsed, duty): n_segments, duration, rtf (all time taken over all time recorded) and the mean duty of those that have one."""
+    duration = F.sum("duration")
+    return segments.groupBy(by).agg(F.count("*").alias("n_segments"), duration.alias("duration"), F.try_divide(F.sum("elapsed"), duration).alias("rtf"), F.avg("duty").alias("duty"))
+
+
+def measured_rtf(verdict: Column) -> Column:
+    """The real-time factor of a stored verdict (JSON), a number; what is malformed was not measured."""
+    found = F.try_variant_get(F.try_parse_json(verdict), "$.rtf", "double")
+    kind = F.schema_of_variant(F.variant_get(F.try_parse_json(verdict), "$.rtf", "variant"))
+    return F.when(F.regexp_like(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE)")), found)

@@ -12,6 +12,7 @@ from attestra.sources import run_store as S
 from attestra.sources.folders import shared_folder
 from attestra.sources.lines import files_written, line_stream
 from attestra.streaming import processors as P
+from attestra.streaming.captures import health_in_captures, of_the_last_registered
 from attestra.streaming.folds import drained, streamed
 from attestra.streaming.live_view import LiveView, retractions
 from attestra.streaming.timed import timed
@@ -179,6 +180,17 @@ def stm_live_summary(spark, sf_dir):
     return view.read().select("event_type", "n", F.round("value", 4).alias("total"))
 
 
+@query("""WITH c AS (SELECT user_id, event_id AS capture, ts AS b, ts + INTERVAL 1 MINUTE * CAST(floor(value) AS BIGINT) AS e FROM events WHERE event_type = 'view'), h AS (SELECT user_id, event_id, ts, event_type FROM events WHERE event_type <> 'view')
+SELECT h.user_id, h.event_id, arg_max(c.capture, (c.b, c.capture)) AS capture, any_value(h.event_type) AS health FROM h JOIN c ON h.user_id = c.user_id AND h.ts >= c.b AND h.ts < c.e GROUP BY h.user_id, h.event_id""")
+def stm_capture_health(spark, sf_dir):
+    """STM-33: what was said of health while a device's capture was active, two streams joined by intervals; the capture that was registered last counts."""
+    at = F.col("ts").cast("timestamp")
+    captures = events(spark, sf_dir).where("event_type = 'view'").select(F.col("user_id").alias("device"), F.col("event_id").alias("capture"), at.alias("begin"), F.timestamp_add("MINUTE", F.floor("value").cast("int"), at).alias("end"))
+    health = events(spark, sf_dir).where("event_type != 'view'").select(F.col("user_id").alias("device"), "event_id", at.alias("at"), F.col("event_type").alias("health"))
+    joined = drained(health_in_captures(captures, health), shared_folder(spark, "captures"))
+    return of_the_last_registered(joined, ["device", "event_id"]).select(F.col("device").alias("user_id"), "event_id", "capture", "health")
+
+
 @query("""WITH q AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS k FROM events), s AS (SELECT user_id, unnest([event_id, -event_id, event_id // 2]) AS sample, unnest([3 * k, 3 * k + 1, 3 * k + 2]) AS k FROM q),
 f AS (SELECT user_id, k // 4 AS frame, list(CAST(sample AS DOUBLE) ORDER BY k) AS samples FROM s GROUP BY ALL) SELECT user_id, frame, samples FROM f WHERE len(samples) = 4""")
 def stm_reframed(spark, sf_dir):

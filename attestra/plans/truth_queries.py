@@ -9,7 +9,10 @@ from attestra.functions import numbers as N
 from attestra.operators import extraction as X
 from attestra.operators import review as V
 from attestra.operators import scoring as C
+from attestra.operators.constraints import Constraints, violations
 from attestra.plans.tables import CELLS, VERDICTS, cells, table
+from attestra.sources.batch_runner import BatchRunner
+from attestra.sources.folders import shared_folder
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -141,17 +144,15 @@ def jon_fresh_baseline(spark, sf_dir):
 @query("SELECT c_custkey AS recording, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'canned text' END AS text FROM customer")
 def jon_canned_answers(spark, sf_dir):
     """JON-17, UDF-15: a double's canned answer for a recording, else its default."""
-    c = table(spark, sf_dir, "customer")
-    canned = c.where("c_custkey % 3 = 0").select("c_custkey", "c_name")
-    return c.select("c_custkey").join(canned, "c_custkey", "left").select(F.col("c_custkey").alias("recording"), F.coalesce("c_name", F.lit("canned text")).alias("text"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording"), F.col("c_name").alias("text"))
+    return X.canned(c, c.where("recording % 3 = 0"), "recording", "text", "canned text")
 
 
 @query("SELECT p_partkey, concat_ws(' ', CASE WHEN p_size % 2 = 0 THEN p_type END, p_brand) AS description FROM part")
 def jon_descriptions(spark, sf_dir):
     """JON-19: the vendor's description, where there is one, and the own note."""
     p = table(spark, sf_dir, "part")
-    vendor = p.where("p_size % 2 = 0").select("p_partkey", "p_type")
-    return p.select("p_partkey", "p_brand").join(vendor, "p_partkey", "left").select("p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("description"))
+    return X.described_fields(p, p.where("p_size % 2 = 0"), "p_partkey", "p_type", "p_brand")
 
 
 @query("""SELECT p_brand AS path, split_part(p_name, ' ', 2) AS name, count(DISTINCT p_name) AS n FROM part GROUP BY ALL HAVING count(DISTINCT p_name) > 1""")
@@ -238,18 +239,20 @@ def mth_retries(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", N.retries_that_fit(s % 9, s % 4 + 1, 900_000, 120_000, 1000, 30_000).alias("retries"))
 
 
-@query("SELECT user_id, count(*) AS n_segments, round(sum(value), 6) AS duration, round(sum(value / 10) / nullif(sum(value), 0), 9) AS rtf, round(avg(value) FILTER (event_type = 'view'), 6) AS duty FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n_segments, round(sum(value), 6) AS duration, round(sum(value * (event_id % 7) / 5.0) / nullif(sum(value), 0), 9) AS rtf, round(avg(value) FILTER (event_type = 'view'), 6) AS duty FROM events GROUP BY user_id")
 def agg_recording_totals(spark, sf_dir):
     """AGG-16, AGG-34, AGG-36: segments and durations, the real-time factor as a ratio of sums, and the mean of a duty cycle."""
-    total = F.sum("value")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n_segments"), F.round(total, 6).alias("duration"), F.round(F.try_divide(F.sum(F.col("value") / 10), total), 9).alias("rtf"), F.round(F.avg(F.when(F.col("event_type") == "view", F.col("value"))), 6).alias("duty"))
+    value = F.col("value")
+    segments = table(spark, sf_dir, "events").select("user_id", value.alias("duration"), (value * (F.col("event_id") % 7) / 5).alias("elapsed"), F.when(F.col("event_type") == "view", value).alias("duty"))
+    return X.recording_totals(segments, "user_id").select("user_id", "n_segments", F.round("duration", 6).alias("duration"), F.round("rtf", 9).alias("rtf"), F.round("duty", 6).alias("duty"))
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, CASE WHEN event_type <> 'error' THEN event_type END AS health FROM r WHERE r = 1""")
-def stm_capture_health(spark, sf_dir):
-    """STM-33: the health that a device's active capture said last; none after it ended."""
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
-    return last.select("user_id", F.when(F.col("last") != "error", F.col("last")).alias("health"))
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN value WHEN event_id % 5 = 1 THEN CAST(event_id AS DOUBLE) END AS rtf FROM events")
+def prj_measured_rtf(spark, sf_dir):
+    """SRC-34: a stored verdict's number; a malformed one (no number, no JSON, none at all) is as good as none."""
+    k = F.col("event_id") % 5
+    verdict = F.when(k == 0, F.to_json(F.struct(F.col("value").alias("rtf")))).when(k == 1, F.format_string('{"rtf": %s, "at": "x"}', F.col("event_id").cast("string"))).when(k == 2, F.format_string('{"rtf": "%s"}', F.col("event_id").cast("string"))).when(k == 3, F.concat(F.lit('{"rtf": '), F.col("event_id")))
+    return table(spark, sf_dir, "events").select("event_id", X.measured_rtf(verdict).alias("rtf"))
 
 
 @query("""SELECT 'r' || event_id AS slug, CASE event_id % 5 WHEN 1 THEN 'empty' WHEN 2 THEN 'malformed' WHEN 3 THEN 'no object' WHEN 4 THEN 'absent' END AS problem FROM events""")
@@ -264,10 +267,38 @@ def src_loaded(spark, sf_dir):
     return loaded(e.where(k != 4).select(slug, text.alias("text")), e.select(slug)).select("slug", "problem")
 
 
-@query("""WITH g AS (SELECT o_custkey % 50 AS run, o_orderpriority AS path, o_orderstatus AS slug, count(*) AS n FROM orders WHERE o_custkey % 50 < 25 OR o_orderstatus <> 'P' OR o_orderpriority < '4' GROUP BY ALL), r AS (SELECT run, count(*) AS cells, count(DISTINCT path) AS paths, count(DISTINCT slug) AS slugs FROM g GROUP BY run) SELECT * FROM r WHERE cells <> paths * slugs""")
-def src_shape_problems(spark, sf_dir):
-    """SRC-31: runs whose grid of paths and slugs is not dense."""
-    from attestra.sources.run_store import shape_problems
+_SHAPE = """g AS (SELECT o_custkey % 50 AS run, nullif(o_orderpriority, CASE WHEN o_custkey % 50 = 7 THEN '5-LOW' ELSE '' END) AS path, o_orderstatus AS slug, o_orderkey % 3 AS kind, o_orderkey AS k FROM orders WHERE o_custkey % 50 < 25 OR o_orderstatus <> 'P' OR o_orderpriority < '4'),
+n AS (SELECT run, count(*) FILTER (path IS NULL) AS no_path, count(*) AS n, count(DISTINCT (path, slug, kind)) AS keys, count(DISTINCT (path, slug)) AS cells, count(DISTINCT {'p': path}) * count(DISTINCT slug) AS grid FROM g GROUP BY run)"""
 
+
+@query(f"WITH {_SHAPE} SELECT run, x.problem AS problem, x.n AS n FROM (SELECT run, unnest([{{'problem': 'no path', 'n': no_path}}, {{'problem': 'not unique: path, slug, kind', 'n': n - keys}}, {{'problem': 'not dense: path, slug', 'n': grid - cells}}]) AS x FROM n) WHERE x.n <> 0")
+def src_shape_problems(spark, sf_dir):
+    """SRC-31: runs that lack required values, have cells twice, or whose grid of paths and slugs is not dense, from one declaration in one pass."""
+    run = F.col("o_custkey") % 50
     o = table(spark, sf_dir, "orders").where("o_custkey % 50 < 25 OR o_orderstatus != 'P' OR o_orderpriority < '4'")
-    return shape_problems(o.select((F.col("o_custkey") % 50).alias("run"), F.col("o_orderpriority").alias("path"), F.col("o_orderstatus").alias("slug")).distinct())
+    cells = o.select(run.alias("run"), F.when((run != 7) | (F.col("o_orderpriority") != "5-LOW"), F.col("o_orderpriority")).alias("path"), F.col("o_orderstatus").alias("slug"), (F.col("o_orderkey") % 3).alias("kind"))
+    return violations(cells, ["run"], Constraints(("path", "slug"), (("path", "slug", "kind"),), (("path", "slug"),)))
+
+
+@query("SELECT 'customer ' || c_custkey AS slug, CASE WHEN c_custkey % 9 = 4 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN c_custkey % 9 <> 4 THEN upper(c_name) END AS result, CASE WHEN c_custkey % 9 = 4 THEN 'ValueError: unfit' END AS error FROM customer")
+def src_batch_run(spark, sf_dir):
+    """SRC-47: a batch run that breaks off half way and is taken up again: what has a result is skipped, failures are tried again."""
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer "), F.col("c_custkey")).alias("slug"), F.concat(F.col("c_custkey") % 9, F.lit(" "), F.col("c_name")).alias("text"))
+
+    def work(text: str) -> str:
+        k, name = text.split(" ", 1)
+        if k == "4":
+            raise ValueError("unfit")
+        return name.upper()
+
+    def breaks(wave: int) -> None:
+        if wave == 4:
+            raise RuntimeError("breaks off")
+
+    root = shared_folder(spark, "batch")
+    try:
+        BatchRunner(spark, root, work, before_wave=breaks).run(c)
+    except RuntimeError:
+        runner = BatchRunner(spark, root, work)
+        runner.run(c)
+    return runner.results()

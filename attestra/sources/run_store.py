@@ -71,12 +71,6 @@ class RunStore:
         return self.versions.change(lambda parts: {k: v for k, v in parts.items() if k not in (f"current/{label}", f"history/{label}")}, base)
 
 
-def shape_problems(cells: DataFrame) -> DataFrame:
-    """Runs (run, path, slug) whose grid is not dense: fewer cells than paths times slugs."""
-    n = cells.groupBy("run").agg(F.count("*").alias("cells"), F.count_distinct("path").alias("paths"), F.count_distinct("slug").alias("slugs"))
-    return n.where("cells != paths * slugs")
-
-
 def newest(*replicas: DataFrame) -> DataFrame:
     """Of several copies of markers (key, seen_at, ...) the one seen last; on a tie the first copy's."""
     both = replicas[0].withColumn("copy", F.lit(0))
