@@ -5,10 +5,14 @@ items: id, seq, status, attempts, next_attempt_at, duration_ms, transcript, extr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attestra.functions.numbers import jitter_delay
 from attestra.sources.folders import written
 
 #: Fixed values.
@@ -135,14 +139,31 @@ def safety(work: DataFrame, persistence: Column, capture: Column) -> DataFrame:
     return work.withColumn("safety", level).select(*work.columns, "safety.*")
 
 
-def after_failure(items: DataFrame, transient_: Column, now: Column, delay_ms: Column) -> DataFrame:
+def after_failure(items: DataFrame, transient_: Column, now: Column, delay_ms: Column, most: int = MAX_ATTEMPTS) -> DataFrame:
     """items whose step failed, as they are afterwards: dead if the error is final or it was the last attempt, else failed until a later time. delay_ms is that of the attempts before."""
     n = F.col("attempts") + 1
-    gone = ~transient_ | (n >= MAX_ATTEMPTS)
+    gone = ~transient_ | (n >= most)
     wait = F.when(~gone, F.timestamp_add("MILLISECOND", delay_ms.cast("int"), now))
     return items.withColumn("status", F.when(gone, "dead").otherwise("failed")).withColumn("next_attempt_at", wait).withColumn("attempts", n)
 
 
+@dataclass(frozen=True)
+class Policy:
+    """What a host may choose about failures: which are worth another try (of the error's HTTP status and whether it says it is final), how many tries there are, what time it is, and the jitter's random number (0 to 1) and window."""
+
+    is_transient: Callable[[Column, Column], Column] = transient
+    max_attempts: int = MAX_ATTEMPTS
+    now: Callable[[], Column] = F.current_timestamp
+    random: Callable[[], Column] = F.rand
+    base_ms: float = 1000
+    cap_ms: float = 60_000
+
+    def failed(self, items: DataFrame, http_status: str, terminal: str) -> DataFrame:
+        """items whose steps failed with errors (columns http_status and terminal), as the policy leaves them."""
+        delay = jitter_delay(F.col("attempts"), self.base_ms, self.cap_ms, self.random())
+        return after_failure(items, self.is_transient(F.col(http_status), F.col(terminal)), self.now(), delay, self.max_attempts)
+
+
 def reopened(items: DataFrame) -> DataFrame:
     """Dead items with a transcript and extracted fields go back to review; others stay."""
     back = (F.col("status") == "dead") & F.col("transcript").isNotNull() & F.col("extracted").isNotNull()

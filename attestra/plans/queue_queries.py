@@ -137,6 +137,16 @@ def stm_after_failure(spark, sf_dir):
     return after.select("id", "status", "attempts", "next_attempt_at")
 
 
+@query(f"""WITH {QUEUE}, x AS (SELECT *, [408, 422, 500, 503, 404][CAST(seq % 5 AS INT) + 1] AS code, seq % 13 = 5 AS final, attempts + 1 AS n FROM q WHERE status IN ('transcribing', 'extracting', 'writing')), y AS (SELECT *, NOT final AND (code >= 500 OR code = 404) AS again FROM x)
+SELECT id, CASE WHEN NOT again OR n >= 5 THEN 'dead' ELSE 'failed' END AS status, n AS attempts, CASE WHEN again AND n < 5 THEN TIMESTAMP '2003-01-01' + INTERVAL (CAST(floor(least(9000.0, 500 * pow(2, attempts)) * 0.25) AS INT)) MILLISECOND END AS next_attempt_at FROM y""")
+def stm_own_policy(spark, sf_dir):
+    """UDF-12: failures under a host's own policy: 404 is tried again, 408 is not, five attempts, another clock, jitter and window."""
+    policy = Q.Policy(lambda code, final: ~final & ((code >= 500) | (code == 404)), 5, lambda: F.lit("2003-01-01").cast("timestamp_ntz"), lambda: F.lit(0.25), 500, 9000)
+    failing = queue(spark, sf_dir).where(F.col("status").isin("transcribing", "extracting", "writing"))
+    code = F.element_at(F.array(*map(F.lit, (408, 422, 500, 503, 404))), (F.col("seq") % 5).cast("int") + 1)
+    return policy.failed(failing.withColumn("code", code).withColumn("final", F.col("seq") % 13 == 5), "code", "final").select("id", "status", "attempts", "next_attempt_at")
+
+
 @query(f"""WITH {QUEUE}, o AS (SELECT *, CASE seq % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'edited' WHEN 2 THEN 'discarded' END AS outcome FROM q),
 b AS (SELECT *, outcome IS NOT NULL AND status = 'awaiting-review' AS done FROM o)
 SELECT id, CASE WHEN done AND outcome = 'discarded' THEN 'discarded' WHEN done THEN 'writing' WHEN status = 'dead' AND transcript IS NOT NULL AND extracted IS NOT NULL THEN 'awaiting-review' ELSE status END AS status, CASE WHEN done THEN 0 ELSE attempts END AS attempts FROM b""")

@@ -173,7 +173,21 @@ def lst_common_prefix(spark, sf_dir):
     return t.select("conv_id", "turn", F.size(p).alias("n_common"), F.array_join(p, " ").alias("common"))
 
 
-@query()
+#: The table of distances row by row, a step of the recursion each; each cell carries the substitutions, deletions and insertions of its way.
+_WORD_ERRORS = _PAIRS.replace("p AS (", "RECURSIVE p AS MATERIALIZED (", 1) + """, h AS (SELECT conv_id, turn, unnest(range(0, len(h) + 1)) AS j, unnest(list_concat([NULL], h)) AS w FROM p),
+t AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, j, w, j AS d, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS x, j AS n FROM h
+UNION ALL SELECT conv_id, turn, i + 1, j, w, nd, last_value(ns IGNORE NULLS) OVER v, last_value(nx IGNORE NULLS) OVER v, last_value(nn - j IGNORE NULLS) OVER v + j
+FROM (SELECT *, CASE kind WHEN 'm' THEN ds WHEN 's' THEN ds + 1 WHEN 'd' THEN s END AS ns, CASE kind WHEN 'm' THEN dx WHEN 's' THEN dx WHEN 'd' THEN x + 1 END AS nx, CASE kind WHEN 'm' THEN dn WHEN 's' THEN dn WHEN 'd' THEN n END AS nn
+FROM (SELECT *, CASE WHEN j > 0 AND w = word AND nd = dd THEN 'm' WHEN j > 0 AND nd = dd + 1 THEN 's' WHEN nd = d + 1 THEN 'd' ELSE 'i' END AS kind
+FROM (SELECT *, min(base - j) OVER v + j AS nd
+FROM (SELECT *, CASE WHEN j = 0 THEN i + 1 ELSE least(d + 1, dd + CASE WHEN w = word THEN 0 ELSE 1 END) END AS base
+FROM (SELECT t.*, p.r[t.i + 1] AS word, lag(d) OVER v AS dd, lag(s) OVER v AS ds, lag(x) OVER v AS dx, lag(n) OVER v AS dn FROM t JOIN p USING (conv_id, turn) WHERE t.i < len(p.r) WINDOW v AS (PARTITION BY t.conv_id, t.turn ORDER BY t.j)))
+WINDOW v AS (PARTITION BY conv_id, turn ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))))
+WINDOW v AS (PARTITION BY conv_id, turn ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT t.conv_id, t.turn, s AS sub, x AS del, n AS ins, CAST(len(p.r) AS INT) AS ref_words, len(p.h) AS hyp_words FROM t JOIN p ON p.conv_id = t.conv_id AND p.turn = t.turn AND len(p.r) = t.i AND len(p.h) = t.j)"""
+
+
+@query(f"WITH {_WORD_ERRORS} SELECT conv_id, turn, sub, del, ins, CAST(sub AS INT) AS n_pairs, ref_words, CASE WHEN ref_words > 0 THEN (sub + del + ins) / ref_words WHEN hyp_words = 0 THEN 0.0 ELSE 1.0 END AS wer FROM a")
 def lst_word_errors(spark, sf_dir):
     """LST-01, MTH-12: alignment of consecutive turns; substitutions, deletions, insertions and the error rate."""
     a = L.with_alignment(_turns(spark, sf_dir))
@@ -181,7 +195,7 @@ def lst_word_errors(spark, sf_dir):
     return a.select("conv_id", "turn", "sub", "del", "ins", F.size("subs").alias("n_pairs"), F.size("ref_words").alias("ref_words"), L.error_rate(d, F.col("ref_words"), F.col("hyp_words")).alias("wer"))
 
 
-@query()
+@query(f"WITH {_WORD_ERRORS} SELECT CAST(sum(sub + del + ins) AS BIGINT) AS errors, CAST(sum(ref_words) AS BIGINT) AS words, sum(sub + del + ins) / sum(ref_words) AS wer FROM a")
 def agg_corpus_word_error(spark, sf_dir):
     """AGG-16: errors of all over words of all."""
     a = lst_word_errors(spark, sf_dir)
