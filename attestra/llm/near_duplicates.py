@@ -1,6 +1,6 @@
 """Near-duplicate documents: ProbMinHash signatures of five-word shingles, banding, and exact verification.
 
-Each shingle of a document arrives at random registers at the times of a Poisson process whose rate is its weight, 1 for all: a weight by occurrences would differ between copies, and links are of distinct shingles. A register keeps the shingle that comes first. An element is dropped as soon as its next arrival is later than every register's first one. Two registers agree with the Jaccard similarity of the documents. Registers in bands make buckets; within a bucket documents are compared with its most connected member, not all with all, and what that leaves apart is compared in further rounds.
+Each shingle of a document arrives at random registers at the times of a Poisson process whose rate is its weight, 1 for all: a weight by occurrences would differ between copies, and links are of distinct shingles. A register keeps the shingle that comes first. An element is dropped as soon as its next arrival is later than every register's first one. Two registers agree with the Jaccard similarity of the documents. Registers in bands make buckets; within a bucket documents are compared with its most connected member, not all with all. What that leaves apart is compared with those members of such buckets that share one of its rarest shingles, as any similar one must.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attestra.llm.components import components
 from attestra.llm.shared_tables import bounded_batches, packed, unpacked, written
@@ -127,27 +128,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-#: Of a bucket's documents that its most connected one leaves apart, and of all its documents, so many meet in one group of a task.
-APART, OTHERS = 128, 512
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of sets one by one, with how many their set has."""
+    for batch in batches:
+        for k, shingles in enumerate(batch.column("shingles").to_pylist()):
+            own = np.frombuffer(shingles, np.int64)
+            n, at = len(own), np.full(len(own), k)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), batch.column("apart").take(pa.array(at)), pa.array(np.full(n, n, np.int64)), pa.array(own)], names=["node", "apart", "size", "token"])
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """Of sets (node, shingles, apart) the rarest shingles, so many that two sets of similarity SIMILARITY or more have one of them in common: node, apart, size and token. What only one set has goes first and meets nothing, so that a set with enough of its own has no row."""
+    tokens = sets.select("node", "shingles", "apart").mapInArrow(_tokens, "node binary, apart boolean, size long, token long")
+    common = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    w = Window.partitionBy("node")
+    ranked = tokens.join(common, "token").withColumn("nth", F.row_number().over(w.orderBy("df", "token"))).withColumn("n_common", F.count("*").over(w))
+    length = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
+    return ranked.where(F.col("nth") <= length - (F.col("size") - F.col("n_common"))).select("node", "apart", "size", "token")
 
 
-def _compare(group: pa.Table) -> pa.Table:
-    """Links between the documents left apart and the others of one block of a bucket; a pair counts in the first bucket it shares."""
-    key, rows = group.column("key")[0].as_py(), group.to_pylist()
-    sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-    keys = np.array([r["bands"] for r in rows])
-    apart, others = ([k for k, r in enumerate(rows) if r["apart"] is side] for side in (True, False))
-    found = []
-    band = int(np.flatnonzero(keys[0] == key)[0])
-    there = np.array([rows[v]["component"] for v in others])
-    sizes = np.array([len(sets[v]) for v in others])
-    for u in apart:
-        earlier = (keys[others][:, :band] == keys[u][:band]).any(1)
-        fits = (np.minimum(sizes, len(sets[u])) >= SIMILARITY * np.maximum(sizes, len(sets[u]))) & ~earlier & (there != rows[u]["component"])
-        for k in np.flatnonzero(fits).tolist():
-            if similar(sets[u], sets[others[k]]):
-                found.append((rows[u]["node"], rows[others[k]]["node"]))
-    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Pairs of sets (a, b), at least one of them apart, that may be similar: no similar ones are missing."""
+    prefixes = written(_prefixes(sets))
+    one = prefixes.where("apart").select(F.col("node").alias("a"), F.col("size").alias("size_a"), "token")
+    met = one.join(prefixes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), "token"), "token").where("a != b")
+    near = met.where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * SIMILARITY - 1e-9)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _links(documents: DataFrame, signed: DataFrame) -> DataFrame:
@@ -171,14 +177,11 @@ def _links(documents: DataFrame, signed: DataFrame) -> DataFrame:
     labelled = written(buckets.where("size > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
     home = written(labelled.join(hubs.withColumnRenamed("hub", "node"), ["key", "node"]).select("key", F.col("node").alias("hub"), F.col("component").alias("home")))
     members = written(labelled.join(home, "key").where("node != hub").withColumn("apart", F.col("component") != F.col("home")))
-    counts = members.groupBy("key").agg(F.count_if("apart").alias("n_apart"), F.count("*").alias("n")).where("n_apart > 0 AND n > 1")
-    counts = written(counts.select("key", F.ceil(F.col("n_apart") / APART).alias("rows_"), F.ceil(F.col("n") / OTHERS).alias("columns_")))
-    members = members.join(counts, "key").join(sets, "node").join(nodes.select("node", "bands"), "node")
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cells = members.where("apart").withColumn("row", own("rows_")).withColumn("column", every("columns_"))
-    cells = cells.unionByName(members.withColumn("apart", F.lit(False)).withColumn("column", own("columns_")).withColumn("row", every("rows_")))
-    more = cells.select("key", "row", "column", "node", "component", "apart", "shingles", "bands").groupBy("key", "row", "column").applyInArrow(_compare, "a binary, b binary")
+    hot = members.groupBy("key").agg(F.bool_or("apart").alias("some"), F.count("*").alias("n")).where("some AND n > 1")
+    involved = members.join(hot.select("key"), "key", "left_semi").groupBy("node").agg(F.bool_or("apart").alias("apart"), F.first("component").alias("component"))
+    involved = written(sets.join(involved, "node"))
+    of = lambda c: involved.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"), F.col("component").alias(f"component_{c}"))
+    more = written(_candidates(involved)).join(of("a"), "a").join(of("b"), "b").where("component_a != component_b").select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a binary, b binary")
     return links.union(written(more))
 
 

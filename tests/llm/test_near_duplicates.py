@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from attestra.llm.components import components
-from attestra.llm.near_duplicates import Shingles, near_duplicates, prob_min_hash, without_near_duplicates
+from attestra.llm.near_duplicates import Shingles, _candidates, near_duplicates, prob_min_hash, without_near_duplicates
 from attestra.llm.text_arrays import Chunk
 
 
@@ -93,3 +93,38 @@ def test_copies_with_repeated_passages_are_found(spark):
     assert 0.8 <= len(x & y) / len(x | y) < 0.81
     got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: i // 2 * 2 for i, _ in docs}
+
+
+def test_candidates_miss_no_similar_sets_and_are_few(spark):
+    """Sets that share half of their shingles with all others, so that any bucket of them is apart; some are near copies, some small."""
+    rnd = random.Random(3)
+    frequent = rnd.sample(range(10**9), 40)
+    sets = [set(frequent) | set(rnd.sample(range(10**9), 40)) for _ in range(600)]
+    for k in range(0, 60, 2):  # near copies of which some are similar and some just not
+        keep = list(sets[k])
+        sets[k + 1] = set(keep[: rnd.choice([70, 71, 72, 73, 76, 80])]) | set(rnd.sample(range(10**9), 8))
+    sets += [set(frequent[:n]) for n in (1, 2, 3, 4, 5, 5, 6)] + [set(frequent[:4]) | {7}]
+    rows = [(str(k).encode(), np.sort(np.array(list(s), np.int64)).tobytes(), k % 3 > 0 or k > 500) for k, s in enumerate(sets)]
+    got = {(int(r.a), int(r.b)) for r in _candidates(spark.createDataFrame(rows, "node binary, shingles binary, apart boolean")).collect()}
+    apart = [r[2] for r in rows]
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            if (apart[a] or apart[b]) and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                assert (a, b) in got or (b, a) in got, (a, b)
+    assert len(got) < 200  # of 180,000 pairs
+
+
+def test_a_bucket_of_many_that_are_apart(spark):
+    """A third of the documents share a long passage and little else; a few have near copies."""
+    rnd = random.Random(4)
+    passage = [f"p{k}" for k in range(200)]
+    docs = []
+    for k in range(240):
+        own = [f"d{k}w{i}" for i in range(60)]
+        text = passage + own if k % 3 == 0 else own * 2
+        docs.append((k, " ".join(text)))
+        if k % 12 == 0:
+            own[rnd.randrange(60)] = "changed"
+            docs.append((1000 + k, " ".join(passage[:190] + own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(frame).collect()} == brute(docs)
