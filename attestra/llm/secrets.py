@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and strings that neither their surroundings nor a dictionary of identifiers help to compress.
 
-A candidate is a long run of letters, digits and a few signs, of two kinds of these at least, with a sensitive word shortly before it. zstandard, primed with a dictionary of common identifiers followed by the text around the candidate, tells how many bytes it adds: code, words and repeated names cost little, random keys about their information content. Those above a share of their length are reported.
+A candidate is a long run of letters, digits and a few signs with a sensitive word shortly before it; one of letters of one case or of digits alone must be longer than others. zstandard, primed with a dictionary of common identifiers followed by the text around the candidate, tells how many bytes it adds: code, words and repeated names cost little, random keys about their information content. Those above a share of their length are reported.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=
 SENSITIVE = re.compile(rb"(?i:pass|pwd|secret|token|key|auth|bearer|credential|private|signature|login|session)")
 #: Of novel strings: length, bytes before them in which a sensitive word counts, bytes on either side of them that prime the compressor, added bytes per byte.
 LEAST, NEAR, AROUND, NOVELTY = 16, 40, 256, 0.6
+#: Letters of one case (but a capital in front) and digits alone are words and numbers as often as keys; zstandard stores so few bytes as they are, and only from this length on tells the two apart. (So many digits match a fixed pattern anyway.)
+LEAST_PLAIN = 40
 #: Fixed text that primes the compressor: names and phrases that are no secrets.
 IDENTIFIERS = (
     b"password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret "
@@ -59,13 +61,11 @@ def added_bytes(before: bytes, candidate: bytes, after: bytes) -> int:
 
 
 def _novel(chunk: Chunk) -> Iterator[tuple[int, int, int]]:
-    # digits alone are numbers, letters of one case with at most a capital in front are words: 16 bytes of either don't compress, and yet are no keys
-    digits, small = (np.concatenate([[0], np.cumsum(x[chunk.data], dtype=np.int64)]) for x in (_DIGIT, _SMALL))
-    great = np.concatenate([[0], np.cumsum(_GREAT[chunk.data], dtype=np.int64)])
+    digits, small, great = (np.concatenate([[0], np.cumsum(x[chunk.data], dtype=np.int64)]) for x in (_DIGIT, _SMALL, _GREAT))
     found = runs(_WORDY[chunk.data], chunk.offsets, LEAST)
     a, b = found[:, 0], found[:, 1]
-    count = digits[b] - digits[a]
-    found = found[((count > 0) & (count < b - a)) | ((small[b] > small[a]) & (great[b] > great[a + 1]))]
+    n_digits, mixed = digits[b] - digits[a], (small[b] > small[a]) & (great[b] > great[a + 1])
+    found = found[(n_digits > 0) & (n_digits < b - a) | mixed | (b - a >= LEAST_PLAIN)]
     for i, (begin, end) in zip(document_of(chunk, found[:, 0]).tolist(), found.tolist(), strict=True):
         first, last = int(chunk.offsets[i]), int(chunk.offsets[i + 1])
         word, name, value = chunk.data[begin:end].tobytes(), b"", b""

@@ -56,12 +56,15 @@ def test_keys_of_letters_alone(spark):
     key = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(32))
     got = run(spark, [f"the bearer {key} was sent", "the key responsibilities/characterisation of it", "auth Uncharacteristically wrong", "key 12345678901234567890 wrong"])
     assert got[0].spans == "novel:11:43" and not any(got[k].spans for k in (1, 2, 3))
+    small = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(48))
+    got = run(spark, [f"the key {small} was sent", "secret " + "abcdefghijklmnopqrstuvwxyz" * 2, f"the word {small[:39]} alone, key {small[:39]}", f"no such word before {small}"])
+    assert got[0].spans == "novel:8:56" and not any(got[k].spans for k in (1, 2, 3))
 
 
 def test_novelty_matches_zstandard_alone(spark):
     """Every candidate of a text against a plain reading of the rule."""
     rnd = random.Random(9)
-    parts = ["auth ", "key: ", "word ", "x" * 20 + "1 ", "configuration_value1 ", "Some plain text. ", "\n"]
+    parts = ["auth ", "key: ", "word ", "x" * 20 + "1 ", "configuration_value1 ", "Some plain text. ", "\n", "x" * 50 + " ", "the_quick_brown_fox_jumps_over_the_lazy_dog_and_the_quick_fox "]
     random_key = lambda: "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(rnd.randint(12, 40))) + " "
     texts = ["".join(rnd.choice([*parts, random_key()]) for _ in range(12)) for _ in range(60)]
     for i, r in run(spark, texts).items():
@@ -70,7 +73,7 @@ def test_novelty_matches_zstandard_alone(spark):
         for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
             word, near = m[0], text[max(0, m.start() - 40) : m.start()]
             kinds = re.search("[0-9]", word) and not word.isdigit() or re.search("[a-z]", word) and re.search("[A-Z]", word[1:])
-            if not kinds or not re.search("pass|pwd|secret|token|key|auth|bearer|credential|private|signature|login|session", near, re.I):
+            if not (kinds or len(word) >= 40) or not re.search("pass|pwd|secret|token|key|auth|bearer|credential|private|signature|login|session", near, re.I):
                 continue
             primer = zstandard.ZstdCompressionDict(IDENTIFIERS + text[m.end() : m.end() + 256].encode() + text[max(0, m.start() - 256) : m.start()].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             press = lambda x, d=primer: len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
