@@ -139,3 +139,9 @@ def retries_that_fit(requested: Column, batches: Column, budget_ms: float, attem
     """The most retries, up to those requested, whose worst case (attempts and waits of every batch) fits the budget; 0 if none does."""
     fits = F.filter(F.sequence(F.lit(0), F.greatest(requested.cast("int"), F.lit(0))), lambda r: batches * ((r + 1) * attempt_ms + total_backoff(r, base_ms, cap_ms)) <= budget_ms)
     return F.coalesce(F.array_max(fits), F.lit(0))
+
+
+def iso_instant(at: Column | None = None) -> Column:
+    """An instant as ISO 8601 in UTC with milliseconds; by default that of the query's start, which is one for all rows."""
+    utc = F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

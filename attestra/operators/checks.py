@@ -127,6 +127,21 @@ def without_descriptions(node: object) -> object:
     return {k: ({n: without_descriptions(x) for n, x in v.items()} if k == "properties" and isinstance(v, dict) else without_descriptions(v)) for k, v in node.items() if k != "description" or not isinstance(v, str)}
 
 
+def without_null(node: object) -> object:
+    """A JSON schema with every value that may be null (one of anyOf or oneOf, or of a list of types) as what it is otherwise. Of descriptions the outer one stays, as it was given last."""
+    if isinstance(node, list):
+        return [without_null(x) for x in node]
+    if not isinstance(node, dict):
+        return node
+    node = {k: ({n: without_null(x) for n, x in v.items()} if k == "properties" and isinstance(v, dict) else without_null(v)) for k, v in node.items()}
+    for key in ("anyOf", "oneOf"):
+        others = [x for x in node[key] if x != {"type": "null"}] if isinstance(node.get(key), list) else []
+        if len(others) == 1 and len(node[key]) > 1 and isinstance(others[0], dict):
+            return others[0] | {k: v for k, v in node.items() if k != key}
+    kinds = [x for x in node["type"] if x != "null"] if isinstance(node.get("type"), list) else []
+    return node | {"type": kinds[0]} if len(kinds) == 1 else node
+
+
 def declared(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """Only the columns a schema declares, in its order."""
     return rows.select(*(f.name for f in schema.fields if f.name in rows.columns))

@@ -278,3 +278,14 @@ def prj_undescribed(spark, sf_dir):
     kind = F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("")))
     text = F.concat(F.lit('{"description": "'), F.col("p_name"), F.lit('", "properties": {"n": {"type": "array", "description": "d", "items": {"properties": {"b": {"description": "e", "type": "'), kind, F.lit('"}}}}, "description": {"type": "string", "description": "f"}}}'))
     return J.undescribed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), text.alias("text")))
+
+
+@query("""SELECT p_partkey AS doc, '{"properties":{"a":{"description":"outer ' || p_size || '","type":"string"},"anyOf":{"type":"number"},"b":{"description":"inner","items":{"type":"integer"},"type":"array"},"c":{"anyOf":[{"type":"string"},{"type":"number"},{"type":"null"}]}},"type":"object"}' AS text FROM part""")
+def prj_unwrapped(spark, sf_dir):
+    """PRJ-21: schemas whose values may be null as what they are otherwise; the outer description stays."""
+    outer = F.concat(F.lit('"description": "outer '), F.col("p_size"), F.lit('"'))
+    text = F.concat(
+        F.lit('{"type": "object", "properties": {"a": {"anyOf": [{"oneOf": [{"type": "null"}, {"type": "string", "description": "inner"}], "description": "between"}, {"type": "null"}], '), outer,
+        F.lit('}, "anyOf": {"type": ["null", "number"]}, "b": {"anyOf": [{"type": "array", "items": {"type": ["integer", "null"]}, "description": "inner"}, {"type": "null"}]}, "c": {"anyOf": [{"type": "string"}, {"type": "number"}, {"type": "null"}]}}}'),
+    )
+    return J.unwrapped(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), text.alias("text")))

@@ -207,3 +207,11 @@ def lst_slices(spark, sf_dir):
     """LST-22."""
     parts = L.slices(F.col("text"), 1000)
     return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("n"), F.md5(F.array_join(parts, "|")).alias("parts"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL (CAST(o_orderkey AS INT) % 1000) MILLISECOND, '%Y-%m-%dT%H:%M:%S.%gZ') AS ordered, true AS now_is_later FROM orders")
+def dat_iso_instants(spark, sf_dir):
+    """DAT-01: instants as ISO 8601, whose order is that of time, and the present one."""
+    at = F.timestamp_millis(F.unix_millis(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 1000)
+    ordered = N.iso_instant(at)
+    return table(spark, sf_dir, "orders").select("o_orderkey", ordered.alias("ordered"), (N.iso_instant() > ordered).alias("now_is_later"))

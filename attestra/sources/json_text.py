@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.operators.checks import without_descriptions
+from attestra.operators.checks import without_descriptions, without_null
 from attestra.sources.lines import RANGE_BYTES, lines, numbered
 
 
@@ -126,11 +126,21 @@ def described(specs: DataFrame) -> DataFrame:
     return specs.select("doc", "text").mapInPandas(crawl, f"doc {specs.schema['doc'].dataType.simpleString()}, ord long, name string, description string")
 
 
-def undescribed(specs: DataFrame) -> DataFrame:
-    """JSON schemas (doc, text) without their descriptions, written compactly with sorted names."""
+def _rewritten(specs: DataFrame, change: Callable[[object], object]) -> DataFrame:
+    """JSON schemas (doc, text) after a change, written compactly with sorted names."""
 
-    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(text=[None if t is None else json.dumps(without_descriptions(json.loads(t)), sort_keys=True, separators=(",", ":")) for t in pdf["text"]])
+            yield pdf.assign(text=[None if t is None else json.dumps(change(json.loads(t)), sort_keys=True, separators=(",", ":")) for t in pdf["text"]])
+
+    return specs.select("doc", "text").mapInPandas(run, f"doc {specs.schema['doc'].dataType.simpleString()}, text string")
+
+
+def undescribed(specs: DataFrame) -> DataFrame:
+    """JSON schemas (doc, text) without their descriptions."""
+    return _rewritten(specs, without_descriptions)
+
 
-    return specs.select("doc", "text").mapInPandas(strip, f"doc {specs.schema['doc'].dataType.simpleString()}, text string")
+def unwrapped(specs: DataFrame) -> DataFrame:
+    """JSON schemas (doc, text) whose values are what they are when they aren't null, with their outer descriptions."""
+    return _rewritten(specs, without_null)
