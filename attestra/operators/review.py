@@ -74,8 +74,9 @@ def request(leaves: DataFrame, texts: DataFrame) -> DataFrame:
 def completeness(leaves: DataFrame, decisions: DataFrame) -> DataFrame:
     """Paths without a decision (missing), and decisions without a path (extra)."""
     key = ["item_id", "path"]
-    missing = leaves.select(*key).join(decisions.select(*key), key, "left_anti").withColumn("issue", F.lit("missing"))
-    return missing.unionByName(decisions.select(*key).join(leaves.select(*key), key, "left_anti").withColumn("issue", F.lit("extra")))
+    both = leaves.select(*key, F.lit(True).alias("leaf__")).join(decisions.select(*key, F.lit(True).alias("decided__")), key, "full")
+    lone = both.where("leaf__ IS NULL OR decided__ IS NULL")
+    return lone.select(*key, F.when(F.col("decided__").isNull(), "missing").otherwise("extra").alias("issue"))
 
 
 def untouched(leaves: DataFrame, decisions: DataFrame) -> DataFrame:
