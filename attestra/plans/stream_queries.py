@@ -130,18 +130,18 @@ def stm_capture(spark, sf_dir):
     return drained(streamed(log, "user_id", ["at_ms", "event_id"], P.capture(12 * 3600 * 1000, 100)), shared_folder(spark, "capture"))
 
 
-_PREVIEWS = f"""WITH RECURSIVE {LOG}, t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, false AS taken, CAST(0 AS BIGINT) AS session, false AS done, CAST(0 AS BIGINT) AS committed, CAST(NULL AS VARCHAR) AS added, CAST(NULL AS VARCHAR) AS tail FROM e
-UNION ALL SELECT user_id, i, takes, CASE WHEN takes THEN now ELSE session END, done OR (takes AND event = 'handoff'), CASE WHEN takes AND event = 'handoff' THEN 0 WHEN takes AND event = 'commit' THEN committed + 1 ELSE committed END, CASE WHEN takes AND event = 'commit' THEN props END, CASE WHEN NOT takes THEN tail WHEN event = 'tail' THEN props END
+_PREVIEWS = f"""WITH RECURSIVE {LOG}, t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, false AS taken, CAST(0 AS BIGINT) AS session, false AS done, CAST([] AS VARCHAR[]) AS committed, CAST(NULL AS VARCHAR) AS tail FROM e
+UNION ALL SELECT user_id, i, takes, CASE WHEN takes THEN now ELSE session END, done OR (takes AND event = 'handoff'), CASE WHEN takes AND event = 'handoff' THEN [] WHEN takes AND event = 'commit' THEN list_append(committed, props) ELSE committed END, CASE WHEN NOT takes THEN tail WHEN event = 'tail' THEN props END
 FROM (SELECT e.user_id, e.i, e.props, t.session, t.done, t.committed, t.tail, CAST(floor(e.value / 400) AS BIGINT) AS now, NOT t.done AND floor(e.value / 400) >= t.session AS takes, CASE WHEN e.event_type = 'purchase' THEN 'commit' WHEN e.event_type = 'error' AND e.event_id % 9 = 0 THEN 'handoff' ELSE 'tail' END AS event FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1))
-SELECT user_id, committed AS n_committed, added, tail, done FROM t WHERE taken"""
+SELECT user_id, len(committed) AS n_committed, array_to_string(committed, ' ') AS text, tail, done FROM t WHERE taken"""
 
 
 @query(_PREVIEWS)
 def stm_previews(spark, sf_dir):
-    """STM-10, 11, 12, 27, UDF-06: what live previews show; a committed text is told once and not held, and items that have been handed off are forgotten after a day."""
+    """STM-10, 11, 12, 27, UDF-06: what live previews show, all of an item's committed text with each change; items that have been handed off are forgotten after a day."""
     kind = F.when(F.col("event_type") == "purchase", "commit").when((F.col("event_type") == "error") & (F.col("event_id") % 9 == 0), "handoff").otherwise("tail")
     log = events(spark, sf_dir).select("user_id", "event_id", F.timestamp_millis(_ms()).alias("time"), _ms().alias("at"), kind.alias("event"), F.col("props").alias("text"), F.floor(F.col("value") / 400).alias("session"))
-    return drained(timed(log, "user_id", ["at", "event_id"], P.previews(), "time", "at", 24 * 3600 * 1000), shared_folder(spark, "previews"))
+    return drained(timed(log, "user_id", ["at", "event_id"], P.previews(whole=True), "time", "at", 24 * 3600 * 1000), shared_folder(spark, "previews"))
 
 
 _CONNECTIVITY = f"""WITH RECURSIVE {LOG}, t AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'offline' AS status, CAST(0 AS BIGINT) AS since, CAST(-1 AS BIGINT) AS healthy, CAST(NULL AS BIGINT) AS first_at, 'none' AS first, CAST(NULL AS BIGINT) AS second_at, 'none' AS second FROM e

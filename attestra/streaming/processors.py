@@ -136,8 +136,11 @@ def capture(stall_ms: int = STALL_MS, most: int = CHUNK_BYTES) -> Processor:
     return Processor({"last": -1, "resumed": False, "stalled": False, "closed": False, "chunk": 0}, step, "at_ms long, chunk long, slice long, n_bytes long, health string")
 
 
-def previews() -> Processor:
-    """Live text of an item: tails replace each other, a commit adds its text and clears the tail, a handoff ends it. What comes after, or for an older session, is ignored. Texts that are committed are emitted and not held: the state is a count and a tail. An item that has been handed off rests."""
+def previews(whole: bool = False) -> Processor:
+    """Live text of an item: tails replace each other, a commit adds its text and clears the tail, a handoff ends it. What comes after, or for an older session, is ignored. An item that has been handed off rests.
+
+    whole: each row shows all committed text, joined by spaces (a null adds nothing to it, but counts; nulls alone show a null), and the state holds it until the handoff. Otherwise a committed text is emitted once and not held: the state is a count and a tail.
+    """
 
     def step(s: dict, event: dict) -> list[dict]:
         kind, text, session = event["event"], event["text"], int(event["session"])
@@ -149,11 +152,15 @@ def previews() -> Processor:
         elif kind == "commit":
             added = text or ""
             s.update(committed=s["committed"] + 1, tail=None)
+            if whole and text is not None:
+                s["texts"].append(text)
         elif kind == "handoff":
-            s.update(done=True, committed=0, tail=None)
-        return [{"n_committed": s["committed"], "added": added, "tail": s["tail"], "done": s["done"]}]
+            s.update(done=True, committed=0, tail=None, **{"texts": []} if whole else {})
+        shown = {"text": " ".join(s["texts"]) if s["texts"] or not s["committed"] else None} if whole else {"added": added}
+        return [{"n_committed": s["committed"], **shown, "tail": s["tail"], "done": s["done"]}]
 
-    return Processor({"session": 0, "done": False, "committed": 0, "tail": None}, step, "n_committed long, added string, tail string, done boolean", at_rest=lambda s: s["done"])
+    start = {"session": 0, "done": False, "committed": 0, "tail": None, **({"texts": []} if whole else {})}
+    return Processor(start, step, f"n_committed long, {'text' if whole else 'added'} string, tail string, done boolean", at_rest=lambda s: s["done"])
 
 
 def relay(base_ms: float = 1000, cap_ms: float = 60_000) -> Processor:

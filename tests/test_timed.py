@@ -73,3 +73,23 @@ def test_previews_hold_counts_and_end(spark, tmp_path):
     assert got == [("i", 0, None, None, True), ("j", 0, None, "xy", False)] and n == 2
     _, n = s.put(("j", 200_000, "tail", "xyz", 1))
     assert n == 1
+
+
+def test_whole_previews_show_all_committed_text(spark, tmp_path):
+    s = Stream(spark, tmp_path, P.previews(whole=True), SCHEMA + ", text string, session long", "n_committed long, text string, tail string, done boolean")
+    got, _ = s.put(("i", 1, "tail", "c", 1), ("i", 2, "commit", "a b.", 1), ("n", 2, "commit", None, 1), ("i", 3, "commit", None, 1))
+    assert got == [("i", 0, "", "c", False), ("i", 1, "a b.", None, False), ("i", 2, "a b.", None, False), ("n", 1, None, None, False)]
+    got, _ = s.put(("i", 10, "commit", "", 1), ("i", 11, "commit", "d", 1))  # what earlier batches committed is there
+    assert got == [("i", 3, "a b. ", None, False), ("i", 4, "a b.  d", None, False)]
+    got, _ = s.put(("i", 20, "handoff", None, 1), ("i", 21, "commit", "late", 1))
+    assert got == [("i", 0, "", None, True)]
+
+
+def test_the_preview_query_shows_whole_texts(spark, sf_dir):
+    from attestra.plans.catalogue import QUERIES
+
+    got = QUERIES["stm_previews"](spark, sf_dir)
+    assert got.columns == ["user_id", "n_committed", "text", "tail", "done"]
+    rows = got.collect()
+    assert max(r.n_committed for r in rows) > 1
+    assert all(r.text.count('"k"') == r.n_committed for r in rows)
