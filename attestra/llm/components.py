@@ -11,10 +11,11 @@ from attestra.llm.shared_tables import written
 def components(links: DataFrame) -> DataFrame:
     """node and component (its least node) of all nodes in links (a, b); each round takes the least label near by and jumps along labels, until none changes.
 
-    Repeated links and links of a node with itself change nothing; an empty table gives an empty result; a link with a null is ignored.
+    Repeated links and links of a node with itself change nothing; an empty table gives an empty result; a link with a null is ignored. links is read in each round.
     """
-    edges = written(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    edges = links.select("a", "b").union(links.select("b", "a")).where("a != b")
+    # written, so that Spark may split the join of a node with very many links
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")))
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         least = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))

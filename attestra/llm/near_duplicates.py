@@ -1,6 +1,6 @@
 """Near-duplicate documents: ProbMinHash signatures of five-word shingles, banding, and exact verification.
 
-Each shingle of a document arrives at random registers at the times of a Poisson process whose rate is its weight, 1 for all: a weight by occurrences would differ between copies, and links are of distinct shingles. A register keeps the shingle that comes first. An element is dropped as soon as its next arrival is later than every register's first one. Two registers agree with the Jaccard similarity of the documents. Registers in bands make buckets; within a bucket documents are compared with its most connected member, not all with all, and what that leaves apart is compared in further rounds.
+Each shingle of a document arrives at random registers at the times of a Poisson process whose rate is its weight, 1 for all: a weight by occurrences would differ between copies, and links are of distinct shingles. A register keeps the shingle that comes first. An element is dropped as soon as its next arrival is later than every register's first one. Two registers agree with the Jaccard similarity of the documents. Registers in bands make buckets; within a bucket documents are compared with one member, its hub, not all with all, and what that leaves apart is compared in blocks.
 """
 
 from __future__ import annotations
@@ -107,7 +107,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batch.column("text"), 2 << 20):
             sets = Shingles(chunk)
             own = [sets.hash[sets.bounds[i] : sets.bounds[i + 1]].tobytes() for i in range(chunk.n)]
-            yield pa.RecordBatch.from_arrays([pa.array(sets.fingerprints(), pa.binary()), pa.array(own, pa.binary())], names=["node", "shingles"])
+            found = batch.slice(chunk.first, chunk.n)
+            same = [x == y for x, y in zip(sets.fingerprints(), found.column("node").to_pylist(), strict=True)]  # not so for another text of that hash
+            yield pa.RecordBatch.from_arrays([found.column("node"), found.column("bands"), pa.array(own, pa.binary())], names=["node", "bands", "shingles"]).filter(pa.array(same, pa.bool_()))
 
 
 def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -127,59 +129,83 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-#: Of a bucket's documents that its most connected one leaves apart, and of all its documents, so many meet in one group of a task.
+#: Of a bucket's documents that are apart from its largest component, and of all its documents, so many meet in one group of a task.
 APART, OTHERS = 128, 512
 
 
 def _compare(group: pa.Table) -> pa.Table:
-    """Links between the documents left apart and the others of one block of a bucket; a pair counts in the first bucket it shares."""
-    key, rows = group.column("key")[0].as_py(), group.to_pylist()
-    sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-    keys = np.array([r["bands"] for r in rows])
-    apart, others = ([k for k, r in enumerate(rows) if r["apart"] is side] for side in (True, False))
-    found = []
-    band = int(np.flatnonzero(keys[0] == key)[0])
-    there = np.array([rows[v]["component"] for v in others])
-    sizes = np.array([len(sets[v]) for v in others])
-    for u in apart:
+    """Links between components, of the documents left apart and the others of one block of a bucket; a pair counts in the first bucket it shares, and components that are linked in the block are not compared again."""
+    own = {c: group.column(c).combine_chunks() for c in ("apart", "component", "bands", "shingles")}
+    sets = [np.frombuffer(x, np.uint64) for x in own["shingles"].to_pylist()]
+    keys = own["bands"].flatten().to_numpy().reshape(len(sets), -1)
+    side = own["apart"].to_numpy(zero_copy_only=False)
+    apart, others = np.flatnonzero(side), np.flatnonzero(~side)
+    band = int(np.flatnonzero(keys[0] == group.column("key")[0].as_py())[0])
+    code = own["component"].dictionary_encode()
+    label, names = code.indices.to_numpy().copy(), code.dictionary
+    sizes = np.array([len(x) for x in sets])
+    if not len(apart) or not len(others):
+        return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+    distinct, number = np.unique(np.concatenate([sets[k] for k in others]), return_inverse=True)
+    first = np.cumsum(sizes[others]) - sizes[others]
+    start, found = label.copy(), []
+    for u in apart.tolist():
         earlier = (keys[others][:, :band] == keys[u][:band]).any(1)
-        fits = (np.minimum(sizes, len(sets[u])) >= SIMILARITY * np.maximum(sizes, len(sets[u]))) & ~earlier & (there != rows[u]["component"])
-        for k in np.flatnonzero(fits).tolist():
-            if similar(sets[u], sets[others[k]]):
-                found.append((rows[u]["node"], rows[others[k]]["node"]))
-    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+        fits = (np.minimum(sizes[others], sizes[u]) >= SIMILARITY * np.maximum(sizes[others], sizes[u])) & ~earlier & (label[others] != label[u])
+        if not fits.any():
+            continue
+        at = np.minimum(np.searchsorted(distinct, sets[u]), len(distinct) - 1)
+        has = np.zeros(len(distinct), np.int32)
+        has[at[distinct[at] == sets[u]]] = 1
+        both = np.add.reduceat(has[number], first)
+        for v in others[fits & (both >= SIMILARITY * (sizes[others] + sizes[u] - both) - 1e-9)].tolist():
+            if label[u] != label[v]:
+                found.append((start[u], start[v]))
+                label[label == label[v]] = label[u]
+    a, b = (pa.array(np.array([x[side] for x in found], np.int32)) for side in (0, 1))
+    return pa.table({"a": names.take(a), "b": names.take(b)})
+
+
+def _apart(buckets: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between components of the documents of a bucket, beside those with its hub: what lies outside the bucket's largest component is compared with all the bucket."""
+    # tables that are joined by bucket are written before, so that Spark may split a hot bucket's join
+    labelled = buckets.where("size > 2 AND node != hub").join(found, "node", "left")
+    labelled = written(labelled.select("key", "node", F.coalesce("component", "node").alias("component")))
+    tally = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+    homes = tally.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("home")).where("n > home.n")
+    homes = written(homes.select("key", F.col("home.component").alias("home"), F.ceil((F.col("n") - F.col("home.n")) / APART).alias("rows_"), F.ceil(F.col("n") / OTHERS).alias("columns_")))
+    members = labelled.join(homes, "key").withColumn("apart", F.col("component") != F.col("home")).join(sets, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cells = members.where("apart").withColumn("row", own("rows_")).withColumn("column", every("columns_"))
+    cells = cells.unionByName(members.withColumn("apart", F.lit(False)).withColumn("column", own("columns_")).withColumn("row", every("rows_")))
+    return written(cells.select("key", "row", "column", "component", "apart", "shingles", "bands").groupBy("key", "row", "column").applyInArrow(_compare, "a binary, b binary"))
 
 
-def _links(documents: DataFrame, signed: DataFrame) -> DataFrame:
-    """Links of similarity SIMILARITY or more between distinct sets of shingles (a, b: their fingerprints), enough to connect whatever such links connect within the buckets."""
+def _classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
+    """node (a distinct set of shingles, by its fingerprint) and class: the least doc_id of what links of similarity SIMILARITY or more, within the buckets, connect it with."""
     nodes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "bands")).alias("m")).select("node", "m.*")
     nodes = written(nodes)
-    # tables that are joined by bucket are written before they are counted, so that Spark may split a hot bucket's join
     entries = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    buckets = written(entries.join(sizes, "key"))
-    degrees = written(buckets.groupBy("node").agg(F.sum("size").alias("degree")))
-    hubs = written(buckets.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")))
-    chosen = nodes.join(degrees, "node").select("doc_id", "text_hash")
-    texts = documents.join(chosen, ["doc_id", "text_hash"], "left_semi").select("text")
-    sets = written(texts.mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
-    pairs = buckets.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
-    links = written(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verify, "a binary, b binary"))
+    # as fingerprints are random, near copies have the same least one in most of their buckets
+    hubs = written(entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1"))
+    buckets = written(entries.join(hubs, "key"))
+    chosen = nodes.join(buckets.select("node"), "node", "left_semi")
+    texts = documents.join(chosen, ["doc_id", "text_hash"]).select("node", "bands", "text")
+    sets = written(texts.mapInArrow(_sets, "node binary, bands array<long>, shingles binary").dropDuplicates(["node"]))
+    stars = buckets.where("node != hub").groupBy("node").agg(F.collect_set("hub").alias("hubs"))  # one hub a band at most
+    pairs = stars.join(sets, "node").select(F.col("node").alias("a"), F.col("shingles").alias("set_a"), F.explode("hubs").alias("b"))
+    links = written(pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b").mapInArrow(_verify, "a binary, b binary"))
     found = components(links)
     # what a hub leaves apart may belong to others of its bucket
-    labelled = written(buckets.where("size > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-    home = written(labelled.join(hubs.withColumnRenamed("hub", "node"), ["key", "node"]).select("key", F.col("node").alias("hub"), F.col("component").alias("home")))
-    members = written(labelled.join(home, "key").where("node != hub").withColumn("apart", F.col("component") != F.col("home")))
-    counts = members.groupBy("key").agg(F.count_if("apart").alias("n_apart"), F.count("*").alias("n")).where("n_apart > 0 AND n > 1")
-    counts = written(counts.select("key", F.ceil(F.col("n_apart") / APART).alias("rows_"), F.ceil(F.col("n") / OTHERS).alias("columns_")))
-    members = members.join(counts, "key").join(sets, "node").join(nodes.select("node", "bands"), "node")
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cells = members.where("apart").withColumn("row", own("rows_")).withColumn("column", every("columns_"))
-    cells = cells.unionByName(members.withColumn("apart", F.lit(False)).withColumn("column", own("columns_")).withColumn("row", every("rows_")))
-    more = cells.select("key", "row", "column", "node", "component", "apart", "shingles", "bands").groupBy("key", "row", "column").applyInArrow(_compare, "a binary, b binary")
-    return links.union(written(more))
+    joined_ = components(_apart(buckets, sets, found))
+    every = found.unionByName(joined_.select("node", F.col("node").alias("component"))).dropDuplicates(["node"])
+    whole = joined_.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    owned = every.join(nodes.select("node", "doc_id"), "node").join(whole, "component", "left")
+    owned = written(owned.select("node", "doc_id", F.coalesce("whole", "component").alias("component")))
+    least = written(owned.groupBy("component").agg(F.min("doc_id").alias("class")))
+    classes = nodes.select("node", "doc_id").join(owned.join(least, "component").select("node", "class"), "node", "left")
+    return written(classes.select("node", F.coalesce("class", "doc_id").alias("class")))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -191,11 +217,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     signed = written(docs.mapInArrow(_sign, f"doc_id {kind}, text_hash long, node binary, n_shingles long, bands array<long>"))
-    found = components(_links(docs, signed))
-    owners = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    owners = written(owners)
-    least = owners.groupBy("component").agg(F.min("least").alias("class"))
-    classes = owners.join(least, "component").select("node", "class")
+    classes = _classes(docs, signed)
     out = signed.join(classes, "node", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")))
     return out.select("doc_id", "text_hash", "n_shingles", "class_id")
 

@@ -109,3 +109,30 @@ def test_a_bucket_of_many_that_are_apart(spark):
             docs.append((1000 + k, " ".join(passage[:190] + own)))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_duplicates(frame).collect()} == brute(docs)
+
+
+def test_components_of_a_block_are_linked_once(spark):
+    """Near copies in a bucket of others: as many tables are written as the steps need, and blocks of several rows and columns find all."""
+    import attestra.llm.components as c
+    import attestra.llm.near_duplicates as n
+
+    rnd, docs = random.Random(6), []
+    passage = [f"p{k}" for k in range(150)]
+    for k in range(330):
+        own = [f"d{k}w{i}" for i in range(60)]
+        docs.append((2 * k, " ".join(passage + own)))
+        own[rnd.randrange(5, 55)] = "changed"
+        docs.append((2 * k + 1, " ".join(passage + own)))
+    made, write = [], n.written
+
+    def noted(df, *a):
+        made.append(df.columns)
+        return write(df, *a)
+
+    n.written = c.written = noted
+    try:
+        got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    finally:
+        n.written = c.written = write
+    assert got == {i: i // 2 * 2 for i, _ in docs}
+    assert len([x for x in made if x != ["node", "old", "component"]]) <= 14  # beside the rounds of components
