@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes that multikey quicksort looks at, and groups that are held as lists at a time.
-SHALLOW, GROUPS = 40, 1 << 14
+#: Bytes that multikey quicksort looks at, bytes after them in which groups are told to be all one, and groups that are held as lists at a time.
+SHALLOW, LOOK, GROUPS = 40, 64, 1 << 14
 
 
 class BlindTrie:
@@ -21,7 +21,7 @@ class BlindTrie:
     def _at(text: bytes, depth: int) -> int:
         return text[depth] if depth < len(text) else -1
 
-    def add(self, text: bytes, member: int) -> None:
+    def add(self, text: bytes, added: list[int]) -> None:
         node, above, size = self.root, [], len(text)
         while type(node) is list:
             above.append(node)
@@ -31,7 +31,7 @@ class BlindTrie:
                 node = next(iter(children.values()))
         other, members = node
         if other == text:
-            members.append(member)
+            members.extend(added)
             return
         same, least = 0, min(size, len(other))
         while same < least and text[same] == other[same]:
@@ -39,7 +39,7 @@ class BlindTrie:
         k = 0
         while k < len(above) and above[k][0] < same:
             k += 1
-        leaf = (text, [member])
+        leaf = (text, added)
         if k < len(above) and above[k][0] == same:
             above[k][1][self._at(text, same)] = leaf
             return
@@ -62,35 +62,60 @@ class BlindTrie:
         return out
 
 
+def _characters(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The eight bytes of each string from depth on, zeros after its end, and how many they are."""
+    left = np.clip(lengths - depth, 0, 8)
+    word = words[np.minimum(starts + depth, len(words) - 1)].astype(np.uint64)
+    short = np.flatnonzero(left < 8)
+    if len(short):
+        away = (np.uint64(8) - np.maximum(left[short], 1).astype(np.uint64)) * np.uint64(8)
+        word[short] = np.where(left[short] > 0, word[short] >> away << away, np.uint64(0))
+    return word, left
+
+
 def ranks(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """How many of the strings data[start : start + length] come before each one; equal strings get equal ranks."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
     rank = np.zeros(len(starts), np.int64)
-    active = np.arange(len(starts))
+    active, begins = np.arange(len(starts)), np.zeros(1, np.int64)  # groups of equal beginnings, one after the other, and where each begins
     for depth in range(0, shallow, 8):
         if not len(active):
             return rank
-        left = np.clip(lengths[active] - depth, 0, 8).astype(np.uint64)
-        word = words[np.minimum(starts[active] + depth, len(data))].astype(np.uint64)
-        word = np.where(left > 0, word >> ((np.uint64(8) - np.maximum(left, np.uint64(1))) * np.uint64(8)) << ((np.uint64(8) - np.maximum(left, np.uint64(1))) * np.uint64(8)), np.uint64(0))
-        order = np.lexsort((left, word, rank[active]))
-        active, word, left = active[order], word[order], left[order]
-        old = rank[active]
-        group = np.ones(len(active), bool)
-        group[1:] = old[1:] != old[:-1]
-        split = group.copy()
+        word, left = _characters(words, starts[active], lengths[active], depth)
+        size = np.diff(np.append(begins, len(active)))
+        head = np.repeat(begins, size)
+        apart = np.repeat(np.logical_or.reduceat((word != word[head]) | (left != left[head]), begins), size)
+        if apart.any():  # groups that are all one stay as they are
+            at = np.flatnonzero(apart)
+            keys = (*((left[at],) if (left[at] < 8).any() else ()), word[at], *((head[at],) if len(begins) > 1 else ()))
+            order = at[np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0])]
+            active[at], word[at], left[at] = active[order], word[order], left[order]
+        split = np.zeros(len(active), bool)
+        split[begins] = True
         split[1:] |= (word[1:] != word[:-1]) | (left[1:] != left[:-1])
-        at = np.arange(len(active))
-        first = np.maximum.accumulate(np.where(group, at, 0))
-        here = np.maximum.accumulate(np.where(split, at, 0))
-        rank[active] = old + here - first
-        size = np.diff(np.append(np.flatnonzero(split), len(active)))
-        active = active[np.repeat(size > 1, size) & (left == 8)]
+        begins = np.flatnonzero(split)
+        size = np.diff(np.append(begins, len(active)))
+        rank[active] += np.repeat(begins, size) - head
+        stays = (size > 1) & (left[begins] == 8)
+        active, size = active[np.repeat(stays, size)], size[stays]
+        begins = np.cumsum(size) - size
     if not len(active):
         return rank
-    text = data.tobytes()
-    bounds = np.append(np.flatnonzero(np.concatenate([[True], np.diff(rank[active]) != 0])), len(active))
+    size = np.diff(np.append(begins, len(active)))
+    head = np.repeat(active[begins], size)
+    apart = lengths[active] != lengths[head]
+    alike = np.flatnonzero(~apart & (lengths[active] > shallow))
+    for depth in range(shallow, shallow + LOOK, 8):  # groups that are all one have their rank
+        if not len(alike):
+            break
+        (word, left), (other, _) = (_characters(words, starts[x], lengths[x], depth) for x in (active[alike], head[alike]))
+        apart[alike[word != other]] = True
+        alike = alike[(word == other) & (left == 8)]
+    apart[alike] = True
+    groups = np.logical_or.reduceat(apart, begins)
+    active, bounds = active[np.repeat(groups, size)], np.append(0, np.cumsum(size[groups]))
+    text = data.tobytes() if len(active) else b""
     for g in range(0, len(bounds) - 1, GROUPS):  # so many at a time as lists
         _deep(text, starts, lengths, shallow, rank, active, bounds[g : g + GROUPS + 1])
     return rank
@@ -102,14 +127,15 @@ def _deep(text: bytes, starts: np.ndarray, lengths: np.ndarray, shallow: int, ra
     begins, ends, members = (starts[here] + shallow).tolist(), (starts[here] + lengths[here]).tolist(), here.tolist()
     cuts = (bounds - bounds[0]).tolist()
     for a, b in zip(cuts, cuts[1:], strict=False):
-        first, k = text[begins[a] : ends[a]], a + 1
-        while k < b and text[begins[k] : ends[k]] == first:
-            k += 1
-        if k == b:  # all are equal, and have their rank
+        different: dict[bytes, list[int]] = {}
+        for k in range(a, b):
+            different.setdefault(text[begins[k] : ends[k]], []).append(members[k])
+        if len(different) == 1:
             continue
-        trie = BlindTrie(first, members[a:k])
-        for j in range(k, b):
-            trie.add(text[begins[j] : ends[j]], members[j])
+        leaves = iter(different.items())
+        trie = BlindTrie(*next(leaves))
+        for tail, same in leaves:
+            trie.add(tail, same)
         before = int(rank[members[a]])
         for leaf in trie.leaves():
             rank[leaf] = before

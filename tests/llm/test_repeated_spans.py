@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from attestra.llm import repeated_spans
 from attestra.llm.repeated_spans import without_repeated_spans
 from attestra.llm.suffix_order import ranks
 
@@ -89,3 +91,46 @@ def test_a_line_in_a_third_of_many_chunks(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in without_repeated_spans(frame, share=3, fan=2).collect())
     assert got == brute(docs)
+
+
+def chunk_rows(docs, per_batch):
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in x], pa.int64()), "text": pa.array([t for _, t in x])}) for x in (docs[k : k + per_batch] for k in range(0, len(docs), per_batch))]
+    return [r for b in repeated_spans._chunk_rows(iter(batches)) for r in b.to_pylist()]
+
+
+def test_a_chunk_is_large_whatever_the_batches():
+    """Each chunk sends a row to each part: were chunks as small as batches, these rows would grow with the square of the input."""
+    rnd = random.Random(4)
+    docs = [(i, "".join(rnd.choice("abcdefgh é") for _ in range(40)) * rnd.randint(0, 9000)) for i in range(120)] + [(None, None), (7, "")]
+    rows = chunk_rows(docs, 5)
+    total = sum(len((t or "").encode()) for _, t in docs)
+    assert len(rows) <= -(-total // (repeated_spans.CHUNK - repeated_spans.PIECE)) < total / repeated_spans.PIECE / 4
+    back = []
+    for r in rows:
+        data, cut = repeated_spans.unpacked(r["data"]).tobytes(), repeated_spans.unpacked(r["offsets"], "<i8").tolist()
+        assert r["n_bytes"] == len(data) == cut[-1]
+        back += [(i, data[a:b]) for i, a, b in zip(r["ids"], cut[:-1], cut[1:], strict=True)]
+    assert back == [(i, (t or "").encode()) for i, t in docs]
+
+
+def test_runs_are_the_same_in_pieces(monkeypatch):
+    rnd = random.Random(6)
+    docs = [(i, "".join(rnd.choice("ab ") for _ in range(rnd.choice([0, 3, 49, 50, 51, 400])))) for i in range(80)]
+    row = chunk_rows(docs, 80)[0]
+    whole = repeated_spans.Runs(row["data"], row["offsets"])
+    assert len(whole.hash)
+    for piece in (1, 60, 1000):
+        monkeypatch.setattr(repeated_spans, "PIECE", piece)
+        runs = repeated_spans.Runs(row["data"], row["offsets"])
+        for name in ("hash", "first", "count", "doc"):
+            assert getattr(runs, name).tolist() == getattr(whole, name).tolist()
+
+
+def test_ranks_of_strings_that_differ_late_or_not_at_all():
+    rnd = random.Random(2)
+    start = b"x" * 45
+    strings = [start + b"y" * rnd.choice([0, 3, 60, 61, 300]) + rnd.choice([b"", b"a", b"\x00", b"b" * 9]) for _ in range(300)]
+    strings += [start + b"same" * 40] * 3 + [b"z" * 50] * 4
+    data, cut = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
+    order = sorted(strings)
+    assert ranks(data, cut[:-1], np.diff(cut)).tolist() == [order.index(s) for s in strings]
