@@ -40,10 +40,14 @@ def leaf_paths(schema: T.StructType, prefix: str = "") -> list[str]:
     return out
 
 
+def leaf_structs(column: str, schema: T.StructType) -> dict[str, Column]:
+    """By path the leaves of an enveloped column (ord, path, value, confidence, source_span); a leaf that is missing has no value and confidence 0."""
+    return {p: F.struct(F.lit(k).alias("ord"), F.lit(p).alias("path"), F.col(f"{column}.{p}.value").cast("string").alias("value"), F.coalesce(F.col(f"{column}.{p}.confidence"), F.lit(0.0)).alias("confidence"), F.col(f"{column}.{p}.source_span").alias("source_span")) for k, p in enumerate(leaf_paths(schema))}
+
+
 def flattened(records: DataFrame, column: str, schema: T.StructType) -> DataFrame:
-    """One row for each record and leaf of its enveloped column; a leaf that is missing has no value and confidence 0."""
-    leaves = [F.struct(F.lit(k).alias("ord"), F.lit(p).alias("path"), F.col(f"{column}.{p}.value").cast("string").alias("value"), F.coalesce(F.col(f"{column}.{p}.confidence"), F.lit(0.0)).alias("confidence"), F.col(f"{column}.{p}.source_span").alias("source_span")) for k, p in enumerate(leaf_paths(schema))]
-    return records.select(*(c for c in records.columns if c != column), F.explode(F.array(*leaves)).alias("leaf")).select(*(c for c in records.columns if c != column), "leaf.*")
+    """One row for each record and leaf of its enveloped column, as leaf_structs has them."""
+    return records.select(*(c for c in records.columns if c != column), F.explode(F.array(*leaf_structs(column, schema).values())).alias("leaf")).select(*(c for c in records.columns if c != column), "leaf.*")
 
 
 def _kind(of: Column, key: str) -> Column:
@@ -103,12 +107,37 @@ def resolved(leaves: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumn("value", F.when(edited, F.col("edit")).otherwise(F.col("value"))).withColumn("issue", F.when(edited & F.col("edit").isNull(), "edit without a value")).drop("edit", "status")
 
 
+def _outcome() -> Column:
+    return F.when(F.size("rejected_fields") == F.col("n"), "discarded").when(F.size("edited_fields") + F.size("rejected_fields") > 0, "edited").otherwise("accepted")
+
+
 def outcomes(leaves: DataFrame, decisions: DataFrame) -> DataFrame:
     """By item: accepted, edited or discarded (nothing stays), with the paths that were edited and rejected."""
     said = leaves.join(decisions.select("item_id", "path", "status"), ["item_id", "path"], "left")
     lists = said.groupBy("item_id").agg(F.array_sort(F.collect_list(F.when(F.col("status") == "edited", F.col("path")))).alias("edited_fields"), F.array_sort(F.collect_list(F.when(F.col("status") == "rejected", F.col("path")))).alias("rejected_fields"), F.count("*").alias("n"))
-    status = F.when(F.size("rejected_fields") == F.col("n"), "discarded").when(F.size("edited_fields") + F.size("rejected_fields") > 0, "edited").otherwise("accepted")
-    return lists.withColumn("status", status).drop("n")
+    return lists.withColumn("status", _outcome()).drop("n")
+
+
+class Tally:
+    """What was decided, counted by item: for records that come with their decisions, so that no leaf has to look for its own.
+
+    records: each row is a record (item_id, never null) with every path of statuses as a leaf; statuses: by path the status of its decision, null where there is none; others: how many decisions a record has for paths it lacks. One row of counts for each record is exchanged. Records of one item_id count as outcomes and completeness would join them: each decision of one is for the leaves of all.
+    """
+
+    def __init__(self, records: DataFrame, statuses: dict[str, Column], others: Column):
+        self.paths = sorted(statuses)
+        flags = [test(statuses[p]).cast("long").alias(f"{name}{k}") for k, p in enumerate(self.paths) for name, test in (("decided", lambda s: s.isNotNull()), ("edited", lambda s: s.eqNullSafe("edited")), ("rejected", lambda s: s.eqNullSafe("rejected")))]
+        marked = records.select("item_id", *flags, others.cast("long").alias("others"))
+        self.items = marked.groupBy("item_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in marked.columns[1:]))
+
+    def outcomes(self) -> DataFrame:
+        """As outcomes has them."""
+        def listed(name: str) -> Column:
+            return F.flatten(F.array(*(F.array_repeat(F.lit(p), (F.col("n") * F.col(f"{name}{k}")).cast("int")) for k, p in enumerate(self.paths))))
+
+        joined = sum((F.greatest(F.col(f"decided{k}"), F.lit(1)) for k in range(len(self.paths))), F.lit(0)) * F.col("n")
+        lists = self.items.select("item_id", listed("edited").alias("edited_fields"), listed("rejected").alias("rejected_fields"), joined.alias("n"))
+        return lists.withColumn("status", _outcome()).drop("n")
 
 
 def nested(leaves: DataFrame, schema: T.StructType) -> DataFrame:
