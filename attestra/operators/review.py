@@ -139,6 +139,13 @@ class Tally:
         lists = self.items.select("item_id", listed("edited").alias("edited_fields"), listed("rejected").alias("rejected_fields"), joined.alias("n"))
         return lists.withColumn("status", _outcome()).drop("n")
 
+    def conformant(self) -> DataFrame:
+        """item_id, and whether each of its paths has a decision and each decision a path."""
+        whole = F.col("others") == 0
+        for k in range(len(self.paths)):
+            whole &= F.col(f"decided{k}") > 0
+        return self.items.select("item_id", whole.alias("conformant"))
+
 
 def nested(leaves: DataFrame, schema: T.StructType) -> DataFrame:
     """Leaves back as one nested record for each item, fields in the schema's order."""

@@ -26,6 +26,8 @@ def test_tally_counts_what_the_joins_find(spark):
     assert told(got) == told(expected)
     assert got.dtypes == expected.dtypes
     assert {r.status for r in got.collect()} == {"accepted", "edited", "discarded"}
+    bad = {r.item_id for r in V.completeness(leaves, decisions).collect()}
+    assert {r.item_id: r.conformant for r in tally.conformant().collect()} == {r[0]: r[0] not in bad for r in rows}
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +46,7 @@ def exchanges(query):
     return plan.count("Exchange "), plan.count("Join")
 
 
-@pytest.mark.parametrize("name,most", [("lst_review_outcomes", 1)])
+@pytest.mark.parametrize("name,most", [("lst_review_outcomes", 1), ("agg_conformant", 2)])
 def test_a_record_is_exchanged_once(spark, lines, name, most):
     """Not its leaves, nor its decisions to meet them: those took 19 times the input on disk."""
     query = __spark_entry__.queries()[name](spark, lines)
